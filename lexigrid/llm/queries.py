@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.llm.byte_bpe import byte_bpe
+from lexigrid.llm.line_dedup import line_dedup
 from lexigrid.llm.mixing import SEED, TEMPERATURE, mix_sources
+from lexigrid.llm.near_dedup import near_duplicates
 from lexigrid.llm.quality import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from lexigrid.llm.substring_dedup import substring_dedup
 
@@ -54,6 +57,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM ratios"""
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return rows.select("doc_id", F.col("dedup_lines").alias("n_lines"), F.col("dedup_removed").alias("n_removed"), F.col("dedup_partners").alias("n_partners"), digest.alias("kept_sha256"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_copy").alias("copy_no"), F.round("mix_rate", 6).alias("rate"), F.col("mix_key").alias("shuffle_key"))
@@ -81,5 +94,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_mix_sources, op7_substring_dedup)}
+def bpe_digests(coded: DataFrame) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_digests(byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op5_mix_sources, op7_substring_dedup, op8_byte_bpe)}
 SQL = {"op1_quality_rules": OP1_SQL, "op5_mix_sources": OP5_SQL}
