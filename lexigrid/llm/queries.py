@@ -9,6 +9,8 @@ from lexigrid.llm.mixing import SEED, TEMPERATURE, mix_sources
 from lexigrid.llm.near_dedup import near_duplicates
 from lexigrid.llm.quality import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from lexigrid.llm.substring_dedup import substring_dedup
+from lexigrid.llm.token_counts import load_pieces, token_counts
+from lexigrid.llm.vector_search import nearest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,5 +107,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op5_mix_sources, op7_substring_dedup, op8_byte_bpe)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op5_mix_sources, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours)}
 SQL = {"op1_quality_rules": OP1_SQL, "op5_mix_sources": OP5_SQL}
