@@ -11,9 +11,13 @@ keeps rate 0 where explicit weights are given; repeated rows draw alike; an empt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.llm.common import stash
+
 #: Sources are sampled in proportion to their characters to this power, unless weights are given.
 TEMPERATURE = 0.5
 SEED = 17
+#: Rates are broadcast up to so many sources (some MB); beyond, a source's rows are dealt over so many tasks.
+BROADCAST_SOURCES, SALTS = 20_000, 32
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -54,11 +58,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     """The rows of docs, each as often as its draw says, with mix_rate, mix_copy (from 1) and mix_key,
     dealt out by mix_key and sorted by it within partitions: a global shuffle in one exchange.
 
-    The table of rates has a row per source; Spark broadcasts it only if its size allows."""
+    The table of rates has a row per source. It is broadcast if it has at most BROADCAST_SOURCES rows; else the
+    rows of each source are dealt over SALTS tasks for the join."""
     own = ["mix_source", "mix_rate", "mix_copy", "mix_key"]
-    rates = source_rates(docs, weights, temperature).withColumnRenamed("rate", "mix_rate")
+    rates = stash(source_rates(docs, weights, temperature).withColumnRenamed("rate", "mix_rate"), "op5-rates")
     keep = docs.drop(*own)
-    drawn = keep.withColumn("mix_source", F.coalesce(F.col("source"), F.lit(""))).join(rates, "mix_source")
+    named = keep.withColumn("mix_source", F.coalesce(F.col("source"), F.lit("")))
+    if rates.count() <= BROADCAST_SOURCES:
+        drawn = named.join(F.broadcast(rates), "mix_source")
+    else:
+        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        drawn = named.withColumn("mix_salt", salt).join(salted, ["mix_source", "mix_salt"])
     count = poisson(uniform(seed, F.col("doc_id")), F.col("mix_rate"))
     copies = (
         drawn.withColumn("mix_count", count)

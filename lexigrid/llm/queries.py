@@ -10,6 +10,7 @@ from lexigrid.llm.near_dedup import near_duplicates
 from lexigrid.llm.quality import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from lexigrid.llm.substring_dedup import substring_dedup
 from lexigrid.llm.token_counts import load_pieces, token_counts
+from lexigrid.llm.toxicity import toxicity
 from lexigrid.llm.vector_search import nearest
 
 
@@ -92,6 +93,11 @@ copies AS (SELECT doc_id, source, rate, unnest(range(1, n + 1))::INT AS copy_no
 SELECT doc_id, source, copy_no, round(rate, 6) AS rate, {_uniform_sql(SEED + 1, "doc_id", "copy_no")} AS shuffle_key FROM copies"""
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -117,5 +123,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op5_mix_sources, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op5_mix_sources, op6_toxicity, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours)}
 SQL = {"op1_quality_rules": OP1_SQL, "op5_mix_sources": OP5_SQL}
