@@ -41,7 +41,7 @@ WINDOW = 6
 STEMS = (4, 5, 6)
 EDIT_FROM = 5  # terms shorter than this match only as they are
 #: Weights before any label is seen: bias first, then as in features().
-DEFAULT = [-4.0, 3.0, 2.0, 0.8, 0.2, -1.5, 1.0, 0.2, 2.0]
+DEFAULT = [-4.0, 3.0, 2.0, 2.5, 0.2, -1.5, 1.0, 0.2, 2.0]
 _STRIP = ".,;:!?()[]{}<>*#$%&|…" + QUOTES
 _LEET = str.maketrans("013457@$", "oieastas")
 
@@ -146,13 +146,14 @@ class Model:
     weights: list[float]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30) -> list[float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 30, prior: list[float] = DEFAULT) -> list[float]:
+    """Weights near the prior where the rows say nothing, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    w, start, penalty = np.array(prior), np.array(prior), ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ (w - start))
     return w.tolist()
 
 
