@@ -24,13 +24,13 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from lexigrid.llm.common import CACHE, small_batches, stash
 
 #: Buckets of the literal rank map.
 SLOTS = 1 << 15
 NONE = 1 << 30
-SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded binary"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -97,7 +97,7 @@ class Pieces(dict):
         return ids
 
 
-def _code(pattern: str, shipped):
+def _code(pattern: str, shipped, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -108,8 +108,8 @@ def _code(pattern: str, shipped):
             coded = [list(chain.from_iterable(map(cache.__getitem__, split(t)))) if t else [] for t in batch.column("text").to_pylist()]
             decoded = [b"".join(map(binary.__getitem__, ids)) for ids in coded]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, coded), pa.int64()), pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
-                ["doc_id", "n_tokens", "ids", "decoded"],
+                [*(batch.column(c) for c in ("doc_id", *keep)), pa.array(map(len, coded), pa.int64()), pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
+                ["doc_id", *keep, "n_tokens", "ids", "decoded"],
             )
 
     return run
@@ -167,26 +167,28 @@ def fold_merges(piece: Column, table: Column) -> Column:
     return F.when(rank(text).isNotNull(), F.array(rank(text))).otherwise(F.transform(merged, rank))
 
 
-def _native(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def _native(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str]) -> DataFrame:
     # row: a key of its own for each row, so that repeated doc_ids stay apart
-    split = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), 0).alias("ps"))
+    split = docs.select("doc_id", *keep, F.monotonically_increasing_id().alias("__row"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("(?U)" + pattern), 0).alias("__pieces"))
     split = stash(split, "op8-split")
-    distinct = split.select(F.explode("ps").alias("piece")).distinct()
+    distinct = split.select(F.explode("__pieces").alias("piece")).distinct()
     coded = stash(distinct.select("piece", fold_merges(F.col("piece"), rank_literal(ranks)).alias("ids")), "op8-coded")
-    places = split.select("row", F.posexplode("ps").alias("pos", "piece"))
-    found = places.join(coded, "piece").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-    ids = split.select("doc_id", "row").join(found, "row", "left").select("doc_id", F.coalesce(F.flatten("x.ids"), F.array().cast("array<int>")).alias("ids"))
+    places = split.select("__row", F.posexplode("__pieces").alias("pos", "piece"))
+    found = places.join(coded, "piece").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("x"))
+    ids = split.join(found, "__row", "left").select("doc_id", *keep, F.coalesce(F.flatten("x.ids"), F.array().cast("array<int>")).alias("ids"))
     table = binary_literal(ranks)
     decoded = F.encode(F.array_join(F.transform("ids", lambda i: F.get(table, i)), ""), "ISO-8859-1")
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded"))
+    return ids.select("doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded"))
 
 
-def byte_bpe(docs: DataFrame, path: str, pattern: str, style: str = "native") -> DataFrame:
-    """doc_id, n_tokens, ids and decoded (the bytes that the ids stand for) of every document."""
+def byte_bpe(docs: DataFrame, path: str, pattern: str, style: str = "native", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns of docs named in keep, n_tokens, ids and decoded (the bytes that the ids stand for) of every document."""
     spark: SparkSession = docs.sparkSession
     ranks = load_ranks(path)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keep = keep or []
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys([*keep, "text"]))
     if style == "native":
-        return _native(own, ranks, pattern)
+        return _native(own, ranks, pattern, keep)
     small_batches(spark)
-    return own.mapInArrow(_code(pattern, spark.sparkContext.broadcast(ranks)), SCHEMA)
+    schema = StructType([*own.select("doc_id", *keep).schema, StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
+    return own.mapInArrow(_code(pattern, spark.sparkContext.broadcast(ranks), keep), schema)
