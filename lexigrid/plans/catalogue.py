@@ -1,5 +1,380 @@
 """Queries by name, and SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
+
+from lexigrid.functions import text as T
+from lexigrid.functions import urls as U
+from lexigrid.operators import chunking, crawling, hybrid, lexical, memory, prompts, vectors
+from lexigrid.plans import sql as S
+from lexigrid.plans.tables import chunks, questions, sources, table
+from lexigrid.plans.tables import vectors as doc_vectors
+
 FLAGSHIP = "hybrid_search"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- text
+
+
+@query(f"SELECT doc_id, {S.TOKENS} AS tokens, len({S.TOKENS})::INT AS n_tokens FROM documents")
+def tokenize_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+
+
+@query(f"SELECT doc_id, md5({S.fold('text', 'collapse')}) AS collapsed, md5({S.fold('text', 'base')}) AS base FROM documents")
+def fold_diacritics(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(T.fold(F.col("text"))).alias("collapsed"), F.md5(T.fold(F.col("text"), "base")).alias("base"))
+
+
+@query(f"SELECT doc_id, {S.NORMAL} AS text FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
+
+
+# --- lexical
+
+
+@query(f"WITH {S.BM25_CORPUS} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def corpus_term_stats(spark, sf_dir):
+    tokens = lexical.with_tokens(table(spark, sf_dir, "documents"))
+    return lexical.idf_table(tokens).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(S.bm25("SELECT item_id AS qid, text FROM benchmark WHERE item_id = 0", 20))
+def bm25_topk(spark, sf_dir):
+    one = questions(spark, sf_dir).filter("qid = 0")
+    return _rounded(lexical.bm25_topk(table(spark, sf_dir, "documents"), one, 20).select("qid", "row_idx", "score", "rank"), "score")
+
+
+@query(S.bm25("SELECT item_id AS qid, text FROM benchmark", 20))
+def bm25_batch_topk(spark, sf_dir):
+    return _rounded(lexical.bm25_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 20).select("qid", "row_idx", "score", "rank"), "score")
+
+
+# --- vectors
+
+
+@query(f"SELECT vec_id, list_transform({S.unit('embedding')}, lambda x: round(x, 6)) AS unit FROM embeddings")
+def l2_normalize(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform(vectors.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query(S.dense("WHERE qid = 0", 20))
+def dense_topk(spark, sf_dir):
+    return _rounded(vectors.dense_topk(doc_vectors(spark, sf_dir), questions(spark, sf_dir).filter("qid = 0"), 20), "score")
+
+
+@query(S.dense("", 20))
+def dense_batch_topk(spark, sf_dir):
+    return _rounded(vectors.dense_topk(doc_vectors(spark, sf_dir), questions(spark, sf_dir), 20), "score")
+
+
+@query("SELECT 'given' AS model, max(len(embedding))::INT AS dim, count(*)::INT AS n_chunks, true AS normalised, 'cosine' AS metric, 'parquet' AS backend FROM embeddings")
+def index_metadata(spark, sf_dir):
+    return vectors.index_metadata(table(spark, sf_dir, "embeddings"), "given")
+
+
+# --- hybrid
+
+HIT = ["qid", "rank", "row_idx", "source", "rrf_score", "bm25_rank", "dense_rank", "bm25_score", "dense_score", "score", "reranked", "rerank_score"]
+
+
+def _hits(spark, sf_dir, **knobs) -> DataFrame:
+    return hybrid.hybrid_search(chunks(spark, sf_dir), doc_vectors(spark, sf_dir), questions(spark, sf_dir), **knobs)
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    """Ranks that a branch lacks as 0."""
+    return df.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("bm25_rank", "dense_rank")})
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return _rounded(_ranked(hits.select(*HIT)), "rrf_score", "bm25_score", "dense_score", "score")
+
+
+@query(S.fused("SELECT qid, row_idx, round(rrf_score, 6) AS rrf_score, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(dense_rank, 0) AS dense_rank, rrf_rank FROM fused"))
+def rrf_fuse(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    both = hybrid.rrf_fuse(lexical.bm25_topk(chunks(spark, sf_dir), q, 20, id_col="row_idx"), vectors.dense_topk(doc_vectors(spark, sf_dir), q, 20))
+    return _rounded(_ranked(both.select("qid", "row_idx", "rrf_score", "bm25_rank", "dense_rank", "rrf_rank")), "rrf_score")
+
+
+@query(S.hits(5, 20))
+def hybrid_search(spark, sf_dir):
+    return _shown(_hits(spark, sf_dir))
+
+
+@query(S.hits(10, 20, 1.5, 0.0))
+def hybrid_search_weighted(spark, sf_dir):
+    return _shown(_hits(spark, sf_dir, top_k=10, bm25_weight=1.5, dense_weight=0.0))
+
+
+@query(S.hits(8, 5, reranked=False))
+def rerank_pool(spark, sf_dir):
+    return _shown(_hits(spark, sf_dir, top_k=8, rerank_pool=5, use_reranker=False))
+
+
+# --- chunking
+
+LINES = chunking.Structure(separator="\n")
+FIXTURE = (
+    "Mở đầu\n\nChương I\nQUY ĐỊNH CHUNG\nlời dẫn\nĐiều 1. Phạm vi\n1. abc\n2. def\n\nĐIỀU 2: Đối tượng\nxyz\n"
+    "Chương 2: ABC\n\nđoạn một\n\nđoạn hai\nChương 3\nĐiều 1.\nA\nB\nĐiều 9. Một dòng"
+)
+
+
+def _fixture(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, "so_tay", None, "", "html", FIXTURE)], "doc_ord long, source string, source_url string, title string, source_kind string, text string")
+
+
+@query(S.chapters(FIXTURE))
+def chapter_split(spark, sf_dir):
+    return chunking.chapter_split(_fixture(spark).select("doc_ord", "text"))
+
+
+@query(S.articles(FIXTURE))
+def article_chunks(spark, sf_dir):
+    rows = chunking.article_split(chunking.chapter_split(_fixture(spark).select("doc_ord", "source", "text")))
+    return rows.select("doc_ord", "chapter_pos", "chapter", "article_pos", "article_id", "article_title", "article_body", chunking.stable_id(F.col("source"), F.col("article_id")).alias("chunk_id"))
+
+
+@query(S.fixture_chunks(FIXTURE))
+def chunk_fixture(spark, sf_dir):
+    return chunking.numbered(chunking.chunk_documents(_fixture(spark))).select("row_idx", "chapter", "article_id", "article_title", "chunk_id", "text")
+
+
+@query(S.packed())
+def paragraph_pack(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    packed = chunking.pack_paragraphs(chunking.paragraphs_of(F.col("text"), "\n"))
+    return d.select("doc_id", F.posexplode(packed).alias("pos", "chunk"))
+
+
+@query(S.packed_chunks())
+def chunk_document_all(spark, sf_dir):
+    rows = chunking.numbered(chunking.chunk_documents(sources(spark, sf_dir), LINES))
+    return rows.select("row_idx", "doc_ord", "chunk_id", "article_id", "article_title", "chapter", "source", "source_url", "text", "title", "source_kind")
+
+
+@query(f"SELECT doc_id, {S.stable_id('source', S.PIECE)} AS chunk_id FROM documents")
+def stable_chunk_id(spark, sf_dir):
+    piece = F.concat(F.lit("PB-"), (F.col("doc_id") % 3 + 1).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.stable_id(F.col("source"), piece).alias("chunk_id"))
+
+
+@query(f"SELECT {S.stable_id('source', S.PIECE)} AS chunk_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def chunk_id_collisions(spark, sf_dir):
+    return stable_chunk_id(spark, sf_dir).groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+# --- pages
+
+
+@query(f"SELECT page_id, {S.TITLE} AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, {S.PAGE_TEXT} AS text FROM pages")
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, 1 AS n_pages, length(t)::BIGINT AS n_chars FROM (SELECT page_id, {S.PAGE_TEXT} AS t FROM pages) WHERE t <> ''")
+def page_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", T.html_to_text(F.col("html")).alias("t")).filter("t != ''")
+    return rows.select("page_id", F.lit(1).alias("n_pages"), F.length("t").cast("long").alias("n_chars"))
+
+
+@query(f"{S.LINKS} SELECT src_url, pos, href, dst_url FROM links")
+def extract_links(spark, sf_dir):
+    return U.extract_links(table(spark, sf_dir, "pages"))
+
+
+@query(f"SELECT page_id, {S.NO_FRAGMENT} AS url, {S.host('url')} AS host FROM pages")
+def normalize_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.normalize_url(F.col("url"), F.col("url")).alias("url"), U.authority(F.col("url")).alias("host"))
+
+
+@query(f"{S.LINKS} SELECT src_url, count(*) AS n_internal FROM links WHERE {S.host('dst_url')} = {S.host('src_url')} GROUP BY src_url")
+def internal_links(spark, sf_dir):
+    links = extract_links(spark, sf_dir)
+    return links.filter(U.is_internal(F.col("dst_url"), U.authority(F.col("src_url")))).groupBy("src_url").agg(F.count("*").alias("n_internal"))
+
+
+@query(f"{S.LINKS} SELECT src_url, pos, regexp_matches(lower({S.path('dst_url')}), '\\.(pdf|docx|doc)$') AS is_doc, {S.FILE_NAME} AS file_name FROM links")
+def doc_links(spark, sf_dir):
+    return extract_links(spark, sf_dir).select("src_url", "pos", U.is_doc_link(F.col("dst_url")).alias("is_doc"), U.file_name(F.col("dst_url")).alias("file_name"))
+
+
+@query(f"SELECT page_id, {S.SLUG} AS slug FROM pages")
+def slugify(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.slugify(F.col("url")).alias("slug"))
+
+
+@query(f"SELECT {S.SLUG} AS slug, count(*) AS n, max(page_id) AS last_page FROM pages GROUP BY 1 HAVING count(*) > 1")
+def slug_collisions(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", U.slugify(F.col("url")).alias("slug"))
+    return rows.groupBy("slug").agg(F.count("*").alias("n"), F.max("page_id").alias("last_page")).filter("n > 1")
+
+
+@query(f"{S.LINKS} SELECT dst_url AS url, count(*) AS n_links, min(src_url) AS first_parent FROM links WHERE {S.host('dst_url')} = {S.host('src_url')} AND dst_url NOT IN (SELECT url FROM pages) GROUP BY 1")
+def crawl_frontier(spark, sf_dir):
+    links = extract_links(spark, sf_dir).filter(U.is_internal(F.col("dst_url"), U.authority(F.col("src_url"))))
+    known = table(spark, sf_dir, "pages").select(F.col("url").alias("dst_url"))
+    fresh = links.join(known, "dst_url", "left_anti")
+    return fresh.groupBy(F.col("dst_url").alias("url")).agg(F.count("*").alias("n_links"), F.min("src_url").alias("first_parent"))
+
+
+WEB = [
+    ("http://w.example/", '<a href="/a">a</a><a href="b">b</a><a href="/a#x">a</a><a href="mailto:x@y">m</a><a href="#top">t</a>'),
+    ("http://w.example/a", '<a href="/">home</a><a href="/c">c</a><a href="/Files/One.PDF">one</a><a href="http://other.example/z">z</a>'),
+    ("http://w.example/b", '<a href="/missing">m</a><a href="/d">d</a><a href="/Files/One.PDF">one</a><a href="/two.docx">two</a>'),
+    ("http://w.example/c", '<a href="/d">d</a><a href="./e">e</a>'),
+    ("http://w.example/d", '<a href="/three.doc">three</a><a href="/a">a</a>'),
+    ("http://w.example/e", '<a href="/b">b</a>'),
+]
+
+
+def _crawl(spark) -> crawling.Crawl:
+    web = spark.createDataFrame(WEB, "url string, html string")
+    return crawling.bfs("http://w.example/", crawling.table_fetcher(web), spark, max_pages=6, max_files=2)
+
+
+@query(S.values([("http://w.example/", 0, 0, True), ("http://w.example/a", 1, 1, True), ("http://w.example/b", 2, 1, True), ("http://w.example/c", 3, 2, True), ("http://w.example/missing", 4, 2, False), ("http://w.example/d", 5, 2, True)], "url, ord, depth, fetched", "url, ord::BIGINT AS ord, depth, fetched"))
+def crawl_bfs(spark, sf_dir):
+    return _crawl(spark).visited
+
+
+@query(S.values([("http://w.example/Files/One.PDF", 0), ("http://w.example/two.docx", 1)], "url, ord", "url, ord::BIGINT AS ord"))
+def crawl_documents(spark, sf_dir):
+    return _crawl(spark).documents
+
+
+@query("SELECT 6::BIGINT AS n_visited, 5::BIGINT AS n_fetched, 2::BIGINT AS n_documents")
+def crawl_summary(spark, sf_dir):
+    return crawling.crawl_summary(_crawl(spark))
+
+
+@query(f"SELECT url, 'pages/' || slug || '.txt' AS local_path, NULL::VARCHAR AS binary_path, title, 'html' AS source_kind, 1 AS n_pages, length(t)::BIGINT AS n_chars FROM (SELECT url, {S.SLUG} AS slug, {S.TITLE} AS title, {S.PAGE_TEXT} AS t FROM pages) WHERE t <> ''")
+def manifest(spark, sf_dir):
+    return crawling.manifest(table(spark, sf_dir, "pages"))
+
+
+# --- memory and prompts
+
+
+@query(f"{S.MEMORY} SELECT conv_id, pos, role, text FROM recent")
+def memory_recent(spark, sf_dir):
+    m = memory.conversation_memory(table(spark, sf_dir, "conversations"))
+    return m.select("conv_id", F.posexplode("recent").alias("pos", "t")).select("conv_id", "pos", "t.role", "t.text")
+
+
+@query(f"{S.MEMORY} SELECT conv_id, coalesce(summary, '') AS summary FROM convs LEFT JOIN summaries USING (conv_id)")
+def memory_summary(spark, sf_dir):
+    return memory.conversation_memory(table(spark, sf_dir, "conversations")).select("conv_id", "summary")
+
+
+@query(f"{S.MEMORY}{S.PROMPT_HISTORY}")
+def memory_prompt_history(spark, sf_dir):
+    return memory.prompt_history(memory.conversation_memory(table(spark, sf_dir, "conversations")))
+
+
+@query(f"{S.MEMORY}{S.HISTORY_BLOCK}")
+def memory_history_block(spark, sf_dir):
+    return memory.history_block(memory.conversation_memory(table(spark, sf_dir, "conversations")))
+
+
+@query(S.LAST_N)
+def history_last_n(spark, sf_dir):
+    return prompts.history_last_n(table(spark, sf_dir, "conversations"))
+
+
+@query(f"SELECT doc_id, {S.citation('source', S.PIECE)} AS citation, {S.citation('NULL', 'NULL')} AS nothing FROM documents")
+def citation(spark, sf_dir):
+    piece = F.concat(F.lit("PB-"), (F.col("doc_id") % 3 + 1).cast("string"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.citation(F.col("source"), piece).alias("citation"), prompts.citation(none, none).alias("nothing"))
+
+
+@query(S.context())
+def rag_context(spark, sf_dir):
+    return prompts.context_block(_hits(spark, sf_dir))
+
+
+@query(S.prompt())
+def rag_prompt(spark, sf_dir):
+    q = questions(spark, sf_dir).select("qid", "text")
+    histories = prompts.history_last_n(table(spark, sf_dir, "conversations")).withColumnRenamed("conv_id", "qid")
+    return prompts.prompts(q, _hits(spark, sf_dir), histories)
+
+
+@query(S.refusals())
+def refusal(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    blank = q.withColumn("text", F.when(F.col("qid") % 2 == 0, F.lit(" \n ")).otherwise(F.col("text")))
+    hits = hybrid.hybrid_search(chunks(spark, sf_dir), doc_vectors(spark, sf_dir), blank)
+    return prompts.prompts(blank, hits).select("qid", "n_hits", "answer")
+
+
+@query(S.snippets())
+def source_snippets(spark, sf_dir):
+    return prompts.source_snippets(_hits(spark, sf_dir))
+
+
+# --- injected models, with stubs
+
+
+def _stub_model():
+    return lambda texts: [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+
+
+@query(S.ENCODE)
+def encode_udf(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    encode = vectors.encoder(_stub_model)
+    return d.withColumn("v", encode(F.col("text"))).select("doc_id", F.transform(vectors.l2_normalize(F.col("v")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+@F.pandas_udf(DoubleType())
+def _overlap(question: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([float(len(set(q.split()) & set(t.split()))) for q, t in zip(question, text, strict=True)])
+
+
+@query(S.RERANK)
+def rerank_udf(spark, sf_dir):
+    hits = _hits(spark, sf_dir, scorer=_overlap)
+    return hits.select("qid", "rank", "row_idx", "rerank_score", "score", "reranked")
+
+
+@F.pandas_udf(StringType())
+def _echo(prompt: pd.Series) -> pd.Series:
+    return prompt.str.slice(0, 40)
+
+
+@query(f"SELECT qid, substr(prompt, 1, 40) AS answer FROM ({S.prompt()})")
+def chat_udf(spark, sf_dir):
+    rows = rag_prompt(spark, sf_dir)
+    return rows.select("qid", F.coalesce("answer", _echo("prompt")).alias("answer"))
