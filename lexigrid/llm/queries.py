@@ -15,6 +15,10 @@ from lexigrid.llm.toxicity import toxicity
 from lexigrid.llm.vector_search import nearest
 
 
+#: How op8 and the pipeline encode: see byte_bpe. On check_s the native style needs more disk than op8 may use.
+BPE_STYLE = "arrow"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,7 +119,7 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe_digests(byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    return bpe_digests(byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, BPE_STYLE))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
