@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MANIFEST = "url string, local_path string, binary_path string, title string, source_kind string, n_pages int, n_chars long"
 CHUNK = "row_idx long, chunk_id string, article_id string, article_title string, chapter string, source string, source_url string, text string, title string, source_kind string"
@@ -21,8 +22,11 @@ PdfBackend = Callable[[bytes], list[str]]
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a manifest in JSON lines; blank lines are skipped."""
-    return spark.read.schema(MANIFEST).json(path).filter("local_path is not null")
+    """Rows of a manifest in JSON lines, with their order as ord; blank lines are skipped. A manifest has a small row per
+    fetched document, within the crawl's caps, so one window numbers them."""
+    rows = spark.read.schema(MANIFEST).json(path).select("*", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__at"))
+    ord_ = F.row_number().over(Window.orderBy("file_path", "file_block_start", "__at")) - 1
+    return rows.filter("local_path is not null").withColumn("ord", ord_.cast("long")).drop("file_path", "file_block_start", "__at")
 
 
 def file_stem(path: Column) -> Column:
