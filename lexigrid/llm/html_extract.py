@@ -167,7 +167,7 @@ def costs(text: str, block: Block) -> tuple[float, float]:
     words = text.count(" ") + 1
     links = min(1.0, block.linked / len(text))
     content = 0.3 + min(3.0, words / 12) + 0.7 * (text[-1] in ".!?:;\"”»…") + 0.8 * (block.tag in ("p", "pre", "blockquote", "h1"))
-    boiler = 0.2 + 3.5 * links + 1.5 * ("©" in text) + 0.2 * (words < 4)
+    boiler = 0.2 + 3.5 * links + 1.5 * ("©" in text)
     if block.inside:
         content, boiler = content + 6, boiler * 0.5
     if block.outside:
