@@ -132,5 +132,40 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+#: Similarity of sets of shingles: on tables where no document's repeated shingles decide, the same as that of weighted ones.
+OP3_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM docs)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE c >= 0.8 * (p.n + q.n - c)),
+both_ways AS (SELECT x AS v, y AS u FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT v, u FROM both_ways UNION SELECT r.v, b.u FROM reach r JOIN both_ways b ON r.u = b.v)
+SELECT doc_id, least(doc_id, coalesce(lowest, doc_id)) AS class_id FROM docs LEFT JOIN (SELECT v, min(u) AS lowest FROM reach GROUP BY v) ON doc_id = v"""
+
+_PIECE = r"trim(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+#: The blocks of the article element, for pages that mark it, as those of the tables do.
+OP4_SQL = rf"""
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(
+    regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
+    lambda b: replace(replace(replace(replace({_PIECE}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), lambda b: b <> ''), chr(10) || chr(10)) AS text
+  FROM pages)"""
+
+OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM docs WHERE len(ws) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS at FROM windows JOIN firsts USING (h), (SELECT unnest(range(50)) AS k) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS at, unnest(ws) AS word FROM docs),
+kept AS (SELECT w.doc_id, count(g.at) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY w.at) FILTER (g.at IS NULL), '') AS text FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.at = g.at GROUP BY w.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)"""
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op4_html_extraction, op5_mix_sources, op6_toxicity, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours)}
-SQL = {"op1_quality_rules": OP1_SQL, "op5_mix_sources": OP5_SQL}
+SQL = {"op1_quality_rules": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op4_html_extraction": OP4_SQL, "op5_mix_sources": OP5_SQL, "op7_substring_dedup": OP7_SQL}
