@@ -6,9 +6,12 @@ later than every register's. Two documents agree on a register with the probabil
 weighted shingles. Bands of registers give candidates, which are verified on the whole texts.
 
 Groups of copies are never expanded into pairs. Equal word sequences are one class from the start. In each
-bucket, all members are first compared with its most connected one; what is linked so is one component, and
-only members of different components of a bucket are compared further, until every bucket is one component or
-all pairs across its components have been compared: no link is lost and no partner capped.
+bucket, all members are first compared with its most connected one; what is linked so is one component. Where a
+bucket still has several components, pairs across them are left: in small buckets they are compared. Members of
+large ones meet by an exact prefix filter instead: with shingles in one order, rarest first, two documents that are
+alike share one of their first few, how few depending on both lengths; first shingles that only one component
+has are put aside. So documents that share one passage with thousands of others are not compared with
+them, no link is lost, and no partner is capped.
 
 Edge cases: a null text is in no class but its own, as is a row without doc_id; empty texts are copies of each other;
 a text under five words is only like texts of the same words; ties go to the smaller doc_id, and repeated rows
@@ -16,6 +19,7 @@ share a class; an empty table gives an empty one; other columns are not looked a
 """
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,10 @@ from lexigrid.llm.common import U, WordHash, as_bytes, flat_hashes, inside, join
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the threshold is missed by all bands with probability (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
+#: Shingles are ordered by how many documents have one of their cell; the table of cells, which is sent out, has this size at any input.
+CELLS = 1 << 20
+#: Buckets of up to so many members may be compared pair by pair across their components.
+SMALL = 12
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -180,27 +188,38 @@ class NearDuplicates:
         texts = stash(self.docs.filter("doc_id is not null and text is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "op3-texts")
         weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
         ranked = members.join(weight, "rep").withColumn("order", F.struct(-F.col("weight"), F.col("rep")))
-        pairs = stash(_stars(ranked).distinct(), "op3-pairs")
-        edges = stash(self.verified(pairs, texts), "op3-edges")
-        tested, turn = pairs, 0
-        while True:
-            comps = components(edges)
-            open_, across, total = _unresolved(members, comps)
-            if not across:
-                return edges, comps
-            if across <= 4 * total or turn >= 4:  # few pairs are left in buckets, or stars no longer help: compare all across components
-                left = open_.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-                right = open_.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-                new = left.join(right, "bucket").filter("ca != cb and a < b").select("a", "b")
-                turn = 99
-            else:
-                turn += 1
-                new = _stars(open_.withColumn("order", F.struct(F.xxhash64("rep", "bucket", F.lit(turn)), F.col("rep"))), across_only=True)
-            new = stash(new.distinct().join(tested, ["a", "b"], "left_anti"), "op3-pairs")
-            edges = stash(edges.unionByName(self.verified(new, texts)), "op3-edges")
-            tested = tested.unionByName(new)
-            if turn == 99:
-                return edges, components(edges)
+        stars = stash(_stars(ranked).distinct(), "op3-stars")
+        edges = stash(self.verified(stars, texts), "op3-edges")
+        comps = components(edges)
+        left = _unresolved(members, comps)
+        small = left.filter(F.col("n") <= SMALL)
+        pairs = small.select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca")).join(small.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb")), "bucket").filter("a < b and ca != cb").select("a", "b")
+        large = stash(left.filter(F.col("n") > SMALL).select("rep", "comp").distinct(), "op3-large")
+        if not large.isEmpty():
+            pairs = pairs.unionByName(self.prefix_pairs(large, texts))
+        more = stash(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "op3-more")
+        if more.isEmpty():
+            return edges, comps
+        edges = stash(edges.unionByName(self.verified(more, texts)), "op3-edges")
+        return edges, components(edges)
+
+    def prefix_pairs(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """a < b of members (rep, comp) of different components that may be alike: a superset of all that are."""
+        own = stash(texts.join(members, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text"), "op3-hot")
+        cells = own.mapInArrow(_cells(self.shingle), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        often = np.zeros(CELLS, dtype=np.int64)
+        often[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+        shipped = own.sparkSession.sparkContext.broadcast(often)
+        rows = stash(own.mapInArrow(_prefix_rows(self.shingle, self.least, shipped), "rep long, comp long, token long, part int, role int, place int, size int, weighted boolean"), "op3-prefix")
+        key = ["token", "part"]
+        mixed = rows.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("weighted").alias("any_weighted")).filter("lo < hi and (part >= 0 or any_weighted)")
+        rows = stash(rows.join(stash(mixed.select(*key), "op3-keys"), key), "op3-mixed")
+        side = lambda role, c: rows.filter(F.col("role") != role).select(*key, F.col("rep").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "place", "size", "weighted")])
+        # if this is the first shingle that a pair shares, it shares no more than what follows in either
+        share = self.least / (1 + self.least)
+        sets = f"part >= 0 and sx <= sy and least(sx - px, sy - py) >= ceil({share!r} * (sx + sy) - 1e-9)"
+        found = side(1, "x").join(side(0, "y"), key).filter(f"cx != cy and x != y and ({sets} or part < 0 and (wx or wy))")
+        return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def classes(self) -> DataFrame:
         """doc_id, class_id for every row: the least doc_id of its class."""
@@ -211,27 +230,96 @@ class NearDuplicates:
         return sound.unionByName(rest)
 
 
-def _stars(members: DataFrame, across_only: bool = False) -> DataFrame:
+def _stars(members: DataFrame) -> DataFrame:
     """a < b: each member of a bucket with the bucket's member that is least in `order`."""
-    extra = [F.col("comp").alias("center_comp")] if across_only else []
-    at = ["rep", "comp"] if across_only else ["rep"]
-    centers = members.groupBy("bucket").agg(F.min(F.struct("order", *at)).alias("x")).select("bucket", F.col("x.rep").alias("center"), *([F.col("x.comp").alias("center_comp")] if extra else []))
+    centers = members.groupBy("bucket").agg(F.min(F.struct("order", "rep")).alias("x")).select("bucket", F.col("x.rep").alias("center"))
     pairs = members.join(centers, "bucket").filter(F.col("rep") != F.col("center"))
-    if across_only:
-        pairs = pairs.filter("comp != center_comp")
     return pairs.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
 
 
-def _unresolved(members: DataFrame, comps: DataFrame) -> tuple[DataFrame, int, int]:
-    """Members of buckets that still have several components and more than two members; pairs across them; members."""
-    known = members.filter("n > 2").join(comps, F.col("rep") == F.col("v"), "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
+def _unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """bucket, n, rep, comp of buckets of more than two members that still have several components."""
+    known = members.filter("n > 2").join(comps, F.col("rep") == F.col("v"), "left").select("bucket", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
     known = stash(known, "op3-known")
-    sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("squares")).filter("comps > 1")
-    mixed = stash(mixed, "op3-mixed")
-    row = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.sum("n")).first()
-    open_ = stash(known.join(mixed.select("bucket"), "bucket"), "op3-open")
-    return open_, int(row[0] or 0), int(row[1] or 0)
+    mixed = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    return stash(known.join(stash(mixed, "op3-open"), "bucket"), "op3-unresolved")
+
+
+def _cells(shingle: int):
+    """rep, comp, text -> cell, n: in how many documents of the task shingles of that cell are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, total = WordHash(), np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                items, _ = _weighted(text, shingle, cache)
+                np.add.at(total, (items % U(CELLS)).astype(np.int64), 1)
+        cell = np.flatnonzero(total)
+        for k in range(0, len(cell), 100_000):
+            own = cell[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(total[own])], ["cell", "n"])
+
+    return run
+
+
+def size_class(n: int) -> int:
+    return int(math.log(n) / math.log(1.05) + 1e-9)
+
+
+def prefixes(counts: list[int], least: float) -> list[tuple[int, int, int]]:
+    """(how many first shingles, part, role) under which a document with these shingle counts, in the common order, is found.
+
+    With all counts 1 the similarity is that of sets: a pair of sizes s <= n shares at least a = t / (1 + t) * (s + n)
+    shingles, so the first shared one is among the first n - a + 1 of each. role 0: as the shorter one, under its size
+    class; role 1: as the longer one, under each class that the shorter may have. Part -1, role 2 is for pairs with a
+    document of repeated shingles: what comes before the first shared shingle weighs at most 1 - t of either document."""
+    n, total = len(counts), sum(counts)
+    spent, first = 0, 0
+    while first < n and spent <= (1 - least) * total * (1 + 1e-12):
+        spent += counts[first]
+        first += 1
+    out = [(first, -1, 2)]
+    if total == n:
+        need = lambda s: math.ceil(least / (1 + least) * (s + n) - 1e-9)
+        out.append((n - need(n) + 1, size_class(n), 0))
+        shortest = max(1, math.ceil(least * n - 1e-9))
+        for part in range(size_class(shortest), size_class(n) + 1):
+            s = max(shortest, int(1.05**part))
+            out.append((n - need(min(s, n)) + 1, part, 1))
+    return out
+
+
+def _prefix_rows(shingle: int, least: float, shipped):
+    """rep, comp, text -> rep, comp, token, part, role, place, size, weighted of the document's first shingles, those in the
+    rarest cells first; shingles of one document alone are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, cache = shipped.value, WordHash()
+        names = ["rep", "comp", "token", "part", "role", "place", "size", "weighted"]
+        types = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.bool_]
+        for batch in batches:
+            parts = []
+            for rep, comp, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "comp", "text")), strict=True):
+                items, counts = _weighted(text, shingle, cache)
+                df = often[(items % U(CELLS)).astype(np.int64)]
+                order = np.lexsort((items, df))
+                tokens, shared, counts = items[order].view(np.int64), df[order] > 1, counts[order].astype(np.int64).tolist()
+                n, weighted = len(tokens), sum(counts) > len(counts)
+                for first, part, role in prefixes(counts, least):
+                    place = np.flatnonzero(shared[:first])
+                    if len(place):
+                        parts.append([np.full(len(place), x) for x in (rep, comp)] + [tokens[place]] + [np.full(len(place), x) for x in (part, role)] + [place] + [np.full(len(place), x) for x in (n, weighted)])
+                if parts and (sum(len(x[0]) for x in parts[-8:]) > 10_000 or len(parts) >= 500):
+                    yield _joined(parts, names, types)
+                    parts = []
+            if parts:
+                yield _joined(parts, names, types)
+
+    return run
+
+
+def _joined(parts: list[list[np.ndarray]], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
