@@ -29,6 +29,10 @@ def resolve_any(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(u, b) if u else None for u, b in zip(url, base, strict=True)], dtype=object)
 
 
+#: Taken once a row: a filter on its result is not pushed below it, which would run it twice.
+resolve_once = resolve_any.asNondeterministic()
+
+
 def normalize_url(url: Column, base: Column, general: bool = True) -> Column:
     """The absolute URL without its fragment; null for empty, script, mail, telephone and fragment links.
 
@@ -40,7 +44,7 @@ def normalize_url(url: Column, base: Column, general: bool = True) -> Column:
     dots = link.rlike(r"/\.{1,2}(/|$|[?#])")
     absolute = link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]")
     rooted = link.rlike(r"^/(?!/)")
-    other = resolve_any(F.when(~(absolute | rooted) | dots, link), base) if general else F.lit(None).cast("string")
+    other = resolve_once(F.when(~(absolute | rooted) | dots, link), base) if general else F.lit(None).cast("string")
     return (
         F.when(link.isNull() | (link == "") | link.rlike(SKIPPED), F.lit(None))
         .when(absolute & ~dots, plain)

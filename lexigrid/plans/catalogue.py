@@ -61,9 +61,12 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-@query(S.bm25("SELECT item_id AS qid, text FROM benchmark WHERE item_id = 0", 20))
+QUESTION = "the and attion to thanedble the worthless"
+
+
+@query(S.bm25(f"SELECT 0::BIGINT AS qid, {S.lit(QUESTION)} AS text", 20))
 def bm25_topk(spark, sf_dir):
-    one = questions(spark, sf_dir).filter("qid = 0")
+    one = spark.createDataFrame([(0, QUESTION)], "qid long, text string")
     return _rounded(lexical.bm25_topk(table(spark, sf_dir, "documents"), one, 20).select("qid", "row_idx", "score", "rank"), "score")
 
 
@@ -81,9 +84,13 @@ def l2_normalize(spark, sf_dir):
     return e.select("vec_id", F.transform(vectors.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
 
 
-@query(S.dense("WHERE qid = 0", 20))
+DIRECTION = [1.0, -1.0] * 32
+
+
+@query(S.dense("", 20, f"SELECT 0::BIGINT AS qid, {S.unit(str(DIRECTION))} AS qv"))
 def dense_topk(spark, sf_dir):
-    return _rounded(vectors.dense_topk(doc_vectors(spark, sf_dir), questions(spark, sf_dir).filter("qid = 0"), 20), "score")
+    one = spark.createDataFrame([(0, DIRECTION)], "qid long, qvec array<double>")
+    return _rounded(vectors.dense_topk(doc_vectors(spark, sf_dir), one, 20), "score")
 
 
 @query(S.dense("", 20))
@@ -333,10 +340,10 @@ def rag_prompt(spark, sf_dir):
 
 @query(S.refusals())
 def refusal(spark, sf_dir):
-    q = questions(spark, sf_dir)
-    blank = q.withColumn("text", F.when(F.col("qid") % 2 == 0, F.lit(" \n ")).otherwise(F.col("text")))
-    hits = hybrid.hybrid_search(chunks(spark, sf_dir), doc_vectors(spark, sf_dir), blank)
-    return prompts.prompts(blank, hits).select("qid", "n_hits", "answer")
+    blank = spark.createDataFrame([(-1, " \n ", None)], "qid long, text string, qvec array<float>")
+    q = questions(spark, sf_dir).unionByName(blank)
+    hits = hybrid.hybrid_search(chunks(spark, sf_dir), doc_vectors(spark, sf_dir), q)
+    return prompts.prompts(q, hits).select("qid", "n_hits", "answer")
 
 
 @query(S.snippets())

@@ -59,18 +59,21 @@ def unit(v: str) -> str:
     return f"list_transform({d}, lambda x: x / (CASE WHEN list_dot_product({d}, {d}) = 0 THEN 1.0 ELSE sqrt(list_dot_product({d}, {d})) END))"
 
 
-def _dense(where: str, k: int) -> str:
+_ASKED = f"SELECT item_id AS qid, {unit('embedding')} AS qv FROM benchmark JOIN embeddings ON vec_id = item_id"
+
+
+def _dense(where: str, k: int, asked: str = _ASKED) -> str:
     return f"""
 vecs AS (SELECT vec_id AS row_idx, {unit('embedding')} AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
-asked AS (SELECT item_id AS qid, {unit('embedding')} AS qv FROM benchmark JOIN embeddings ON vec_id = item_id),
+asked AS ({asked}),
 near AS (SELECT qid, row_idx, list_dot_product(v, qv) AS score FROM vecs, asked {where}),
 den AS (
   SELECT qid, row_idx, score, rank::INT AS rank
   FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, row_idx) AS rank FROM near) WHERE rank <= {k})"""
 
 
-def dense(where: str, k: int) -> str:
-    return f"WITH {_dense(where, k)} SELECT qid, row_idx, round(score, 6) AS score, rank FROM den"
+def dense(where: str, k: int, asked: str = _ASKED) -> str:
+    return f"WITH {_dense(where, k, asked)} SELECT qid, row_idx, round(score, 6) AS score, rank FROM den"
 
 
 _ORDER = "round(rrf_score, 12) DESC, bm25_rank ASC NULLS LAST, dense_rank ASC NULLS LAST, row_idx"
@@ -272,9 +275,8 @@ FROM q LEFT JOIN {_CONTEXTS} c ON q.qid = c.qid LEFT JOIN ({LAST_N}) h ON q.qid
 
 def refusals() -> str:
     return fused(
-        f"""SELECT item_id AS qid, coalesce(n_hits, 0) AS n_hits, CASE WHEN n_hits IS NULL THEN {lit(P.REFUSAL)} END AS answer
-FROM benchmark LEFT JOIN {_CONTEXTS} c ON item_id = c.qid""",
-        queries="SELECT item_id AS qid, text FROM benchmark WHERE item_id % 2 = 1",
+        f"""SELECT a.qid, coalesce(n_hits, 0) AS n_hits, CASE WHEN n_hits IS NULL THEN {lit(P.REFUSAL)} END AS answer
+FROM (SELECT qid FROM q UNION ALL SELECT -1) a LEFT JOIN {_CONTEXTS} c ON a.qid = c.qid"""
     )
 
 
