@@ -1,5 +1,7 @@
 """Queries by name, and SQL that gives the same rows."""
 
+import io
+import zipfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +15,7 @@ from lexigrid.operators import chunking, crawling, hybrid, lexical, memory, prom
 from lexigrid.plans import sql as S
 from lexigrid.plans.tables import chunks, questions, sources, table
 from lexigrid.plans.tables import vectors as doc_vectors
+from lexigrid.sources import files
 
 FLAGSHIP = "hybrid_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +32,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _stub_model():
+    return lambda texts: [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+
+
 # --- text
 
 
@@ -351,11 +358,67 @@ def source_snippets(spark, sf_dir):
     return prompts.source_snippets(_hits(spark, sf_dir))
 
 
-# --- injected models, with stubs
+# --- sources and sinks: what is written is read again
 
 
-def _stub_model():
-    return lambda texts: [[float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+@query(SQL["manifest"])
+def manifest_jsonl(spark, sf_dir):
+    path = files.scratch(spark, "manifest")
+    files.write_json_lines(manifest(spark, sf_dir), path, ["url"])
+    return files.read_manifest(spark, path).drop("ord")
+
+
+@query(f"SELECT row_idx, chunk_id, text, title, source_kind FROM ({SQL['chunk_document_all']})")
+def chunks_jsonl(spark, sf_dir):
+    path = files.scratch(spark, "chunks")
+    files.write_json_lines(chunk_document_all(spark, sf_dir), path, ["row_idx"])
+    return files.read_chunks(spark, path).select("row_idx", "chunk_id", "text", "title", "source_kind")
+
+
+@query(f"SELECT slug, arg_max(t, page_id) AS text FROM (SELECT page_id, {S.SLUG} AS slug, {S.PAGE_TEXT} AS t FROM pages) GROUP BY slug")
+def page_texts(spark, sf_dir):
+    path = files.scratch(spark, "pages")
+    rows = table(spark, sf_dir, "pages").select(U.slugify(F.col("url")).alias("slug"), F.col("page_id").alias("ord"), T.html_to_text(F.col("html")).alias("text"))
+    files.write_page_texts(rows, path)
+    return spark.read.schema("slug string, text string").parquet(path)
+
+
+@query(f"SELECT 'chunk_' || doc_id AS id, doc_id AS row_idx, unit AS embedding, text AS document, '' AS article_id, source FROM ({S.ENCODE}) JOIN documents USING (doc_id)")
+def vector_index(spark, sf_dir):
+    path = files.scratch(spark, "index")
+    none = F.lit("")
+    rows = chunks(spark, sf_dir).select("row_idx", "text", "source", none.alias("article_id"), none.alias("chunk_id"), none.alias("chapter"), none.alias("source_url"))
+    files.write_index(*vectors.build_index(rows, vectors.encoder(_stub_model), "stub"), path)
+    index = files.open_index(spark, path)
+    return index.select("id", "row_idx", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"), "document", "metadata.article_id", "metadata.source")
+
+
+def _docx(*paragraphs: str) -> bytes:
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@query(S.values([("a.DOCX", 1, "one\ntwo"), ("b.pdf", 2, "p1\n\np2"), ("c.txt", 1, ""), ("d.docx", 1, "")], "path, n_pages, text", "path, n_pages, text"))
+def file_texts(spark, sf_dir):
+    rows = [("a.DOCX", _docx("one", " ", "two")), ("b.pdf", b"%PDF"), ("c.txt", b"x"), ("d.docx", b"broken")]
+    found = files.extract_files(spark.createDataFrame(rows, "path string, content binary"), [lambda data: ["", " "], lambda data: ["p1", "p2"]])
+    return found.select("path", "n_pages", "text")
+
+
+RELATIVE = [("../c#x", "http://h/c"), ("b?q=1", "http://h/dir/b?q=1"), ("//o/z", "http://o/z"), ("/x/./y", "http://h/x/y"), ("http://p/q#r", "http://p/q")]
+
+
+@query(S.values(RELATIVE, "href, url", "href, url"))
+def resolve_urls(spark, sf_dir):
+    rows = spark.createDataFrame([(a,) for a, _ in RELATIVE], "href string")
+    return rows.select("href", U.normalize_url(F.col("href"), F.lit("http://h/dir/page")).alias("url"))
+
+
+# --- injected models, with stubs
 
 
 @query(S.ENCODE)

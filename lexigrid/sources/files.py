@@ -4,6 +4,7 @@ import io
 import os
 import subprocess
 import tempfile
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -21,6 +22,12 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PdfBackend = Callable[[bytes], list[str]]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, or in a local one where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexigrid-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a manifest in JSON lines, with their order as ord; blank lines are skipped. A manifest has a small row per
     fetched document, within the crawl's caps, so one window numbers them."""
