@@ -32,6 +32,8 @@ from lexigrid.llm.common import U, WordHash, as_bytes, flat_hashes, inside, join
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the threshold is missed by all bands with probability (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
+#: Shingles that are drawn for at once.
+TOGETHER = 16_000
 #: Shingles are ordered by how many documents have one of their cell; the table of cells, which is sent out, has this size at any input.
 CELLS = 1 << 20
 #: Buckets of up to so many members may be compared pair by pair across their components.
@@ -39,30 +41,33 @@ SMALL = 12
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
-def prob_minhash(items: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
-    """For each of m registers, the item that arrives first there."""
-    first, kept = np.full(m, np.inf), np.zeros(m, dtype=np.uint64)
-    alive, t0, k0 = items, np.zeros(len(items)), 0
-    w = weights.astype(np.float64)
-    while len(alive):
-        k = 2 + int(3 * m / len(alive)) if k0 == 0 else 4 + int(m / len(alive))
-        draw = mix(alive[:, None] + (np.arange(k0 + 1, k0 + k + 1, dtype=np.uint64) * _GOLD)[None, :])
+def prob_minhash(items: np.ndarray, weights: np.ndarray, of: np.ndarray, n: int, m: int) -> np.ndarray:
+    """For each of n documents and m registers, the item that arrives first there; of: the document of each item.
+
+    All documents draw their arrivals in the same steps (2, 2, 4, 8, ...), so a signature doesn't depend on its neighbours."""
+    first, kept = np.full(n * m, np.inf), np.zeros(n * m, dtype=np.uint64)
+    w, t0, k0, k = weights.astype(np.float64), np.zeros(len(items)), 0, 2
+    while len(items):
+        draw = mix(items[:, None] + (np.arange(k0 + 1, k0 + k + 1, dtype=np.uint64) * _GOLD)[None, :])
         gaps = -np.log(((draw >> U(11)).astype(np.float64) + 0.5) / (1 << 53)) / w[:, None]
         t = t0[:, None] + np.cumsum(gaps, axis=1)
-        register = ((mix(draw + _GOLD) >> U(32)) * U(m) >> U(32)).astype(np.int64)
+        register = ((mix(draw + _GOLD) >> U(32)) * U(m) >> U(32)).astype(np.int64) + (of * m)[:, None]
         better = t < first[register]
-        tt, rr, ii = t[better], register[better], np.broadcast_to(alive[:, None], t.shape)[better]
-        order = np.argsort(-tt, kind="stable")  # the least comes last and stays
-        first[rr[order]], kept[rr[order]] = tt[order], ii[order]
-        more = t[:, -1] < first.max()
-        alive, w, t0, k0 = alive[more], w[more], t[more, -1], k0 + k
-    return kept
+        at, when = register[better], t[better]
+        np.minimum.at(first, at, when)
+        won = when == first[at]
+        kept[at[won]] = np.broadcast_to(items[:, None], t.shape)[better][won]
+        more = t[:, -1] < first.reshape(n, m).max(axis=1)[of]
+        items, w, of, t0, k0, k = items[more], w[more], of[more], t[more, -1], k0 + k, max(2, min(k0 + k, 64))
+    return kept.reshape(n, m)
 
 
 def _band_keys(kept: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    out = kept[0 : bands * rows : rows]
+    """A row of `bands` keys for each row of registers."""
+    parts = kept[:, : bands * rows].reshape(len(kept), bands, rows)
+    out = parts[:, :, 0]
     for r in range(1, rows):
-        out = join_hash(out, kept[r : bands * rows : rows])
+        out = join_hash(out, parts[:, :, r])
     return mix(out + np.arange(bands, dtype=np.uint64))
 
 
@@ -75,16 +80,26 @@ def _sign(shingle: int, bands: int, rows: int):
             lists = [as_bytes(t).split() for t in batch.column("text").to_pylist()]
             h, ends = flat_hashes(lists, cache)
             windows, ok = window_hashes(h, shingle), inside(ends, len(h), shingle)
-            keys, found, start = [], [], 0
-            for words, end in zip(lists, ends.tolist(), strict=True):
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+            keys = [hashlib.blake2b(b" ".join(words), digest_size=16).digest() for words in lists]
+            found: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(lists)
+            start, todo, size = 0, [], 0
+
+            def sign(todo: list) -> None:
+                kept = prob_minhash(np.concatenate([x for _, x, _ in todo]), np.concatenate([c for _, _, c in todo]), np.repeat(np.arange(len(todo)), [len(x) for _, x, _ in todo]), len(todo), bands * rows)
+                for (k, _, _), key in zip(todo, _band_keys(kept, bands, rows), strict=True):
+                    found[k] = key.view(np.int64)
+
+            for k, end in enumerate(ends.tolist()):
                 own = windows[start:end][ok[start:end]]
                 start = end
                 if len(own):
-                    items, counts = np.unique(own, return_counts=True)
-                    found.append(_band_keys(prob_minhash(items, counts, bands * rows), bands, rows).view(np.int64))
-                else:
-                    found.append(np.zeros(0, dtype=np.int64))
+                    todo.append((k, *np.unique(own, return_counts=True)))
+                    size += len(own)
+                if size > TOGETHER:
+                    sign(todo)
+                    todo, size = [], 0
+            if todo:
+                sign(todo)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "bands"]
             )

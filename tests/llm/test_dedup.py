@@ -221,7 +221,9 @@ def test_prob_minhash_estimates():
         items = r.integers(0, 2**63, 60).astype(np.uint64)
         a, b = np.sort(items[:50]), np.sort(items[10:])
         wa, wb = r.integers(1, 5, 50).astype(float), r.integers(1, 5, 50).astype(float)
-        estimate = (prob_minhash(a, wa, 512) == prob_minhash(b, wb, 512)).mean()
+        both = prob_minhash(np.concatenate([a, b]), np.concatenate([wa, wb]), np.repeat([0, 1], 50), 2, 512)
+        assert (both[1] == prob_minhash(b, wb, np.zeros(50, dtype=int), 1, 512)[0]).all()
+        estimate = (both[0] == both[1]).mean()
         naive = 0.0
         da, db = dict(zip(a.tolist(), wa, strict=True)), dict(zip(b.tolist(), wb, strict=True))
         for i in set(da) & set(db):
@@ -230,7 +232,7 @@ def test_prob_minhash_estimates():
         assert abs(exact - naive) < 1e-9
         errors.append(estimate - exact)
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
-    assert len(prob_minhash(np.array([7], dtype=np.uint64), np.array([1.0]), 80)) == 80
+    assert (prob_minhash(np.array([7], dtype=np.uint64), np.array([1.0]), np.array([0]), 1, 80) == 7).all()
 
 
 def test_components(spark):
