@@ -25,7 +25,7 @@ RULES = [
     ("mean_word", "mean_word", 1.5, 25.0),
     ("symbols", "symbol_ratio", None, 0.08),
     ("stop_words", "stop_ratio", 0.02, None),
-    ("shouting", "upper_ratio", None, 0.6),
+    ("shouting", "upper_ratio", None, 0.4),
     ("duplicate_lines", "dup_line_ratio", None, 0.5),
     ("repetition", "repeat_ratio", None, 0.5),
 ]
@@ -74,7 +74,6 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = docs.select("doc_id", text.alias("t"), words_of(F.col("text")).alias("ws"), lines.alias("ls"))
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     chars = F.aggregate("ws", F.lit(0).cast("long"), lambda n, w: n + F.length(w))
     n_words = F.size("ws").cast("long")
     out = base.select(
@@ -85,9 +84,8 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
         F.size("ls").cast("long").alias("n_lines"),
         repeat_words(F.col("ws")).cast("long").alias("n_repeat_words"),
-        F.size(F.filter("ws", lambda w: F.array_contains(stop, F.lower(F.rtrim(w, F.lit(".,;:!?")))))).cast("long").alias("n_stop"),
-        F.length(F.regexp_replace(F.col("t"), r"[^\p{Lu}]", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace(F.col("t"), r"[^\p{L}]", "")).cast("long").alias("n_letters"),
+        F.size(F.filter("ws", lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?"))).isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop"),
+        F.length(F.regexp_replace(F.col("t"), r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return out.withColumns(
@@ -95,7 +93,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "mean_word": share("word_chars", "n_words"),
             "symbol_ratio": share("n_symbols", "word_chars"),
             "stop_ratio": share("n_stop", "n_words"),
-            "upper_ratio": share("n_upper", "n_letters"),
+            "upper_ratio": share("n_upper", "word_chars"),
             "dup_line_ratio": share("n_dup_lines", "n_lines"),
             "repeat_ratio": share("n_repeat_words", "n_words"),
         }

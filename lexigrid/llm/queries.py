@@ -52,11 +52,11 @@ counts AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     len(list_filter(ws, lambda w: list_contains([{", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))}], lower(rtrim(w, '.,;:!?')))))::BIGINT AS n_stop,
-    length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters
+    length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper
   FROM base LEFT JOIN covered USING (doc_id)),
 ratios AS (
   SELECT *, coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS mean_word, coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0) AS symbol_ratio,
-    coalesce(n_stop::DOUBLE / nullif(n_words, 0), 0) AS stop_ratio, coalesce(n_upper::DOUBLE / nullif(n_letters, 0), 0) AS upper_ratio,
+    coalesce(n_stop::DOUBLE / nullif(n_words, 0), 0) AS stop_ratio, coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0) AS upper_ratio,
     coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_ratio, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_ratio,
     (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed
   FROM counts)
