@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrid.functions.text import normalize_text, strip
+from lexigrid.functions.text import let, normalize_text, strip
 from lexigrid.functions.urls import SAFE
+from lexigrid.sources.files import scratch
 
 MAX_CHARS = 1200
 #: Characters that mark the cuts; they are removed from texts first.
@@ -97,35 +98,38 @@ def chunk_documents(docs: DataFrame, structure: Structure = DEFAULT) -> DataFram
     A chapter becomes its articles, or packed paragraphs if it has none; a document of headings alone is packed whole.
     row_idx numbers the chunks within (doc_ord, chapter_pos, piece_pos); it is assigned by numbered()."""
     meta = ["doc_ord", "source", "source_url", "title", "source_kind"]
-    own = docs.select(*meta, "text")
-    chapters = chapter_split(own, structure)
-    # the articles of a chapter stay in one row until the choice is made, so no shuffle is needed for it
-    pieces = _pieces(F.col("body"), structure.article)
-    parsed = F.filter(
-        F.transform(
-            pieces,
-            lambda p, i: F.struct(
-                i.alias("pos"),
-                F.concat(F.lit(structure.article_label + " "), _part(p, None, TITLE)).alias("id"),
-                strip(_part(_part(p, None, BODY), TITLE, None)).alias("title"),
-                strip(_part(p, BODY, None)).alias("body"),
-            ),
-        ),
-        lambda a: (a["pos"] > 0) & (a["body"] != ""),
-    )
+
+    def piece(pos: Column, id_: Column, title: Column, body: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), id_.alias("id"), title.alias("title"), body.alias("body"))
+
+    def articles(body: Column) -> Column:
+        number = lambda p: F.concat(F.lit(structure.article_label + " "), _part(p, None, TITLE))
+        rows = F.transform(_pieces(body, structure.article), lambda p, i: piece(i, number(p), strip(_part(_part(p, None, BODY), TITLE, None)), strip(_part(p, BODY, None))))
+        return F.filter(rows, lambda a: (a["pos"] > 0) & (a["body"] != ""))
+
     def packed(text: Column) -> Column:
-        return F.transform(
-            pack_paragraphs(paragraphs_of(text, structure.separator), structure.max_chars),
-            lambda p, i: F.struct((i + 1).cast("int").alias("pos"), F.concat(F.lit("PB-"), (i + 1).cast("string")).alias("id"), F.lit("").alias("title"), p.alias("body")),
-        )
+        rows = pack_paragraphs(paragraphs_of(text, structure.separator), structure.max_chars)
+        return F.transform(rows, lambda p, i: piece(i + 1, F.concat(F.lit("PB-"), (i + 1).cast("string")), F.lit(""), p))
 
-    split = chapters.withColumn("__articles", parsed).withColumn("__rows", F.when(F.size("__articles") > 0, F.col("__articles")).otherwise(packed(F.col("body"))))
-    main = split.select(*meta, "chapter_pos", "chapter", F.explode("__rows").alias("a"))
-    # a document whose chapters all have empty bodies
+    def chapter(p: Column, i: Column) -> Column:
+        title = strip(_part(_part(p, None, BODY), TITLE, None))
+        label = F.concat(F.lit(structure.chapter_label + " "), _part(p, None, TITLE), F.when(title != "", F.concat(F.lit(": "), title)).otherwise(F.lit("")))
+        body = strip(F.when(i == 0, p).otherwise(_part(p, BODY, None)))
+        return F.struct(i.cast("int").alias("pos"), F.when(i == 0, F.lit("")).otherwise(strip(label)).alias("title"), body.alias("body"))
+
+    def under(c: Column, rows: Column) -> Column:
+        return F.transform(rows, lambda a: F.struct(c["pos"].alias("chapter_pos"), c["title"].alias("chapter"), a.alias("a")))
+
+    # a document's chunks are made within its row: no shuffle, and each pattern runs once
     clean = F.translate(normalize_text(F.col("text")), CUT + TITLE + BODY, "")
-    heads = F.transform(_pieces(clean, structure.chapter), lambda p: strip(_part(p, BODY, None)))
-    bare = own.filter(F.forall(heads, lambda b: b == "")).select(*meta, F.lit(0).alias("chapter_pos"), F.lit("").alias("chapter"), F.explode(packed(clean)).alias("a"))
-    rows = main.unionByName(bare)
+    head = F.struct(F.lit(0).alias("pos"), F.lit("").alias("title"))
+
+    def rows_of(text: Column) -> Column:
+        chapters = F.filter(F.transform(_pieces(text, structure.chapter), chapter), lambda c: c["body"] != "")
+        each = F.flatten(F.transform(chapters, lambda c: under(c, let(articles(c["body"]), lambda found: F.when(F.size(found) > 0, found).otherwise(packed(c["body"]))))))
+        return let(each, lambda found: F.when(F.size(found) > 0, found).otherwise(under(head, packed(text))))
+
+    rows = docs.select(*meta, F.explode(let(clean, rows_of)).alias("c")).select(*meta, "c.chapter_pos", "c.chapter", "c.a")
     text = F.when(F.col("a.title") != "", strip(F.concat(F.col("a.id"), F.lit(". "), F.col("a.title"), F.lit("\n"), F.col("a.body")))).otherwise(F.concat(F.col("a.id"), F.lit(".\n"), F.col("a.body")))
     return rows.select(
         "doc_ord",
@@ -145,7 +149,11 @@ def chunk_documents(docs: DataFrame, structure: Structure = DEFAULT) -> DataFram
 
 def numbered(chunks: DataFrame) -> DataFrame:
     """row_idx from 0 in the order of (doc_ord, chapter_pos, piece_pos): counts per document are summed up, so that no sort of all chunks is
-    needed. The running sum is over one small row per block of documents."""
+    needed. The running sum is over one small row per block of documents. The chunks are written once and read
+    again, so their texts are cut once and counting reads one column."""
+    path = scratch(chunks.sparkSession, "chunks")
+    chunks.write.parquet(path)
+    chunks = chunks.sparkSession.read.schema(chunks.schema).parquet(path)
     block = (F.col("doc_ord") / 4096).cast("long")
     per_doc = chunks.groupBy("doc_ord").agg(F.count("*").alias("n")).withColumn("block", block)
     per_block = per_doc.groupBy("block").agg(F.sum("n").alias("n"))
