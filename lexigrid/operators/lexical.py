@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexigrid.functions.text import tokenize
+from lexigrid.sources.files import scratch
 
 #: Decimals by which scores are compared, so that equal texts tie however their sums were ordered.
 TIE_DECIMALS = 9
@@ -28,19 +29,22 @@ def with_tokens(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(F.col(id_col).alias("row_idx"), tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-def document_frequencies(tokens: DataFrame) -> DataFrame:
-    """term, df: partial counts before the shuffle, one row a term after it."""
-    return tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """term, df, and in the row of the empty term the number of documents and the sum of their lengths: one pass over the texts.
 
-
-def corpus_stats(tokens: DataFrame) -> DataFrame:
-    """n_docs, avgdl: one row."""
-    return tokens.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    The table has a row per term of the vocabulary. It is written once, as all statistics are read from it."""
+    terms = tokens.select("dl", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("term"))
+    counts = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl")).otherwise(F.lit(0)).cast("long")).alias("total"))
+    path = scratch(tokens.sparkSession, "terms")
+    counts.write.parquet(path)
+    return tokens.sparkSession.read.schema(counts.schema).parquet(path)
 
 
 def idf_table(tokens: DataFrame, params: BM25 = BM25()) -> DataFrame:
     """term, df, idf, n_docs, avgdl. The statistics are one row each, so joining them is no cross join of tables."""
-    raw = document_frequencies(tokens).join(F.broadcast(corpus_stats(tokens)), F.lit(True))
+    counts = term_counts(tokens)
+    stats = counts.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avgdl"))
+    raw = counts.filter("term != ''").select("term", "df").join(F.broadcast(stats), F.lit(True))
     raw = raw.withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     idf = F.when(F.col("raw_idf") < 0, params.epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf"))
