@@ -17,16 +17,18 @@ empty one; other columns are not looked at.
 import base64
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from lexigrid.llm.common import CACHE, small_batches, stash
+from lexigrid.llm.common import Recent, small_batches, stash
 
 #: Buckets of the literal rank map.
 SLOTS = 1 << 15
@@ -83,32 +85,23 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[p] for p in parts if p)
 
 
-class Pieces(dict):
-    """Ids of pieces; forgets all when full, so its memory is bounded."""
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[piece] = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        return ids
-
-
 def _code(pattern: str, shipped, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         ranks = shipped.value
-        split, cache = regex.compile(pattern).findall, Pieces(ranks)
+        split, cache = regex.compile(pattern).findall, Recent(lambda piece: merge(piece.encode("utf-8", "surrogatepass"), ranks))
         binary = {i: b for b, i in ranks.items()}
         for batch in batches:
-            coded = [list(chain.from_iterable(map(cache.__getitem__, split(t)))) if t else [] for t in batch.column("text").to_pylist()]
-            decoded = [b"".join(map(binary.__getitem__, ids)) for ids in coded]
+            ids, ends, decoded = array("i"), [0], []
+            for text in batch.column("text").to_pylist():
+                own = array("i", chain.from_iterable(map(cache.__getitem__, split(text)))) if text else array("i")
+                decoded.append(b"".join(map(binary.__getitem__, own)))
+                ids += own
+                ends.append(len(ids))
+            ends = np.array(ends, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", *keep)), pa.array(map(len, coded), pa.int64()), pa.array(coded, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
+                [*(batch.column(c) for c in ("doc_id", *keep)), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, dtype=np.int32))), pa.array(decoded, pa.binary())],
                 ["doc_id", *keep, "n_tokens", "ids", "decoded"],
             )
 

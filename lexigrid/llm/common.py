@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Entries that a Python worker's word cache may hold.
 CACHE = 120_000
+#: The same for results that take longer to make.
+KEEP = 250_000
 #: Rows of an Arrow batch; with whole texts, a batch is a few MB.
 BATCH_ROWS = 512
 
+#: Paths that stash() wrote.
+STASHED: list[str] = []
+
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
 
@@ -34,10 +39,19 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     and gives later joins two plain exchanges, whose hot keys AQE can split."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    STASHED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stashes(spark: SparkSession) -> None:
+    """Removes what stash() wrote in this process; results that aren't read yet need it, so call this after their last use."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while STASHED:
+        path = jvm.org.apache.hadoop.fs.Path(STASHED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
@@ -51,6 +65,24 @@ def as_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+class Recent(dict):
+    """Remembers results of make(key) for the last KEEP to 2 KEEP different keys: what isn't asked for while KEEP others come is forgotten."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= KEEP:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordHash(dict):
     """64-bit hashes of words; forgets all when full, so its memory is bounded."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import CACHE, as_bytes, small_batches
+from lexigrid.llm.common import Recent, as_bytes, small_batches
 
 #: What a vocabulary puts before the pieces that start a word.
 MARK = "▁"
@@ -91,27 +91,14 @@ class Automaton:
         return total
 
 
-class Counts(dict):
-    """Token counts of words; forgets all when full, so its memory is bounded."""
-
-    def __init__(self, automaton: Automaton) -> None:
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        n = self[word] = self.automaton.count(MARK + word.decode("utf-8", "surrogatepass"))
-        return n
-
-
 def token_counts(docs: DataFrame, pieces: list[str]) -> DataFrame:
     """doc_id, n_words, n_tokens of every document. The vocabulary is sent out once, as a broadcast variable."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Counts(Automaton(shipped.value))
+        automaton = Automaton(shipped.value)
+        cache = Recent(lambda word: automaton.count(MARK + word.decode("utf-8", "surrogatepass")))
         for batch in batches:
             words = [as_bytes(t).split() for t in batch.column("text").to_pylist()]
             tokens = [sum(map(cache.__getitem__, ws)) for ws in words]

@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import CACHE, WordHash, as_bytes, flat_hashes, mix, small_batches, stash, window_hashes
+from lexigrid.llm.common import Recent, WordHash, as_bytes, flat_hashes, mix, small_batches, stash, window_hashes
 
 #: Labelled rows that are learned from, at most; terms of the learned lexicon, at most.
 TRAIN_ROWS, TERMS = 12_000, 1_500
@@ -109,16 +110,11 @@ def plain(token: str) -> str:
     return word
 
 
-class Kinds(dict):
-    def __init__(self, lexicon: Lexicon) -> None:
-        super().__init__()
-        self.lexicon = lexicon
+class Kinds(Recent):
+    """kind() of the words of texts, as bytes."""
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        k = self[token] = self.lexicon.kind(plain(token.decode("utf-8", "surrogatepass")))
-        return k
+    def __init__(self, lexicon: Lexicon) -> None:
+        super().__init__(lambda token: lexicon.kind(plain(token.decode("utf-8", "surrogatepass"))))
 
 
 def features(text: str | None, kinds: Kinds) -> list[float]:
@@ -126,6 +122,7 @@ def features(text: str | None, kinds: Kinds) -> list[float]:
     hits = [(i, k) for i, k in enumerate(map(kinds.__getitem__, tokens)) if k]
     count = [0] * 5
     quoted = directed = 0
+    misspelled = len({tokens[i] for i, k in hits if k == 3}), len({tokens[i] for i, k in hits if k == 4})
     for i, k in hits:
         count[k] += 1
         around = [t.decode("utf-8", "surrogatepass") for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1]]
@@ -135,8 +132,8 @@ def features(text: str | None, kinds: Kinds) -> list[float]:
         near = {plain(t) for t in around}
         quoted += inside or bool(near & REPORTING)
         directed += not inside and bool(near & ADDRESS)
-    dense = min(10.0, 100 * len(hits) / max(1, len(tokens)))
-    logs = [math.log1p(x) for x in (count[1], count[2], count[3], count[4], quoted, directed)]
+    dense = min(10.0, 100 * (count[1] + count[2]) / (len(tokens) + 30))
+    logs = [math.log1p(x) for x in (count[1], count[2], *misspelled, quoted, directed)]
     return [*logs, dense, float(count[1] + count[2] > 0)]
 
 
@@ -172,6 +169,29 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(likeness, pa.int64()), batch.column("toxic"), pa.array(terms, pa.list_(pa.string()))], ["likeness", "toxic", "terms"])
 
 
+def _contexts(terms: set[str]):
+    """text, toxic -> term, context (a hash of the words before and after), toxic for every place of a term."""
+
+    def own_terms(token: bytes) -> list[str]:
+        word = plain(token.decode("utf-8", "surrogatepass"))
+        return [t for t in ("w" + word, *("s" + word[:k] for k in STEMS if len(word) > k)) if t in terms]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Recent(own_terms)
+        for batch in batches:
+            out = []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                tokens = as_bytes(text).split()
+                for i, own in enumerate(map(known.__getitem__, tokens)):
+                    if own:
+                        context = xxhash.xxh3_64_intdigest(b" ".join(tokens[max(0, i - 1) : i] + [b"|"] + tokens[i + 1 : i + 2])) >> 1
+                        out += [(t, context, toxic) for t in own]
+            cols = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32()), strict=True)], ["term", "context", "toxic"])
+
+    return run
+
+
 def _learned(counts: list[tuple[str, int, int]], toxic: int, clean: int, evidence: float) -> list[tuple[str, bool]]:
     """Terms so much commoner in toxic documents that chance is no explanation."""
     base = toxic / max(1, toxic + clean)
@@ -207,8 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     # at most `rows` rows are sent out
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     train = stash(own.select("text", "toxic"), "op6-train")
-    terms = train.mapInArrow(_terms, "likeness long, toxic int, terms array<string>").groupBy("likeness").agg(F.first("toxic").alias("toxic"), F.first("terms").alias("terms"))
-    terms = stash(terms.withColumn("half", F.col("likeness") % 2), "op6-terms")
+    terms = train.mapInArrow(_terms, "likeness long, toxic int, terms array<string>").groupBy("likeness").agg(F.max(F.struct("toxic", "terms")).alias("x"))
+    terms = stash(terms.select("x.toxic", "x.terms", (F.col("likeness") % 2).alias("half")), "op6-terms")
     n = {(r["half"], r["toxic"]): r["count"] for r in terms.groupBy("half", "toxic").count().collect()}
     toxic, clean = n.get((0, 1), 0) + n.get((1, 1), 0), n.get((0, 0), 0) + n.get((1, 0), 0)
     if not toxic or not clean:
@@ -216,8 +236,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     number = lambda half, bad: F.sum(((F.col("half") == half) & (F.col("toxic") == bad)).cast("int"))
     counts = terms.select("half", "toxic", F.explode("terms").alias("term")).groupBy("term").agg(*[number(h, b).alias(f"c{h}{b}") for h in (0, 1) for b in (0, 1)])
     top = counts.filter("c01 + c11 >= 4 and c01 + c11 > c00 + c10").orderBy(F.desc(F.expr("c01 + c11 - c00 - c10")), "term").limit(8 * TERMS).collect()
-    half = _learned([(r.term, r.c01, r.c00) for r in top], n.get((0, 1), 0), n.get((0, 0), 0), 10.0)
-    whole = _learned([(r.term, r.c01 + r.c11, r.c00 + r.c10) for r in top], toxic, clean, 14.0)
+    # copies of a document repeat a word in one context; a term of abuse has many
+    found = train.mapInArrow(_contexts({r.term for r in top}), "term string, context long, toxic int").filter("toxic = 1")
+    contexts = {r.term: r.n for r in found.groupBy("term").agg(F.count_distinct("context").alias("n")).collect()}
+    half = _learned([(r.term, min(r.c01, contexts.get(r.term, 0)), r.c00) for r in top], n.get((0, 1), 0), n.get((0, 0), 0), 10.0)
+    whole = _learned([(r.term, min(r.c01 + r.c11, contexts.get(r.term, 0)), r.c00 + r.c10) for r in top], toxic, clean, 14.0)
     seen = train.select("text", "toxic").mapInArrow(_other_half(), "text string, toxic int")
     fitted = seen.mapInArrow(_features_of(seeds + half), "toxic int, f array<double>").collect()
     x, y = np.array([r.f for r in fitted]), np.array([float(r.toxic) for r in fitted])

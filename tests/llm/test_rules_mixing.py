@@ -108,3 +108,15 @@ def test_sql(spark, sf, name):
     columns = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({Q.SQL[name]})").fetchall()
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(want)
+
+
+def test_stashes_are_dropped(spark):
+    import os
+
+    from lexigrid.llm import common
+
+    df = common.stash(spark.range(3).select(F.col("id").alias("doc_id")), "test")
+    path = common.STASHED[-1].removeprefix("file://")
+    assert df.count() == 3 and os.path.isdir(path)
+    common.drop_stashes(spark)
+    assert not os.path.exists(path) and not common.STASHED
