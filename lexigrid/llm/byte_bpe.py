@@ -47,22 +47,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of one piece: the adjacent pair of least rank is merged, the leftmost first, until none has a rank."""
     if piece in ranks:
         return (ranks[piece],)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 48:
-        return _merge_long(parts, ranks)
-    rank = [ranks.get(parts[i] + parts[i + 1], NONE) for i in range(len(parts) - 1)]
-    while rank:
-        least = min(rank)
-        if least == NONE:
-            break
+    n = len(piece)
+    if n > 48:
+        return _merge_long([piece[i : i + 1] for i in range(n)], ranks)
+    of = ranks.get
+    cut = list(range(n + 1))  # where the parts begin, and the end
+    rank = [of(piece[i : i + 2], NONE) for i in range(n - 1)]
+    while rank and (least := min(rank)) != NONE:
         i = rank.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del rank[i]
+        del cut[i + 1], rank[i]
         if i:
-            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
+            rank[i - 1] = of(piece[cut[i - 1] : cut[i + 1]], NONE)
         if i < len(rank):
-            rank[i] = ranks.get(parts[i] + parts[i + 1], NONE)
-    return tuple(ranks[p] for p in parts)
+            rank[i] = of(piece[cut[i] : cut[i + 2]], NONE)
+    return tuple([ranks[piece[a:b]] for a, b in zip(cut, cut[1:])])
 
 
 def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> tuple[int, ...]:
