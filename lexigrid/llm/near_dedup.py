@@ -3,7 +3,9 @@
 Each shingle is a Poisson process whose rate is its count in the document; its arrivals fall on random
 registers, a register keeps the shingle that arrives first, and a process ends once its next arrival is
 later than every register's. Two documents agree on a register with the probability Jaccard similarity of their
-weighted shingles. Bands of registers give candidates, which are verified on the whole texts.
+weighted shingles. Bands of registers give candidates, which are verified on the whole texts. A document that repeats
+shingles has the bands of a second signature, with every count 1, as well: pairs are alike by the Jaccard similarity of
+their shingle sets too, however often either repeats a passage, and must be found by it.
 
 Groups of copies are never expanded into pairs. Equal word sequences are one class from the start. In each
 bucket, all members are first compared with its most connected one; what is linked so is one component. Where a
@@ -87,14 +89,18 @@ def _sign(shingle: int, bands: int, rows: int):
             def sign(todo: list) -> None:
                 kept = prob_minhash(np.concatenate([x for _, x, _ in todo]), np.concatenate([c for _, _, c in todo]), np.repeat(np.arange(len(todo)), [len(x) for _, x, _ in todo]), len(todo), bands * rows)
                 for (k, _, _), key in zip(todo, _band_keys(kept, bands, rows), strict=True):
-                    found[k] = key.view(np.int64)
+                    found[k] = np.union1d(found[k], key.view(np.int64))
 
             for k, end in enumerate(ends.tolist()):
                 own = windows[start:end][ok[start:end]]
                 start = end
                 if len(own):
-                    todo.append((k, *np.unique(own, return_counts=True)))
+                    items, counts = np.unique(own, return_counts=True)
+                    todo.append((k, items, counts))
                     size += len(own)
+                    if len(items) < len(own):
+                        todo.append((k, items, np.ones_like(counts)))
+                        size += len(items)
                 if size > TOGETHER:
                     sign(todo)
                     todo, size = [], 0
@@ -227,6 +233,7 @@ class NearDuplicates:
         shipped = own.sparkSession.sparkContext.broadcast(often)
         rows = stash(own.mapInArrow(_prefix_rows(self.shingle, self.least, shipped), "rep long, comp long, token long, part int, role int, place int, size int, weighted boolean"), "op3-prefix")
         key = ["token", "part"]
+        # two documents of which none repeats a shingle are left to the parts of sets
         mixed = rows.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("weighted").alias("any_weighted")).filter("lo < hi and (part >= 0 or any_weighted)")
         rows = stash(rows.join(stash(mixed.select(*key), "op3-keys"), key), "op3-mixed")
         side = lambda role, c: rows.filter(F.col("role") != role).select(*key, F.col("rep").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "place", "size", "weighted")])
@@ -284,23 +291,22 @@ def size_class(n: int) -> int:
 def prefixes(counts: list[int], least: float) -> list[tuple[int, int, int]]:
     """(how many first shingles, part, role) under which a document with these shingle counts, in the common order, is found.
 
-    With all counts 1 the similarity is that of sets: a pair of sizes s <= n shares at least a = t / (1 + t) * (s + n)
+    As sets, whatever the counts, a pair of sizes s <= n that is alike shares at least a = t / (1 + t) * (s + n)
     shingles, so the first shared one is among the first n - a + 1 of each. role 0: as the shorter one, under its size
     class; role 1: as the longer one, under each class that the shorter may have. Part -1, role 2 is for pairs with a
-    document of repeated shingles: what comes before the first shared shingle weighs at most 1 - t of either document."""
+    document of repeated shingles that are alike by counts: what comes before the first shared shingle weighs at most 1 - t
+    of either document."""
     n, total = len(counts), sum(counts)
     spent, first = 0, 0
     while first < n and spent <= (1 - least) * total * (1 + 1e-12):
         spent += counts[first]
         first += 1
-    out = [(first, -1, 2)]
-    if total == n:
-        need = lambda s: math.ceil(least / (1 + least) * (s + n) - 1e-9)
-        out.append((n - need(n) + 1, size_class(n), 0))
-        shortest = max(1, math.ceil(least * n - 1e-9))
-        for part in range(size_class(shortest), size_class(n) + 1):
-            s = max(shortest, int(1.05**part))
-            out.append((n - need(min(s, n)) + 1, part, 1))
+    need = lambda s: math.ceil(least / (1 + least) * (s + n) - 1e-9)
+    out = [(first, -1, 2), (n - need(n) + 1, size_class(n), 0)]
+    shortest = max(1, math.ceil(least * n - 1e-9))
+    for part in range(size_class(shortest), size_class(n) + 1):
+        s = max(shortest, int(1.05**part))
+        out.append((n - need(min(s, n)) + 1, part, 1))
     return out
 
 

@@ -214,6 +214,32 @@ def test_prefix_filter_is_exact(spark):
     assert alike and alike <= pairs and len(pairs) < len(docs) ** 2 / 4
 
 
+def repeating(n):
+    """Pairs 2i, 2i + 1 with nearly the same shingle set, of which the second repeats a passage: alike as sets, not by counts."""
+    docs = []
+    for i in range(n):
+        words = [f"r{i}_{k}" for k in range(124)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:5] * 50 + words[5:]))]
+    return docs
+
+
+def test_near_repeated_passage(spark):
+    docs = repeating(40)
+    items = [N._weighted(t, 5, N.WordHash()) for _, t in docs[:2]]
+    by_count, by_set = similarity(*items)
+    assert by_count < 0.5 and by_set > 0.9
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, DOC)).collect()}
+    assert got == brute_classes(docs) == {i: i - i % 2 for i, _ in docs}
+
+
+def test_prefix_filter_finds_repeated_passages(spark):
+    docs = repeating(20)
+    near = N.NearDuplicates(spark.createDataFrame(docs, DOC))
+    members = spark.createDataFrame([(i, i) for i, _ in docs], "rep long, comp long")
+    pairs = {tuple(r) for r in near.prefix_pairs(members, near.docs).distinct().collect()}
+    assert {(i, i + 1) for i in range(0, 40, 2)} <= pairs
+
+
 def test_prob_minhash_estimates():
     r = np.random.default_rng(1)
     errors = []
