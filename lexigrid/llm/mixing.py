@@ -2,7 +2,8 @@
 
 Every document is repeated k times, k drawn from the Poisson distribution whose mean is the source's
 target rate: the uniform number that is inverted is a hash of seed and doc_id, so the draw is the same on
-every run, for any partitioning. The copies then lie in one global random order.
+every run, for any partitioning. A rate above MOST_RATE is a sum of several draws of equal smaller rates, each with
+a hash of its own. The copies then lie in one global random order.
 
 Edge cases: a null source is the source ''; a null text counts as empty; a source without a weight
 keeps rate 0 where explicit weights are given; repeated rows draw alike; an empty table gives an empty one.
@@ -16,6 +17,8 @@ from lexigrid.llm.common import stash
 #: Sources are sampled in proportion to their characters to this power, unless weights are given.
 TEMPERATURE = 0.5
 SEED = 17
+#: Rates that are drawn at once: exp(-rate) is no number above 0 from 746 on, and inexact from 708 on.
+MOST_RATE = 500.0
 #: Rates are broadcast up to so many sources (some MB); beyond, a source's rows are dealt over so many tasks.
 BROADCAST_SOURCES, SALTS = 20_000, 32
 
@@ -27,8 +30,8 @@ def uniform(seed: int, *keys: Column) -> Column:
 
 
 def poisson(u: Column, mean: Column) -> Column:
-    """The smallest k with u <= CDF(k). Terms are summed until far in the tail; a mean of hundreds is first
-    split by the caller's choice of target, as exp(-mean) must not vanish."""
+    """The smallest k with u <= CDF(k). Terms are summed until far in the tail; the mean is at most MOST_RATE, as
+    exp(-mean) must not vanish: copies_drawn splits larger ones."""
     most = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int")
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("cdf"), F.lit(0).alias("k"))
     step = lambda s, j: F.when(u <= s["cdf"], s).otherwise(
@@ -37,6 +40,13 @@ def poisson(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
 
 
+def copies_drawn(seed: int, doc: Column, rate: Column) -> Column:
+    """A Poisson number of mean `rate`, whatever its size: Poisson numbers of parts of the rate add up to one of the whole."""
+    parts = F.ceil(rate / MOST_RATE).cast("int")
+    part = lambda total, i: (total + poisson(uniform(seed, doc, F.lit("part"), i), rate / parts)).cast("int")
+    return F.when(rate <= MOST_RATE, poisson(uniform(seed, doc), rate)).otherwise(F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), part))
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """mix_source, rate: how often a document of that source is repeated on average, so that the mixture has
     as many characters as the input and each source its share of them."""
@@ -70,7 +80,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
         salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
         drawn = named.withColumn("mix_salt", salt).join(salted, ["mix_source", "mix_salt"])
-    count = poisson(uniform(seed, F.col("doc_id")), F.col("mix_rate"))
+    count = copies_drawn(seed, F.col("doc_id"), F.col("mix_rate"))
     copies = (
         drawn.withColumn("mix_count", count)
         .filter("mix_count > 0")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from lexigrid.llm import queries as Q
-from lexigrid.llm.mixing import mix_sources, poisson, uniform
+from lexigrid.llm.mixing import copies_drawn, mix_sources, poisson, uniform
 from lexigrid.llm.quality import SYMBOLS, quality_rules
 from pyspark.sql import functions as F
 
@@ -68,6 +68,22 @@ def test_poisson(spark, mean):
         assert r.k == k
 
 
+@pytest.mark.parametrize("mean", [500.0, 782.0, 1354.0, 4281.0])
+def test_large_rates(spark, mean):
+    draws = spark.range(400).select(copies_drawn(3, F.col("id"), F.lit(mean)).alias("k"))
+    n, average, variance = draws.agg(F.count("k"), F.avg("k"), F.var_samp("k")).first()
+    assert n == 400 and abs(average - mean) < 5 * math.sqrt(mean / 400) and 0.7 * mean < variance < 1.4 * mean
+    assert sorted(draws.collect()) == sorted(draws.repartition(3).collect())
+
+
+def test_mixing_of_a_tiny_source(spark):
+    """A source of 10 characters beside one of 22.5 million has rate 1500."""
+    docs = spark.createDataFrame([(1, "tiny", "x" * 10), (2, "huge", "y" * 22_500_000)], "doc_id long, source string, text string")
+    mixed = mix_sources(docs).groupBy("mix_source", "mix_rate").count().collect()
+    (tiny,) = [r for r in mixed if r.mix_source == "tiny"]
+    assert tiny.mix_rate > 745 and abs(tiny["count"] - tiny.mix_rate) < 6 * math.sqrt(tiny.mix_rate)
+
+
 def test_mixing_shares(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "a").otherwise("b").alias("source"), F.lit("x" * 10).alias("text"))
     mixed = mix_sources(docs, {"a": 1.0, "b": 1.0})
