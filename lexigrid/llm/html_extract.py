@@ -5,6 +5,9 @@ for either label, which are the capacities of its edges to source (content) and
 join neighbours in the page and the nearest blocks of one parent, stronger the closer they lie in the DOM. The
 minimum cut, found by max-flow, labels all blocks of a page at once.
 
+Elements such as nav or aside, roles and hidden elements are outside of the article for good. A class or id that sounds so, or a
+form, is only a cost: high where most of the page's running text is elsewhere, low for a wrapper that holds nearly all of it.
+
 Blocks end where a block element begins or ends; within a block, white space, line breaks and the edges of
 inline elements make no new block. Character references are decoded, white space becomes one space.
 
@@ -36,7 +39,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: An element of the key ends the open elements named.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements, roles and names that mark what isn't the article.
-OUTSIDE = set("nav header footer aside form menu button dialog fieldset label".split())
+OUTSIDE = set("nav header footer aside menu button dialog fieldset label".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal "
@@ -46,22 +49,29 @@ NAMES = set(
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CONTENT_NAMES = set("article content main post entry story body text".split())
 SPLIT_NAME = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+#: Foreign elements, which alone may close themselves.
+FOREIGN = ("svg", "math")
+#: Costs of calling a block of an element with such a name (or a form) content: for a wrapper of all running text, and for a small part.
+NAMED_LEAST, NAMED_MOST = 3.0, 14.0
+#: Words that a block of running text has at least.
+RUNNING_WORDS = 10
 #: Capacities of the smoothness edges: neighbours in the page, and nearest blocks of one parent.
 NEXT_TO, SAME_PARENT = 0.4, 0.8
 
 
 class Block:
-    __slots__ = ("parts", "linked", "tag", "path", "inside", "outside")
+    __slots__ = ("parts", "linked", "tag", "path", "inside", "outside", "named", "name_cost")
 
-    def __init__(self, tag: str, path: tuple[int, ...], inside: bool, outside: bool) -> None:
+    def __init__(self, tag: str, path: tuple[int, ...], inside: bool, outside: bool, named: tuple[int, ...] = ()) -> None:
         self.parts: list[str] = []
         self.linked = 0
-        self.tag, self.path, self.inside, self.outside = tag, path, inside, outside
+        self.tag, self.path, self.inside, self.outside, self.named = tag, path, inside, outside, named
+        self.name_cost = NAMED_MOST if named else 0.0
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """(inside, outside): whether an element marks its content as the article, or as something else."""
-    outside, inside = name in OUTSIDE, name in ("article", "main")
+def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(inside, outside, named): whether an element marks its content as the article, as something else, or sounds like something else."""
+    outside, inside, named = name in OUTSIDE, name in ("article", "main"), name == "form"
     if attributes and not outside:
         for key, value, hidden in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
@@ -72,15 +82,15 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool]:
                 inside |= value.lower() in ("main", "article")
             elif key in ("class", "id") and name not in ("html", "body"):
                 words = {w.lower() for w in SPLIT_NAME.split(value) if w}
-                outside |= bool(words & NAMES)
+                named |= bool(words & NAMES)
                 inside |= bool(words & CONTENT_NAMES) and name in ("div", "section", "td")
-    return inside, outside
+    return inside, outside, named
 
 
 def blocks_of(html: str) -> list[tuple[str, Block]]:
     """The text blocks of a page in order, with their texts."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, number, inside, outside
+    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]  # name, number, inside, outside, numbers of named ones
     open_ = Counter[str]()  # names on the stack
     number, at = 0, 0
     current: Block | None = None
@@ -93,7 +103,7 @@ def blocks_of(html: str) -> list[tuple[str, Block]]:
             if chunk.isspace():
                 return
             owner = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
-            current = Block(owner[0], tuple(e[1] for e in stack if e[0] not in INLINE), stack[-1][2], stack[-1][3])
+            current = Block(owner[0], tuple(e[1] for e in stack if e[0] not in INLINE), stack[-1][2], stack[-1][3], stack[-1][4])
             found.append(current)
         chunk = unescape(chunk) if "&" in chunk else chunk
         current.parts.append(chunk)
@@ -121,6 +131,8 @@ def blocks_of(html: str) -> list[tuple[str, Block]]:
             break
         at = m.end()
         name = m[2].lower()
+        if name in FOREIGN and m[3].endswith("/"):
+            continue
         if name in RAW and not m[1]:
             end = RAW_END[name].search(html, at)
             at = end.end() if end else len(html)
@@ -148,18 +160,33 @@ def blocks_of(html: str) -> list[tuple[str, Block]]:
                 while (k := block_at()) and stack[k][0] in CLOSES.get(name, ()):
                     close(k)
         if not m[3].endswith("/"):
-            inside, outside = _marks(name, m[3])
+            inside, outside, named = _marks(name, m[3])
             number += 1
             top = stack[-1]
             outside = (outside or top[3]) and not (name in ("html", "body"))
-            stack.append((name, number, inside or top[2], outside))
+            stack.append((name, number, inside or top[2], outside, (*top[4], number) if named else top[4]))
             open_[name] += 1
-            if current is not None and outside and not top[3]:
-                current = None  # an inline element that is marked: a block of its own
-        if current is not None and stack[-1][3] != current.outside:
-            current = None
+        if current is not None and (stack[-1][3] != current.outside or stack[-1][4] != current.named):
+            current = None  # an inline element that is marked: a block of its own
     text(html[at:])
-    return [(t, b) for b in found if (t := " ".join("".join(b.parts).split()))]
+    rows = [(t, b) for b in found if (t := " ".join("".join(b.parts).split()))]
+    _weigh_names(rows)
+    return rows
+
+
+def _weigh_names(rows: list[tuple[str, Block]]) -> None:
+    """Sets name_cost: the most that one of the named elements around a block costs, by how much running text is in it and elsewhere."""
+    own, total = Counter[int](), 0
+    for t, b in rows:
+        words = t.count(" ") + 1
+        if not b.outside and words >= RUNNING_WORDS and 2 * b.linked < len(t):
+            total += words
+            for k in b.named:
+                own[k] += words
+    for _, b in rows:
+        if b.named:
+            rest = max(min(1.0, (total - own[k]) / own[k]) if own[k] else 1.0 for k in b.named)
+            b.name_cost = NAMED_LEAST + (NAMED_MOST - NAMED_LEAST) * rest * rest
 
 
 def costs(text: str, block: Block) -> tuple[float, float]:
@@ -170,8 +197,7 @@ def costs(text: str, block: Block) -> tuple[float, float]:
     boiler = 0.2 + 3.5 * links + 1.5 * ("©" in text)
     if block.inside:
         content, boiler = content + 6, boiler * 0.5
-    if block.outside:
-        boiler += 14
+    boiler += 14 if block.outside else block.name_cost
     return content, boiler
 
 

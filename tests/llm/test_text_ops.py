@@ -134,6 +134,31 @@ def test_main_text(page, text):
     assert H.main_text(page) == text
 
 
+PROSE = [f"Paragraph {k} of the article runs on for quite a few words, as the running text of a page commonly does, and it ends with a full stop." for k in range(4)]
+ASIDE = '<div class="sidebar"><p>Subscribe to our newsletter and get the best of the week by mail, every Friday morning.</p></div>'
+
+
+@pytest.mark.parametrize("start, end", [
+    ('<div class="content-sidebar-wrap"><article>', "</article>" + ASIDE + "</div>"),
+    ('<div class="layout has-sidebar"><main>', "</main></div>" + ASIDE),
+    ('<div class="no-header"><div>', "</div>" + ASIDE + "</div>"),
+    ('<form action="/page.aspx"><div>', "</div>" + ASIDE + "</form>"),
+    ('<form><div id="has-sidebar"><article>', "</article></div>" + ASIDE + "</form>"),
+    ('<svg width="1" height="1"/><article>', "</article><nav><svg><text>x</text></svg></nav>"),
+    ("<article><math/>", "</article>"),
+])
+def test_main_text_in_a_wrapper(start, end):
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    assert H.main_text(f'<body><nav><a href="/">Home</a></nav>{start}{body}{end}<footer>© Us</footer></body>') == "\n\n".join(PROSE)
+
+
+@pytest.mark.parametrize("name", ['div class="comments"', 'section id="related"', "form"])
+def test_main_text_leaves_named_parts_out(name):
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    other = "<p>A reader says at some length what they think of all this, and they go on for a while.</p>" * 2
+    assert H.main_text(f"<body><div>{body}</div><{name}>{other}</{name.split()[0]}></body>") == "\n\n".join(PROSE)
+
+
 def test_cut_is_minimal():
     r = random.Random(7)
     for _ in range(150):
