@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from lexigrid.operators.lexical import bm25_topk
 from lexigrid.plans import flows
 from lexigrid.sources import files
-from lexigrid.sources.http import DELAY, http_fetcher
+from lexigrid.sources.http import DELAY, http_fetcher, http_file_fetcher
 
 
 def main() -> None:
@@ -30,7 +30,7 @@ def main() -> None:
     args = parser.parse_args()
     spark = SparkSession.builder.appName(f"lexigrid-{args.command}").getOrCreate()
     if args.command == "crawl":
-        counts = flows.crawl(spark, args.start, http_fetcher(args.delay), args.out, args.max_pages, args.max_files)
+        counts = flows.crawl(spark, args.start, http_fetcher(args.delay), args.out, args.max_pages, args.max_files, http_file_fetcher(args.delay), [files.pymupdf_pages, files.pypdf_pages])
         print(counts.toJSON().first())
     elif args.command == "chunk":
         chunks = flows.chunk_manifest(spark, args.manifest, args.texts)

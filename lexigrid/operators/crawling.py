@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexigrid.functions.text import html_title, html_to_text
-from lexigrid.functions.urls import authority, extract_links, is_doc_link, is_internal, slugify
+from lexigrid.functions.urls import authority, extract_links, file_name, is_doc_link, is_internal, slugify
 
 MAX_PAGES, MAX_FILES = 200, 80
 
 #: fetch(urls: DataFrame with url) -> DataFrame with url, html; no row, or a null html, where a fetch fails.
 Fetcher = Callable[[DataFrame], DataFrame]
+#: fetch(urls: DataFrame with url) -> DataFrame with url, content (binary); no row, or a null content, where a fetch fails.
+FileFetcher = Callable[[DataFrame], DataFrame]
 
 
 def table_fetcher(pages: DataFrame) -> Fetcher:
@@ -24,11 +26,13 @@ def table_fetcher(pages: DataFrame) -> Fetcher:
 
 @dataclass
 class Crawl:
-    """visited: url, ord, depth, fetched; pages: url, ord, html; documents: url, ord of the document links to fetch."""
+    """visited: url, ord, depth, fetched; pages: url, ord, html; documents: url, ord of the document links to fetch;
+    places: url, parent (ord of the first page that links it), pos of those."""
 
     visited: DataFrame
     pages: DataFrame
     documents: DataFrame
+    places: DataFrame
 
 
 def bfs(start: str, fetch: Fetcher, spark, max_pages: int = MAX_PAGES, max_files: int = MAX_FILES) -> Crawl:
@@ -61,7 +65,8 @@ def bfs(start: str, fetch: Fetcher, spark, max_pages: int = MAX_PAGES, max_files
         done, depth = done + n, depth + 1
     first = documents.groupBy("url").agg(F.min(F.struct("ord", "pos")).alias("at"))
     wanted = first.orderBy("at").limit(max_files).select("url", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("ord"))
-    return Crawl(visited, pages, wanted)
+    places = first.orderBy("at").limit(max_files).select("url", F.col("at.ord").alias("parent"), F.col("at.pos").alias("pos"))
+    return Crawl(visited, pages, wanted, places)
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -80,6 +85,21 @@ def manifest(pages: DataFrame, folder: str = "pages") -> DataFrame:
     )
 
 
+def file_manifest(texts: DataFrame, folder: str = "files") -> DataFrame:
+    """The manifest's columns for fetched documents (url, name, n_pages, text), also for those without text."""
+    path, kind = F.concat(F.lit(f"{folder}/"), F.col("name")), F.lower(F.regexp_extract("name", r".\.([^.]+)$", 1))
+    return texts.select(
+        "url", F.concat(path, F.lit(".txt")).alias("local_path"), path.alias("binary_path"), F.regexp_replace("name", r"(?<=.)\.[^.]*$", "").alias("title"),
+        kind.alias("source_kind"), F.col("n_pages").cast("int").alias("n_pages"), F.length("text").cast("long").alias("n_chars"),
+    )
+
+
+def fetch_documents(crawl: Crawl, fetch: FileFetcher) -> DataFrame:
+    """url, parent, pos, name, content of the crawl's documents that could be fetched; each is asked for once."""
+    got = fetch(crawl.places.select("url")).select("url", "content").filter("content is not null")
+    return _kept(crawl.places.join(got, "url").select("url", "parent", "pos", file_name(F.col("url")).alias("name"), "content"))
+
+
 def crawl_summary(crawl: Crawl) -> DataFrame:
     """n_visited, n_fetched, n_documents: one row."""
     counts = crawl.visited.agg(F.count("*").alias("n_visited"), F.coalesce(F.sum(F.col("fetched").cast("long")), F.lit(0)).alias("n_fetched"))

@@ -10,13 +10,29 @@ from lexigrid.operators import chunking, crawling, hybrid, prompts, vectors
 from lexigrid.sources import files
 
 
-def crawl(spark: SparkSession, start: str, fetch: crawling.Fetcher, out: str, max_pages: int = crawling.MAX_PAGES, max_files: int = crawling.MAX_FILES) -> DataFrame:
-    """Crawls from start and writes texts and manifest under out; gives the counts."""
+def crawl(spark: SparkSession, start: str, fetch: crawling.Fetcher, out: str, max_pages: int = crawling.MAX_PAGES, max_files: int = crawling.MAX_FILES,
+          fetch_files: crawling.FileFetcher | None = None, backends: list[files.PdfBackend] | None = None) -> DataFrame:
+    """Crawls from start and writes texts and manifest under out; gives the counts.
+
+    With fetch_files the linked documents are fetched too: their bytes go to out/files (name, content), their texts to the others,
+    under the document's name, and their rows into the manifest, each after the page that links it first."""
     found = crawling.bfs(start, fetch, spark, max_pages, max_files)
     slug = crawling.slugify(F.col("url"))
-    files.write_page_texts(found.pages.select(slug.alias("slug"), "ord", html_to_text(F.col("html")).alias("text")), f"{out}/pages")
-    rows = crawling.manifest(found.pages).join(found.pages.select("url", "ord"), "url")
-    files.write_json_lines(rows, f"{out}/manifest", ["ord"])
+    texts = found.pages.select(slug.alias("slug"), "ord", html_to_text(F.col("html")).alias("text"))
+    rows = crawling.manifest(found.pages).join(found.pages.select("url", "ord"), "url").withColumn("pos", F.lit(-1))
+    if fetch_files is not None:
+        got = crawling.fetch_documents(found, fetch_files)
+        order = F.struct("parent", "pos")
+        got.groupBy("name").agg(F.max_by("content", order).alias("content")).write.mode("overwrite").parquet(f"{out}/files")
+        # a path that is the url and the name: the name may be another document's too, its end tells the kind of file
+        asked = got.select(F.concat_ws("\n", "url", "name").alias("path"), "content")
+        read = files.extract_files(asked, backends).withColumns({"url": F.split_part("path", F.lit("\n"), F.lit(1)), "name": F.split_part("path", F.lit("\n"), F.lit(2))})
+        read = crawling._kept(read.drop("path", "pages").join(got.select("url", "parent", "pos"), "url"))
+        last = read.groupBy("name").agg(F.max_by("text", order).alias("text"), F.max("parent").alias("ord"))
+        texts = texts.unionByName(last.withColumnRenamed("name", "slug"))
+        rows = rows.unionByName(crawling.file_manifest(read).join(read.select("url", F.col("parent").alias("ord"), "pos"), "url"))
+    files.write_page_texts(texts, f"{out}/pages")
+    files.write_json_lines(rows, f"{out}/manifest", ["ord", "pos"])
     return crawling.crawl_summary(found)
 
 

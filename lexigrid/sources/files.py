@@ -118,6 +118,21 @@ def pdf_text(data: bytes, backends: list[PdfBackend]) -> list[str]:
     return pages or [""]
 
 
+def pymupdf_pages(data: bytes) -> list[str]:
+    """A PdfBackend; fails, so that the next one is asked, where PyMuPDF is not installed."""
+    import fitz
+
+    with fitz.open(stream=data, filetype="pdf") as pdf:
+        return [page.get_text() for page in pdf]
+
+
+def pypdf_pages(data: bytes) -> list[str]:
+    """A PdfBackend; fails, so that the next one is asked, where pypdf is not installed."""
+    from pypdf import PdfReader
+
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
+
+
 def extract_pages(path: str, data: bytes | None, backends: list[PdfBackend]) -> list[str]:
     """Page texts by the file's extension; [""] for unknown ones and files that can't be read."""
     kind = os.path.splitext(path)[1].lower()

@@ -52,6 +52,19 @@ def http_fetcher(delay: float = DELAY, timeout: int = HTML_TIMEOUT) -> Callable[
     return lambda urls: urls.select("url").mapInPandas(run, "url string, html string")
 
 
+def http_file_fetcher(delay: float = DELAY, timeout: int = FILE_TIMEOUT) -> Callable[[DataFrame], DataFrame]:
+    """For flows.crawl: url -> url, content, each task waiting `delay` seconds between requests."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for url in batch["url"]:
+                got = get(url, timeout)
+                yield pd.DataFrame({"url": [url], "content": [got[0] if got else None]})
+                time.sleep(delay)
+
+    return lambda urls: urls.select("url").mapInPandas(run, "url string, content binary")
+
+
 class HttpSource(DataSource):
     """spark.dataSource.register(HttpSource); spark.read.format("http_pages").option("urls", "a b c").load(): url, status, content."""
 

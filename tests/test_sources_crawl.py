@@ -63,6 +63,25 @@ def test_crawl_to_chunks(spark, tmp_path):
     assert [(r.article_id, r.text) for r in chunks] == [("PB-1", "PB-1.\nHome\na"), ("Điều 1", "Điều 1. Một\nthân")]
 
 
+def test_crawl_fetches_documents(spark, tmp_path):
+    pages = [("http://w.example/", '<title>Home</title><a href="/d/One.PDF">1</a><a href="/a">a</a><a href="/gone.pdf">g</a>'), ("http://w.example/a", '<h1>A</h1><a href="/two.docx">2</a><a href="/d/One.PDF">1</a>')]
+    web = spark.createDataFrame(pages, "url string, html string")
+    data = [("http://w.example/d/One.PDF", b"%PDF"), ("http://w.example/two.docx", docx(["one", "two"], [["c"]])), ("http://w.example/gone.pdf", None)]
+    known = spark.createDataFrame(data, "url string, content binary")
+    counts = flows.crawl(spark, "http://w.example/", crawling.table_fetcher(web), str(tmp_path), fetch_files=lambda urls: urls.join(known, "url"), backends=[lambda d: ["p1", "p2"]]).first()
+    assert (counts.n_visited, counts.n_fetched, counts.n_documents) == (2, 2, 3)
+    rows = files.read_manifest(spark, str(tmp_path / "manifest")).orderBy("ord").collect()
+    assert [(r.local_path, r.binary_path, r.title, r.source_kind, r.n_pages, r.n_chars) for r in rows] == [
+        ("pages/index.txt", None, "Home", "html", 1, 10),
+        ("files/One.PDF.txt", "files/One.PDF", "One", "pdf", 2, 6),
+        ("pages/a.txt", None, "A", "html", 1, 5),
+        ("files/two.docx.txt", "files/two.docx", "two", "docx", 1, 9),
+    ]
+    texts = {r.slug: r.text for r in spark.read.parquet(str(tmp_path / "pages")).collect()}
+    assert texts["One.PDF"] == "p1\n\np2" and texts["two.docx"] == "one\ntwo\nc" and set(texts) == {"index", "a", "One.PDF", "two.docx"}
+    assert {r.name: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "files")).collect()} == {u.rsplit("/", 1)[1]: d for u, d in data if d}
+
+
 def test_manifest_texts(spark, tmp_path):
     (tmp_path / "texts").mkdir()
     (tmp_path / "texts" / "x.pdf.txt").write_text("Điều 2. T\nhai", encoding="utf-8")
