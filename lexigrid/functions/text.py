@@ -1,9 +1,13 @@
 """Text expressions: normalising, folding, tokens, HTML to text. All are columns, inside code generation where Spark allows."""
 
+import html as html_lib
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _vietnamese_letters() -> list[str]:
@@ -61,11 +65,29 @@ def normalize_text(text: Column) -> Column:
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
+#: A character reference that is none of ENTITIES. One without its ; stays as it is, as the SQL of the queries has it.
+OTHER_REFERENCE = rf"&(?!(?:{'|'.join(e[1:-1] for e, _ in ENTITIES)});)(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+
+
+@F.pandas_udf(StringType())
+def unescape_any(text: pd.Series) -> pd.Series:
+    """All character references of HTML, for what unescape doesn't cover."""
+    reference = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+    return pd.Series([reference.sub(lambda m: html_lib.unescape(m[0]), t) if t else t for t in text], dtype=object)
+
+
+#: Taken once a row: a filter on its result is not pushed below it, which would run it twice.
+unescape_once = unescape_any.asNondeterministic()
+
+
 def unescape(text: Column) -> Column:
-    """The character references of ENTITIES; & comes last, so nothing is decoded twice."""
+    """Text with its character references decoded, once. Those of ENTITIES stay native, & last, so nothing is decoded twice; a text
+    that has others goes through an Arrow function."""
+    other = text.rlike(OTHER_REFERENCE)
+    plain = text
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(other, unescape_once(F.when(other, text))).otherwise(plain)
 
 
 def html_title(html: Column) -> Column:

@@ -1,5 +1,7 @@
 """URL and link expressions."""
 
+import re
+from html import unescape
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -85,10 +87,29 @@ def file_name(url: Column) -> Column:
     return F.substring(F.when(typed, safe).otherwise(F.concat(safe, F.lit(".bin"))), 1, 160)
 
 
+@F.pandas_udf(StringType())
+def decode_any(href: pd.Series) -> pd.Series:
+    """An attribute's value with its character references decoded; a name without ; before = or a letter or digit is part of a query."""
+    reference = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)(?:;|(?![=a-zA-Z0-9]))")
+    return pd.Series([reference.sub(lambda m: unescape(m[0]), h) if h else h for h in href], dtype=object)
+
+
+#: As resolve_once.
+decode_once = decode_any.asNondeterministic()
+
+
 def extract_links(pages: DataFrame, general: bool = True) -> DataFrame:
-    """src_url, pos, href, dst_url of every link in document order; links that lead to no page are dropped, repeated ones kept."""
-    quoted = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)\""""
-    hrefs = F.regexp_extract_all("html", F.lit(quoted), 1)
+    """src_url, pos, href, dst_url of every link in document order; links that lead to no page are dropped, repeated ones kept.
+
+    Values may stand in double, single or no quotation marks. References other than &amp; go through an Arrow function, unless
+    general is False (then they stay)."""
+    # attributes are walked over one by one, values whole; no position is tried twice
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+    valued = rf"""(?is)<a(?=[\s/])(?:(?!href\s*+=)(?:=\s*+{value}|[^>=\s"'/]++|[=\s"'/]))*+href\s*+=\s*+({value})"""
+    hrefs = F.regexp_extract_all("html", F.lit(valued), 1)
     raw = pages.select(F.col("url").alias("src_url"), F.posexplode(hrefs).alias("pos", "href"))
-    found = raw.withColumn("href", F.replace(F.col("href"), F.lit("&amp;"), F.lit("&")))
+    bare = raw.withColumn("href", F.regexp_replace("href", r"""(?s)\A(["'])(.*)\1\z""", "$2"))
+    plain = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
+    other = F.col("href").rlike("&(?!amp;)[a-zA-Z#]")
+    found = bare.withColumn("href", F.when(other, decode_once(F.when(other, F.col("href")))).otherwise(plain) if general else plain)
     return found.withColumn("dst_url", normalize_url(F.col("href"), F.col("src_url"), general)).filter("dst_url is not null and dst_url != ''")

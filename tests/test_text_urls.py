@@ -130,3 +130,18 @@ def test_links_and_kinds(spark):
         ("http://h/a", False, True, "a.bin"),
         ("http://H:80/q", False, False, "q.bin"),
     ]
+
+
+def test_links_in_any_quotation(spark):
+    html = """<a href='/one'>1</a><a class=x href=/two>2</a><A HREF = "/three">3</A><a href='/a"b.pdf'>4</a><a title="t"href=/five/>5</a><a
+    href='/x?a=1&amp;b=2&copy=3&#38;c=4&eacute;'>6</a><area href=/no><a data-href="/no">7</a><a title="a href=/no" data-x='href="/no"' href="/seven">8</a>"""
+    page = spark.createDataFrame([("http://h.example/p", html)], "url string, html string")
+    rows = U.extract_links(page).orderBy("pos").collect()
+    assert [r.href for r in rows] == ["/one", "/two", "/three", '/a"b.pdf', "/five/", "/x?a=1&b=2&copy=3&c=4é", "/seven"]
+    assert [r.pos for r in rows] == list(range(7)) and rows[0].dst_url == "http://h.example/one"
+
+
+def test_all_character_references(spark):
+    html = "<title>Caf&eacute; &#8217;</title><p>&Agrave; &#x1F600; &amp;eacute; a &lt; b &hellip; &unknown; AT&T</p>"
+    assert one(spark, T.html_to_text(F.col("h")), h=html) == "Café ’\nÀ 😀 &eacute; a < b … &unknown; AT&T"
+    assert one(spark, T.html_title(F.col("h")), h=html) == "Café ’"
