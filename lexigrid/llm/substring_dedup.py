@@ -1,9 +1,10 @@
-"""Substring dedup by level-wise doubling of repeated windows.
+"""Substring dedup by doubling of repeated windows, in two levels.
 
 Level 1 looks for windows of half the length that occur in two documents; of those, only the ones that
 every window of the full length must contain (the least hash of each run of half windows) are gathered, so
 no repeat is lost and a small share of the windows is shuffled. Windows repeated at that length alone are
-extended to twice that length; level 2 compares those by 128-bit hashes, and so on until the asked length.
+extended to twice that length, which is the asked one; level 2 compares those by 128-bit hashes. There is this one
+doubling, at any length: equal windows share their least half window, so no shorter level is needed.
 A word goes if a window over it also starts in a document with a smaller doc_id.
 
 Edge cases: a null or empty text has no words and loses none; documents with the same doc_id never remove
