@@ -56,6 +56,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores in front as keep it apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

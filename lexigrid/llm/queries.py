@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.byte_bpe import byte_bpe
 from lexigrid.llm.html_extract import extract_main_text
-from lexigrid.llm.line_dedup import line_dedup
+from lexigrid.llm.line_dedup import BLOCK_WORDS, line_dedup
 from lexigrid.llm.mixing import SEED, TEMPERATURE, mix_sources
 from lexigrid.llm.near_dedup import near_duplicates
 from lexigrid.llm.quality import RULES, STOP_WORDS, SYMBOLS, quality_rules
@@ -71,6 +71,30 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("dedup_lines").alias("n_lines"), F.col("dedup_removed").alias("n_removed"), F.col("dedup_partners").alias("n_partners"), digest.alias("kept_sha256"))
 
 
+#: Blocks of five words or more at most one line longer than they need be; of those that an earlier document has, all lines go.
+OP2_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, pos, line, words, count(*) FILTER (words > 0) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM (
+    SELECT doc_id, pos, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+    FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text <> '')))),
+solid AS (SELECT doc_id, k, line, words FROM lines WHERE words > 0),
+blocks AS (
+  SELECT doc_id, s, e, string_agg(line, chr(10) ORDER BY k) AS block FROM (
+    SELECT a.doc_id, a.k AS s, b.k AS e, sum(m.words) AS total, any_value(a.words) AS first_words, any_value(b.words) AS last_words
+    FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + {BLOCK_WORDS} JOIN solid m ON m.doc_id = a.doc_id AND m.k BETWEEN a.k AND b.k
+    GROUP BY a.doc_id, a.k, b.k
+    HAVING total >= {BLOCK_WORDS} AND (s = e OR total - last_words < {BLOCK_WORDS} OR total - first_words < {BLOCK_WORDS})) x
+  JOIN solid USING (doc_id) WHERE k BETWEEN s AND e GROUP BY doc_id, s, e),
+firsts AS (SELECT block, min(doc_id) AS first FROM blocks GROUP BY block),
+shared AS (SELECT doc_id, s, e, first FROM blocks JOIN firsts USING (block) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS k FROM shared),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.k) FILTER (words > 0) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (g.k IS NULL) AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND greatest(l.k, 1) = g.k GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_partners, 0) AS n_partners, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(DISTINCT first) AS n_partners FROM shared GROUP BY doc_id) USING (doc_id)"""
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -168,4 +192,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op4_html_extraction, op5_mix_sources, op6_toxicity, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours)}
-SQL = {"op1_quality_rules": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op4_html_extraction": OP4_SQL, "op5_mix_sources": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+SQL = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_html_extraction": OP4_SQL, "op5_mix_sources": OP5_SQL, "op7_substring_dedup": OP7_SQL}
