@@ -1,15 +1,15 @@
-"""Substring dedup by doubling of repeated windows, in two levels.
-
-Level 1 looks for windows of half the length that occur in two documents; of those, only the ones that
-every window of the full length must contain (the least hash of each run of half windows) are gathered, so
-no repeat is lost and a small share of the windows is shuffled. Windows repeated at that length alone are
-extended to twice that length, which is the asked one; level 2 compares those by 128-bit hashes. There is this one
-doubling, at any length: equal windows share their least half window, so no shorter level is needed.
-A word goes if a window over it also starts in a document with a smaller doc_id.
-
-Edge cases: a null or empty text has no words and loses none; documents with the same doc_id never remove
-each other's words; a row whose doc_id is null is returned unchanged; repeated rows get the same result;
-an empty table gives an empty one.
+"""Substring dedup by level-wise doubling of repeated windows.
+
+The lengths are the asked one, its half, the half of that, and so on while START words or more are left. At each length, a
+window of the asked length is a candidate as long as its least part of that length, by a hash, occurs in two documents:
+equal windows have equal least parts, so no repeat is lost, and a small share of the parts is shuffled. Windows that are
+repeated at one length alone are extended to twice that length, until no candidates survive or the asked length is reached,
+where 128-bit hashes of the windows themselves are compared. A word goes if a window over it also starts in a document with a smaller
+doc_id. With the default START, windows of 50 words take one doubling, those of 100 words two.
+
+Edge cases: a null or empty text has no words and loses none; rows with the same doc_id never remove each other's words,
+and each loses what its own text shares with earlier documents; a row whose doc_id is null is returned unchanged; repeated rows get
+the same result; an empty table gives an empty one.
 """
 
 import hashlib
@@ -20,9 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import BATCH_ROWS, U, WordHash, as_bytes, flat_hashes, inside, join_hash, mix, small_batches, stash, window_hashes
+from lexigrid.llm.common import BATCH_ROWS, U, WordHash, as_bytes, flat_hashes, inside, mix, small_batches, stash, window_hashes
 
 WINDOW = 50
+#: Words that the shortest level has at least.
+START = 25
+ROW = ["doc_id", "row"]
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -36,25 +39,28 @@ def _sliding(x: np.ndarray, length: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (length - size)], x[length - size :]) if size < length else x
 
 
-def _least(h: np.ndarray, window: int) -> np.ndarray:
-    """For each window of the full length, the least hash of the half windows in it."""
-    half = window // 2
-    return _sliding(mix(window_hashes(h, half)), window - half + 1, np.minimum)
+def lengths(window: int, start: int) -> list[int]:
+    """The lengths of the levels, the asked one last."""
+    out = [window]
+    while out[0] // 2 >= start:
+        out.insert(0, out[0] // 2)
+    return out
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _least(h: np.ndarray, window: int, length: int) -> np.ndarray:
+    """For each window of the full length, the least hash of its parts of a shorter length."""
+    return _sliding(mix(window_hashes(h, length)), window - length + 1, np.minimum)
 
 
-def _scan(window: int):
-    """doc_id, text -> doc_id, key (of the word sequence), n_words, sha, least (distinct least half-window hashes)."""
+def _scan(window: int, length: int):
+    """doc_id, row, text -> doc_id, row, key (of the word sequence), n_words, sha, least (distinct least hashes of the first level)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in batches:
             lists = [as_bytes(t).split() for t in batch.column("text").to_pylist()]
             h, ends = flat_hashes(lists, cache)
-            least = _least(h, window)
+            least = _least(h, window, length)
             ok = inside(ends, len(h), window)
             rows, start = [], 0
             for end in ends.tolist():
@@ -65,37 +71,55 @@ def _scan(window: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row"),
                     pa.array([hashlib.blake2b(j, digest_size=16).digest() for j in joined], pa.binary()),
                     pa.array([len(ws) for ws in lists], pa.int64()),
                     pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()),
                     pa.array(rows, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "key", "n_words", "sha", "least"],
+                ["doc_id", "row", "key", "n_words", "sha", "least"],
             )
 
     return run
 
 
-def _extend(window: int):
-    """doc_id, text, repeated -> (doc_id, h1, h2, pos) of each window that holds a repeated half window."""
+def _survivors(h: np.ndarray, window: int, levels: list[int], repeated: list[list[int]]) -> np.ndarray:
+    """Starts of the windows whose least part was repeated at each of these levels."""
+    alive = np.ones(max(0, len(h) - window + 1), dtype=bool)
+    for length, found in zip(levels, repeated, strict=True):
+        alive &= np.isin(_least(h, window, length), np.array(found, dtype=np.int64).view(np.uint64))
+    return np.flatnonzero(alive)
+
+
+def _level(window: int, levels: list[int], length: int):
+    """doc_id, row, text, repeated -> doc_id, row, h: distinct least parts of this length of the windows that are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHash()
+        for batch in batches:
+            for doc, row, text, repeated in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "repeated")), strict=True):
+                h, _ = flat_hashes([as_bytes(text).split()], cache)
+                least = np.unique(_least(h, window, length)[_survivors(h, window, levels, repeated)]).view(np.int64)
+                if len(least):
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(least), pa.int64()) for x in (doc, row)] + [pa.array(least)], ["doc_id", "row", "h"])
+
+    return run
+
+
+def _extend(window: int, levels: list[int]):
+    """doc_id, row, text, repeated -> doc_id, row, h1, h2, pos of each window that is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
         for batch in batches:
-            for doc, text, repeated in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "repeated")), strict=True):
+            for doc, row, text, repeated in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "repeated")), strict=True):
                 h, _ = flat_hashes([as_bytes(text).split()], cache)
-                pos = np.flatnonzero(np.isin(_least(h, window), np.array(repeated, dtype=np.int64).view(np.uint64)))
+                pos = _survivors(h, window, levels, repeated)
                 if len(pos):
-                    half = window // 2
-                    once, again = window_hashes(h, half), window_hashes(mix(h * U(0x9E3779B97F4A7C15) + U(window)), half)
-                    if window % 2:
-                        tails = (h[window - 1 :][pos], mix(h)[window - 1 :][pos])
-                    full = [join_hash(x[pos], x[pos + half]) for x in (once, again)]
-                    if window % 2:
-                        full = [join_hash(x, t) for x, t in zip(full, tails, strict=True)]
+                    full = [window_hashes(x, window)[pos] for x in (h, mix(h * U(0x9E3779B97F4A7C15) + U(window)))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(pos), pa.int64()), pa.array(full[0].view(np.int64)), pa.array(full[1].view(np.int64)), pa.array(pos.astype(np.int32))],
-                        ["doc_id", "h1", "h2", "pos"],
+                        [pa.array([x] * len(pos), pa.int64()) for x in (doc, row)] + [pa.array(x.view(np.int64)) for x in full] + [pa.array(pos.astype(np.int32))],
+                        ["doc_id", "row", "h1", "h2", "pos"],
                     )
 
     return run
@@ -126,38 +150,48 @@ def _cut(window: int):
     return run
 
 
-def removed_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(scan, places): each document's key, word count and digest; and, for the first document of each word sequence,
+def _repeated(parts: DataFrame, tag: str) -> DataFrame:
+    """doc_id, row, found: those of the hashes (doc_id, row, h) that two documents have."""
+    twice = parts.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+    return parts.join(stash(twice, tag), "h").groupBy(*ROW).agg(F.collect_list("h").alias("found"))
+
+
+def removed_windows(docs: DataFrame, window: int = WINDOW, start: int = START) -> tuple[DataFrame, DataFrame]:
+    """(scan, places): each row's key, word count and digest; and, for rows of the first document of each word sequence,
     the starts of the windows that an earlier document has too."""
     small_batches(docs.sparkSession, BATCH_ROWS)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = stash(own.mapInArrow(_scan(window), "doc_id long, key binary, n_words long, sha string, least array<long>"), "op7-scan")
+    levels = lengths(window, start)
+    own = with_rows(docs)
+    scan = stash(own.mapInArrow(_scan(window, levels[0]), "doc_id long, row long, key binary, n_words long, sha string, least array<long>"), "op7-scan")
     # of equal word sequences only the first can be the earliest holder of a window, or is in doubt
     first = stash(scan.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first")), "op7-first")
     asked = scan.filter("size(least) > 0").join(first, [scan["key"] == first["key"], scan["doc_id"] == first["first"]], "left_semi")
-    level1 = asked.select("doc_id", F.explode("least").alias("h"))
-    twice = level1.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
-    repeated = level1.join(stash(twice, "op7-half"), "h").groupBy("doc_id").agg(F.collect_list("h").alias("repeated"))
-    texts = own.filter("doc_id is not null and text is not null").join(repeated, "doc_id")
-    level2 = stash(texts.mapInArrow(_extend(window), "doc_id long, h1 long, h2 long, pos int"), "op7-full")
-    found = level2.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
-    places = (
-        level2.join(stash(found, "op7-found"), ["h1", "h2"])
-        .filter("doc_id > lo")
-        .groupBy("doc_id")
-        .agg(F.collect_list("pos").alias("places"))
-    )
+    alive = _repeated(asked.select(*ROW, F.explode("least").alias("h")), "op7-level-0").select(*ROW, F.array("found").alias("repeated"))
+    sound = own.filter("doc_id is not null and text is not null")
+    for k, length in enumerate(levels[1:-1], 1):
+        alive = stash(alive, "op7-alive")
+        if alive.isEmpty():
+            break
+        parts = stash(sound.join(alive, ROW).mapInArrow(_level(window, levels[:k], length), "doc_id long, row long, h long"), "op7-parts")
+        alive = alive.join(_repeated(parts, f"op7-level-{k}"), ROW).select(*ROW, F.concat("repeated", F.array("found")).alias("repeated"))
+    full = stash(sound.join(alive, ROW).mapInArrow(_extend(window, levels[:-1] or levels), "doc_id long, row long, h1 long, h2 long, pos int"), "op7-full")
+    found = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    places = full.join(stash(found, "op7-found"), ["h1", "h2"]).filter("doc_id > lo").groupBy(*ROW).agg(F.collect_list("pos").alias("places"))
     return scan.join(first, "key", "left"), places
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text where words went (else null: unchanged)."""
-    scan, places = removed_windows(docs, window)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def with_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of the text, so that rows of one doc_id stay apart), text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, start: int = START) -> DataFrame:
+    """A row per document: doc_id, n_words, n_removed, kept_sha256, and kept_text where words went (else null: unchanged)."""
+    scan, places = removed_windows(docs, window, start)
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window), F.lit(False))
     places = stash(places, "op7-places")
-    touched = places.select("doc_id", F.lit(True).alias("touched"))
-    state = scan.select("doc_id", "n_words", "sha", copy.alias("copy")).join(touched, "doc_id", "left")
+    touched = places.select(*ROW, F.lit(True).alias("touched"))
+    state = scan.select(*ROW, "n_words", "sha", copy.alias("copy")).join(touched, ROW, "left")
     whole = state.filter("copy or touched is null").select(
         "doc_id",
         "n_words",
@@ -165,5 +199,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.when(F.col("copy"), F.lit(EMPTY)).otherwise(F.col("sha")).alias("kept_sha256"),
         F.when(F.col("copy"), F.lit("")).alias("kept_text"),
     )
-    firsts = own.join(places, "doc_id").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    firsts = with_rows(docs).join(places, ROW).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return whole.unionByName(firsts)
