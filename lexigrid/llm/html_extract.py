@@ -5,7 +5,7 @@ for either label, which are the capacities of its edges to source (content) and
 join neighbours in the page and the nearest blocks of one parent, stronger the closer they lie in the DOM. The
 minimum cut, found by max-flow, labels all blocks of a page at once.
 
-Elements such as nav or aside, roles and hidden elements are outside of the article for good. A class or id that sounds so, or a
+Elements such as nav or aside, roles and hidden elements are outside of the article for good; a header within an article is its own, with its headline. A class or id that sounds so, or a
 form, is only a cost: high where most of the page's running text is elsewhere, low for a wrapper that holds nearly all of it.
 
 Blocks end where a block element begins or ends; within a block, white space, line breaks and the edges of
@@ -59,14 +59,27 @@ RUNNING_WORDS = 10
 NEXT_TO, SAME_PARENT = 0.4, 0.8
 
 
+class Element:
+    """An open element. Elements and blocks point to what they stand in, so a page takes memory in proportion to its length however deep it is."""
+
+    __slots__ = ("name", "number", "up", "depth", "home", "at", "inside", "outside", "named")
+
+    def __init__(self, name: str, number: int, on: "Element | None", at: int, inside: bool, outside: bool, named: int) -> None:
+        """on: the element that it stands in; at: its place on the stack; named: the innermost element around with a name (see NAMES), or -1."""
+        self.name, self.number, self.at, self.inside, self.outside, self.named = name, number, at, inside, outside, named
+        self.up = on.home if on else None  # the block element around
+        self.depth = self.up.depth + 1 if self.up else 0
+        self.home: Element = on.home if on and name in INLINE else self  # the innermost block element
+
+
 class Block:
-    __slots__ = ("parts", "linked", "tag", "path", "inside", "outside", "named", "name_cost")
+    __slots__ = ("parts", "linked", "home", "inside", "outside", "named", "name_cost")
 
-    def __init__(self, tag: str, path: tuple[int, ...], inside: bool, outside: bool, named: tuple[int, ...] = ()) -> None:
+    def __init__(self, home: Element, inside: bool = False, outside: bool = False, named: int = -1) -> None:
         self.parts: list[str] = []
         self.linked = 0
-        self.tag, self.path, self.inside, self.outside, self.named = tag, path, inside, outside, named
-        self.name_cost = NAMED_MOST if named else 0.0
+        self.home, self.inside, self.outside, self.named = home, inside, outside, named
+        self.name_cost = NAMED_MOST if named >= 0 else 0.0
 
 
 def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
@@ -90,7 +103,8 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
 def blocks_of(html: str) -> list[tuple[str, Block]]:
     """The text blocks of a page in order, with their texts."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool, tuple[int, ...]]] = [("", 0, False, False, ())]  # name, number, inside, outside, numbers of named ones
+    stack = [Element("", 0, None, 0, False, False, -1)]
+    named_in: list[int] = []  # of each named element, the named one around
     open_ = Counter[str]()  # names on the stack
     number, at = 0, 0
     current: Block | None = None
@@ -102,8 +116,8 @@ def blocks_of(html: str) -> list[tuple[str, Block]]:
         if current is None:
             if chunk.isspace():
                 return
-            owner = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
-            current = Block(owner[0], tuple(e[1] for e in stack if e[0] not in INLINE), stack[-1][2], stack[-1][3], stack[-1][4])
+            top = stack[-1]
+            current = Block(top.home, top.inside, top.outside, top.named)
             found.append(current)
         chunk = unescape(chunk) if "&" in chunk else chunk
         current.parts.append(chunk)
@@ -112,11 +126,11 @@ def blocks_of(html: str) -> list[tuple[str, Block]]:
 
     def close(k: int) -> None:
         while len(stack) > k:
-            open_[stack.pop()[0]] -= 1
+            open_[stack.pop().name] -= 1
 
     def block_at() -> int:
         """The place of the innermost open block element, or 0."""
-        return next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in INLINE), 0)
+        return stack[-1].home.at
 
     while m := START.search(html, at):
         text(html[at : m.start()])
@@ -147,53 +161,62 @@ def blocks_of(html: str) -> list[tuple[str, Block]]:
         if m[1]:
             if not open_[name]:
                 continue  # a stray end
-            k = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name)
-            if block or block_at() < k:  # else an inline end across a block
+            # an inline element's end counts up to the innermost block only
+            k = next((i for i in range(len(stack) - 1, 0 if block else block_at(), -1) if stack[i].name == name), 0)
+            if k:
                 close(k)
             continue
         if name in VOID:
             continue
         if block:
             k = block_at()
-            if stack[k][0] == "p" or k and stack[k][0] in CLOSES.get(name, ()):
+            if stack[k].name == "p" or k and stack[k].name in CLOSES.get(name, ()):
                 close(k)
-                while (k := block_at()) and stack[k][0] in CLOSES.get(name, ()):
+                while (k := block_at()) and stack[k].name in CLOSES.get(name, ()):
                     close(k)
         if not m[3].endswith("/"):
-            inside, outside, named = _marks(name, m[3])
+            inside, outside, named = _marks("div" if name == "header" and open_["article"] else name, m[3])
             number += 1
             top = stack[-1]
-            outside = (outside or top[3]) and not (name in ("html", "body"))
-            stack.append((name, number, inside or top[2], outside, (*top[4], number) if named else top[4]))
+            outside = (outside or top.outside) and not (name in ("html", "body"))
+            if named:
+                named_in.append(top.named)
+            stack.append(Element(name, number, top, len(stack), inside or top.inside, outside, len(named_in) - 1 if named else top.named))
             open_[name] += 1
-        if current is not None and (stack[-1][3] != current.outside or stack[-1][4] != current.named):
+        if current is not None and (stack[-1].outside != current.outside or stack[-1].named != current.named):
             current = None  # an inline element that is marked: a block of its own
     text(html[at:])
     rows = [(t, b) for b in found if (t := " ".join("".join(b.parts).split()))]
-    _weigh_names(rows)
+    _weigh_names(rows, named_in)
     return rows
 
 
-def _weigh_names(rows: list[tuple[str, Block]]) -> None:
+def _weigh_names(rows: list[tuple[str, Block]], named_in: list[int]) -> None:
     """Sets name_cost: the most that one of the named elements around a block costs, by how much running text is in it and elsewhere."""
-    own, total = Counter[int](), 0
+    own, total = [0] * len(named_in), 0
     for t, b in rows:
         words = t.count(" ") + 1
         if not b.outside and words >= RUNNING_WORDS and 2 * b.linked < len(t):
             total += words
-            for k in b.named:
-                own[k] += words
+            if b.named >= 0:
+                own[b.named] += words
+    for k in range(len(own) - 1, -1, -1):  # what stands in another comes later
+        if named_in[k] >= 0:
+            own[named_in[k]] += own[k]
+    rest = [min(1.0, (total - n) / n) if n else 1.0 for n in own]
+    for k, around in enumerate(named_in):
+        if around >= 0:
+            rest[k] = max(rest[k], rest[around])
     for _, b in rows:
-        if b.named:
-            rest = max(min(1.0, (total - own[k]) / own[k]) if own[k] else 1.0 for k in b.named)
-            b.name_cost = NAMED_LEAST + (NAMED_MOST - NAMED_LEAST) * rest * rest
+        if b.named >= 0:
+            b.name_cost = NAMED_LEAST + (NAMED_MOST - NAMED_LEAST) * rest[b.named] ** 2
 
 
 def costs(text: str, block: Block) -> tuple[float, float]:
     """(cost of calling the block boilerplate, cost of calling it content)."""
     words = text.count(" ") + 1
     links = min(1.0, block.linked / len(text))
-    content = 0.3 + min(3.0, words / 12) + 0.7 * (text[-1] in ".!?:;\"”»…") + 0.8 * (block.tag in ("p", "pre", "blockquote", "h1"))
+    content = 0.3 + min(3.0, words / 12) + 0.7 * (text[-1] in ".!?:;\"”»…") + 0.8 * (block.home.name in ("p", "pre", "blockquote", "h1"))
     boiler = 0.2 + 3.5 * links + 1.5 * ("©" in text)
     if block.inside:
         content, boiler = content + 6, boiler * 0.5
@@ -297,20 +320,25 @@ def content_labels(pairs: list[tuple[float, float]], edges: list[tuple[int, int,
     return [bool(x) for x in label]
 
 
+def apart(a: Element, b: Element) -> int:
+    """Steps from one element to another in the DOM. Over the neighbours of a page they add up to twice its elements at most."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
+
+
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1]
-            common = 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                common += 1
-            apart = len(a.path) + len(b.path) - 2 * common
-            edges.append((i - 1, i, NEXT_TO / (1 + apart / 2)))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            edges.append((i - 1, i, NEXT_TO / (1 + apart(blocks[i - 1].home, b.home) / 2)))
+        parent = (b.home.up or b.home).number
         if parent in last:
             edges.append((last[parent], i, SAME_PARENT))
         last[parent] = i

@@ -13,7 +13,8 @@ from lexigrid.llm import toxicity as X
 from lexigrid.llm.byte_bpe import byte_bpe, load_ranks, merge
 from lexigrid.llm.queries import QUERIES
 from lexigrid.llm.token_counts import MARK, Automaton, load_pieces, token_counts
-from lexigrid.llm.vector_search import chi_square_cdf, nearest
+from lexigrid.llm import vector_search as V
+from lexigrid.llm.vector_search import chi_square_cdf, chi_square_quantile, nearest
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -173,9 +174,41 @@ def test_cut_is_minimal():
         assert abs(cost(H.content_labels(pairs, edges)) - best) < 1e-9
 
 
+def test_cut_outweighs_costs():
+    """A block that is mostly a link, and by its own costs boilerplate, stays among the paragraphs of its parent; in a list of links it goes."""
+    line = "Read on in <a href=/2>the second part of this long story about</a> it"
+    body = f"<div><p>{PROSE[0]}</p><p>{line}</p><p>{PROSE[1]}</p></div>"
+    rows = H.blocks_of(body)
+    alone = [a > b for a, b in (H.costs(t, b) for t, b in rows)]
+    assert alone == [True, False, True] and H.main_text(body).count("\n\n") == 2
+    links = "".join(f"<li>{line}</li>" for _ in range(4))
+    assert H.main_text(f"<div><p>{PROSE[0]}</p><p>{PROSE[1]}</p></div><ul>{links}</ul>") == "\n\n".join(PROSE[:2])
+
+
+@pytest.mark.parametrize("start", ['div class="has-sidebar"', 'div id="page" class="layout no-sidebar"', 'div class="single-post comments-open"', 'article class="post tag-legal"', 'main class="no-menu"', 'div class="content search"'])
+def test_main_text_of_named_wrappers(start):
+    name = start.split()[0]
+    assert H.main_text(f"<{start}><p>{PROSE[0]}</p><p>{PROSE[1]}</p></{name}>") == "\n\n".join(PROSE[:2])
+
+
+def test_main_text_keeps_an_articles_own_header():
+    page = f"<body><header><a href=/>Site</a></header><article><header><h1>The headline</h1></header><p>{PROSE[0]}</p></article></body>"
+    assert H.main_text(page) == f"The headline\n\n{PROSE[0]}"
+
+
 def test_hard_pages_end():
     for page in ("<div>" * 20_000 + "x y z" + "</div>" * 20_000, "<a " * 50_000, "<!-- " * 50_000, "<script " * 20_000, "<p " + 'a="' * 50_000, "<p>" + "<b>" * 5_000 + "text"):
         H.main_text(page)
+    import time
+    import tracemalloc
+
+    deep = {name: f"<{name}>x" * 50_000 for name in ("div", 'div class="menu"', "b", "b><div", "i></b")}
+    tracemalloc.start()
+    began = time.process_time()
+    for page in deep.values():
+        H.main_text(page)
+    assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
     many = "".join(f"<p>Sentence number {i} of a very long page.</p>" for i in range(20_000))
     assert H.main_text(many).count("\n\n") == 19_999
 
@@ -258,6 +291,50 @@ def test_chi_square():
     assert abs(chi_square_cdf(np.array([7.344]), 8)[0] - 0.5) < 1e-3 and chi_square_cdf(np.array([0.0]), 8)[0] == 0
 
 
+    assert abs(chi_square_quantile(0.5, 8) - 7.344) < 1e-3
+
+
+def clustered(n, d=32, seed=3):
+    """Unit vectors around 200 centres."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((200, d))[r.integers(0, 200, n)] + 0.25 * r.standard_normal((n, d))
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def recall(found, x, queries, k=20):
+    """Share of the k nearest of each query, by brute force, that were found."""
+    shares = []
+    for q, own in zip(queries, found, strict=True):
+        score = x @ x[q]
+        score[q] = -np.inf
+        shares.append(len(set(np.argpartition(-score, k)[:k].tolist()) & set(own)) / k)
+    return float(np.mean(shares))
+
+
+def test_cell_recall_and_share():
+    """The index finds nine tenths of the nearest and verifies less than half of the rows: it is no brute force."""
+    x = clustered(20_000)
+    queries = np.arange(0, 20_000, 100)
+    places, verified = V.Cell(x, V.Space(32, 1.0)).search(x[queries], 21)
+    found = [sorted(own[own >= 0].tolist(), key=lambda i: -x[i] @ x[q])[1:21] for q, own in zip(queries, places, strict=True)]
+    assert recall(found, x, queries) >= 0.9
+    assert verified.mean() < 0.5 * len(x)
+
+
+def test_index_recall_and_cells(spark):
+    x = clustered(20_000)
+    own = spark.createDataFrame(enumerate(x.tolist()), "vec_id long, v array<double>").withColumn("d", F.size("v"))
+    index = V.Index(own, 20, cell_rows=1_000)
+    hits = index.nearest(own.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "d", "v"), 21)
+    best: dict = {}
+    for r in sorted(hits.collect(), key=lambda r: (r.q, -r.score)):
+        best.setdefault(r.q, []).append(r.vec_id)
+    queries = sorted(best)
+    assert index.n_cells >= 16 and index.n_rows == 20_000 and len(queries) == 200
+    assert recall([best[q][1:21] for q in queries], x, queries) >= 0.9
+    assert index.visited.count() < 0.5 * len(queries) * index.n_cells
+
+
 def brute_neighbours(rows, query_ids, k):
     out = {}
     for q, v in rows:
@@ -280,7 +357,7 @@ def test_nearest_recall(spark, sf):
         assert [k for k, _, _ in found] == list(range(1, 21)) and [s for *_, s in found] == sorted((s for *_, s in found), reverse=True)
 
 
-def test_nearest_odd(spark):
+def test_nearest_odd(spark, monkeypatch):
     r = np.random.default_rng(5)
     same = r.standard_normal(6).tolist()
     rows = [(i, same) for i in range(0, 60)] + [(i, r.standard_normal(6).tolist()) for i in range(60, 200)] + [(i, r.standard_normal(3).tolist()) for i in range(200, 212)]
@@ -289,9 +366,11 @@ def test_nearest_odd(spark):
     table = table.withColumns({c: F.lit(1) for c in ("rank", "score", "q", "v", "shard")})
     ids = F.col("vec_id") % 20 == 0
     want = brute_neighbours(rows, {i for i, _ in rows if i % 20 == 0}, 20)
-    for shard, block in ((32_768, 2_048), (40, 3)):
+    for cell, shard, block in ((8_192, 32_768, 16_384), (40, 32_768, 16_384), (40, 15, 3)):
+        monkeypatch.setattr(V, "SHARD_ROWS", shard)
+        monkeypatch.setattr(V, "BLOCK_ROWS", block)
         got: dict = {}
-        for x in nearest(table, ids, 20, sure=1.0, shard_rows=shard, block_rows=block).orderBy("query_id", "rank").collect():
+        for x in nearest(table, ids, 20, sure=1.0, cell_rows=cell).orderBy("query_id", "rank").collect():
             got.setdefault(x.query_id, []).append((x.vec_id, x.score))
         assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
         assert len(got[200]) == 11
