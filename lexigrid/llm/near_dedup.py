@@ -16,8 +16,8 @@ has are put aside. So documents that share one passage with thousands of others
 them, no link is lost, and no partner is capped.
 
 Edge cases: a null text is in no class but its own, as is a row without doc_id; empty texts are copies of each other;
-a text under five words is only like texts of the same words; ties go to the smaller doc_id, and repeated rows
-share a class; an empty table gives an empty one; other columns are not looked at.
+a text under five words is only like texts of the same words; ties go to the smaller doc_id; rows that share a doc_id
+are one document, so their texts share a class; an empty table gives an empty one; other columns are not looked at.
 """
 
 import hashlib
@@ -40,6 +40,8 @@ TOGETHER = 16_000
 CELLS = 1 << 20
 #: Buckets of up to so many members may be compared pair by pair across their components.
 SMALL = 12
+#: Candidates' ids are broadcast up to so many (some 30 MB), to keep other texts out of the shuffle; beyond, the join shuffles all texts once.
+BROADCAST_IDS = 1_000_000
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -143,19 +145,19 @@ def _verify(shingle: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHash()
-        recent: dict[int, tuple] = {}
+        recent: dict[str, tuple] = {}
 
-        def shingles(doc: int, text: str) -> tuple:
-            if doc not in recent:
+        def shingles(text: str) -> tuple:
+            if text not in recent:
                 if len(recent) >= 64:
                     recent.pop(next(iter(recent)))
-                recent[doc] = _weighted(text, shingle, cache)
-            return recent[doc]
+                recent[text] = _weighted(text, shingle, cache)
+            return recent[text]
 
         for batch in batches:
             rows = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                alike = max(similarity(shingles(a, ta), shingles(b, tb)))
+                alike = max(similarity(shingles(ta), shingles(tb)))
                 if alike >= least:
                     rows.append((a, b, alike))
             cols = list(zip(*rows, strict=True)) or [[], [], []]
@@ -205,12 +207,14 @@ class NearDuplicates:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(edges a, b, alike between representatives; v, comp of those that have an edge)."""
         members = self.candidates()
-        ids = members.select(F.col("rep").alias("doc_id")).distinct()
-        texts = stash(self.docs.filter("doc_id is not null and text is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "op3-texts")
+        ids = stash(members.select(F.col("rep").alias("doc_id")).distinct(), "op3-ids")
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        own = self.docs.filter("doc_id is not null and text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        texts = stash(own.withColumn("row", F.xxhash64("text")).dropDuplicates(["doc_id", "row"]).drop("row"), "op3-texts")
         weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
         ranked = members.join(weight, "rep").withColumn("order", F.struct(-F.col("weight"), F.col("rep")))
         stars = stash(_stars(ranked).distinct(), "op3-stars")
-        edges = stash(self.verified(stars, texts), "op3-edges")
+        edges = stash(self.verified(stars, texts).unionByName(self.same_document()), "op3-edges")
         comps = components(edges)
         left = _unresolved(members, comps)
         small = left.filter(F.col("n") <= SMALL)
@@ -224,8 +228,21 @@ class NearDuplicates:
         edges = stash(edges.unionByName(self.verified(more, texts)), "op3-edges")
         return edges, components(edges)
 
+    def member(self) -> DataFrame:
+        """doc_id, rep of every row that has both."""
+        return self.signed.select("doc_id", "key").join(self.firsts.select("key", "rep"), "key").select("doc_id", "rep")
+
+    def same_document(self) -> DataFrame:
+        """Edges between the representatives of the texts of one doc_id."""
+        member = self.member()
+        several = stash(member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("doc_id", "a"), "op3-several")
+        return member.join(several, "doc_id").filter("rep != a").select("a", F.col("rep").alias("b"), F.lit(1.0).alias("alike")).distinct()
+
     def prefix_pairs(self, members: DataFrame, texts: DataFrame) -> DataFrame:
-        """a < b of members (rep, comp) of different components that may be alike: a superset of all that are."""
+        """a < b of members (rep, comp) of different components that may be alike: a superset of all that are.
+
+        Under each key, one side of a pair is outside of the key's largest component, so a component of any size meets only
+        those outside of it."""
         own = stash(texts.join(members, F.col("doc_id") == F.col("rep")).select("rep", "comp", "text"), "op3-hot")
         cells = own.mapInArrow(_cells(self.shingle), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         often = np.zeros(CELLS, dtype=np.int64)
@@ -234,20 +251,23 @@ class NearDuplicates:
         rows = stash(own.mapInArrow(_prefix_rows(self.shingle, self.least, shipped), "rep long, comp long, token long, part int, role int, place int, size int, weighted boolean"), "op3-prefix")
         key = ["token", "part"]
         # two documents of which none repeats a shingle are left to the parts of sets
-        mixed = rows.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("weighted").alias("any_weighted")).filter("lo < hi and (part >= 0 or any_weighted)")
-        rows = stash(rows.join(stash(mixed.select(*key), "op3-keys"), key), "op3-mixed")
-        side = lambda role, c: rows.filter(F.col("role") != role).select(*key, F.col("rep").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "place", "size", "weighted")])
+        sizes = rows.groupBy(*key, "comp").agg(F.count("*").alias("n"), F.max("weighted").alias("any_weighted"))
+        mixed = sizes.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("any_weighted").alias("any_weighted"), F.max(F.struct("n", "comp")).alias("most"))
+        mixed = mixed.filter("lo < hi and (part >= 0 or any_weighted)").select(*key, F.col("most.comp").alias("largest"))
+        rows = stash(rows.join(stash(mixed, "op3-keys"), key).withColumn("inside", F.col("comp") == F.col("largest")), "op3-mixed")
+        side = lambda role, c: rows.filter(F.col("role") != role).select(*key, F.col("rep").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "place", "size", "weighted", "inside")])
         # if this is the first shingle that a pair shares, it shares no more than what follows in either
         share = self.least / (1 + self.least)
         sets = f"part >= 0 and sx <= sy and least(sx - px, sy - py) >= ceil({share!r} * (sx + sy) - 1e-9)"
-        found = side(1, "x").join(side(0, "y"), key).filter(f"cx != cy and x != y and ({sets} or part < 0 and (wx or wy))")
+        x, y = side(1, "x"), side(0, "y")
+        met = x.filter("not ix").join(y, key).unionByName(x.filter("ix").join(y.filter("not iy"), key))
+        found = met.filter(f"cx != cy and x != y and ({sets} or part < 0 and (wx or wy))")
         return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def classes(self) -> DataFrame:
         """doc_id, class_id for every row: the least doc_id of its class."""
         _, comps = self.links()
-        member = self.signed.select("doc_id", "key").join(self.firsts.select("key", "rep"), "key").join(comps, F.col("rep") == F.col("v"), "left")
-        sound = member.select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
+        sound = self.member().join(comps, F.col("rep") == F.col("v"), "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
         rest = self.docs.filter("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"))
         return sound.unionByName(rest)
 

@@ -158,15 +158,22 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
-#: Similarity of sets of shingles: on tables where no document's repeated shingles decide, the same as that of weighted ones.
+#: Alike by the sets of shingles or, for documents that repeat some, by the probability Jaccard of their counts.
 OP3_SQL = f"""
 WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 shingles AS (
-  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM docs)),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE c >= 0.8 * (p.n + q.n - c)),
+  SELECT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s, count(*) AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM docs) GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n, sum(w)::BIGINT AS total, max(w) > 1 AS repeats FROM shingles GROUP BY doc_id),
+sets AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, sum(a.w)::DOUBLE AS wx, sum(b.w)::DOUBLE AS wy FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT x, y, c >= 0.8 * (p.n + q.n - c) AS alike, p.repeats OR q.repeats AS weighted, p.total - wx AS only_x, q.total - wy AS only_y FROM sets JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id),
+counted AS (
+  SELECT x, y, a.w AS wx, b.w AS wy, only_x, only_y, a.w::DOUBLE / b.w AS ratio
+  FROM pairs JOIN shingles a ON a.doc_id = x JOIN shingles b ON b.doc_id = y AND a.s = b.s WHERE weighted AND NOT alike),
+rates AS (
+  SELECT x, y, (sum(wx) OVER before + only_x) / wx + (sum(wy) OVER (PARTITION BY x, y) - sum(wy) OVER before + only_y) / wy AS rate
+  FROM counted WINDOW before AS (PARTITION BY x, y ORDER BY ratio DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+links AS (SELECT x, y FROM pairs WHERE alike UNION ALL SELECT x, y FROM rates GROUP BY x, y HAVING sum(1 / rate) >= 0.8),
 both_ways AS (SELECT x AS v, y AS u FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT v, u FROM both_ways UNION SELECT r.v, b.u FROM reach r JOIN both_ways b ON r.u = b.v)
 SELECT doc_id, least(doc_id, coalesce(lowest, doc_id)) AS class_id FROM docs LEFT JOIN (SELECT v, min(u) AS lowest FROM reach GROUP BY v) ON doc_id = v"""

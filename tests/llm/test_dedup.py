@@ -8,7 +8,7 @@ import pytest
 from lexigrid.llm import near_dedup as N
 from lexigrid.llm.line_dedup import common_blocks, line_dedup, patience
 from lexigrid.llm.near_dedup import components, near_duplicates, prob_minhash, similarity
-from lexigrid.llm.substring_dedup import substring_dedup
+from lexigrid.llm.substring_dedup import lengths, substring_dedup
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string"
@@ -34,8 +34,8 @@ def brute_substrings(docs, window=50):
     return out
 
 
-def check_substrings(spark, docs, window=50):
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(spark.createDataFrame(docs, DOC), window).collect()}
+def check_substrings(spark, docs, window=50, start=25):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(spark.createDataFrame(docs, DOC), window, start).collect()}
     assert got == brute_substrings(docs, window)
 
 
@@ -44,8 +44,12 @@ def test_substrings_sf(spark, sf):
     check_substrings(spark, docs)
 
 
-@pytest.mark.parametrize("window", [6, 7, 50])
-def test_substrings_random(spark, window):
+def test_lengths():
+    assert lengths(50, 25) == [25, 50] and lengths(100, 25) == [25, 50, 100] and lengths(7, 1) == [1, 3, 7] and lengths(7, 25) == [7]
+
+
+@pytest.mark.parametrize("window, start", [(6, 3), (7, 1), (7, 25), (50, 25), (50, 3), (100, 25)])
+def test_substrings_random(spark, window, start):
     r = random.Random(window)
     passage = [f"p{i}" for i in range(2 * window)]
     docs = []
@@ -57,7 +61,16 @@ def test_substrings_random(spark, window):
             words[at:at] = passage[a : a + n]
         docs.append((i, " ".join(words)))
     docs += [(100, docs[3][1]), (101, docs[3][1]), (102, None), (103, ""), (104, "w " * (3 * window)), (105, "w " * (5 * window)), (106, docs[6][1].replace(" ", "\n"))]
-    check_substrings(spark, docs, window)
+    check_substrings(spark, docs, window, start)
+
+
+def test_substrings_of_a_shared_doc_id(spark):
+    """Rows of one doc_id lose what their own text shares with earlier documents, and nothing to each other."""
+    a, b = (" ".join(f"{x}{k}" for k in range(70)) for x in "ab")
+    rows = substring_dedup(spark.createDataFrame([(5, a), (5, b), (1, a[: a.index(" a60")])], DOC)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in rows) == [(1, 60, 0), (5, 70, 0), (5, 70, 60)]
+    rows = substring_dedup(spark.createDataFrame([(5, a), (5, a + " tail"), (6, a)], DOC)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in rows) == [(5, 70, 0), (5, 71, 0), (6, 70, 70)]
 
 
 def test_substrings_odd(odd, none):
@@ -258,6 +271,42 @@ def test_near_repeated_passage(spark):
     assert got == brute_classes(docs) == {i: i - i % 2 for i, _ in docs}
 
 
+def test_near_sql(spark, sf):
+    """The SQL states the whole rule: sets, or counts where documents repeat shingles."""
+    import duckdb
+
+    from lexigrid.llm.queries import OP3_SQL
+
+    r = random.Random(4)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(1000 + i, t) for i, t in repeating(5)]
+    docs += [(2000, " ".join(f"w{k}" for k in range(80))), (2001, " ".join(f"w{k}" for k in range(80)) + " p q" * 1000)]
+    passage = " ".join(f"q{k}" for k in range(9))
+    for i in range(12):  # alike by counts, not as sets
+        docs.append((3000 + i, " ".join([passage] * 60 + [f"n{i}_{k}" for k in range(r.randrange(8, 20))])))
+    documents = spark.createDataFrame(docs, DOC)
+    con = duckdb.connect()
+    con.register("documents", documents.toArrow())
+    got = sorted(map(tuple, near_duplicates(documents).collect()))
+    assert got == sorted(con.execute(OP3_SQL).fetchall())
+    by = dict(got)
+    assert by[2001] == 2000 and by[3011] == 3000 != brute_classes(docs)[3011]
+
+
+def test_near_shared_doc_id(spark):
+    """Rows of one doc_id are one document: the texts' classes are one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, a), (1, a + " tail"), (7, b + " tail"), (9, c)]
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, DOC)).collect()))
+    assert got == [(1, 1), (5, 1), (5, 1), (5, 1), (7, 1), (9, 9)]
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_near_by_either_join(spark, monkeypatch, few):
+    monkeypatch.setattr(N, "BROADCAST_IDS", few)
+    docs = planted(7, 2)[::2]
+    assert {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, DOC)).collect()} == brute_classes(docs)
+
+
 def test_prefix_filter_finds_repeated_passages(spark):
     docs = repeating(20)
     near = N.NearDuplicates(spark.createDataFrame(docs, DOC))
