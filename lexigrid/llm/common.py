@@ -1,5 +1,6 @@
 """What the operators of this subpackage share: intermediate tables, batches, words and window hashes."""
 
+import re
 import tempfile
 import uuid
 from itertools import chain
@@ -13,25 +14,31 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Entries that a Python worker's word cache may hold.
 CACHE = 120_000
-#: The same for results that take longer to make.
-KEEP = 250_000
+#: The same for results that take longer to make; and the longest key that a cache holds, so that its bytes are bounded too.
+KEEP, LONG = 250_000, 64
 #: Rows of an Arrow batch; with whole texts, a batch is a few MB.
 BATCH_ROWS = 512
 
 #: Paths that stash() wrote.
 STASHED: list[str] = []
+#: The folder that stands in for a shared one in local mode.
+LOCAL: list[str] = []
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a new local one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. In local mode, where one machine holds all, a new one stands in
+    for it; a cluster must name one, as its executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not LOCAL:
+        LOCAL.append("file://" + tempfile.mkdtemp(prefix="lexigrid-"))
+    return LOCAL[0]
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
@@ -44,16 +51,21 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stashes(spark: SparkSession) -> None:
-    """Removes what stash() wrote in this process; results that aren't read yet need it, so call this after their last use."""
+def drop_stashes(spark: SparkSession, keep: list[str] | None = None) -> None:
+    """Removes what stash() wrote in this process, but for the paths in keep; results that aren't read yet need it, so call
+    this after their last use."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while STASHED:
-        path = jvm.org.apache.hadoop.fs.Path(STASHED.pop())
+    for name in [x for x in STASHED if x not in (keep or [])]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        STASHED.remove(name)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Arrow batches of texts, for the session, have no more rows than this; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -74,13 +86,16 @@ def as_bytes(text: str | None) -> bytes:
 
 
 class Recent(dict):
-    """Remembers results of make(key) for the last KEEP to 2 KEEP different keys: what isn't asked for while KEEP others come is forgotten."""
+    """Remembers results of make(key) for the last KEEP to 2 KEEP different keys: what isn't asked for while KEEP others come is forgotten.
+    Those of keys longer than LONG are made anew each time."""
 
     def __init__(self, make) -> None:
         super().__init__()
         self.make, self.old = make, {}
 
     def __missing__(self, key):
+        if len(key) > LONG:
+            return self.make(key)
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
@@ -95,9 +110,11 @@ class WordHash(dict):
     """64-bit hashes of words; forgets all when full, so its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = h
         return h
 
 

@@ -6,13 +6,15 @@ every run, for any partitioning. A rate above MOST_RATE is a sum of several draw
 a hash of its own. The copies then lie in one global random order.
 
 Edge cases: a null source is the source ''; a null text counts as empty; a source without a weight
-keeps rate 0 where explicit weights are given; repeated rows draw alike; an empty table gives an empty one.
+keeps rate 0 where explicit weights are given; repeated rows, and rows that share a doc_id, draw alike, as do those without one; a table
+without any character gives an empty one, as does an empty one; other columns pass through, and where one has the name of an added column, that one is
+added with underscores in front.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import stash
+from lexigrid.llm.common import free_name, stash
 
 #: Sources are sampled in proportion to their characters to this power, unless weights are given.
 TEMPERATURE = 0.5
@@ -65,27 +67,26 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as its draw says, with mix_rate, mix_copy (from 1) and mix_key,
+    """The rows of docs, each as often as its draw says, with mix_source, mix_rate, mix_copy (from 1) and mix_key,
     dealt out by mix_key and sorted by it within partitions: a global shuffle in one exchange.
 
     The table of rates has a row per source. It is broadcast if it has at most BROADCAST_SOURCES rows; else the
     rows of each source are dealt over SALTS tasks for the join."""
-    own = ["mix_source", "mix_rate", "mix_copy", "mix_key"]
-    rates = stash(source_rates(docs, weights, temperature).withColumnRenamed("rate", "mix_rate"), "op5-rates")
-    keep = docs.drop(*own)
-    named = keep.withColumn("mix_source", F.coalesce(F.col("source"), F.lit("")))
-    if rates.count() <= BROADCAST_SOURCES:
-        drawn = named.join(F.broadcast(rates), "mix_source")
+    named_rates = source_rates(docs, weights, temperature).select(F.col("mix_source").alias("__op5_source"), F.col("rate").alias("__op5_rate"))
+    rates = stash(named_rates, "op5-rates")
+    named = docs.withColumn("__op5_source", F.coalesce(F.col("source"), F.lit("")))
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        drawn = named.join(F.broadcast(rates), "__op5_source")
     else:
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rates.withColumn("__op5_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        drawn = named.withColumn("mix_salt", salt).join(salted, ["mix_source", "mix_salt"])
-    count = copies_drawn(seed, F.col("doc_id"), F.col("mix_rate"))
+        drawn = named.withColumn("__op5_salt", salt).join(salted, ["__op5_source", "__op5_salt"])
     copies = (
-        drawn.withColumn("mix_count", count)
-        .filter("mix_count > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
-        .withColumn("mix_key", uniform(seed + 1, F.col("doc_id"), F.col("mix_copy")))
+        drawn.withColumn("__op5_count", copies_drawn(seed, F.col("doc_id"), F.col("__op5_rate")))
+        .filter("__op5_count > 0")
+        .withColumn("__op5_copy", F.explode(F.sequence(F.lit(1), F.col("__op5_count"))))
+        .withColumn("__op5_key", uniform(seed + 1, F.col("doc_id"), F.col("__op5_copy")))
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(parts, "mix_key").sortWithinPartitions("mix_key").select(*keep.columns, *own)
+    added = [F.col(f"__op5_{c}").alias(free_name(docs, f"mix_{c}")) for c in ("source", "rate", "copy", "key")]
+    return copies.repartition(parts, "__op5_key").sortWithinPartitions("__op5_key").select(*[F.col(f"`{c}`") for c in docs.columns], *added)

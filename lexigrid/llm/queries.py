@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lexigrid.llm.byte_bpe import byte_bpe
 from lexigrid.llm.html_extract import extract_main_text
 from lexigrid.llm.line_dedup import BLOCK_WORDS, line_dedup
-from lexigrid.llm.mixing import SEED, TEMPERATURE, mix_sources
+from lexigrid.llm.mixing import MOST_RATE, SEED, TEMPERATURE, mix_sources
 from lexigrid.llm.near_dedup import near_duplicates
 from lexigrid.llm.quality import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from lexigrid.llm.substring_dedup import substring_dedup
@@ -104,26 +104,32 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest is taken of the texts after they were shuffled."""
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_copy").alias("copy_no"), F.round("mix_rate", 6).alias("rate"), F.col("mix_key").alias("shuffle_key"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
+    return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_copy").alias("copy_no"), F.round("mix_rate", 6).alias("rate"), F.col("mix_key").alias("shuffle_key"), digest)
 
 
 def _uniform_sql(seed: int, *keys: str) -> str:
     return f"((('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 13))::BIGINT)::DOUBLE + 0.5) / {1 << 52}.0"
 
 
+#: A rate above MOST_RATE is drawn in parts, as many as keep each below it; part 0 stands for the single draw of the others.
 OP5_SQL = f"""
-WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(length(text), 0)::DOUBLE AS n FROM documents),
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(length(text), 0)::DOUBLE AS n, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 sizes AS (SELECT source, sum(n) AS size, pow(sum(n), {TEMPERATURE}) AS weight FROM docs GROUP BY source),
 rates AS (
   SELECT source, coalesce(weight * (SELECT sum(size) FROM sizes) / nullif((SELECT sum(weight) FROM sizes) * size, 0), 0) AS rate FROM sizes),
+parts AS (SELECT source, rate, ceil(rate / {MOST_RATE})::INT AS parts, CASE WHEN rate <= {MOST_RATE} THEN rate ELSE rate / ceil(rate / {MOST_RATE})::INT END AS mean FROM rates),
 terms AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM rates
-  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM terms WHERE k < rate + 12 * sqrt(rate) + 24),
-drawn AS (SELECT doc_id, source, {_uniform_sql(SEED, "doc_id")} AS u FROM docs),
-counts AS (SELECT drawn.doc_id, drawn.source, rate, count(*) AS n FROM drawn JOIN terms ON drawn.source = terms.source AND terms.cdf < u GROUP BY ALL),
-copies AS (SELECT doc_id, source, rate, unnest(range(1, n + 1))::INT AS copy_no FROM counts)
-SELECT doc_id, source, copy_no, round(rate, 6) AS rate, {_uniform_sql(SEED + 1, "doc_id", "copy_no")} AS shuffle_key FROM copies"""
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf FROM parts
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM terms WHERE k < mean + 12 * sqrt(mean) + 24),
+drawn AS (
+  SELECT doc_id, docs.source, rate, text_sha256, part, CASE WHEN part = 0 THEN {_uniform_sql(SEED, "doc_id")} ELSE {_uniform_sql(SEED, "doc_id", "'part'", "part")} END AS u
+  FROM docs JOIN (SELECT source, rate, unnest(CASE WHEN parts < 2 THEN [0::BIGINT] ELSE range(1, parts + 1) END) AS part FROM parts) p ON docs.source = p.source),
+counts AS (SELECT doc_id, drawn.source, rate, text_sha256, count(*) AS n FROM drawn JOIN terms ON drawn.source = terms.source AND terms.cdf < u GROUP BY ALL),
+copies AS (SELECT doc_id, source, rate, text_sha256, unnest(range(1, n + 1))::INT AS copy_no FROM counts)
+SELECT doc_id, source, copy_no, round(rate, 6) AS rate, {_uniform_sql(SEED + 1, "doc_id", "copy_no")} AS shuffle_key, text_sha256 FROM copies"""
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,23 @@ def test_mixing_of_a_tiny_source(spark):
     assert tiny.mix_rate > 745 and abs(tiny["count"] - tiny.mix_rate) < 6 * math.sqrt(tiny.mix_rate)
 
 
+def test_mixing_sql_at_large_rates(spark):
+    """Operator and SQL draw alike, also where a rate is the sum of several."""
+    docs = spark.createDataFrame([(1, "tiny", "x" * 10), (2, "tiny", "z"), (3, None, "a b" * 40), (4, "huge", "y" * 22_500_000), (5, "huge", None)], "doc_id long, source string, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    mixed = mix_sources(docs).selectExpr("doc_id", "mix_source AS source", "mix_copy AS copy_no", "round(mix_rate, 6) AS rate", "mix_key AS shuffle_key")
+    want = con.execute(f"SELECT doc_id, source, copy_no, rate, shuffle_key FROM ({Q.OP5_SQL})").fetchall()
+    assert sorted(map(tuple, mixed.collect())) == sorted(want) and max(r[3] for r in want) > 1000
+
+
+def test_mixing_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "s", "x" * 50, 77, "k", 5, "z")], "doc_id long, source string, text string, mix_count int, mix_key string, mix_salt int, `a.b` string")
+    out = mix_sources(docs)
+    assert out.columns == [*docs.columns, "mix_source", "mix_rate", "mix_copy", "_mix_key"]
+    assert {tuple(r)[3:7] for r in out.collect()} == {(77, "k", 5, "z")}
+
+
 def test_mixing_shares(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "a").otherwise("b").alias("source"), F.lit("x" * 10).alias("text"))
     mixed = mix_sources(docs, {"a": 1.0, "b": 1.0})
@@ -133,6 +150,39 @@ def test_stashes_are_dropped(spark):
 
     df = common.stash(spark.range(3).select(F.col("id").alias("doc_id")), "test")
     path = common.STASHED[-1].removeprefix("file://")
+    kept = common.stash(df, "test")
     assert df.count() == 3 and os.path.isdir(path)
+    common.drop_stashes(spark, common.STASHED[-1:])
+    assert not os.path.exists(path) and len(common.STASHED) == 1 and kept.count() == 3
     common.drop_stashes(spark)
-    assert not os.path.exists(path) and not common.STASHED
+    assert not common.STASHED
+
+
+class Remote:
+    """A session of a cluster that names no shared folder."""
+
+    class sparkContext:
+        master = "spark://host:7077"
+
+    class conf:
+        @staticmethod
+        def get(key, other):
+            return other
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from lexigrid.llm import common
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Remote())
+    Remote.sparkContext.master = "local[4]"
+    assert common.shared_dir(Remote()).startswith("file://")
+
+
+def test_long_keys_are_not_kept():
+    from lexigrid.llm import common
+
+    words, made = common.WordHash(), common.Recent(len)
+    for n in (3, common.LONG, common.LONG + 1, 10**6):
+        assert words[b"x" * n] == words[b"x" * n] and made[b"x" * n] == n
+    assert len(words) == 2 and len(made) == 2
