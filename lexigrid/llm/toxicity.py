@@ -7,7 +7,8 @@ spellings. Around each hit, a window of words tells quotation (quotation marks,
 address someone). A logistic regression over counts of such hits gives the score. Its weights are fitted
 on documents that the learned terms were not taken from.
 
-Only labelled rows that learn() is given are learned from, at most `rows` of them, taken in the order of a hash of doc_id.
+Only labelled rows that learn() is given are learned from, at most `rows` of them, taken in the order of a hash of doc_id; texts of the same words
+count as one, toxic if any of them is. What is collected from them, terms with evidence and a row of numbers a document, is bounded by `rows`.
 Language, source and doc_id are never inputs of a score.
 
 Edge cases: null and empty texts have no hits and get the score of no hits; without labels of both kinds the
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm.common import Recent, WordHash, as_bytes, flat_hashes, mix, small_batches, stash, window_hashes
 
-#: Labelled rows that are learned from, at most; terms of the learned lexicon, at most.
-TRAIN_ROWS, TERMS = 12_000, 1_500
+#: Labelled rows that are learned from, at most.
+TRAIN_ROWS = 12_000
+#: What a term's evidence (a log likelihood ratio) must reach for the lexicon of half the rows, and of all; a learned term is in so many
+#: toxic documents or more, and they are this share or more of all that it is in.
+EVIDENCE_HALF, EVIDENCE, LEAST_TOXIC, LEAST_SHARE = 10.0, 14.0, 4, 0.85
 #: Terms of abuse to begin with.
 SEEDS = (
     "idiot idiots moron morons stupid loser losers scum trash clown worthless pathetic disgusting imbecile dumb pig filth vermin "
@@ -68,15 +72,15 @@ class Lexicon:
                 self.tails.setdefault(len(term) - half, set()).add(term[half:])
 
     def near(self, word: str) -> str | None:
-        """The term within one edit of a word: the automaton's states (place, edits) are carried along the trie."""
+        """The longest term within one edit of a word: the automaton's states (place, edits) are carried along the trie."""
         if not (any(word[:k] in s for k, s in self.halves.items()) or any(word[-k:] in s for k, s in self.tails.items())):
             return None
-        n = len(word)
+        n, found = len(word), None
         todo = [(self.trie, frozenset({(0, 0), (1, 1)}))]
         while todo:
             node, states = todo.pop()
             if "" in node and any(n - i + e <= 1 for i, e in states):
-                return node[""]
+                found = max(found or "", node[""], key=lambda t: (len(t), t))
             for ch, to in node.items():
                 if ch:
                     after = set()
@@ -89,7 +93,7 @@ class Lexicon:
                                 after.add((i + 2, 1))
                     if after:
                         todo.append((to, frozenset(after)))
-        return None
+        return found
 
     def kind(self, word: str) -> int:
         """0: no term; 1: a term; 2: begins like one; 3: a long term misspelled; 4: a short one."""
@@ -154,19 +158,25 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int =
     return w.tolist()
 
 
+def _half(h: np.ndarray) -> int:
+    """0 or 1 by the least hash of the text's five-word shingles, so that near copies are mostly in one half."""
+    shingles = mix(window_hashes(h, 5)) if len(h) >= 5 else mix(h)
+    return int(shingles.min() >> np.uint64(1)) % 2 if len(shingles) else 0
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, toxic -> likeness (equal for near copies, mostly), toxic, half, terms (w: words, s: beginnings)."""
+    """text, toxic -> words (a digest, equal for texts of the same words), toxic, half, terms (w: words, s: beginnings)."""
     cache = WordHash()
     for batch in batches:
-        likeness, terms = [], []
+        same, half, terms = [], [], []
         for text in batch.column("text").to_pylist():
             tokens = as_bytes(text).split()
             h, _ = flat_hashes([tokens], cache)
-            shingles = mix(window_hashes(h, 5)) if len(h) >= 5 else mix(h)
-            likeness.append(int(shingles.min() >> np.uint64(1)) if len(shingles) else 0)
+            same.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+            half.append(_half(h))
             words = {w for w in (plain(t.decode("utf-8", "surrogatepass")) for t in set(tokens)) if len(w) >= 3}
             terms.append(["w" + w for w in words] + ["s" + w for w in {w[:k] for w in words for k in STEMS if len(w) > k}])
-        yield pa.RecordBatch.from_arrays([pa.array(likeness, pa.int64()), batch.column("toxic"), pa.array(terms, pa.list_(pa.string()))], ["likeness", "toxic", "terms"])
+        yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), batch.column("toxic"), pa.array(half, pa.int32()), pa.array(terms, pa.list_(pa.string()))], ["words", "toxic", "half", "terms"])
 
 
 def _contexts(terms: set[str]):
@@ -192,20 +202,23 @@ def _contexts(terms: set[str]):
     return run
 
 
-def _learned(counts: list[tuple[str, int, int]], toxic: int, clean: int, evidence: float) -> list[tuple[str, bool]]:
-    """Terms so much commoner in toxic documents that chance is no explanation."""
-    base = toxic / max(1, toxic + clean)
-    found = []
-    for term, bad, good in counts:
-        share = bad / max(1, bad + good)
-        if bad >= 4 and share >= 0.85:
-            gain = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0)
-            if (bad + good) * gain >= evidence:
-                found.append(((bad + good) * gain, bad, term))
-    words = [(t[1:], bad) for _, bad, t in found if t[0] == "w"]
-    alone = lambda t, bad: any(w.startswith(t[1:]) and bad <= 1.2 * n for w, n in words)  # noqa: E731  a beginning of one word only
-    found = [x for x in found if x[2][0] == "w" or not alone(x[2], x[1])]
-    return [(t[1:], t[0] == "s") for _, _, t in sorted(found, reverse=True)[:TERMS]]
+def evidence(bad: Column, good: Column, base: float) -> Column:
+    """How much better a term's own share of toxic documents explains where it is than the share of all documents does."""
+    share = bad / F.greatest(bad + good, F.lit(1))
+    clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(F.lit(0.0))
+    found = (bad + good) * (share * F.log(share / base) + clean)
+    return F.when((bad >= LEAST_TOXIC) & (share >= LEAST_SHARE), found).otherwise(F.lit(0.0))
+
+
+def _learned(rows: list, column: str) -> list[tuple[str, bool]]:
+    """The terms with evidence, without beginnings that are of one word only; rows: term, and the column's evidence and number of documents."""
+    found = {r.term: r[f"{column}_bad"] for r in rows if r[column]}
+    words = [(t[1:], bad) for t, bad in found.items() if t[0] == "w"]
+    covered: dict[str, int] = {}  # by each beginning, the most documents that one word has
+    for word, n in words:
+        for k in STEMS:
+            covered[word[:k]] = max(covered.get(word[:k], 0), n)
+    return sorted((t[1:], t[0] == "s") for t, bad in found.items() if t[0] == "w" or bad > 1.2 * covered.get(t[1:], 0))
 
 
 def _features_of(terms: list[tuple[str, bool]]):
@@ -227,21 +240,29 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     # at most `rows` rows are sent out
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     train = stash(own.select("text", "toxic"), "op6-train")
-    terms = train.mapInArrow(_terms, "likeness long, toxic int, terms array<string>").groupBy("likeness").agg(F.max(F.struct("toxic", "terms")).alias("x"))
-    terms = stash(terms.select("x.toxic", "x.terms", (F.col("likeness") % 2).alias("half")), "op6-terms")
+    # texts of the same words are one document, toxic if any of them is
+    terms = train.mapInArrow(_terms, "words binary, toxic int, half int, terms array<string>").groupBy("words").agg(F.max(F.struct("toxic", "half", "terms")).alias("x"))
+    terms = stash(terms.select("x.*"), "op6-terms")
     n = {(r["half"], r["toxic"]): r["count"] for r in terms.groupBy("half", "toxic").count().collect()}
-    toxic, clean = n.get((0, 1), 0) + n.get((1, 1), 0), n.get((0, 0), 0) + n.get((1, 0), 0)
-    if not toxic or not clean:
+    total = lambda bad: n.get((0, bad), 0) + n.get((1, bad), 0)
+    if not total(1) or not total(0):
         return Model(seeds, DEFAULT)
     number = lambda half, bad: F.sum(((F.col("half") == half) & (F.col("toxic") == bad)).cast("int"))
     counts = terms.select("half", "toxic", F.explode("terms").alias("term")).groupBy("term").agg(*[number(h, b).alias(f"c{h}{b}") for h in (0, 1) for b in (0, 1)])
-    top = counts.filter("c01 + c11 >= 4 and c01 + c11 > c00 + c10").orderBy(F.desc(F.expr("c01 + c11 - c00 - c10")), "term").limit(8 * TERMS).collect()
+    share = {"half": n.get((0, 1), 0) / max(1, n.get((0, 1), 0) + n.get((0, 0), 0)), "whole": total(1) / (total(1) + total(0))}
+    enough = {"half": EVIDENCE_HALF, "whole": EVIDENCE}
+    bad, good = {"half": F.col("c01"), "whole": F.col("c01") + F.col("c11")}, {"half": F.col("c00"), "whole": F.col("c00") + F.col("c10")}
+    # evidence grows with the toxic documents, and contexts only take some away: no term is lost here that would have enough
+    sound = lambda name, some: (evidence(some, good[name], share[name]) >= enough[name]) if 0 < share[name] < 1 else F.lit(False)
+    likely = stash(counts.filter(sound("half", bad["half"]) | sound("whole", bad["whole"])), "op6-likely")
+    asked = {r.term for r in likely.select("term").collect()}
     # copies of a document repeat a word in one context; a term of abuse has many
-    found = train.mapInArrow(_contexts({r.term for r in top}), "term string, context long, toxic int").filter("toxic = 1")
-    contexts = {r.term: r.n for r in found.groupBy("term").agg(F.count_distinct("context").alias("n")).collect()}
-    half = _learned([(r.term, min(r.c01, contexts.get(r.term, 0)), r.c00) for r in top], n.get((0, 1), 0), n.get((0, 0), 0), 10.0)
-    whole = _learned([(r.term, min(r.c01 + r.c11, contexts.get(r.term, 0)), r.c00 + r.c10) for r in top], toxic, clean, 14.0)
-    seen = train.select("text", "toxic").mapInArrow(_other_half(), "text string, toxic int")
+    found = train.mapInArrow(_contexts(asked), "term string, context long, toxic int").filter("toxic = 1").groupBy("term").agg(F.count_distinct("context").alias("contexts"))
+    known = likely.join(found, "term", "left").withColumn("contexts", F.coalesce("contexts", F.lit(0)))
+    least = {name: F.least(bad[name], F.col("contexts")) for name in bad}
+    rows = known.select("term", *[sound(name, least[name]).alias(name) for name in bad], *[least[name].alias(f"{name}_bad") for name in bad]).collect()
+    half, whole = _learned(rows, "half"), _learned(rows, "whole")
+    seen = train.select("text", "toxic").mapInArrow(_other_half, "text string, toxic int")
     fitted = seen.mapInArrow(_features_of(seeds + half), "toxic int, f array<double>").collect()
     x, y = np.array([r.f for r in fitted]), np.array([float(r.toxic) for r in fitted])
     if not len(y) or y.min() == y.max():
@@ -249,20 +270,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(seeds + whole, fit_logistic(x, y))
 
 
-def _other_half():
+def _other_half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of the half that the half lexicon isn't taken from."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
-        for batch in batches:
-            keep = []
-            for text in batch.column("text").to_pylist():
-                h, _ = flat_hashes([as_bytes(text).split()], cache)
-                shingles = mix(window_hashes(h, 5)) if len(h) >= 5 else mix(h)
-                keep.append(bool(len(shingles)) and int(shingles.min() >> np.uint64(1)) % 2 == 1)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return run
+    cache = WordHash()
+    for batch in batches:
+        yield batch.filter(pa.array([_half(flat_hashes([as_bytes(text).split()], cache)[0]) == 1 for text in batch.column("text").to_pylist()], pa.bool_()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -253,6 +253,59 @@ def test_kinds_and_context():
     assert X.features(None, kinds) == X.features("", kinds) == [0.0] * 8
 
 
+def brute_score(text, model):
+    """The score by edit distances from every term and plain loops."""
+    exact, stems = {t for t, stem in model.terms if not stem}, {t for t, stem in model.terms if stem}
+
+    def kind(word):
+        if word in exact:
+            return 1
+        if any(word.startswith(t) for t in stems):
+            return 2
+        near = [t for t in exact if len(t) >= X.EDIT_FROM and len(word) >= X.EDIT_FROM - 1 and abs(len(t) - len(word)) < 2 and edit_distance(word, t) <= 1]
+        return 0 if not near else 3 if max(map(len, near)) >= 7 else 4
+
+    tokens = [t.decode() for t in (text or "").encode().split()]
+    kinds = {t: kind(X.plain(t)) for t in set(tokens)}
+    n = [sum(kinds[t] == k for t in tokens) for k in range(5)]
+    quoted = directed = 0
+    for i, t in enumerate(tokens):
+        if kinds[t]:
+            around = range(max(0, i - X.WINDOW), min(len(tokens), i + X.WINDOW + 1))
+            inside = any(tokens[j][0] in X.QUOTES for j in around if j <= i) and any(tokens[j].rstrip(".,;:!?")[-1:] and tokens[j].rstrip(".,;:!?")[-1] in X.QUOTES for j in around if j >= i)
+            near = {X.plain(tokens[j]) for j in around}
+            quoted += inside or bool(near & X.REPORTING)
+            directed += not inside and bool(near & X.ADDRESS)
+    f = [n[1], n[2], len({t for t in tokens if kinds[t] == 3}), len({t for t in tokens if kinds[t] == 4}), quoted, directed]
+    f = [float(np.log1p(x)) for x in f] + [min(10.0, 100 * (n[1] + n[2]) / (len(tokens) + 30)), float(n[1] + n[2] > 0)]
+    z = model.weights[0] + sum(a * b for a, b in zip(model.weights[1:], f, strict=True))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_by_brute_force(spark, sf):
+    """The whole query against the plain version, with the model that it learns."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.learn(docs, labels.filter(~X.held_out(F.col("doc_id"))))
+    model.terms += [("worthlessly", False), ("pathe", True)]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in X.score(docs, model).collect():
+        assert abs(r.score - brute_score(texts[r.doc_id], model)) < 1e-9 and r.predicted == int(r.score >= 0.5)
+    own = {r.doc_id: r.score for r in QUERIES["op6_toxicity"](spark, sf).collect()}
+    again = {r.doc_id: r.score for r in X.score(docs, X.learn(docs.repartition(3), labels.filter(~X.held_out(F.col("doc_id"))))).collect()}
+    assert own.keys() == texts.keys() and all(abs(own[i] - again[i]) < 1e-9 for i in own)
+
+
+def test_copies_count_once(spark):
+    """A word of one toxic text that many copies repeat is not learned, and rows that share a shingle all count."""
+    r = random.Random(8)
+    prose = lambda: " ".join(f"w{r.randrange(400)}" for _ in range(40))
+    rows = [(i, "quorb " + "in one text only " * 3, 1) for i in range(60)]
+    rows += [(100 + i, f"{prose()} zarbine {prose()}", 1) for i in range(60)] + [(200 + i, "the same five words here and " + prose(), 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = {t for t, _ in X.learn(docs.drop("toxic"), docs.select("doc_id", "toxic")).terms}
+    assert "zarbine" in learned and "quorb" not in learned
+
+
 def test_toxicity_learns(spark):
     r = random.Random(3)
     rows, labels = [], []
