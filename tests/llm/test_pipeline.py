@@ -22,13 +22,11 @@ def test_stages(spark, sf, tmp_path):
 
     bad = {r.doc_id for r in toxicity(seen[""], spark.read.parquet(f"{sf}/labels.parquet")).collect() if r.predicted}
     assert texts["toxicity"] == {i: t for i, t in texts[""].items() if i not in bad} and bad
-    from tests.llm.test_dedup import brute_classes, brute_lines
+    from tests.llm.test_dedup import brute_classes, brute_cut, brute_lines
 
-    cut = brute_lines(list(texts["toxicity"].items()))
-    assert set(texts["line_dedup"]) == set(texts["toxicity"])
-    for i, t in texts["line_dedup"].items():
-        before = texts["toxicity"][i]
-        assert len(before.split("\n")) - cut[i] == (len(t.split("\n")) if t or cut[i] < len(before.split("\n")) else 0)
+    cut = {i: brute_cut(texts["toxicity"][i], gone) if gone else texts["toxicity"][i] for i, gone in brute_lines(list(texts["toxicity"].items()))}
+    whole = {i for i, t in cut.items() if t != texts["toxicity"][i] and len(t) <= 0.2 * len(texts["toxicity"][i]) + 1e-9}
+    assert texts["line_dedup"] == {i: t for i, t in cut.items() if i not in whole} and whole
     assert all(r.n_chars == len(r.text) for r in seen["line_dedup"].collect())
     classes = brute_classes(list(texts["line_dedup"].items()))
     assert set(texts["near_dedup"]) == {i for i, c in classes.items() if i == c}
@@ -47,9 +45,33 @@ def test_odd_documents(spark, odd, none, sf):
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, odd, sf)
         assert out.columns == odd.columns, name
-        if name in ("toxicity", "line_dedup"):
+        if name == "toxicity":
             assert out.count() == 13
         assert stage(spark, none, sf).count() == 0
-    assert P.encode(spark, odd, sf).filter(~F.col("round_trip")).isEmpty()
-    kept = P.drop_near_duplicates(spark, odd, sf).select("doc_id").collect()
-    assert {r.doc_id for r in kept} == {None, 0, 1, 3, 4, 7, 8, 9}
+    assert P.encode(spark, odd, sf).filter(~F.col("round_trip")).isEmpty() and P.encode(spark, none, sf).count() == 0
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda i: (i is None, i))
+    assert ids(P.drop_common_lines(spark, odd, sf)) == [0, 1, 2, 3, 4, 4, 4, 6, 7, 8, 9, None]
+    assert ids(P.drop_near_duplicates(spark, odd, sf)) == [0, 1, 3, 4, 7, 8, 9, None]
+    assert P.mix(spark, odd, sf).columns == odd.columns
+
+
+def test_rows_of_one_doc_id(spark, sf):
+    """Of several rows of a doc_id that stays, near_dedup leaves the least."""
+    docs = spark.createDataFrame([(1, "b c d e f g"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "x y z"), (3, "x y z"), (None, "a"), (None, "a")], "doc_id long, text string")
+    assert sorted(map(str, P.drop_near_duplicates(spark, docs, sf).collect())) == sorted(map(str, spark.createDataFrame([(1, "a b c d e f"), (None, "a"), (None, "a")], docs.schema).collect()))
+
+
+def test_copies_go_whole(spark, sf):
+    """A near copy of which line dedup takes nine tenths leaves no scrap; a document with text of its own keeps it."""
+    lines = [f"line {k} of the text has seven words" for k in range(10)]
+    docs = [(1, "\n".join(lines)), (2, "\n".join([*lines[:9], "another line ends the copy of it"])), (3, "\n".join(lines[:5] + [f"own {k} line of the third text here" for k in range(5)])), (4, "")]
+    kept = {r.doc_id: r.text for r in P.drop_common_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf).collect()}
+    assert set(kept) == {1, 3, 4} and kept[3].count("\n") == 4
+
+
+def test_run_leaves_only_what_its_result_reads(spark, sf):
+    from lexigrid.llm import common
+
+    common.drop_stashes(spark)
+    rows = P.run(spark, sf)
+    assert len(common.STASHED) == 1 and rows.count() > 0
