@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrid.functions.text import tokenize
+from lexigrid.functions.text import let, tokenize
 from lexigrid.sources.files import scratch
 
 #: Decimals by which scores are compared, so that equal texts tie however their sums were ordered.
 TIE_DECIMALS = 9
-#: Rows of distinct query terms that are broadcast at most; beyond, the join shuffles.
+#: Rows of query terms that are broadcast at most; beyond, the joins shuffle.
 BROADCAST_TERMS = 200_000
 
 
@@ -29,22 +29,31 @@ def with_tokens(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.select(F.col(id_col).alias("row_idx"), tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-def term_counts(tokens: DataFrame) -> DataFrame:
-    """term, df, and in the row of the empty term the number of documents and the sum of their lengths: one pass over the texts.
+def runs(tokens: Column) -> Column:
+    """array of (term, tf), by the lengths of the runs in the sorted tokens: a document's terms are counted in its row, without a shuffle."""
+    first = lambda t, i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))
+    starts = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: first(t, i))
+    run = lambda t, s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).alias("tf")))
+    found = let(F.sort_array(tokens), lambda t: let(starts(t), lambda s: run(t, s)))
+    return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
-    The table has a row per term of the vocabulary. It is written once, as all statistics are read from it."""
-    terms = tokens.select("dl", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl")).otherwise(F.lit(0)).cast("long")).alias("total"))
-    path = scratch(tokens.sparkSession, "terms")
-    counts.write.parquet(path)
-    return tokens.sparkSession.read.schema(counts.schema).parquet(path)
 
+def term_index(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """row_idx, dl, terms (term, tf) of every document: one pass over the texts, written once, as statistics and postings are read from it."""
+    return _written(with_tokens(docs, id_col).select("row_idx", "dl", runs(F.col("tokens")).alias("terms")), "terms")
 
-def idf_table(tokens: DataFrame, params: BM25 = BM25()) -> DataFrame:
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def idf_table(index: DataFrame, params: BM25 = BM25()) -> DataFrame:
     """term, df, idf, n_docs, avgdl. The statistics are one row each, so joining them is no cross join of tables."""
-    counts = term_counts(tokens)
-    stats = counts.filter("term = ''").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avgdl"))
-    raw = counts.filter("term != ''").select("term", "df").join(F.broadcast(stats), F.lit(True))
+    stats = index.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    counts = _written(index.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
+    raw = counts.join(F.broadcast(stats), F.lit(True))
     raw = raw.withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     idf = F.when(F.col("raw_idf") < 0, params.epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf"))
@@ -56,18 +65,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, params: BM25 = BM25(), id_col: str = "doc_id") -> DataFrame:
-    """qid, row_idx, score of all pairs that share a term. Only the queries' terms are counted in documents."""
-    tokens = with_tokens(docs, id_col)
+def bm25_scores(docs: DataFrame, queries: DataFrame, params: BM25 = BM25(), id_col: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
+    """qid, row_idx, score of all pairs that share a term; index: term_index() of docs, if there is one.
+
+    Postings of the queries' terms are dealt out by document once. Terms of the queries with their weights are a small table, so
+    a document meets them, and its scores are summed up, where it is: nothing of the size of documents x queries is shuffled."""
+    index = term_index(docs, id_col) if index is None else index
     asked = query_terms(queries)
     terms = asked.select("term").distinct()
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    known = F.broadcast(terms) if small else terms
-    weights = asked.join(idf_table(tokens, params), "term")
-    postings = tokens.select("row_idx", "dl", F.explode("tokens").alias("term")).join(known, "term").groupBy("row_idx", "dl", "term").agg(F.count("*").alias("tf"))
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS and asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    sent = F.broadcast if small else lambda df: df
+    weights = idf_table(index, params).join(sent(asked), "term").select("term", "qid", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
+    postings = index.select("row_idx", "dl", F.inline("terms")).join(sent(terms), "term", "left_semi").repartition("row_idx")
     long = F.lit(1 - params.b) + params.b * F.col("dl") / F.col("avgdl")
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * long)
-    return postings.join(weights, "term").groupBy("qid", "row_idx").agg(F.sum(gain).alias("score"))
+    gain = F.col("weight") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * long)
+    return postings.join(sent(weights), "term").groupBy("qid", "row_idx").agg(F.sum(gain).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int | Column, rank: str = "rank", score: str = "score") -> DataFrame:
@@ -76,6 +88,6 @@ def top_k(scored: DataFrame, k: int | Column, rank: str = "rank", score: str = "
     return scored.withColumn(rank, F.row_number().over(by)).filter(F.col(rank) <= k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 20, params: BM25 = BM25(), id_col: str = "doc_id") -> DataFrame:
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 20, params: BM25 = BM25(), id_col: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
     """qid, row_idx, score, rank: the k best, of which those without a positive score go afterwards."""
-    return top_k(bm25_scores(docs, queries, params, id_col), k).filter("score > 0")
+    return top_k(bm25_scores(docs, queries, params, id_col, index), k).filter("score > 0")

@@ -60,8 +60,8 @@ def normalize_text(spark, sf_dir):
 
 @query(f"WITH {S.BM25_CORPUS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def corpus_term_stats(spark, sf_dir):
-    tokens = lexical.with_tokens(table(spark, sf_dir, "documents"))
-    return lexical.idf_table(tokens).select("term", "df", F.round("idf", 6).alias("idf"))
+    index = lexical.term_index(table(spark, sf_dir, "documents"))
+    return lexical.idf_table(index).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:

@@ -3,9 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.sources.files import spread
+
+
+#: Tables whose rows take work enough to deal them over all cores where they are one file.
+LARGE = ("documents", "pages", "embeddings", "conversations")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in LARGE else found
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

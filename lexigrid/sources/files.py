@@ -2,6 +2,7 @@
 
 import io
 import os
+import re
 import subprocess
 import tempfile
 import uuid
@@ -22,9 +23,21 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PdfBackend = Callable[[bytes], list[str]]
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read from fewer files than there are cores, dealt over all cores, as one file may be one task; other tables,
+    those of any size that counts, stay as they are and are not shuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, or in a local one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexigrid-")
+    """A new path in the folder that all executors share. In local mode, where one machine holds all, a new one stands in for it; a
+    cluster must name one, as its executors would each write to their own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
