@@ -13,6 +13,7 @@ from lexigrid.llm.substring_dedup import substring_dedup
 from lexigrid.llm.token_counts import load_pieces, token_counts
 from lexigrid.llm.toxicity import toxicity
 from lexigrid.llm.vector_search import nearest
+from lexigrid.sources.files import spread
 
 
 #: How op8 and the pipeline encode: see byte_bpe. On check_s the native style needs more disk than op8 may use.
@@ -20,7 +21,9 @@ BPE_STYLE = "arrow"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt over all of them."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return found if name == "labels" else spread(found)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
