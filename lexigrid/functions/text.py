@@ -10,23 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-def _vietnamese_letters() -> list[str]:
-    """Lower-case letters with marks: each vowel with each tone, the vowels with another shape plain and toned, and d with a stroke."""
-    tones = ["̀", "́", "̣", "̉", "̃"]
-    shapes = {"a": ["", "̂", "̆"], "e": ["", "̂"], "i": [""], "o": ["", "̂", "̛"], "u": ["", "̛"], "y": [""]}
-    out = []
-    for vowel, marks in shapes.items():
-        for mark in marks:
-            for tone in ([""] if mark else []) + tones:
-                out.append(unicodedata.normalize("NFC", vowel + mark + tone))
-    return [*out, "đ"]
-
-
 def _base(letter: str) -> str:
     return "d" if letter == "đ" else unicodedata.normalize("NFD", letter)[0]
 
 
-LETTERS = "".join(_vietnamese_letters())
+# Fixed value: the lower-case letters with marks.
+LETTERS = "àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ"
 MARKED = LETTERS + LETTERS.upper()
 #: "collapse" sends every marked letter to a (or A); "base" to its own letter.
 FOLDED = {"collapse": "a" * len(LETTERS) + "A" * len(LETTERS), "base": "".join(map(_base, LETTERS)) + "".join(map(_base, LETTERS)).upper()}

@@ -14,7 +14,7 @@ from lexigrid.functions.text import strip
 DOC_EXTENSIONS = ("pdf", "docx", "doc")
 #: Schemes that lead to no page, as they are written.
 SKIPPED = r"^(javascript:|mailto:|tel:|#)"
-#: Characters that a file name keeps.
+# Fixed value: the characters that a file name keeps.
 SAFE = "A-Za-z0-9_\\-.À-ɏḀ-ỿ"
 
 

@@ -19,13 +19,13 @@ CUT, TITLE, BODY = "\u0001", "\u0002", "\u0003"
 class Structure:
     """Anchors of chapters and articles (Java patterns with groups: number, title), and their labels."""
 
+    # The patterns and labels that results must have.
     chapter: str = r"(?Uium)^\s*chương\s+([0-9IVXLCDM]+)\s*[:.\-–—]?\s*([^\n]*)$"
     article: str = r"(?Uium)^\s*điều\s+(\d{1,3})\s*[:.\-–—]?\s*([^\n]*)"
     chapter_label: str = "Chương"
     article_label: str = "Điều"
     separator: str = r"(?U)\n\s*\n"
     max_chars: int = MAX_CHARS
-    keep_preamble: bool = False
 
 
 DEFAULT = Structure()

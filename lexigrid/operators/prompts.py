@@ -19,6 +19,14 @@ PANEL_HEAD, PANEL_UNIT = "Nguồn trích dẫn", "đoạn"
 
 #: What the prompt calls the corpus.
 CORPUS = "tài liệu"
+#: What a chat model is told before any prompt.
+SYSTEM = (
+    "Bạn trả lời câu hỏi về {corpus}.\n"
+    "- Chỉ dùng những gì Ngữ cảnh nêu; không thêm, không phỏng đoán.\n"
+    '- Khi Ngữ cảnh không có câu trả lời, chỉ viết: "{refusal}"\n'
+    "- Kết thúc bằng nguồn, dạng [{source}: <tệp> - <điều>].\n"
+    "- Viết ngắn, đúng câu hỏi, giữ nguyên thuật ngữ."
+)
 MAX_MESSAGES = 6
 SNIPPET_CHARS = 500
 
@@ -62,6 +70,11 @@ def rag_prompt(question: Column, context: Column, history: Column, corpus: str =
     )
 
 
+def system_prompt(corpus: str = CORPUS) -> str:
+    """The rules for a chat model: only the context, a refusal where it has no answer, and the source at the end."""
+    return SYSTEM.format(corpus=corpus, refusal=REFUSAL, source=SOURCE)
+
+
 def prompts(questions: DataFrame, hits: DataFrame, histories: DataFrame | None = None, corpus: str = CORPUS) -> DataFrame:
     """qid, n_hits, prompt, answer: REFUSAL without a model's say where nothing was found, else null."""
     joined = questions.select("qid", F.col("text").alias("question")).join(context_block(hits), "qid", "left")

@@ -1,21 +1,24 @@
 """Queries by name, and SQL that gives the same rows."""
 
 import io
+import json
+import threading
 import zipfile
 from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
 
 from lexigrid.functions import text as T
 from lexigrid.functions import urls as U
-from lexigrid.operators import chunking, crawling, hybrid, lexical, memory, prompts, vectors
+from lexigrid.operators import chunking, crawling, hybrid, lexical, memory, models, prompts, vectors
+from lexigrid.plans import flows
 from lexigrid.plans import sql as S
 from lexigrid.plans.tables import chunks, questions, sources, table
 from lexigrid.plans.tables import vectors as doc_vectors
-from lexigrid.sources import files
+from lexigrid.sources import files, http
 
 FLAGSHIP = "hybrid_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,6 +324,45 @@ def memory_history_block(spark, sf_dir):
     return memory.history_block(memory.conversation_memory(table(spark, sf_dir, "conversations")))
 
 
+def _remembered(spark, sf_dir, act) -> DataFrame:
+    """conv_id, summary, said: conversations that are read turn by turn by the class; act(memory, turn) does what a query asks for."""
+    turns = table(spark, sf_dir, "conversations")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state = memory.Memory()
+        for row in rows.sort_values("turn").itertuples():
+            act(state, row)
+        return pd.DataFrame({"conv_id": [key[0]], "summary": [state.summary], "said": ["\n".join(f"{role}:{text}" for role, text in state.recent)]})
+
+    return turns.groupBy("conv_id").applyInPandas(run, "conv_id long, summary string, said string")
+
+
+@query(S.remembered())
+def memory_turns(spark, sf_dir):
+    return _remembered(spark, sf_dir, lambda state, row: state.add(row.role, row.text))
+
+
+@query(S.remembered("CASE WHEN summary IS NULL THEN '' ELSE 'short' END"))
+def memory_compressed(spark, sf_dir):
+    def act(state, row):
+        state.max_summary_chars, state.compress = 0, lambda text: " short "
+        state.add(row.role, row.text)
+
+    return _remembered(spark, sf_dir, act)
+
+
+@query(S.remembered(turns="(SELECT * FROM (SELECT *, min(turn) FILTER (role = 'assistant' AND turn < 3) OVER (PARTITION BY conv_id) AS cleared FROM conversations) WHERE turn > coalesce(cleared, -1))"))
+def memory_cleared(spark, sf_dir):
+    """Cleared after the first answer."""
+
+    def act(state, row):
+        state.add(row.role, row.text)
+        if row.role == "assistant" and row.turn < 3:
+            state.clear()
+
+    return _remembered(spark, sf_dir, act)
+
+
 @query(S.LAST_N)
 def history_last_n(spark, sf_dir):
     return prompts.history_last_n(table(spark, sf_dir, "conversations"))
@@ -361,6 +403,75 @@ def source_snippets(spark, sf_dir):
 # --- sources and sinks: what is written is read again
 
 
+def _put(spark, path: str, text: str) -> None:
+    """A file in any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    out = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(name)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+LANDED = [("a/x.txt", "u0", "Điều 1. Một\nthân a"), ("b/x.txt", "u1", "thân b"), ("b/gone.txt", "u2", None), ("b/y.pdf.txt", "u3", "Điều 2\nthân c")]
+
+
+def _landed(spark) -> str:
+    """A folder with a manifest and its texts, of which two have one name and one is missing."""
+    path = files.scratch(spark, "landed")
+    for name, _, text in LANDED:
+        if text is not None:
+            _put(spark, f"{path}/texts/{name}", text)
+    _put(spark, f"{path}/manifest.jsonl", "\n\n".join(json.dumps({"url": url, "local_path": name}) for name, url, _ in LANDED) + "\n")
+    return path
+
+
+@query(S.values([(0, "x", "u0", LANDED[0][2]), (1, "x", "u1", LANDED[1][2]), (3, "y.pdf", "u3", LANDED[3][2])], "ord, source, url, text", "ord::BIGINT AS ord, source, url, text"))
+def manifest_texts(spark, sf_dir):
+    path = _landed(spark)
+    return files.read_texts(spark, files.read_manifest(spark, f"{path}/manifest.jsonl"), f"{path}/texts").select("ord", "source", "url", "text")
+
+
+@query("SELECT 'stub' AS model, 3::INT AS dim, 3::INT AS n_chunks, true AS normalised, 'cosine' AS metric, 'parquet' AS backend")
+def ingest_build(spark, sf_dir):
+    path = _landed(spark)
+    return flows.build(spark, f"{path}/manifest.jsonl", f"{path}/texts", vectors.encoder(_stub_model), "stub", path).drop("chunks_path")
+
+
+class _Site(BaseHTTPRequestHandler):
+    """Fixed pages at 127.0.0.1."""
+
+    def do_GET(self) -> None:
+        kind = {"/page": "text/html", "/wrong": "text/html; charset=iso-8859-1", "/file": "application/octet-stream"}.get(self.path)
+        self.send_response(200 if kind else 404)
+        self.send_header("Content-Type", kind or "text/plain")
+        self.end_headers()
+        self.wfile.write("<p>đây</p>".encode())
+
+    def log_message(self, *args) -> None:
+        pass
+
+
+def _site() -> str:
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return f"http://127.0.0.1:{server.server_port}"
+
+
+@query(S.values([("/gone", "-"), ("/page", "<p>đây</p>"), ("/wrong", "<p>đây</p>")], "path, html", "path, html"))
+def http_fetch(spark, sf_dir):
+    """Pages over HTTP from a server of the driver's machine, so for local mode; the fetch waits between requests."""
+    urls = spark.createDataFrame([(_site() + path,) for path in ("/page", "/wrong", "/gone")], "url string")
+    got = http.http_fetcher(0.01)(urls)
+    return got.select(F.regexp_extract("url", "(/[a-z]*)$", 1).alias("path"), F.coalesce("html", F.lit("-")).alias("html"))
+
+
+@query(S.values([("/file", 12), ("/gone", 0)], "path, n_bytes", "path, n_bytes"))
+def http_files(spark, sf_dir):
+    urls = spark.createDataFrame([(_site() + path,) for path in ("/file", "/gone")], "url string")
+    got = http.http_file_fetcher(0.01)(urls)
+    return got.select(F.regexp_extract("url", "(/[a-z]*)$", 1).alias("path"), F.coalesce(F.length("content"), F.lit(0)).alias("n_bytes"))
+
+
 @query(SQL["manifest"])
 def manifest_jsonl(spark, sf_dir):
     path = files.scratch(spark, "manifest")
@@ -402,9 +513,9 @@ def _docx(*paragraphs: str) -> bytes:
     return out.getvalue()
 
 
-@query(S.values([("a.DOCX", 1, "one\ntwo"), ("b.pdf", 2, "p1\n\np2"), ("c.txt", 1, ""), ("d.docx", 1, "")], "path, n_pages, text", "path, n_pages, text"))
+@query(S.values([("a.DOCX", 1, "one\ntwo"), ("b.pdf", 2, "p1\n\np2"), ("c.txt", 1, ""), ("d.docx", 1, ""), ("e.doc", 1, "")], "path, n_pages, text", "path, n_pages, text"))
 def file_texts(spark, sf_dir):
-    rows = [("a.DOCX", _docx("one", " ", "two")), ("b.pdf", b"%PDF"), ("c.txt", b"x"), ("d.docx", b"broken")]
+    rows = [("a.DOCX", _docx("one", " ", "two")), ("b.pdf", b"%PDF"), ("c.txt", b"x"), ("d.docx", b"broken"), ("e.doc", b"broken")]
     found = files.extract_files(spark.createDataFrame(rows, "path string, content binary"), [lambda data: ["", " "], lambda data: ["p1", "p2"]])
     return found.select("path", "n_pages", "text")
 
@@ -428,23 +539,37 @@ def encode_udf(spark, sf_dir):
     return d.withColumn("v", encode(F.col("text"))).select("doc_id", F.transform(vectors.l2_normalize(F.col("v")), lambda x: F.round(x, 6)).alias("unit"))
 
 
-@F.pandas_udf(DoubleType())
-def _overlap(question: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([float(len(set(q.split()) & set(t.split()))) for q, t in zip(question, text, strict=True)])
+def _overlap_model():
+    return lambda questions, texts: [len(set(q.split()) & set(t.split())) for q, t in zip(questions, texts, strict=True)]
+
+
+def _no_model():
+    raise ImportError
 
 
 @query(S.RERANK)
 def rerank_udf(spark, sf_dir):
-    hits = _hits(spark, sf_dir, scorer=_overlap)
+    hits = _hits(spark, sf_dir, scorer=models.reranker(_overlap_model))
     return hits.select("qid", "rank", "row_idx", "rerank_score", "score", "reranked")
 
 
-@F.pandas_udf(StringType())
-def _echo(prompt: pd.Series) -> pd.Series:
-    return prompt.str.slice(0, 40)
+@query(S.hits(5, 20))
+def rerank_without_model(spark, sf_dir):
+    """The model can't be loaded, so the fused order holds."""
+    return _shown(_hits(spark, sf_dir, scorer=models.reranker(_no_model)))
+
+
+@query(S.values([("auto", True, "cuda:0"), ("auto", False, "cpu"), ("cuda", False, "cuda:0"), ("cpu", True, "cpu")], "asked, cuda, device", "asked, cuda, device"))
+def device_choice(spark, sf_dir):
+    rows = [(asked, cuda, models.pick_device(asked, lambda c=cuda: c)) for asked in ("auto", "cuda", "cpu") for cuda in (True, False) if (asked, cuda) not in (("cuda", True), ("cpu", False))]
+    return spark.createDataFrame(rows, "asked string, cuda boolean, device string")
+
+
+def _echo_model():
+    return lambda system, prompt, sampling: f"{system[:20]}|{prompt[:40]}|{sampling.max_new_tokens}"
 
 
-@query(f"SELECT qid, substr(prompt, 1, 40) AS answer FROM ({S.prompt()})")
+@query(f"SELECT qid, {S.lit(prompts.system_prompt()[:20])} || '|' || substr(prompt, 1, 40) || '|512' AS answer FROM ({S.prompt()})")
 def chat_udf(spark, sf_dir):
     rows = rag_prompt(spark, sf_dir)
-    return rows.select("qid", F.coalesce("answer", _echo("prompt")).alias("answer"))
+    return rows.select("qid", F.coalesce("answer", models.chat_model(_echo_model)(F.col("prompt"))).alias("answer"))

@@ -59,6 +59,18 @@ def ingest(chunks: DataFrame, encode: Callable, model_name: str, out: str) -> Da
     return metadata
 
 
+def build(spark: SparkSession, manifest: str, folder: str, encode: Callable, model_name: str, out: str, structure: chunking.Structure = chunking.DEFAULT) -> DataFrame:
+    """From a manifest and its texts to an index: chunks go to out/chunks, the index to out/index; gives its metadata and chunks_path."""
+    path = f"{out}/chunks"
+    write_chunks(chunk_manifest(spark, manifest, folder, structure), path)
+    return ingest(files.read_chunks(spark, path), encode, model_name, f"{out}/index").withColumn("chunks_path", F.lit(path))
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines in their order."""
+    files.write_json_lines(chunks.drop("doc_ord", "chapter_pos", "piece_pos"), path, ["row_idx"])
+
+
 def search(spark: SparkSession, index_path: str, queries: DataFrame, encode: Callable, **knobs) -> DataFrame:
     """Hits of queries (qid, text) in an index that ingest wrote."""
     index = files.open_index(spark, index_path)
@@ -68,7 +80,7 @@ def search(spark: SparkSession, index_path: str, queries: DataFrame, encode: Cal
 
 
 def answer(queries: DataFrame, hits: DataFrame, chat: Callable, histories: DataFrame | None = None, corpus: str = prompts.CORPUS) -> DataFrame:
-    """qid, prompt, answer: the refusal where nothing was found, else what chat (a column function of the prompt) says."""
+    """qid, prompt, answer: the refusal where nothing was found, else what chat (a column function of the prompt, see models.chat_model) says."""
     rows = prompts.prompts(queries, hits, histories, corpus)
     said = chat(F.when(F.col("answer").isNull(), F.col("prompt")))
     return rows.select("qid", "prompt", F.coalesce("answer", said).alias("answer"))

@@ -240,6 +240,13 @@ summaries AS (
   SELECT conv_id, string_agg({lit(M.ASKED)} || regexp_replace(substr({strip('text')}, 1, {M.ASKED_CHARS}), '\\s+$', ''), chr(10) ORDER BY i) AS summary
   FROM state WHERE i <= cut AND role = 'user' GROUP BY conv_id)
 """
+
+
+def remembered(summary: str = "coalesce(summary, '')", turns: str = "conversations") -> str:
+    return f"""{MEMORY.replace('FROM conversations', f'FROM {turns}').replace(f'FROM {turns})', 'FROM conversations)', 1)} SELECT conv_id, {summary} AS summary, coalesce(said, '') AS said
+FROM convs LEFT JOIN summaries USING (conv_id) LEFT JOIN (SELECT conv_id, string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY pos) AS said FROM recent GROUP BY conv_id) USING (conv_id)"""
+
+
 PROMPT_HISTORY = f"""SELECT conv_id, 0 AS pos, 'system' AS role, {lit(M.SUMMARY_NOTE)} || summary AS text FROM summaries
 UNION ALL SELECT r.conv_id, (pos + (summary IS NOT NULL)::INT)::INT, role, text FROM recent r LEFT JOIN summaries s ON r.conv_id = s.conv_id"""
 _SAID = f"CASE WHEN role = 'user' THEN {lit(P.USER)} ELSE {lit(P.ASSISTANT)} END || {strip('text')}"

@@ -42,23 +42,49 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a manifest in JSON lines, with their order as ord; blank lines are skipped. A manifest has a small row per
-    fetched document, within the crawl's caps, so one window numbers them."""
+    """Rows of a manifest in JSON lines, with their order as ord; blank lines are skipped.
+
+    Rows are counted by the parts in which files are read; the running sum is over a row for each part, and a window numbers the rows of
+    one part, so no task has all rows."""
     rows = spark.read.schema(MANIFEST).json(path).select("*", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__at"))
-    ord_ = F.row_number().over(Window.orderBy("file_path", "file_block_start", "__at")) - 1
-    return rows.filter("local_path is not null").withColumn("ord", ord_.cast("long")).drop("file_path", "file_block_start", "__at")
+    rows, part = rows.filter("local_path is not null"), ["file_path", "file_block_start"]
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*part).agg(F.count("*").alias("n")).select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("__at")) - 1
+    return rows.withColumn("__place", place).join(starts, part).withColumn("ord", (F.col("__start") + F.col("__place")).cast("long")).drop(*part, "__at", "__start", "__place")
 
 
 def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
+def _ends(path: Column, most: Column) -> Column:
+    """The path without its first 0, 1, ... `most` parts."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), most), lambda k: F.array_join(F.slice(parts, k + 1, F.size(parts)), "/"))
+
+
 def read_texts(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """The manifest's rows with source (the stem of local_path) and text; rows whose file is missing go."""
-    name = F.element_at(F.split(F.col("local_path"), "/"), -1)
-    texts = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("__file"), F.col("value").alias("text"))
-    texts = texts.withColumn("__file", F.url_decode(F.replace(F.col("__file"), F.lit("+"), F.lit("%2B")))).dropDuplicates(["__file"])
-    return manifest.withColumn("source", file_stem(F.col("local_path"))).join(texts, name == F.col("__file")).drop("__file")
+    """The manifest's rows with source (the stem of local_path) and text; rows whose file is missing go.
+
+    A file belongs to a row if its path ends in the row's local_path, or if its path within the folder is where local_path ends; of
+    several the one that agrees in most parts."""
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"^(?:file:)?/+|^(?:\./)+", ""), "/+", "/")
+    read = spark.read.option("recursiveFileLookup", "true")
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    root = re.sub(r"^(file:)?/+", "", root.getFileSystem(hadoop).makeQualified(root).toString())
+    depth = F.lit(root.count("/") + 1)
+    paths = read.format("binaryFile").load(folder).select(F.col("path").alias("__path")).withColumn("__clean", clean(F.col("__path")))
+    keys = paths.select("__path", F.posexplode(_ends(F.col("__clean"), depth)).alias("__cut", "__key")).select("__path", "__key", (F.col("__cut") == depth).alias("__inside"))
+    wanted = manifest.select("ord", clean(F.col("local_path")).alias("__local"))
+    ends = wanted.select("ord", F.posexplode(_ends(F.col("__local"), F.size(F.split("__local", "/")) - 1)).alias("__less", "__key"))
+    found = ends.join(keys, "__key").filter("__less = 0 or __inside").groupBy("ord").agg(F.min_by("__path", F.struct("__less", "__path")).alias("__path"))
+    text = read.text(folder, wholetext=True).select(F.input_file_name().alias("__file"), F.col("value").alias("text"))
+    decoded = F.url_decode(F.replace(F.col("__file"), F.lit("+"), F.lit("%2B")))
+    texts = text.select(clean(decoded).alias("__file"), "text")
+    rows = manifest.withColumn("source", file_stem(F.col("local_path"))).join(found.select("ord", clean(F.col("__path")).alias("__file")), "ord")
+    return rows.join(texts, "__file").drop("__file")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -11,14 +11,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 HTML_TIMEOUT, FILE_TIMEOUT, DELAY = 20, 90, 0.5
 AGENT = "Mozilla/5.0 (compatible; lexigrid/1.0)"
-#: Types of content that are text in UTF-8 when their header names no character set.
-TEXT_TYPES = ("text/", "xml", "html", "json")
+#: Types of content that are read as UTF-8, whatever their header says: many servers name a wrong character set, or none.
+TEXT_TYPES = ("text", "xml", "html", "json")
 BLOCK = 64 * 1024
 
 
 def get(url: str, timeout: int = HTML_TIMEOUT) -> tuple[bytes, str, str | None] | None:
     """(body, content type, character set) of a response of status 200; else None."""
-    request = urllib.request.Request(url, headers={"User-Agent": AGENT, "Accept-Language": "vi,en"})  # noqa: S310
+    request = urllib.request.Request(url, headers={"User-Agent": AGENT, "Accept-Language": "vi,en;q=0.9"})  # noqa: S310
     try:
         with urllib.request.urlopen(request, timeout=timeout) as r:  # noqa: S310
             if r.status != 200:
@@ -30,7 +30,7 @@ def get(url: str, timeout: int = HTML_TIMEOUT) -> tuple[bytes, str, str | None]
 
 
 def as_text(body: bytes, kind: str, charset: str | None) -> str:
-    known = charset or ("utf-8" if any(t in kind for t in TEXT_TYPES) else "latin-1")
+    known = "utf-8" if any(t in kind for t in TEXT_TYPES) else charset or "latin-1"
     try:
         return body.decode(known, "replace")
     except LookupError:

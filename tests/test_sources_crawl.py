@@ -160,3 +160,78 @@ def test_stream_chunks(spark, tmp_path):
     rows = lambda df: sorted(map(tuple, df.collect()))
     batch = chunk_documents(docs)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select(*batch.columns)) == rows(batch)
+
+
+def test_texts_by_path(spark, tmp_path):
+    """Texts of one name in several folders, a path from elsewhere, one that is missing, and names that URLs encode."""
+    for name in ("a/x.txt", "b/x.txt", "one two+3%.txt"):
+        (tmp_path / "texts" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "texts" / name).write_text(f"text of {name}")
+    names = ["b/x.txt", "a/x.txt", "x.txt", "elsewhere/a/x.txt", str(tmp_path / "texts" / "b" / "x.txt"), "./one two+3%.txt", "texts/a/x.txt"]
+    rows = spark.createDataFrame([(i, f"u{i}", n) for i, n in enumerate(names)], "ord long, url string, local_path string")
+    got = {r.ord: r.text for r in files.read_texts(spark, rows, str(tmp_path / "texts")).collect()}
+    a, b = "text of a/x.txt", "text of b/x.txt"
+    assert got == {0: b, 1: a, 3: a, 4: b, 5: "text of one two+3%.txt", 6: a}
+
+
+def test_manifest_order_over_files(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id AS pos", "concat('u', id) AS url", "concat('p/', id) AS local_path")
+    rows.repartitionByRange(7, "pos").sortWithinPartitions("pos").drop("pos").write.json(str(tmp_path / "m"))
+    got = files.read_manifest(spark, str(tmp_path / "m"))
+    assert sorted((r.ord, r.url) for r in got.collect()) == [(i, f"u{i}") for i in range(1000)]
+    assert got.columns == ["url", "local_path", "binary_path", "title", "source_kind", "n_pages", "n_chars", "ord"]
+
+
+def test_text_is_utf8_whatever_the_header_says():
+    from lexigrid.sources.http import as_text
+
+    body = "đây".encode()
+    assert as_text(body, "text/html", "iso-8859-1") == as_text(body, "application/json", None) == "đây"
+    assert as_text(b"\xe9", "application/octet-stream", None) == "é" and as_text(b"\xe9", "application/octet-stream", "no-such") == "�"
+
+
+def test_scratch_needs_a_shared_folder():
+    class Remote:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, other: other)
+
+    with pytest.raises(RuntimeError):
+        files.scratch(Remote(), "x")
+    Remote.sparkContext.master = "local[2]"
+    assert files.scratch(Remote(), "x").startswith("file://")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import json
+    import sys
+    import types
+
+    from lexigrid import __main__ as cli
+
+    made = types.ModuleType("made_for_test")
+    made.encoder = lambda device: lambda texts: [[float(t.count("a")), float(t.count("b")), 0.1] for t in texts]
+    made.reranker = lambda device: lambda questions, texts: [float(len(t)) for t in texts]
+    monkeypatch.setitem(sys.modules, "made_for_test", made)
+    monkeypatch.setattr(cli, "loader", lambda name, device: (lambda f: lambda: f(device))(getattr(made, name.partition(":")[2])))
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "x.txt").write_text("Điều 1. Một\na a a\nĐiều 2. Hai\nb b b and more\nĐiều 3. Ba\na c", encoding="utf-8")
+    (tmp_path / "m.jsonl").write_text('{"url":"u1","local_path":"x.txt"}\n')
+    where = [str(tmp_path / "m.jsonl"), str(tmp_path / "texts")]
+    cli.run(spark, cli.arguments().parse_args(["index", *where, str(tmp_path / "out"), "--encoder", "made_for_test:encoder"]))
+    said = json.loads(capsys.readouterr().out)
+    assert (said["n_chunks"], said["dim"], said["model"]) == (3, 3, "made_for_test:encoder")
+    cli.run(spark, cli.arguments().parse_args(["chunk", *where, str(tmp_path / "chunks")]))
+    assert json.loads(capsys.readouterr().out) == {"n_chunks": 3, "n_sources": 1}
+    cli.run(spark, cli.arguments().parse_args(["search", str(tmp_path / "out"), "b b", "--encoder", "made_for_test:encoder", "--reranker", "made_for_test:reranker"]))
+    assert capsys.readouterr().out.startswith("1. 26.0000 x Điều 2")
+    cli.run(spark, cli.arguments().parse_args(["search", str(tmp_path / "chunks"), "b", "--top-k", "1"]))
+    assert "Điều 2" in capsys.readouterr().out
+
+
+def test_loader():
+    from lexigrid.__main__ import loader
+
+    assert loader("lexigrid.operators.models:pick_device", "cpu")() == "cpu"
