@@ -149,6 +149,10 @@ def without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
 
 
+#: Taken once a row: a filter on the text that is left is not pushed below it, which would run it twice.
+cut_once = without_lines.asNondeterministic()
+
+
 def line_dedup(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """docs with texts that lost their common blocks, and dedup_lines (with blank ones), dedup_removed, dedup_moved (both without), dedup_partners (long)."""
     blocks = common_blocks(docs, least).select(*[F.col(c).alias(f"__op2_{c}") for c in ("doc_id", "row", "gone", "moved", "partners")])
@@ -157,5 +161,5 @@ def line_dedup(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     size = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     added = {"dedup_lines": size.cast("long"), "dedup_removed": number(F.size("__op2_gone")), "dedup_moved": number(F.col("__op2_moved")), "dedup_partners": number(F.col("__op2_partners"))}
-    own = [F.col(f"`{c}`") if c.lower() != "text" else without_lines("text", "__op2_gone").alias(c) for c in docs.columns]
+    own = [F.col(f"`{c}`") if c.lower() != "text" else cut_once("text", "__op2_gone").alias(c) for c in docs.columns]
     return joined.select(*own, *[v.alias(free_name(docs, k)) for k, v in added.items()])

@@ -10,7 +10,7 @@ from lexigrid.llm.mixing import MOST_RATE, SEED, TEMPERATURE, mix_sources
 from lexigrid.llm.near_dedup import near_duplicates
 from lexigrid.llm.quality import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from lexigrid.llm.substring_dedup import substring_dedup
-from lexigrid.llm.token_counts import load_pieces, token_counts
+from lexigrid.llm.token_counts import MARK, load_pieces, token_counts
 from lexigrid.llm.toxicity import toxicity
 from lexigrid.llm.vector_search import nearest
 from lexigrid.sources.files import spread
@@ -165,12 +165,23 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+#: All neighbours, exactly. On tables whose vectors fill one leaf of the index, the search verifies all of them.
+OP10_SQL = """
+WITH vectors AS (
+  SELECT vec_id, v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+near AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= 20"""
+
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 #: Alike by the sets of shingles or, for documents that repeat some, by the probability Jaccard of their counts.
 OP3_SQL = f"""
 WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-shingles AS (
+shingles AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS s, count(*) AS w
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM docs) GROUP BY ALL),
 sizes AS (SELECT doc_id, count(*) AS n, sum(w)::BIGINT AS total, max(w) > 1 AS repeats FROM shingles GROUP BY doc_id),
@@ -183,10 +194,29 @@ rates AS (
   SELECT x, y, (sum(wx) OVER before + only_x) / wx + (sum(wy) OVER (PARTITION BY x, y) - sum(wy) OVER before + only_y) / wy AS rate
   FROM counted WINDOW before AS (PARTITION BY x, y ORDER BY ratio DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 links AS (SELECT x, y FROM pairs WHERE alike UNION ALL SELECT x, y FROM rates GROUP BY x, y HAVING sum(1 / rate) >= 0.8),
-both_ways AS (SELECT x AS v, y AS u FROM links UNION ALL SELECT y, x FROM links),
+both_ways AS MATERIALIZED (SELECT x AS v, y AS u FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT v, u FROM both_ways UNION SELECT r.v, b.u FROM reach r JOIN both_ways b ON r.u = b.v)
 SELECT doc_id, least(doc_id, coalesce(lowest, doc_id)) AS class_id FROM docs LEFT JOIN (SELECT v, min(u) AS lowest FROM reach GROUP BY v) ON doc_id = v"""
 
+
+def op9_sql(pieces: list[str]) -> str:
+    """Greedy longest match by the pieces as a literal: the longest piece at each place of each distinct word, then a walk from its start."""
+    literal = ", ".join("'" + p.replace("'", "''") + "'" for p in sorted(set(pieces)))
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+words AS MATERIALIZED (SELECT w, '{MARK}' || w AS t FROM (SELECT DISTINCT unnest(ws) AS w FROM docs)),
+pieces AS (SELECT unnest([{literal}]) AS piece),
+places AS (SELECT w, t, unnest(range(1, length(t) + 1)) AS p FROM words),
+found AS (
+  SELECT w, p, max(length(piece)) AS k
+  FROM (SELECT w, p, substr(t, p, n) AS part FROM places, (SELECT unnest(range(1, {max(map(len, pieces))} + 1)) AS n) WHERE p + n <= length(t) + 1) JOIN pieces ON part = piece GROUP BY w, p),
+steps AS MATERIALIZED (SELECT places.w, places.p, coalesce(k, 1) AS k, CASE WHEN k IS NULL THEN octet_length(encode(substr(t, places.p, 1))) ELSE 1 END AS tokens FROM places LEFT JOIN found ON places.w = found.w AND places.p = found.p),
+walk AS (SELECT w, 1::BIGINT AS p, 0::BIGINT AS n FROM words UNION ALL SELECT walk.w, walk.p + k, n + tokens FROM walk JOIN steps ON walk.w = steps.w AND walk.p = steps.p),
+counts AS (SELECT w, max(n) AS n FROM walk GROUP BY w)
+SELECT docs.doc_id, len(ws)::BIGINT AS n_words, coalesce(total, 0)::BIGINT AS n_tokens
+FROM docs LEFT JOIN (SELECT doc_id, sum(n) AS total FROM (SELECT doc_id, unnest(ws) AS w FROM docs) JOIN counts USING (w) GROUP BY doc_id) USING (doc_id)"""
+
+
 _PIECE = r"trim(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 #: The blocks of the article element, for pages that mark it, as those of the tables do.
 OP4_SQL = rf"""
@@ -208,4 +238,14 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op4_html_extraction, op5_mix_sources, op6_toxicity, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours)}
-SQL = {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_html_extraction": OP4_SQL, "op5_mix_sources": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+SQL = {
+    "op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_html_extraction": OP4_SQL, "op5_mix_sources": OP5_SQL,
+    "op7_substring_dedup": OP7_SQL, "op10_nearest_neighbours": OP10_SQL,
+}
+
+
+def sql() -> dict[str, str]:
+    """SQL, with that of op9, whose vocabulary is read when it is asked for."""
+    import public_tokenizers
+
+    return SQL | {"op9_token_counts": op9_sql(load_pieces(public_tokenizers.path("piece_bpe_32k.model")))}

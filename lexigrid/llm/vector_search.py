@@ -43,7 +43,7 @@ SAMPLE, PER_CELL = 200_000, 16
 #: Cells that a query goes to first.
 HOME = 2
 #: Dimensions of the projection, probability of the stopping test, points of a leaf, and seed of the directions.
-DIMS, SURE, LEAF, SEED = 8, 0.7, 128, 11
+DIMS, SURE, LEAF, SEED = 8, 0.7, 512, 11
 #: Candidates beyond the asked ones that a search keeps, for ties and the last bits of a matrix product.
 SPARE = 8
 
@@ -256,7 +256,7 @@ def _search(k: int, sure: float, spaces: dict[int, Space]):
                 places, _ = cell.search(part, k, sure, queries["kth"].to_numpy()[start : start + 2_048])
                 for q, query, own in zip(names[start : start + 2_048], part, places, strict=True):
                     own = own[own >= 0]
-                    scores = (cell.vectors[own] * query).sum(axis=1).tolist()
+                    scores = np.cumsum(cell.vectors[own] * query, axis=1)[:, -1].tolist()  # term by term, in their order
                     near = sorted((-s, i) for s, p in zip(scores, own.tolist(), strict=True) for i in ids[p])[:k]
                     found += [(q, i, -s) for s, i in near]
         cols = list(zip(*found, strict=True)) or [[], [], []]

@@ -410,6 +410,19 @@ def test_nearest_recall(spark, sf):
         assert [k for k, _, _ in found] == list(range(1, 21)) and [s for *_, s in found] == sorted((s for *_, s in found), reverse=True)
 
 
+@pytest.mark.parametrize("name", ["op9_token_counts", "op10_nearest_neighbours"])
+def test_sql_of_tokens_and_neighbours(spark, sf, name):
+    import duckdb
+
+    from lexigrid.llm.queries import sql
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = QUERIES[name](spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql()[name]})").fetchall())
+
+
 def test_nearest_odd(spark, monkeypatch):
     r = np.random.default_rng(5)
     same = r.standard_normal(6).tolist()
