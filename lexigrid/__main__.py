@@ -62,7 +62,7 @@ def found(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "crawl":
-        counts = flows.crawl(spark, args.start, http_fetcher(args.delay), args.out, args.max_pages, args.max_files, http_file_fetcher(args.delay), [files.pymupdf_pages, files.pypdf_pages])
+        counts = flows.crawl(spark, args.start, http_fetcher(args.delay), args.out, args.max_pages, args.max_files, http_file_fetcher(args.delay))
         print(counts.toJSON().first())
     elif args.command == "chunk":
         flows.write_chunks(flows.chunk_manifest(spark, args.manifest, args.texts), args.out)

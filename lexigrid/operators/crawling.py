@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from lexigrid.functions.text import html_title, html_to_text
 from lexigrid.functions.urls import authority, extract_links, file_name, is_doc_link, is_internal, slugify
+from lexigrid.sources.files import scratch
 
 MAX_PAGES, MAX_FILES = 200, 80
 
@@ -70,8 +71,10 @@ def bfs(start: str, fetch: Fetcher, spark, max_pages: int = MAX_PAGES, max_files
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df on the shared checkpoint folder where the session names one, else held in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+    """df, written to the folder that all executors share and read again."""
+    path = scratch(df.sparkSession, "crawl")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def manifest(pages: DataFrame, folder: str = "pages") -> DataFrame:

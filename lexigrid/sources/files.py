@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexigrid.sources.pdf import plain_pages
+
 MANIFEST = "url string, local_path string, binary_path string, title string, source_kind string, n_pages int, n_chars long"
 CHUNK = "row_idx long, chunk_id string, article_id string, article_title string, chapter string, source string, source_url string, text string, title string, source_kind string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -172,6 +174,10 @@ def pypdf_pages(data: bytes) -> list[str]:
     return [page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages]
 
 
+#: Asked in this order where none are named.
+PDF_BACKENDS: list[PdfBackend] = [pymupdf_pages, pypdf_pages, plain_pages]
+
+
 def extract_pages(path: str, data: bytes | None, backends: list[PdfBackend]) -> list[str]:
     """Page texts by the file's extension; [""] for unknown ones and files that can't be read."""
     kind = os.path.splitext(path)[1].lower()
@@ -192,7 +198,7 @@ def extract_files(files: DataFrame, backends: list[PdfBackend] | None = None) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pages = [extract_pages(p, d, backends or []) for p, d in zip(batch["path"], batch["content"], strict=True)]
+            pages = [extract_pages(p, d, PDF_BACKENDS if backends is None else backends) for p, d in zip(batch["path"], batch["content"], strict=True)]
             yield pd.DataFrame({"path": batch["path"], "pages": pages})
 
     rows = files.select("path", "content").mapInPandas(run, "path string, pages array<string>")

@@ -113,6 +113,22 @@ def test_files(spark, tmp_path):
     assert files.pdf_text(b"", [blank]) == ["", " "] and files.pdf_text(b"", [bad]) == [""] and files.doc_text(b"", "no-such-command") == [""]
 
 
+def test_plain_pdf():
+    """Literal and hexadecimal strings, escapes, kerning, lines, deflated streams; what is no text is left out."""
+    import zlib
+
+    from lexigrid.sources.pdf import page_text, plain_pages
+
+    first = rb"BT /F1 12 Tf 72 700 Td (Hello \(big\) w\157rld) Tj 0 -14 Td [(ke) -20 (rn) -300 (ed)] TJ T* <e9746520> Tj (a \\ b) ' ET"
+    second = b"q BT 1 0 0 1 72 700 Tm <FEFF0111006300E2> Tj ET Q"
+    stream = lambda head, body: b"1 0 obj <</Length 1 " + head + b">>\nstream\n" + body + b"\nendstream endobj\n"
+    data = b"%PDF-1.4\n" + stream(b"", first) + stream(b"/Filter /FlateDecode", zlib.compress(second)) + stream(b"/Filter /DCTDecode", b"BT Tj") + stream(b"", b"\x00\x01") + stream(b"/Filter /FlateDecode", b"broken")
+    assert plain_pages(data) == ["Hello (big) world\nkern ed\néte\na \\ b", "đcâ"]
+    assert plain_pages(data + b"/Encrypt 5 0 R") == [] and plain_pages(b"%PDF") == [] and page_text(b"BT <00010203> Tj ET") == ""
+    assert files.extract_pages("x.PDF", data, files.PDF_BACKENDS) == plain_pages(data)
+    assert files.extract_pages("x.pdf", b"%PDF", files.PDF_BACKENDS) == [""]
+
+
 def test_slug_collision_keeps_the_last(spark, tmp_path):
     rows = spark.createDataFrame([("s", 1, "old"), ("s", 2, "new"), ("t", 1, "x")], "slug string, ord long, text string")
     files.write_page_texts(rows, str(tmp_path / "p"))
