@@ -227,12 +227,13 @@ def _visits(spaces: dict[int, Space], first: bool, sure: float):
                 if d not in spaces:
                     continue
                 space = spaces[d]
-                for k in range(0, own.num_rows, 1_000):
-                    part = own.slice(k, 1_000)
+                together = max(1, 2_000_000 // len(space.boxes[0]))
+                for k in range(0, own.num_rows, together):
+                    part = own.slice(k, together)
                     far = space.far(space.project(_matrix(part.column("v"), d), False))
-                    turn = np.argsort(far, axis=1, kind="stable")
+                    nearest = np.argpartition(far, min(HOME, far.shape[1]) - 1, axis=1)[:, :HOME]
                     chosen = np.zeros(far.shape, dtype=bool)
-                    np.put_along_axis(chosen, turn[:, :HOME], True, axis=1)
+                    np.put_along_axis(chosen, nearest, True, axis=1)
                     if not first:
                         kth = part.column("kth").to_numpy(zero_copy_only=False)[:, None]
                         chosen = ~chosen & (~np.isfinite(kth) | (far < chi_square_quantile(sure, space.dims) * np.maximum(kth, 0)))
@@ -304,8 +305,8 @@ class Index:
             return
         total = sum(n for d, n in counts.items() if cells[d] > 1)
         chosen = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(math.ceil(min(1.0, 0.9 * SAMPLE / total) * (1 << 30)))
-        large = own.filter(F.col("d").isin([d for d, n in cells.items() if n > 1]) & chosen).select("d", "v", F.array("vec_id").alias("ids")).limit(SAMPLE)
-        sample = large.mapInArrow(_place(spaces), "d int, cell int, v array<double>, ids array<long>, low array<double>").select("d", "low").toArrow()
+        large = own.filter(F.col("d").isin([d for d, n in cells.items() if n > 1]) & chosen).select("d", "v", F.array("vec_id").alias("ids"))
+        sample = large.mapInArrow(_place(spaces), "d int, cell int, v array<double>, ids array<long>, low array<double>").select("d", "low").limit(SAMPLE).toArrow()
         for d, n in cells.items():
             if n > 1:
                 spaces[d].split(_matrix(sample.filter(pc.equal(sample["d"], d))["low"], spaces[d].dims), n)
