@@ -43,7 +43,7 @@ SAMPLE, PER_CELL = 200_000, 16
 #: Cells that a query goes to first.
 HOME = 2
 #: Dimensions of the projection, probability of the stopping test, points of a leaf, and seed of the directions.
-DIMS, SURE, LEAF, SEED = 8, 0.7, 512, 11
+DIMS, SURE, LEAF, SEED = 8, 0.4, 512, 11
 #: Candidates beyond the asked ones that a search keeps, for ties and the last bits of a matrix product.
 SPARE = 8
 
