@@ -73,7 +73,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, params: BM25 = BM25(), id_c
     index = term_index(docs, id_col) if index is None else index
     asked = query_terms(queries)
     terms = asked.select("term").distinct()
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS and asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     sent = F.broadcast if small else lambda df: df
     weights = idf_table(index, params).join(sent(asked), "term").select("term", "qid", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
     postings = index.select("row_idx", "dl", F.inline("terms")).join(sent(terms), "term", "left_semi").repartition("row_idx")

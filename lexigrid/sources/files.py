@@ -29,7 +29,8 @@ def spread(table: DataFrame) -> DataFrame:
     """A table that is read from fewer files than there are cores, dealt over all cores, as one file may be one task; other tables,
     those of any size that counts, stay as they are and are not shuffled."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    # the names stay in the JVM, as there may be many
+    return table.repartition(cores) if len(table._jdf.inputFiles()) < cores else table
 
 
 def scratch(spark: SparkSession, name: str) -> str:
