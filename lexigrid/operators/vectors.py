@@ -2,19 +2,19 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from lexigrid.operators.lexical import top_k
+from lexigrid.operators.lexical import TIE_DECIMALS, top_k
+from lexigrid.sources.files import scratch
 
-#: Rows of the queries' side that are broadcast at most; more queries come in blocks of this size.
-QUERY_BLOCK = 4096
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Queries that are sent out at once, about, and scores that a task computes at once.
+QUERY_ROWS, CELLS = 4096, 4_000_000
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -24,21 +24,73 @@ def l2_normalize(vector: Column) -> Column:
     return F.get(unit, F.lit(0))
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(norm == 0, 1.0, norm)[:, None]
+
+
+def _best(q: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best rows of each q: by the score that is compared, then by the smaller row."""
+    order = np.lexsort((row, -np.round(score, TIE_DECIMALS), q))
+    starts = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1])) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[place < k]
+
+
+def _nearest(ids: pa.Array, queries: np.ndarray, k: int):
+    """row_idx, embedding -> qid, row_idx, score: the k nearest rows that the task has seen, of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = _unit(queries)
+        n, d = asked.shape
+        together = max(1, CELLS // n)
+        q, row, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        least = np.full(n, -np.inf)  # the k-th best so far
+        for batch in batches:
+            own = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), d))
+            rows = own.column("row_idx").to_numpy(zero_copy_only=False)
+            m = _unit(own.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+            for at in range(0, len(m), together):
+                found = m[at : at + together] @ asked.T
+                shown = np.round(found, TIE_DECIMALS)
+                floor = least if len(found) <= k else np.maximum(least, -np.partition(-shown, k - 1, axis=0)[k - 1])
+                i, j = np.nonzero(shown >= floor)
+                q, row, score = np.append(q, j), np.append(row, rows[at : at + together][i]), np.append(score, found[i, j])
+                kept = _best(q, row, score, k)
+                q, row, score = q[kept], row[kept], score[kept]
+                full = np.bincount(q, minlength=n) >= k
+                last = np.append(q[1:] != q[:-1], True) if len(q) else np.zeros(0, dtype=bool)
+                least[q[last & full[q]]] = np.round(score[last & full[q]], TIE_DECIMALS)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(row), pa.array(score)], ["qid", "row_idx", "score"])
+
+    return run
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """qid, row_idx, score (cosine), rank of the k nearest rows of vectors (row_idx, embedding) for queries (qid, qvec): exact.
 
-    The queries are a given set against all rows: they are sent out in blocks of at most QUERY_BLOCK rows and every
-    task keeps k rows a query, so the table of vectors is never shuffled."""
-    rows = vectors.select("row_idx", l2_normalize(F.col("embedding")).alias("v"))
-    asked = queries.select("qid", l2_normalize(F.col("qvec")).alias("q"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
+    The queries are a given set against all rows: they are sent out in blocks of bounded size (a block takes one pass over the vectors),
+    scores are matrix products, and every task returns k rows a query, so the table of vectors is never shuffled. Vectors that are null or hold
+    a null or NaN are near to nothing; a query only meets vectors of its own length."""
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    rows = vectors.select(F.col("row_idx").cast("long").alias("row_idx"), F.col("embedding").cast("array<double>").alias("embedding")).filter(whole("embedding"))
+    asked = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    schema = StructType([queries.schema["qid"], StructField("row_idx", LongType()), StructField("score", DoubleType())])
+    found = vectors.sparkSession.createDataFrame([], schema)
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    if blocks > 1:  # query vectors may come from a model: they are made once
+        path = scratch(vectors.sparkSession, "queries")
+        asked.write.parquet(path)
+        asked = vectors.sparkSession.read.schema(asked.schema).parquet(path)
     for block in range(blocks):
         own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        scored = rows.join(F.broadcast(own), F.lit(True)).select("qid", "row_idx", dot(F.col("v"), F.col("q")).alias("score"))
-        best = top_k(scored, k)
-        found = best if found is None else found.unionByName(best)
-    return found
+        table = own.filter(whole("qvec")).toArrow()  # about QUERY_ROWS rows
+        lengths = pc.list_value_length(table["qvec"])
+        for d in sorted(x for x in set(lengths.to_pylist()) if x):
+            part = table.filter(pc.equal(lengths, d)).combine_chunks()
+            matrix = part["qvec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            found = found.unionByName(rows.mapInArrow(_nearest(part["qid"].combine_chunks(), matrix, k), schema))
+    return top_k(found, k)
 
 
 def encoder(model: Callable[[], Callable[[list[str]], list[list[float]]]], batch_size: int = 8):

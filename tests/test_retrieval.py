@@ -45,6 +45,28 @@ def test_dense(spark):
     assert [r.u for r in unit] == [[1.0, 0.0], [0.0, 0.0], [-1.0, 0.0], [0.6, 0.8]]
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_dense_random(spark, monkeypatch, block):
+    """Against brute force, with equal vectors, several lengths, batches and blocks, and vectors that are no vectors."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "QUERY_ROWS", block)
+    monkeypatch.setattr(vectors, "CELLS", 300)
+    r = np.random.default_rng(1)
+    data = [(i, r.integers(-1, 2, 4 if i % 5 else 3).astype(float).tolist()) for i in range(400)]
+    odd = [(900, None), (901, []), (902, [1.0, None, 0.0, 0.0]), (903, [float("nan")] * 4)]
+    rows = spark.createDataFrame(data + odd, "row_idx long, embedding array<double>").repartition(5)
+    asked = [(i, v) for i, v in data[:20]] + [(50, None), (51, [1.0])]
+    got: dict = {}
+    for x in vectors.dense_topk(rows, spark.createDataFrame(asked, "qid long, qvec array<double>"), 9).orderBy("qid", "rank").collect():
+        got.setdefault(x.qid, []).append((x.row_idx, round(x.score, 9) + 0.0))
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+    for q, v in asked[:20]:
+        scores = sorted((-round(float(unit(v) @ unit(w)), 9), i) for i, w in data if len(w) == len(v))[:9]
+        assert got[q] == [(i, -s + 0.0) for s, i in scores]
+    assert set(got) == set(range(20))
+
+
 def _ranked(spark, rows):
     return spark.createDataFrame([(0, i, s, k) for k, (i, s) in enumerate(rows, 1)], "qid long, row_idx long, score double, rank int")
 
