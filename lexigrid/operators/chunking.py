@@ -26,6 +26,8 @@ class Structure:
     article_label: str = "Điều"
     separator: str = r"(?U)\n\s*\n"
     max_chars: int = MAX_CHARS
+    #: Whether the text before a chapter's first article is kept, as the piece PB-0; else it is dropped.
+    keep_preamble: bool = False
 
 
 DEFAULT = Structure()
@@ -105,7 +107,11 @@ def chunk_documents(docs: DataFrame, structure: Structure = DEFAULT) -> DataFram
     def articles(body: Column) -> Column:
         number = lambda p: F.concat(F.lit(structure.article_label + " "), _part(p, None, TITLE))
         rows = F.transform(_pieces(body, structure.article), lambda p, i: piece(i, number(p), strip(_part(_part(p, None, BODY), TITLE, None)), strip(_part(p, BODY, None))))
-        return F.filter(rows, lambda a: (a["pos"] > 0) & (a["body"] != ""))
+        found = F.filter(rows, lambda a: (a["pos"] > 0) & (a["body"] != ""))
+        if not structure.keep_preamble:
+            return found
+        first = piece(F.lit(0), F.lit("PB-0"), F.lit(""), strip(F.get(_pieces(body, structure.article), F.lit(0))))
+        return F.when((F.size(found) > 0) & (first["body"] != ""), F.concat(F.array(first), found)).otherwise(found)
 
     def packed(text: Column) -> Column:
         rows = pack_paragraphs(paragraphs_of(text, structure.separator), structure.max_chars)

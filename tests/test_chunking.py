@@ -93,3 +93,13 @@ def test_titles_and_nulls(spark):
     docs = spark.createDataFrame([(0, "a", None, "T", "html", "x"), (1, "b", "u", None, None, "Điều 1. Tên\ny"), (2, "c", None, None, None, None)], SCHEMA)
     rows = C.chunk_documents(docs).orderBy("doc_ord").collect()
     assert [(r.title, r.source_url) for r in rows] == [("T", ""), ("Tên", "u")]
+
+
+def test_preamble(spark):
+    """Text before a chapter's first article is dropped, or kept as PB-0; a chapter without articles is packed either way."""
+    text = "Chương 1: A\nlời dẫn\nĐiều 1. X\nthân\nChương 2: B\nchỉ có lời\nChương 3: C\nĐiều 2. Y\nthân"
+    docs = spark.createDataFrame([(0, "s", None, "", "html", text)], SCHEMA)
+    ids = lambda structure: [(r.chapter_pos, r.article_id, r.text) for r in C.chunk_documents(docs, structure).orderBy("chapter_pos", "piece_pos").collect()]
+    plain = ids(C.DEFAULT)
+    assert [x[:2] for x in plain] == [(1, "Điều 1"), (2, "PB-1"), (3, "Điều 2")]
+    assert ids(C.Structure(keep_preamble=True)) == [(1, "PB-0", "PB-0.\nlời dẫn"), *plain]
