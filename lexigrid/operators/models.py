@@ -39,6 +39,21 @@ class Lazy:
             return None
 
 
+def first_of(*loads: Callable[[], Callable]) -> Callable[[], Callable]:
+    """load() of the first of several libraries that can be had, in their order; fails with the last one's error if none can."""
+
+    def load() -> Callable:
+        for k, one in enumerate(loads, 1):
+            try:
+                return one()
+            except Exception:
+                if k == len(loads):
+                    raise
+        raise ImportError("no library is named")
+
+    return load
+
+
 def has_cuda() -> bool:
     try:
         import torch

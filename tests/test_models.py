@@ -21,6 +21,15 @@ def test_lazy_loads_once():
     assert missing(1) is None and missing(2) is None and not missing.available and calls == [1, 2]
 
 
+def test_first_of():
+    def missing():
+        raise ImportError("this one")
+
+    assert models.first_of(missing, lambda: len, lambda: max)()("ab") == 2
+    for loads in ((missing,), ()):
+        assert not Lazy(models.first_of(*loads)).available
+
+
 def test_pick_device():
     assert models.pick_device("auto", lambda: True) == "cuda:0" and models.pick_device("auto", lambda: False) == "cpu"
     assert models.pick_device("cuda", lambda: False) == "cuda:0" and models.pick_device("mps") == "mps" and models.has_cuda() in (True, False)
