@@ -6,7 +6,8 @@ join neighbours in the page and the nearest blocks of one parent, stronger the c
 minimum cut, found by max-flow, labels all blocks of a page at once.
 
 Elements such as nav or aside, roles and hidden elements are outside of the article for good; a header within an article is its own, with its headline. A class or id that sounds so, or a
-form, is only a cost: high where most of the page's running text is elsewhere, low for a wrapper that holds nearly all of it.
+form, is only a cost: high where a good part of the page's running text is elsewhere, low for a wrapper that holds nearly all of it. Names such
+as has-sidebar or comments-open are no marks.
 
 Blocks end where a block element begins or ends; within a block, white space, line breaks and the edges of
 inline elements make no new block. Character references are decoded, white space becomes one space.
@@ -48,11 +49,15 @@ NAMES = set(
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CONTENT_NAMES = set("article content main post entry story body text".split())
+#: A name that begins or ends so says something of a page, not what the element is.
+SAYS_FIRST, SAYS_LAST = set("has no not with without tag category".split()), set("open closed enabled disabled".split())
 SPLIT_NAME = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 #: Foreign elements, which alone may close themselves.
 FOREIGN = ("svg", "math")
 #: Costs of calling a block of an element with such a name (or a form) content: for a wrapper of all running text, and for a small part.
 NAMED_LEAST, NAMED_MOST = 3.0, 14.0
+#: So many times the running text outside of it must be in a named element before its cost falls.
+WRAPS = 4.0
 #: Words that a block of running text has at least.
 RUNNING_WORDS = 10
 #: Capacities of the smoothness edges: neighbours in the page, and nearest blocks of one parent.
@@ -94,8 +99,9 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
                 outside |= value.lower() in ROLES
                 inside |= value.lower() in ("main", "article")
             elif key in ("class", "id") and name not in ("html", "body"):
-                words = {w.lower() for w in SPLIT_NAME.split(value) if w}
-                named |= bool(words & NAMES)
+                names = [[w.lower() for w in SPLIT_NAME.split(x) if w] for x in value.split()]
+                named |= any(not NAMES.isdisjoint(x) for x in names if x and x[0] not in SAYS_FIRST and x[-1] not in SAYS_LAST)
+                words = {w for x in names for w in x}
                 inside |= bool(words & CONTENT_NAMES) and name in ("div", "section", "td")
     return inside, outside, named
 
@@ -203,7 +209,7 @@ def _weigh_names(rows: list[tuple[str, Block]], named_in: list[int]) -> None:
     for k in range(len(own) - 1, -1, -1):  # what stands in another comes later
         if named_in[k] >= 0:
             own[named_in[k]] += own[k]
-    rest = [min(1.0, (total - n) / n) if n else 1.0 for n in own]
+    rest = [min(1.0, WRAPS * (total - n) / n) if n else 1.0 for n in own]
     for k, around in enumerate(named_in):
         if around >= 0:
             rest[k] = max(rest[k], rest[around])

@@ -191,6 +191,15 @@ def test_main_text_of_named_wrappers(start):
     assert H.main_text(f"<{start}><p>{PROSE[0]}</p><p>{PROSE[1]}</p></{name}>") == "\n\n".join(PROSE[:2])
 
 
+def test_main_text_without_a_long_thread():
+    """Reader comments go, also if they are three times as long as the article; a body of that name alone stays."""
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    thread = "<p>A reader says at some length what they think of all this, and they go on for a while, as readers do.</p>" * 12
+    for start, end in (("<article>", "</article>"), ("<div>", "</div>"), ('<div class="comments-open">', "</div>")):
+        assert H.main_text(f"<body>{start}{body}{end}<section id=comments>{thread}</section></body>") == "\n\n".join(PROSE)
+        assert H.main_text(f"<body>{start}{body}<div class='comment-list'>{thread}</div>{end}</body>") == "\n\n".join(PROSE)
+
+
 def test_main_text_keeps_an_articles_own_header():
     page = f"<body><header><a href=/>Site</a></header><article><header><h1>The headline</h1></header><p>{PROSE[0]}</p></article></body>"
     assert H.main_text(page) == f"The headline\n\n{PROSE[0]}"
