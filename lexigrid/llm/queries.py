@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.llm import fill_middle
 from lexigrid.llm.byte_bpe import byte_bpe
 from lexigrid.llm.html_extract import extract_main_text
 from lexigrid.llm.line_dedup import BLOCK_WORDS, line_dedup
@@ -176,6 +177,31 @@ near AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= 20"""
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    output, form = F.col("fim_output"), F.col("fim_form")
+    return made.select(
+        "doc_id", F.col("fim_n").alias("n"), form.alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+        digest(output).alias("output_sha256"), digest(fill_middle.restored(output, form)).alias("restored_sha256"),
+    )
+
+
+_P, _S, _M = (f"'{x}'" for x in (fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE))
+_DRAW = [f"(('0x' || substr(digest, {1 + 8 * k}, 8))::BIGINT)" for k in range(4)]
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS digest, regexp_extract_all(coalesce(text, ''), '{fill_middle.LINES}') AS units FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, least({_DRAW[0]} % (n + 1), {_DRAW[1]} % (n + 1)) AS low, greatest({_DRAW[0]} % (n + 1), {_DRAW[1]} % (n + 1)) AS high,
+    CASE WHEN t = '' OR contains(t, {_P}) OR contains(t, {_S}) OR contains(t, {_M}) OR {_DRAW[2]} % 100 >= {fill_middle.RATE} THEN 'plain' WHEN {_DRAW[3]} % 100 < {fill_middle.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form
+  FROM docs),
+parts AS (SELECT *, array_to_string(units[:low], '') AS p, array_to_string(units[low + 1:high], '') AS m, array_to_string(units[high + 1:], '') AS s FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN {_P} || p || {_S} || s || {_M} || m WHEN 'spm' THEN {_S} || s || {_P} || p || {_M} || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts"""
+
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 #: Alike by the sets of shingles or, for documents that repeat some, by the probability Jaccard of their counts.
@@ -237,10 +263,10 @@ kept AS (SELECT w.doc_id, count(g.at) AS n_removed, coalesce(string_agg(word, '
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op4_html_extraction, op5_mix_sources, op6_toxicity, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op4_html_extraction, op5_mix_sources, op6_toxicity, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours, op11_fill_middle)}
 SQL = {
     "op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_html_extraction": OP4_SQL, "op5_mix_sources": OP5_SQL,
-    "op7_substring_dedup": OP7_SQL, "op10_nearest_neighbours": OP10_SQL,
+    "op7_substring_dedup": OP7_SQL, "op10_nearest_neighbours": OP10_SQL, "op11_fill_middle": OP11_SQL,
 }
 
 
