@@ -48,7 +48,9 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     STASHED.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stashed = path
+    return found
 
 
 def drop_stashes(spark: SparkSession, keep: list[str] | None = None) -> None:
@@ -61,6 +63,29 @@ def drop_stashes(spark: SparkSession, keep: list[str] | None = None) -> None:
         STASHED.remove(name)
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    """Removes a folder of any file system that Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_some(spark: SparkSession, frames: list[DataFrame]) -> None:
+    """Removes what these results of stash() hold, once nothing reads them any more."""
+    for path in [f._stashed for f in frames]:
+        remove(spark, path)
+        STASHED.remove(path)
+
+
+def sliding(x: np.ndarray, length: int, pick) -> np.ndarray:
+    """Least or largest value of every run of `length`, by doubling."""
+    if len(x) < length:
+        return x[:0]
+    size = 1
+    while size * 2 <= length:
+        x, size = pick(x[:-size], x[size:]), size * 2
+    return pick(x[: len(x) - (length - size)], x[length - size :]) if size < length else x
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches of texts, for the session, have no more rows than this; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -11,6 +11,7 @@ from lexigrid.llm.mixing import MOST_RATE, SEED, TEMPERATURE, mix_sources
 from lexigrid.llm.near_dedup import near_duplicates
 from lexigrid.llm.quality import RULES, STOP_WORDS, SYMBOLS, quality_rules
 from lexigrid.llm.substring_dedup import substring_dedup
+from lexigrid.llm.suffix_dedup import LENGTH, suffix_dedup
 from lexigrid.llm.token_counts import MARK, load_pieces, token_counts
 from lexigrid.llm.toxicity import toxicity
 from lexigrid.llm.vector_search import nearest
@@ -202,6 +203,31 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::B
 FROM parts"""
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Strings as hex digits, cut from blocks of a text, so that each takes a short walk.
+_BLOCK = 1000
+OP12_SQL = f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+blocks AS (SELECT doc_id, n, b, substr(x, 2 * b + 1, {2 * (_BLOCK + LENGTH - 1)}) AS part FROM (SELECT doc_id, n, x, unnest(range(0, n - {LENGTH - 1}, {_BLOCK})) AS b FROM docs WHERE n >= {LENGTH})),
+strings AS MATERIALIZED (
+  SELECT doc_id, pos, md5_number(substr(part, 2 * (pos - b) + 1, {2 * LENGTH})) AS h
+  FROM (SELECT doc_id, b, part, unnest(range(b, least(b + {_BLOCK}, n - {LENGTH - 1}))) AS pos FROM blocks)),
+firsts AS (SELECT h, min(struct_pack(d := doc_id, p := pos)) AS first FROM strings GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT doc_id, pos FROM strings JOIN firsts USING (h) WHERE first.d < doc_id OR (first.d = doc_id AND first.p < pos)),
+runs AS (
+  SELECT doc_id, run, min(pos) AS a, max(pos) + {LENGTH} AS b FROM (
+    SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (
+      SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM gone)) GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+  FROM (SELECT runs.*, x, coalesce(lag(b) OVER (PARTITION BY runs.doc_id ORDER BY a), 0) AS before FROM runs JOIN docs ON docs.doc_id = runs.doc_id) GROUP BY doc_id)
+SELECT docs.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM docs LEFT JOIN pieces USING (doc_id)"""
+
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 #: Alike by the sets of shingles or, for documents that repeat some, by the probability Jaccard of their counts.
@@ -263,10 +289,10 @@ kept AS (SELECT w.doc_id, count(g.at) AS n_removed, coalesce(string_agg(word, '
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op4_html_extraction, op5_mix_sources, op6_toxicity, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours, op11_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_near_duplicates, op4_html_extraction, op5_mix_sources, op6_toxicity, op7_substring_dedup, op8_byte_bpe, op9_token_counts, op10_nearest_neighbours, op11_fill_middle, op12_suffix_dedup)}
 SQL = {
     "op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op4_html_extraction": OP4_SQL, "op5_mix_sources": OP5_SQL,
-    "op7_substring_dedup": OP7_SQL, "op10_nearest_neighbours": OP10_SQL, "op11_fill_middle": OP11_SQL,
+    "op7_substring_dedup": OP7_SQL, "op10_nearest_neighbours": OP10_SQL, "op11_fill_middle": OP11_SQL, "op12_suffix_dedup": OP12_SQL,
 }
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm.common import BATCH_ROWS, U, WordHash, as_bytes, flat_hashes, inside, mix, small_batches, stash, window_hashes
+from lexigrid.llm.common import BATCH_ROWS, U, WordHash, as_bytes, flat_hashes, inside, mix, sliding, small_batches, stash, window_hashes
 
 WINDOW = 50
 #: Words that the shortest level has at least.
@@ -29,16 +29,6 @@ ROW = ["doc_id", "row"]
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def _sliding(x: np.ndarray, length: int, pick) -> np.ndarray:
-    """Least or largest value of every run of `length`, by doubling."""
-    if len(x) < length:
-        return x[:0]
-    size = 1
-    while size * 2 <= length:
-        x, size = pick(x[:-size], x[size:]), size * 2
-    return pick(x[: len(x) - (length - size)], x[length - size :]) if size < length else x
-
-
 def lengths(window: int, start: int) -> list[int]:
     """The lengths of the levels, the asked one last."""
     out = [window]
@@ -49,7 +39,7 @@ def lengths(window: int, start: int) -> list[int]:
 
 def _least(h: np.ndarray, window: int, length: int) -> np.ndarray:
     """For each window of the full length, the least hash of its parts of a shorter length."""
-    return _sliding(mix(window_hashes(h, length)), window - length + 1, np.minimum)
+    return sliding(mix(window_hashes(h, length)), window - length + 1, np.minimum)
 
 
 def _scan(window: int, length: int):
