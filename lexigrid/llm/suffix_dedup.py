@@ -11,12 +11,14 @@ bucketed and sorted by their keys, so that a scan moves the new batch and not th
 as the last two levels are equally large they are merged, so n batches make at most log2(n) + 1 levels and a suffix is rewritten as often.
 
 * A context that an earlier document has too is known: all of its bytes go.
-* Where suffixes agree and contexts differ, the first holders of the contexts are opened: their texts are read again and every string
-  of LENGTH bytes in them is compared by a 128-bit hash, so the long matches are exact however a passage is embedded.
+* Where suffixes agree and contexts differ, the first holders of the contexts are opened: their texts are read again and the contexts are cut
+  into parts of STEP strings, counted from the least part, which are judged likewise: known if an earlier document has all of a part's bytes, and
+  opened if only the bytes that all its strings have occur elsewhere. In opened parts every string of LENGTH bytes is compared by
+  a 128-bit hash, so the long matches are exact however a passage is embedded.
 * Repeats within a document are found where the document is read.
 
-Documents with equal texts are collapsed first. A level has one row a context and one a beginning, so no key has many rows, however often a
-passage occurs. Windows of opened contexts grow with the number of different contexts, not with their pairs.
+Documents with equal texts are collapsed first. A level has one row a beginning and one a context, so no key has many rows, however often a
+passage occurs. Parts and strings of opened contexts grow with the number of different contexts, not with their pairs.
 
 Edge cases: null and empty texts have no bytes; texts shorter than LENGTH lose none; a row whose doc_id is null is returned unchanged and takes
 no part; rows that share a doc_id never take each other's bytes, and each loses what its own text repeats or shares with earlier documents; repeated
@@ -39,6 +41,8 @@ from lexigrid.llm.common import U, inside, mix, shared_dir, sliding, small_batch
 LENGTH = 100
 GRAIN = 40
 BATCHES = 4
+#: Strings to a part of an opened context.
+STEP = 8
 #: Strings that are hashed at a time.
 BLOCK = 1 << 18
 #: Ids that are broadcast at most; beyond, texts are shuffled once more.
@@ -81,7 +85,7 @@ class Contexts:
         if not 0 < grain < length or block + length > 1 << 20:
             raise ValueError("0 < grain < length, and a block has less than 2^20 bytes")
         self.length, self.grain, self.block = length, grain, block
-        self.one, self.two = Rolling(11, block + length), Rolling(12, block + length)
+        self.one, self.two = Rolling(11, block + 2 * length), Rolling(12, block + 2 * length)
 
     def _pieces(self, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(first document, end document, first byte, end byte) of what is hashed together: whole documents, or a block of a long one."""
@@ -98,7 +102,8 @@ class Contexts:
             k = stop
 
     def of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(doc, first, n, g, c): number of the document, place of the first string and number of strings, hashes of the least part and of the context."""
+        """(doc, first, n, g, c, at): number of the document, place of the first string and number of strings, hashes of the least part and of the
+        context, place of the least part."""
         found = []
         for first_doc, end_doc, start, stop in self._pieces(ends):
             own = np.minimum(ends[first_doc:end_doc], stop) - start
@@ -118,11 +123,25 @@ class Contexts:
             g = least[at[new]]
             c = mix(self.one.some(sums, first, first + n + self.length - 1) + n.astype(np.uint64) * U(0x9E3779B97F4A7C15))
             doc = first_doc + np.searchsorted(own, first, side="right")
-            found.append((doc, first + start - np.where(doc > 0, ends[doc - 1], 0), n, g, c))
+            shift = start - np.where(doc > 0, ends[doc - 1], 0)
+            found.append((doc, first + shift, n, g, c, at[new] + shift))
         if not found:
-            return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+            return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
+    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of these spans, each shorter than twice the length; blocks without any are passed over."""
+        out, order = np.zeros(len(starts), dtype=np.uint64), np.argsort(starts, kind="stable")
+        sorted_starts, lo = starts[order], 0
+        while lo < len(order):
+            at = int(sorted_starts[lo])
+            hi = int(np.searchsorted(sorted_starts, at + self.block))
+            own = order[lo:hi]
+            stop = int(ends[own].max())
+            out[own] = self.one.some(self.one.sums(data[at:stop]), starts[own] - at, ends[own] - at)
+            lo = hi
+        return out
+
     def hashes(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit hashes of the strings of one document at these increasing places."""
         out = np.zeros((2, len(starts)), dtype=np.uint64)
@@ -173,6 +192,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets[1:] - offsets[0]
 
 
+HELD = "array<struct<c:bigint,doc:bigint>>"
 SUFFIXES = "doc long, row long, g long, c long, spans array<int>"
 
 
@@ -183,7 +203,7 @@ def _suffixes(length: int, grain: int, block: int):
         tool = Contexts(length, grain, block)
         for batch in batches:
             data, ends = _bytes_of(batch.column("text"))
-            doc, first, n, g, c = tool.of(data, ends)
+            doc, first, n, g, c, _ = tool.of(data, ends)
             ids, rows = (batch.column(x).to_numpy(zero_copy_only=False) for x in ROW)
             by_grain = np.lexsort((g, doc))
             same = (doc[by_grain][1:] == doc[by_grain][:-1]) & (g[by_grain][1:] == g[by_grain][:-1])
@@ -208,40 +228,82 @@ def _suffixes(length: int, grain: int, block: int):
     return run
 
 
-WINDOWS = "doc long, row long, h1 long, h2 long, pos int, spans array<int>"
+BLOCKS = "doc long, row long, at int, core long, outer long, bytes binary, spans array<int>"
+
 
+def _parts(first: np.ndarray, n: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """(context, first string, number of strings, first place of the part): contexts cut where the distance to the least part is a multiple of step."""
+    low, high = (first - at) // step, (first + n - 1 - at) // step
+    count = high - low + 1
+    k = np.repeat(np.arange(len(first)), count)
+    lo = at[k] + (low[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)) * step
+    a = np.maximum(lo, first[k])
+    return k, a, np.minimum(lo + step, (first + n)[k]) - a, lo
 
-def _windows(length: int, grain: int, block: int):
-    """doc, row, text, known, opened (hashes of contexts) -> spans of the known contexts, and a row per string of an opened one."""
+
+def _opened(length: int, grain: int, block: int, step: int):
+    """doc, row, text, known, opened (hashes of contexts) -> spans of the known contexts, and a row per part of an opened one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Contexts(length, grain, block)
         for batch in batches:
             data, ends = _bytes_of(batch.column("text"))
-            doc, first, n, _, c = tool.of(data, ends)
-            c = c.view(np.int64)
-            bounds = np.searchsorted(doc, np.arange(len(ends) + 1))
-            for k, (i, row, known, opened) in enumerate(zip(*(batch.column(x).to_pylist() for x in (*ROW, "known", "opened")), strict=True)):
-                mine = slice(bounds[k], bounds[k + 1])
-                a, m, own = first[mine], n[mine], c[mine]
-                old = np.isin(own, np.array(known, dtype=np.int64))
-                spans = [_flat(a[old], (a + m)[old] + length - 1)] if old.any() else []
-                new = np.isin(own, np.array(opened, dtype=np.int64)) & ~old
-                starts = _strings(a[new], m[new])
-                h1, h2 = tool.hashes(data[ends[k - 1] if k else 0 : ends[k]], starts)
-                unlike = _firsts(h1, h2)
-                pos, total = starts[unlike], int(unlike.sum()) + len(spans)
-                if total:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(total, i, dtype=np.int64)),
-                            pa.array(np.full(total, row, dtype=np.int64)),
-                            *(pa.concat_arrays([pa.array(h[unlike].view(np.int64)), pa.nulls(len(spans), pa.int64())]) for h in (h1, h2)),
-                            pa.concat_arrays([pa.array(pos.astype(np.int32)), pa.nulls(len(spans), pa.int32())]),
-                            pa.concat_arrays([pa.nulls(len(pos), pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.int32()))]),
-                        ],
-                        ["doc", "row", "h1", "h2", "pos", "spans"],
-                    )
+            doc, first, n, g, c, at = tool.of(data, ends)
+            base, ids = np.append(0, ends)[doc], [batch.column(x).to_numpy() for x in ROW]
+            mark = lambda d, h: mix(d.astype(np.uint64) + U(1)) ^ h
+            own, listed = mark(doc, c), {}
+            for kind in ("known", "opened"):
+                lists = batch.column(kind)
+                which = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                listed[kind] = np.isin(own, mark(which, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+            old = np.flatnonzero(listed["known"])
+            spans, owners = [], np.unique(doc[old])
+            for lo, hi in zip(np.searchsorted(doc[old], owners).tolist(), np.searchsorted(doc[old], owners, side="right").tolist(), strict=True):
+                k = old[lo:hi]
+                spans.append(_flat(first[k], first[k] + n[k] + length - 1))
+            new = np.flatnonzero(listed["opened"] & ~listed["known"])
+            new = new[np.sort(np.unique(own[new], return_index=True)[1])]  # of a context that a document repeats the first one
+            of, start, count, low = _parts((first + base)[new], n[new], (at + base)[new], step)
+            last = start + count + length - 1
+            hashed = tool.spans(data, np.append(low + step - 1, start), np.append(low + length, last))
+            core = hashed[: len(start)] ^ mix(g[new][of] + (low - (at + base)[new][of]).astype(np.uint64))
+            outer = hashed[len(start) :] ^ mix((start - low).astype(np.uint64) * U(64) + count.astype(np.uint64))
+            held = [data[x:y].tobytes() for x, y in zip(start.tolist(), last.tolist(), strict=True)]
+            none = lambda t, m=len(spans): pa.nulls(m, t)
+            where = np.append(doc[new][of], owners)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(x[where]) for x in ids),
+                    pa.concat_arrays([pa.array((start - base[new][of]).astype(np.int32)), none(pa.int32())]),
+                    *(pa.concat_arrays([pa.array(h.view(np.int64)), none(pa.int64())]) for h in (core, outer)),
+                    pa.concat_arrays([pa.array(held, pa.binary()), none(pa.binary())]),
+                    pa.concat_arrays([pa.nulls(len(start), pa.list_(pa.int32())), pa.array(spans, pa.list_(pa.int32()))]),
+                ],
+                ["doc", "row", "at", "core", "outer", "bytes", "spans"],
+            )
+
+    return run
+
+
+STRINGS = "doc long, row long, h1 long, h2 long, pos int"
+
+
+def _strings_of(length: int, grain: int, block: int):
+    """doc, row, at, bytes of parts -> a row per string in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = Contexts(length, grain, block)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                data, ends = _bytes_of(part.column("bytes"))
+                starts = np.flatnonzero(inside(ends, len(data), length))
+                which = np.searchsorted(ends, starts, side="right")
+                h1, h2 = tool.hashes(data, starts)
+                pos = starts - np.append(0, ends)[which] + part.column("at").to_numpy()[which]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(part.column(x).to_numpy()[which]) for x in ROW), *(pa.array(h.view(np.int64)) for h in (h1, h2)), pa.array(pos.astype(np.int32))], ["doc", "row", "h1", "h2", "pos"]
+                )
 
     return run
 
@@ -271,8 +333,9 @@ def _cut(length: int):
 
 
 class SuffixIndex:
-    """The levels: each a table of contexts (c) and one of beginnings (g, c, doc: the first holder of one context that has it), bucketed and
-    sorted by c and by g, in a new folder of the shared one. An index lives as long as its session; drop() removes it."""
+    """The levels: each a table of beginnings (g; c and doc, its only context and the first holder of that, or nulls if it has several) and one of the
+    contexts of those that have several (g, c), bucketed and sorted by these hashes, in a new folder of the shared one. An index
+    lives as long as its session; drop() removes it."""
 
     def __init__(self, spark: SparkSession, length: int = LENGTH, grain: int = GRAIN, block: int = BLOCK) -> None:
         self.spark, self.length, self.grain, self.block = spark, length, grain, block
@@ -281,10 +344,10 @@ class SuffixIndex:
         self.levels: list[tuple[int, str, str]] = []
         small_batches(spark)
 
-    def _write(self, rows: DataFrame, key: str) -> str:
+    def _write(self, rows: DataFrame, *key: str) -> str:
         name = f"op12_{uuid.uuid4().hex}"
-        dealt = rows.repartition(self.buckets, key).sortWithinPartitions(key)
-        dealt.write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{name}").saveAsTable(name)
+        dealt = rows.repartition(self.buckets, *key).sortWithinPartitions(*key)
+        dealt.write.bucketBy(self.buckets, *key).sortBy(*key).option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, *names: str) -> None:
@@ -298,39 +361,48 @@ class SuffixIndex:
 
     def add(self, suffixes: DataFrame, last: bool = False) -> DataFrame:
         """Scans the suffixes of a batch, whose documents come after all that are there, along with the levels and adds them, unless it is
-        the last batch. Gives doc, c, known: contexts that an earlier document has, and opened ones, old documents' too; some more than once."""
+        the last batch. Gives doc, c, known: contexts that an earlier document has, and opened ones, old documents' too; some more than once.
+
+        A beginning that stands alone, as most do, takes part in one aggregate and becomes a row of the level. Only suffixes whose beginning is
+        repeated go on to have their contexts compared."""
         own = suffixes.filter("g is not null").select("doc", "g", "c")
-        contexts = own.groupBy("c").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("g").alias("g"))
-        old = F.lit(False)
+        starts = own.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c"), F.min("doc").alias("doc"))
+        seen, held = F.lit(False), F.array().cast(HELD)
+        for k, (_, _, level) in enumerate(self.levels):
+            row = self.spark.table(level).select(F.col("g").alias(f"g{k}"), F.col("c").alias(f"c{k}"), F.col("doc").alias(f"doc{k}"))
+            starts = starts.join(row.hint("merge"), starts["g"] == F.col(f"g{k}"), "left")
+            seen = seen | F.col(f"g{k}").isNotNull()
+            held = F.when(F.col(f"c{k}").isNotNull(), F.array(F.struct(F.col(f"c{k}").alias("c"), F.col(f"doc{k}").alias("doc")))).otherwise(held)
+        starts = stash(starts.select("g", "n", "c", "doc", seen.alias("seen"), held.alias("held")), "op12-starts")
+        alone = starts.filter("n = 1 and not seen").select("g", "c", "doc")
+        some = stash(own.join(starts.filter("n > 1 or seen").select("g", "seen", "held"), "g"), "op12-some")
+        contexts = some.groupBy("g", "c").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("seen").alias("seen"), F.max(F.get("held", F.lit(0))["c"]).alias("only_c"), F.max(F.get("held", F.lit(0))["doc"]).alias("only_doc"))
+        old = F.coalesce(F.col("c") == F.col("only_c"), F.lit(False))
         for k, (_, level, _) in enumerate(self.levels):
-            seen = self.spark.table(level).select(F.col("c").alias(f"c{k}"))
-            contexts = contexts.join(seen.hint("merge"), contexts["c"] == F.col(f"c{k}"), "left")
-            old = old | F.col(f"c{k}").isNotNull()
-        contexts = stash(contexts.select("c", "first", "last", "g", old.alias("old")), "op12-contexts")
-        again = contexts.filter("old or last > first").select("c", F.when(F.col("old"), F.lit(None)).otherwise(F.col("first")).alias("first"))
-        known = own.join(again, "c").filter("first is null or doc > first").select("doc", "c", F.lit(True).alias("known"))
+            row = self.spark.table(level).select(F.col("g").alias(f"g{k}"), F.col("c").alias(f"c{k}"))
+            contexts = contexts.join(row.hint("merge"), (contexts["g"] == F.col(f"g{k}")) & (contexts["c"] == F.col(f"c{k}")), "left")
+            old = old | F.col(f"g{k}").isNotNull()
+        contexts = stash(contexts.select("g", "c", "first", "last", "seen", "only_c", "only_doc", old.alias("old")), "op12-contexts")
+        again = contexts.filter("old or last > first").select("g", "c", F.when(~F.col("old"), F.col("first")).alias("first"))
+        known = some.select("doc", "g", "c").join(again, ["g", "c"]).filter("first is null or doc > first").select("doc", "c", F.lit(True).alias("known"))
         new = contexts.filter("not old")
-        starts = new.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("c", "first")).alias("one"))
-        there = F.array()
-        for k, (_, _, level) in enumerate(self.levels):
-            seen = self.spark.table(level).select(F.col("g").alias(f"g{k}"), F.struct("c", F.col("doc").alias("first")).alias(f"x{k}"))
-            starts = starts.join(seen.hint("merge"), starts["g"] == F.col(f"g{k}"), "left")
-            there = F.concat(there, F.array(f"x{k}")) if k else F.array(f"x{k}")
-        held = F.filter(there, lambda x: x.isNotNull()) if self.levels else F.array().cast("array<struct<c:long,first:long>>")
-        starts = stash(starts.select("g", "n", "one", held.alias("held")), "op12-starts")
-        opened = new.join(starts.filter("n > 1 or size(held) > 0").select("g"), "g").select(F.col("first").alias("doc"), "c", F.lit(False).alias("known"))
-        reopened = starts.select(F.explode("held").alias("x")).select(F.col("x.first").alias("doc"), "x.c", F.lit(False).alias("known"))
-        hits = stash(known.unionByName(opened).unionByName(reopened), "op12-hits")
+        kinds = stash(new.groupBy("g").agg(F.count("*").alias("kinds"), F.min("c").alias("c"), F.min("first").alias("doc"), F.max("seen").alias("seen"), F.max("only_c").alias("only_c"), F.max("only_doc").alias("only_doc")), "op12-kinds")
+        differ = kinds.filter("kinds > 1 or seen")
+        opened = stash(new.join(differ.select("g"), "g").select("g", "c", "first"), "op12-opened")
+        reopened = differ.filter("only_c is not null").select(F.col("only_doc").alias("doc"), F.col("only_c").alias("c"), F.lit(False).alias("known"))
+        hits = stash(known.unionByName(opened.select(F.col("first").alias("doc"), "c", F.lit(False).alias("known"))).unionByName(reopened), "op12-hits")
         if not last:
-            self._grow(new.select("c"), starts.filter("size(held) = 0").select("g", "one.c", F.col("one.first").alias("doc")))
-        common.drop_some(self.spark, [contexts, starts])
+            fresh = kinds.filter("not seen")
+            several = fresh.select("g", F.when(F.col("kinds") == 1, F.col("c")).alias("c"), F.when(F.col("kinds") == 1, F.col("doc")).alias("doc"))
+            self._grow(opened.select("g", "c"), alone.unionByName(several))
+        common.drop_some(self.spark, [starts, some, contexts, kinds, opened])
         return hits
 
     def _grow(self, contexts: DataFrame, starts: DataFrame) -> None:
-        self.levels.append((1, self._write(contexts, "c"), self._write(starts, "g")))
+        self.levels.append((1, self._write(contexts, "g", "c"), self._write(starts, "g")))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, *a), (_, *b) = self.levels[-2:]
-            both = [self._write(self.spark.table(x).unionByName(self.spark.table(y)), key) for x, y, key in zip(a, b, "cg", strict=True)]
+            both = [self._write(self.spark.table(x).unionByName(self.spark.table(y)), *key) for x, y, key in zip(a, b, (("g", "c"), ("g",)), strict=True)]
             self.levels[-2:] = [(2 * size, *both)]
             self._drop(*a, *b)
 
@@ -348,14 +420,24 @@ def _few(ids: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def long_matches(docs: DataFrame, hits: DataFrame, index: SuffixIndex) -> DataFrame:
-    """doc, row, spans, pos: spans of known contexts, and places of strings that an earlier document has."""
+    """doc, row, spans, pos: spans that earlier documents have, and places of strings that they have."""
+    tool = (index.length, index.grain, index.block)
     asked = hits.groupBy("doc").agg(F.collect_set(F.when(F.col("known"), F.col("c"))).alias("known"), F.collect_set(F.when(~F.col("known"), F.col("c"))).alias("opened"))
     texts = docs.join(_few(hits, ["doc"]), "doc", "left_semi").join(asked, "doc")
-    found = stash(texts.select(*ROW, "text", "known", "opened").mapInArrow(_windows(index.length, index.grain, index.block), WINDOWS), "op12-windows")
-    strings = found.filter("pos is not null")
-    first = strings.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
-    later = strings.join(stash(first, "op12-first"), ["h1", "h2"]).filter("doc > lo").select(*ROW, F.lit(None).cast("array<int>").alias("spans"), "pos")
-    return later.unionByName(found.filter("spans is not null").select(*ROW, "spans", "pos"))
+    step = max(1, min(STEP, index.grain))
+    found = stash(texts.select(*ROW, "text", "known", "opened").mapInArrow(_opened(*tool, step), BLOCKS), "op12-opened")
+    # parts are judged as contexts were: what an earlier document has is known, what only begins alike is opened
+    parts, key = found.filter("at is not null"), ["core", "outer"]
+    firsts = stash(parts.groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "op12-parts")
+    alike = firsts.groupBy("core").agg(F.min("outer").alias("lo"), F.max("outer").alias("hi")).filter("lo < hi").select("core")
+    known = parts.select(*ROW, *key, "at", F.octet_length("bytes").alias("size")).join(firsts.filter("last > first"), key).filter("doc > first")
+    known = known.select(*ROW, F.array("at", F.col("at") + F.col("size")).alias("spans"), F.lit(None).cast("int").alias("pos"))
+    opened = stash(firsts.join(alike, "core").select(*key, "first"), "op12-opened-parts")
+    strings = parts.join(opened, key).filter("doc = first").select(*ROW, "at", "bytes").mapInArrow(_strings_of(*tool), STRINGS)
+    strings = stash(strings, "op12-strings")
+    twice = strings.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    later = strings.join(stash(twice, "op12-twice"), ["h1", "h2"]).filter("doc > lo").select(*ROW, F.lit(None).cast("array<int>").alias("spans"), "pos")
+    return later.unionByName(known).unionByName(found.filter("spans is not null").select(*ROW, "spans", F.lit(None).cast("int").alias("pos")))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, batches: int = BATCHES, block: int = BLOCK) -> DataFrame:
