@@ -155,11 +155,11 @@ cut_once = without_lines.asNondeterministic()
 
 def line_dedup(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """docs with texts that lost their common blocks, and dedup_lines (with blank ones), dedup_removed, dedup_moved (both without), dedup_partners (long)."""
-    blocks = common_blocks(docs, least).select(*[F.col(c).alias(f"__op2_{c}") for c in ("doc_id", "row", "gone", "moved", "partners")])
-    same = (F.col("doc_id").cast("long") == F.col("__op2_doc_id")) & (F.xxhash64("text") == F.col("__op2_row"))
-    joined = docs.join(blocks, same, "left")
+    doc, row, gone, moved, partners = names = [free_name(docs, f"__op2_{c}") for c in ("doc_id", "row", "gone", "moved", "partners")]
+    blocks = common_blocks(docs, least).toDF(*names)
+    joined = docs.join(blocks, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(row)), "left")
     size = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    added = {"dedup_lines": size.cast("long"), "dedup_removed": number(F.size("__op2_gone")), "dedup_moved": number(F.col("__op2_moved")), "dedup_partners": number(F.col("__op2_partners"))}
-    own = [F.col(f"`{c}`") if c.lower() != "text" else cut_once("text", "__op2_gone").alias(c) for c in docs.columns]
+    added = {"dedup_lines": size.cast("long"), "dedup_removed": number(F.size(gone)), "dedup_moved": number(F.col(moved)), "dedup_partners": number(F.col(partners))}
+    own = [F.col(f"`{c}`") if c.lower() != "text" else cut_once("text", gone).alias(c) for c in docs.columns]
     return joined.select(*own, *[v.alias(free_name(docs, k)) for k, v in added.items()])

@@ -72,21 +72,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
 
     The table of rates has a row per source. It is broadcast if it has at most BROADCAST_SOURCES rows; else the
     rows of each source are dealt over SALTS tasks for the join."""
-    named_rates = source_rates(docs, weights, temperature).select(F.col("mix_source").alias("__op5_source"), F.col("rate").alias("__op5_rate"))
-    rates = stash(named_rates, "op5-rates")
-    named = docs.withColumn("__op5_source", F.coalesce(F.col("source"), F.lit("")))
+    source, rate, salt, count, copy, key = (free_name(docs, f"__op5_{c}") for c in ("source", "rate", "salt", "count", "copy", "key"))
+    rates = stash(source_rates(docs, weights, temperature).select(F.col("mix_source").alias(source), F.col("rate").alias(rate)), "op5-rates")
+    named = docs.withColumn(source, F.coalesce(F.col("source"), F.lit("")))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        drawn = named.join(F.broadcast(rates), "__op5_source")
+        drawn = named.join(F.broadcast(rates), source)
     else:
-        salted = rates.withColumn("__op5_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        drawn = named.withColumn("__op5_salt", salt).join(salted, ["__op5_source", "__op5_salt"])
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        drawn = named.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [source, salt])
     copies = (
-        drawn.withColumn("__op5_count", copies_drawn(seed, F.col("doc_id"), F.col("__op5_rate")))
-        .filter("__op5_count > 0")
-        .withColumn("__op5_copy", F.explode(F.sequence(F.lit(1), F.col("__op5_count"))))
-        .withColumn("__op5_key", uniform(seed + 1, F.col("doc_id"), F.col("__op5_copy")))
+        drawn.withColumn(count, copies_drawn(seed, F.col("doc_id"), F.col(rate)))
+        .filter(F.col(count) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
+        .withColumn(key, uniform(seed + 1, F.col("doc_id"), F.col(copy)))
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    added = [F.col(f"__op5_{c}").alias(free_name(docs, f"mix_{c}")) for c in ("source", "rate", "copy", "key")]
-    return copies.repartition(parts, "__op5_key").sortWithinPartitions("__op5_key").select(*[F.col(f"`{c}`") for c in docs.columns], *added)
+    added = [F.col(c).alias(free_name(docs, n)) for c, n in ((source, "mix_source"), (rate, "mix_rate"), (copy, "mix_copy"), (key, "mix_key"))]
+    return copies.repartition(parts, key).sortWithinPartitions(key).select(*[F.col(f"`{c}`") for c in docs.columns], *added)
