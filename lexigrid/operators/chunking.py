@@ -94,12 +94,13 @@ def article_split(chapters: DataFrame, structure: Structure = DEFAULT) -> DataFr
     return out.drop("__piece").filter("article_body != ''")
 
 
-def chunk_documents(docs: DataFrame, structure: Structure = DEFAULT) -> DataFrame:
-    """docs: doc_ord, source, source_url, title, source_kind, text -> chunks in the order of documents, chapters and pieces.
+def chunk_documents(docs: DataFrame, structure: Structure = DEFAULT, keep: list[str] | None = None) -> DataFrame:
+    """docs: doc_ord, source, source_url, title, source_kind, text -> chunks in the order of documents, chapters and pieces, with the columns to keep.
 
     A chapter becomes its articles, or packed paragraphs if it has none; a document of headings alone is packed whole.
     row_idx numbers the chunks within (doc_ord, chapter_pos, piece_pos); it is assigned by numbered()."""
-    meta = ["doc_ord", "source", "source_url", "title", "source_kind"]
+    keep = keep or []
+    meta = ["doc_ord", "source", "source_url", "title", "source_kind", *keep]
 
     def piece(pos: Column, id_: Column, title: Column, body: Column) -> Column:
         return F.struct(pos.cast("int").alias("pos"), id_.alias("id"), title.alias("title"), body.alias("body"))
@@ -150,6 +151,7 @@ def chunk_documents(docs: DataFrame, structure: Structure = DEFAULT) -> DataFram
         text.alias("text"),
         F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("a.title")).alias("title"),
         "source_kind",
+        *keep,
     )
 
 

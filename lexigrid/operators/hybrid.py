@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexigrid.operators import postings
 from lexigrid.operators.lexical import TIE_DECIMALS, bm25_topk
 from lexigrid.operators.vectors import dense_topk
 
@@ -73,10 +74,13 @@ def hybrid_search(
     rrf_k: int = RRF_K,
     scorer: Callable | None = None,
     use_reranker: bool = True,
+    index: postings.Postings | None = None,
 ) -> DataFrame:
-    """Hits of queries (qid, text, qvec) among chunks (row_idx, text, ...) with vectors (row_idx, embedding). Blank queries have none."""
+    """Hits of queries (qid, text, qvec) among chunks (row_idx, text, ...) with vectors (row_idx, embedding). Blank queries have none.
+
+    index: the stored postings of the chunks; without it the chunks' texts are read and counted for this search."""
     asked = queries.filter(F.col("text").rlike(r"(?U)\S"))
-    lexical = bm25_topk(chunks, asked, k_per_retriever, id_col="row_idx")
+    lexical = bm25_topk(chunks, asked, k_per_retriever, id_col="row_idx") if index is None else postings.search(index, asked, k_per_retriever)
     dense = dense_topk(vectors, asked.filter("qvec is not null"), k_per_retriever)
     pool = pool_cut(rrf_fuse(lexical, dense, rrf_k, bm25_weight, dense_weight), top_k, rerank_pool)
     return rerank(hydrate(pool, chunks), asked, top_k, scorer, use_reranker)

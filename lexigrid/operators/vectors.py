@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from lexigrid.operators.lexical import TIE_DECIMALS, top_k
-from lexigrid.sources.files import scratch
 
-#: Queries that are sent out at once, about, and scores that a task computes at once.
-QUERY_ROWS, CELLS = 4096, 4_000_000
+#: Queries that are sent out at once, vectors to a shard where there are more queries, and scores that a task computes at once.
+QUERY_ROWS, SHARD_ROWS, CELLS = 4096, 16_384, 4_000_000
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -37,31 +36,61 @@ def _best(q: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarr
     return order[place < k]
 
 
+class _Best:
+    """The k nearest rows of each of some queries among the rows that it has seen."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.asked, self.k = _unit(queries), k
+        self.q, self.row, self.score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        self.least = np.full(len(queries), -np.inf)  # the k-th best so far
+
+    def see(self, rows: np.ndarray, m: np.ndarray) -> None:
+        n, together = len(self.asked), max(1, CELLS // len(self.asked))
+        for at in range(0, len(m), together):
+            found = m[at : at + together] @ self.asked.T
+            shown = np.round(found, TIE_DECIMALS)
+            floor = self.least if len(found) <= self.k else np.maximum(self.least, -np.partition(-shown, self.k - 1, axis=0)[self.k - 1])
+            i, j = np.nonzero(shown >= floor)
+            q, row, score = np.append(self.q, j), np.append(self.row, rows[at : at + together][i]), np.append(self.score, found[i, j])
+            kept = _best(q, row, score, self.k)
+            self.q, self.row, self.score = q, row, score = q[kept], row[kept], score[kept]
+            full = np.bincount(q, minlength=n) >= self.k
+            last = np.append(q[1:] != q[:-1], True) if len(q) else np.zeros(0, dtype=bool)
+            self.least[q[last & full[q]]] = np.round(score[last & full[q]], TIE_DECIMALS)
+
+
+def _of_length(vectors, column: str, d: int):
+    """The rows of a batch or table whose vectors have d numbers, and these as a matrix."""
+    own = vectors.filter(pc.equal(pc.list_value_length(vectors[column]), d))
+    values = own[column].combine_chunks() if isinstance(own, pa.Table) else own[column]
+    return own, values.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
 def _nearest(ids: pa.Array, queries: np.ndarray, k: int):
     """row_idx, embedding -> qid, row_idx, score: the k nearest rows that the task has seen, of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = _unit(queries)
-        n, d = asked.shape
-        together = max(1, CELLS // n)
-        q, row, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        least = np.full(n, -np.inf)  # the k-th best so far
+        best = _Best(queries, k)
         for batch in batches:
-            own = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), d))
-            rows = own.column("row_idx").to_numpy(zero_copy_only=False)
-            m = _unit(own.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-            for at in range(0, len(m), together):
-                found = m[at : at + together] @ asked.T
-                shown = np.round(found, TIE_DECIMALS)
-                floor = least if len(found) <= k else np.maximum(least, -np.partition(-shown, k - 1, axis=0)[k - 1])
-                i, j = np.nonzero(shown >= floor)
-                q, row, score = np.append(q, j), np.append(row, rows[at : at + together][i]), np.append(score, found[i, j])
-                kept = _best(q, row, score, k)
-                q, row, score = q[kept], row[kept], score[kept]
-                full = np.bincount(q, minlength=n) >= k
-                last = np.append(q[1:] != q[:-1], True) if len(q) else np.zeros(0, dtype=bool)
-                least[q[last & full[q]]] = np.round(score[last & full[q]], TIE_DECIMALS)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(row), pa.array(score)], ["qid", "row_idx", "score"])
+            own, m = _of_length(batch, "embedding", queries.shape[1])
+            best.see(own.column("row_idx").to_numpy(zero_copy_only=False), _unit(m))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(best.q)), pa.array(best.row), pa.array(best.score)], ["qid", "row_idx", "score"])
+
+    return run
+
+
+def _meet(k: int):
+    """A shard of the vectors and a block of the queries -> qid, row_idx, score: the k nearest rows of the shard, of each query."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [pa.table({"qid": asked["qid"].slice(0, 0), "row_idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        for d in pc.unique(pc.list_value_length(asked["qvec"])).to_pylist():
+            some, queries = _of_length(asked, "qvec", d)
+            own, m = _of_length(rows, "embedding", d)
+            best = _Best(queries, k)
+            best.see(own["row_idx"].to_numpy(), _unit(m))
+            found.append(pa.table({"qid": some["qid"].combine_chunks().take(pa.array(best.q)), "row_idx": best.row, "score": best.score}))
+        return pa.concat_tables(found)
 
     return run
 
@@ -69,27 +98,26 @@ def _nearest(ids: pa.Array, queries: np.ndarray, k: int):
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """qid, row_idx, score (cosine), rank of the k nearest rows of vectors (row_idx, embedding) for queries (qid, qvec): exact.
 
-    The queries are a given set against all rows: they are sent out in blocks of bounded size (a block takes one pass over the vectors),
-    scores are matrix products, and every task returns k rows a query, so the table of vectors is never shuffled. Vectors that are null or hold
-    a null or NaN are near to nothing; a query only meets vectors of its own length."""
+    The queries are a given set against all rows, and every task returns k rows a query. Up to QUERY_ROWS queries are sent to
+    the tasks that read the vectors, which are not moved. More are cut into blocks, the vectors into shards, and each block meets each
+    shard in a group of bounded size; nothing of them comes to the driver. ann.search finds neighbours without comparing all.
+    Vectors that are null or hold a null or NaN are near to nothing; a query only meets vectors of its own length."""
     whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
     rows = vectors.select(F.col("row_idx").cast("long").alias("row_idx"), F.col("embedding").cast("array<double>").alias("embedding")).filter(whole("embedding"))
-    asked = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec"))
+    asked = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).filter(whole("qvec") & (F.size("qvec") > 0))
     schema = StructType([queries.schema["qid"], StructField("row_idx", LongType()), StructField("score", DoubleType())])
+    head = asked.limit(QUERY_ROWS + 1).toArrow()  # so many rows at most
+    if head.num_rows > QUERY_ROWS:
+        shards, blocks = max(1, -(-rows.count() // SHARD_ROWS)), -(-asked.count() // QUERY_ROWS)
+        deal = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.select(deal("row_idx", shards).alias("shard"), every(blocks).alias("block"), "row_idx", "embedding")
+        right = asked.select(deal("qid", blocks).alias("block"), every(shards).alias("shard"), "qid", "qvec")
+        return top_k(left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_meet(k), schema), k)
     found = vectors.sparkSession.createDataFrame([], schema)
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    if blocks > 1:  # query vectors may come from a model: they are made once
-        path = scratch(vectors.sparkSession, "queries")
-        asked.write.parquet(path)
-        asked = vectors.sparkSession.read.schema(asked.schema).parquet(path)
-    for block in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block)
-        table = own.filter(whole("qvec")).toArrow()  # about QUERY_ROWS rows
-        lengths = pc.list_value_length(table["qvec"])
-        for d in sorted(x for x in set(lengths.to_pylist()) if x):
-            part = table.filter(pc.equal(lengths, d)).combine_chunks()
-            matrix = part["qvec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            found = found.unionByName(rows.mapInArrow(_nearest(part["qid"].combine_chunks(), matrix, k), schema))
+    for d in pc.unique(pc.list_value_length(head["qvec"])).to_pylist():  # as a rule one length
+        some, queries_of = _of_length(head, "qvec", d)
+        found = found.unionByName(rows.mapInArrow(_nearest(some["qid"].combine_chunks(), queries_of, k), schema))
     return top_k(found, k)
 
 

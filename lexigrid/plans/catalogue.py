@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
 from lexigrid.functions import urls as U
-from lexigrid.operators import chunking, crawling, hybrid, lexical, memory, models, prompts, vectors
+from lexigrid.operators import chunking, crawling, hybrid, lexical, memory, models, postings, prompts, vectors
 from lexigrid.plans import flows
 from lexigrid.plans import sql as S
-from lexigrid.plans.tables import chunks, questions, sources, table
+from lexigrid.plans.tables import chunks, lexical_index, questions, sources, table
 from lexigrid.plans.tables import vectors as doc_vectors
 from lexigrid.sources import files, http
 
@@ -63,8 +63,7 @@ def normalize_text(spark, sf_dir):
 
 @query(f"WITH {S.BM25_CORPUS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def corpus_term_stats(spark, sf_dir):
-    index = lexical.term_index(table(spark, sf_dir, "documents"))
-    return lexical.idf_table(index).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _rounded(postings.term_stats(lexical_index(spark, sf_dir)), "idf")
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -77,11 +76,17 @@ QUESTION = "the and attion to thanedble the worthless"
 @query(S.bm25(f"SELECT 0::BIGINT AS qid, {S.lit(QUESTION)} AS text", 20))
 def bm25_topk(spark, sf_dir):
     one = spark.createDataFrame([(0, QUESTION)], "qid long, text string")
-    return _rounded(lexical.bm25_topk(table(spark, sf_dir, "documents"), one, 20).select("qid", "row_idx", "score", "rank"), "score")
+    return _rounded(postings.search(lexical_index(spark, sf_dir), one, 20), "score")
 
 
 @query(S.bm25("SELECT item_id AS qid, text FROM benchmark", 20))
 def bm25_batch_topk(spark, sf_dir):
+    return _rounded(postings.search(lexical_index(spark, sf_dir), questions(spark, sf_dir), 20), "score")
+
+
+@query(SQL["bm25_batch_topk"])
+def bm25_scan_topk(spark, sf_dir):
+    """Without a stored index: the texts are read and counted for this search."""
     return _rounded(lexical.bm25_topk(table(spark, sf_dir, "documents"), questions(spark, sf_dir), 20).select("qid", "row_idx", "score", "rank"), "score")
 
 
@@ -119,7 +124,7 @@ HIT = ["qid", "rank", "row_idx", "source", "rrf_score", "bm25_rank", "dense_rank
 
 
 def _hits(spark, sf_dir, **knobs) -> DataFrame:
-    return hybrid.hybrid_search(chunks(spark, sf_dir), doc_vectors(spark, sf_dir), questions(spark, sf_dir), **knobs)
+    return hybrid.hybrid_search(chunks(spark, sf_dir), doc_vectors(spark, sf_dir), questions(spark, sf_dir), index=lexical_index(spark, sf_dir), **knobs)
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def _shown(hits: DataFrame) -> DataFrame:
 @query(S.fused("SELECT qid, row_idx, round(rrf_score, 6) AS rrf_score, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(dense_rank, 0) AS dense_rank, rrf_rank FROM fused"))
 def rrf_fuse(spark, sf_dir):
     q = questions(spark, sf_dir)
-    both = hybrid.rrf_fuse(lexical.bm25_topk(chunks(spark, sf_dir), q, 20, id_col="row_idx"), vectors.dense_topk(doc_vectors(spark, sf_dir), q, 20))
+    both = hybrid.rrf_fuse(postings.search(lexical_index(spark, sf_dir), q, 20), vectors.dense_topk(doc_vectors(spark, sf_dir), q, 20))
     return _rounded(_ranked(both.select("qid", "row_idx", "rrf_score", "bm25_rank", "dense_rank", "rrf_rank")), "rrf_score")
 
 
@@ -391,7 +396,7 @@ def rag_prompt(spark, sf_dir):
 def refusal(spark, sf_dir):
     blank = spark.createDataFrame([(-1, " \n ", None)], "qid long, text string, qvec array<float>")
     q = questions(spark, sf_dir).unionByName(blank)
-    hits = hybrid.hybrid_search(chunks(spark, sf_dir), doc_vectors(spark, sf_dir), q)
+    hits = hybrid.hybrid_search(chunks(spark, sf_dir), doc_vectors(spark, sf_dir), q, index=lexical_index(spark, sf_dir))
     return prompts.prompts(q, hits).select("qid", "n_hits", "answer")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.functions.text import html_title, html_to_text
-from lexigrid.operators import chunking, crawling, hybrid, prompts, vectors
+from lexigrid.operators import chunking, crawling, hybrid, postings, prompts, vectors
 from lexigrid.sources import files
 
 
@@ -53,9 +53,10 @@ def chunk_manifest(spark: SparkSession, manifest: str, folder: str, structure: c
 
 
 def ingest(chunks: DataFrame, encode: Callable, model_name: str, out: str) -> DataFrame:
-    """Writes the index of chunks, replacing one that is there; gives its metadata."""
+    """Writes the vectors of chunks and their postings, replacing those that are there; gives the metadata."""
     index, metadata = vectors.build_index(chunks, encode, model_name)
     files.write_index(index, metadata, out)
+    postings.write_postings(chunks, f"{out}/postings", "row_idx")
     return metadata
 
 
@@ -76,7 +77,7 @@ def search(spark: SparkSession, index_path: str, queries: DataFrame, encode: Cal
     index = files.open_index(spark, index_path)
     chunks = index.select("row_idx", F.col("document").alias("text"), "metadata.chunk_id", "metadata.article_id", "metadata.chapter", "metadata.source", "metadata.source_url")
     asked = queries.withColumn("qvec", encode(F.col("text")))
-    return hybrid.hybrid_search(chunks, index.select("row_idx", "embedding"), asked, **knobs)
+    return hybrid.hybrid_search(chunks, index.select("row_idx", "embedding"), asked, index=postings.open_postings(spark, f"{index_path}/postings"), **knobs)
 
 
 def answer(queries: DataFrame, hits: DataFrame, chat: Callable, histories: DataFrame | None = None, corpus: str = prompts.CORPUS) -> DataFrame:

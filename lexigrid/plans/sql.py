@@ -191,6 +191,28 @@ SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS row_idx, doc_id AS doc_or
 FROM packs"""
 
 
+def stored_chunks() -> str:
+    name = "(source || '_' || doc_id)"
+    return f"""WITH RECURSIVE {_packed(NORMAL)}
+SELECT doc_id, 0 AS chapter_pos, (pos + 1)::INT AS piece_pos, {stable_id(name.replace('source', 'packs.source').replace('doc_id', 'packs.doc_id'), "'PB-' || (pos + 1)")} AS chunk_id, 'PB-' || (pos + 1) AS article_id,
+  '' AS chapter, {name.replace('source', 'packs.source')} AS source, lang, 'PB-' || (pos + 1) || '.' || chr(10) || chunk AS text
+FROM packs JOIN documents USING (doc_id)"""
+
+
+def retrieval_report(k: int) -> str:
+    """Hits of each item, and the documents that hold its words in a row."""
+    words = "(' ' || array_to_string({}, ' ') || ' ')"
+    return f"""WITH {_bm25('SELECT item_id AS qid, text FROM benchmark', k)},
+phrases AS (SELECT item_id, {TOKENS} AS ts FROM benchmark),
+held AS (SELECT item_id, row_idx FROM (SELECT item_id, {words.format('ts')} AS p FROM phrases WHERE len(ts) > 0), (SELECT row_idx, {words.format('tokens')} AS t FROM tok) WHERE contains(t, p)),
+hits AS (SELECT qid AS item_id, rank, lex.row_idx AS doc_id, round(score, 6) AS score, held.item_id IS NOT NULL AS holds, lang FROM lex JOIN documents ON doc_id = lex.row_idx LEFT JOIN held ON held.item_id = qid AND held.row_idx = lex.row_idx),
+items AS (
+  SELECT b.item_id, coalesce(n_hits, 0) AS n_hits, coalesce(n_holders, 0) AS n_holders, coalesce(n_found, 0) AS n_found, first_rank FROM benchmark b
+  LEFT JOIN (SELECT item_id, count(*) AS n_hits, count(*) FILTER (holds) AS n_found, min(rank) FILTER (holds) AS first_rank FROM hits GROUP BY item_id) USING (item_id)
+  LEFT JOIN (SELECT item_id, count(*) AS n_holders FROM held GROUP BY item_id) USING (item_id))
+SELECT items.*, rank, doc_id, score, holds, lang FROM items LEFT JOIN hits USING (item_id)"""
+
+
 # --- pages
 
 

@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.sources.files import spread
+from lexigrid.operators import postings
+from lexigrid.sources.files import scratch, spread
 
 
 #: Tables whose rows take work enough to deal them over all cores where they are one file.
@@ -41,3 +42,20 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     none = F.lit(None).cast("string")
     return d.select(F.col("doc_id").alias("doc_ord"), F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string")).alias("source"), none.alias("source_url"), F.lit("").alias("title"), F.lit("html").alias("source_kind"), "text")
+
+
+#: Where this session keeps the postings of a table, by the table's files.
+_STORED: dict[tuple, str] = {}
+
+
+def lexical_index(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The stored postings of documents: written once in a session, opened by every later query, and written anew if the table's files have changed."""
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = found.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
+    if key not in _STORED:
+        path = scratch(spark, "postings")
+        postings.write_postings(table(spark, sf_dir, "documents"), path)
+        _STORED[key] = path
+    return postings.open_postings(spark, _STORED[key])

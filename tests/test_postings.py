@@ -1,0 +1,111 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexigrid.operators import lexical, postings
+
+WORDS = ["the", "of", "a", "and"] * 12 + [f"w{k}" for k in range(60)] + ["rare", "rarer"]
+
+
+def corpus(n, seed=1):
+    draw = random.Random(seed)
+    return [(i * 37 % 9000, " ".join(draw.choice(WORDS) for _ in range(draw.randrange(0, 40)))) for i in range(n)]
+
+
+QUERIES = ["the of", "the the w1 rare", "w1 w2 w3 w4 the a and of", "rarer", "the", "absent", "", None, "w5 absent the", "rare rarer w9 of"]
+
+
+def asked(spark):
+    return spark.createDataFrame(list(enumerate(QUERIES)), "qid long, text string")
+
+
+def table(df):
+    return sorted((r.qid, r.rank, r.row_idx, round(r.score, 8)) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(700), "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("k", [1, 5, 30])
+@pytest.mark.parametrize("span", [8, 1024])
+def test_search_is_the_scan(spark, docs, tmp_path, monkeypatch, k, span):
+    monkeypatch.setattr(postings, "SPAN", span)
+    monkeypatch.setattr(postings, "PROBE", 2)
+    index = postings.write_postings(docs, str(tmp_path / "i"))
+    got, want = table(postings.search(index, asked(spark), k)), table(lexical.bm25_topk(docs, asked(spark), k))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and all(math.isclose(a[3], b[3], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_common_terms_make_no_pairs(spark, docs, tmp_path):
+    """The terms that nearly all documents have are not essential to a query with rare ones."""
+    index = postings.write_postings(docs, str(tmp_path / "i"))
+    q = spark.createDataFrame([(0, "the of a and rare rarer w1")], "qid long, text string")
+    _, weights = postings.essential_terms(index, q, 3)
+    marks = {r.term: (r.essential, r.df) for r in weights.collect()}
+    assert not marks["the"][0] and marks["rare"][0]
+    scored = sum(df for essential, df in marks.values() if essential)
+    assert scored < 0.5 * sum(df for _, df in marks.values())
+
+
+def test_extension_is_one_index(spark, docs, tmp_path):
+    """Three segments give what one gives, statistics included, though lengths and frequencies moved."""
+    path = str(tmp_path / "i")
+    part = lambda k: docs.filter(F.col("doc_id") % 3 == k)
+    postings.write_postings(part(0), path)
+    for k in (1, 2):
+        index = postings.extend_postings(part(k), path)
+    whole = postings.write_postings(docs, str(tmp_path / "whole"))
+    assert (index.n_docs, index.n_tokens, index.segment) == (whole.n_docs, whole.n_tokens, 2) and math.isclose(index.mean_idf, whole.mean_idf, rel_tol=1e-12)
+    assert table(postings.search(index, asked(spark), 7)) == table(postings.search(whole, asked(spark), 7))
+
+
+def test_extension_that_fails_is_not_seen(spark, docs, tmp_path, monkeypatch):
+    path = str(tmp_path / "i")
+    postings.write_postings(docs.filter("doc_id < 4000"), path)
+    before = table(postings.search(postings.open_postings(spark, path), asked(spark), 5))
+    more = docs.filter("doc_id >= 4000")
+    monkeypatch.setattr(postings, "_raw_idf", lambda *a: 1 / 0)  # fails after the postings are written
+    with pytest.raises(ZeroDivisionError):
+        postings.extend_postings(more, path)
+    monkeypatch.undo()
+    assert table(postings.search(postings.open_postings(spark, path), asked(spark), 5)) == before
+    postings.extend_postings(more, path)
+    assert table(postings.search(postings.open_postings(spark, path), asked(spark), 5)) == table(lexical.bm25_topk(docs, asked(spark), 5))
+
+
+def test_search_reads_the_shards_of_its_terms(spark, docs, tmp_path):
+    index = postings.write_postings(docs, str(tmp_path / "i"))
+    blocks, _ = postings._asked(index, spark.createDataFrame([(0, "rare")], "qid long, text string"), lexical.BM25())
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower() or "shard IN" in plan or "shard#" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_small_and_odd_corpora(spark, tmp_path):
+    rows = [(0, "a b"), (1, "a a"), (2, ""), (3, None), (-5, "b")]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, docs in (("some", some), ("none", some.filter("false")), ("blank", some.filter("doc_id in (2, 3)")), ("one", some.filter("doc_id = 0"))):
+        q = spark.createDataFrame([(0, "a"), (1, "b a"), (2, "")], "qid long, text string")
+        index = postings.write_postings(docs, str(tmp_path / name))
+        assert table(postings.search(index, q, 2)) == table(lexical.bm25_topk(docs, q, 2)), name
+    with pytest.raises(Exception):  # noqa: B017  a missing path
+        postings.open_postings(spark, str(tmp_path / "nowhere"))
+
+
+def test_many_query_terms_are_not_broadcast(spark, docs, tmp_path, monkeypatch):
+    index = postings.write_postings(docs, str(tmp_path / "i"))
+    want = table(postings.search(index, asked(spark), 5))
+    monkeypatch.setattr(postings, "BROADCAST_TERMS", 2)
+    assert table(postings.search(index, asked(spark), 5)) == want
+
+
+def test_holders(spark, tmp_path):
+    rows = [(1, "The cat sat"), (2, "cat, sat!"), (3, "concat sat"), (4, "sat cat"), (5, None), (6, "a cat sat on a cat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(0, "cat sat"), (1, "cat"), (2, "dog cat"), (3, ""), (4, None), (5, "A")], "qid long, text string")
+    index = postings.write_postings(docs, str(tmp_path / "i"))
+    got = sorted((r.qid, r.row_idx) for r in postings.holders(index, docs, q).collect())
+    assert got == [(0, 1), (0, 2), (0, 6), (1, 1), (1, 2), (1, 4), (1, 6), (5, 6)]

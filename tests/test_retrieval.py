@@ -52,6 +52,7 @@ def test_dense_random(spark, monkeypatch, block):
 
     monkeypatch.setattr(vectors, "QUERY_ROWS", block)
     monkeypatch.setattr(vectors, "CELLS", 300)
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 90)
     r = np.random.default_rng(1)
     data = [(i, r.integers(-1, 2, 4 if i % 5 else 3).astype(float).tolist()) for i in range(400)]
     odd = [(900, None), (901, []), (902, [1.0, None, 0.0, 0.0]), (903, [float("nan")] * 4)]
