@@ -79,16 +79,30 @@ def unescape(text: Column) -> Column:
     return F.when(other, unescape_once(F.when(other, text))).otherwise(plain)
 
 
+# What follows reads a page from left to right as a parser does: a tag starts with a letter or / after <, and a > in a quoted value does not end it.
+_QUOTED = r"""=\s*+(?:"[^"]*+"|'[^']*+')"""
+TAG = rf"(?is)<(?:/?[a-z](?:{_QUOTED}|[^>])*+>|[!?][^>]*+>|/[^>]*+>)"
+#: Comments, and elements whose content is no text; one without an end reaches to the end of the page.
+HIDDEN = rf"(?is)<!--.*?(?:--!?>|\z)|<(NAMES)(?=[\s/>])(?:{_QUOTED}|[^>])*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
+_TITLE = rf"(?is)<title(?:\s(?:{_QUOTED}|[^>])*+)?>((?:[^<]|<(?![a-z/!?]))*+)</title\s*+>"
+_H1 = rf"(?is)<h1(?:\s(?:{_QUOTED}|[^>])*+)?>(.*?)</h1\s*+>"
+
+
+def visible(html: Column, without: str = "script|style|noscript") -> Column:
+    """A page without comments and these elements; a line end stands for each."""
+    return F.regexp_replace(html, HIDDEN.replace("NAMES", without), "\n")
+
+
 def html_title(html: Column) -> Column:
-    """The title; without one, the text of the first h1; else empty. A title of white space alone is an empty title."""
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)</title>", 1)
-    heading = F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"(?s)<[^>]*>", "")
+    """The title; without one, the text of the first h1; else empty. A title of white space alone is an empty title; one with a tag in it is none."""
+    page = visible(html)
+    title = F.regexp_extract(page, _TITLE, 1)
+    heading = F.regexp_replace(F.regexp_extract(page, _H1, 1), TAG, "")
     return F.coalesce(strip(unescape(F.when(title != "", title).otherwise(heading))), F.lit(""))
 
 
 def html_to_text(html: Column) -> Column:
     """The text nodes of a page, one or more to a line, without scripts, styles, comments and blank lines."""
-    x = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<!--.*?-->", "\n")
-    x = unescape(F.regexp_replace(x, r"(?s)<[^>]*>", "\n"))
+    x = unescape(F.regexp_replace(visible(html), TAG, "\n"))
     lines = F.filter(F.transform(F.split(x, "\n"), strip), lambda line: line != "")
     return F.coalesce(F.array_join(lines, "\n"), F.lit(""))

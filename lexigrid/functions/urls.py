@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lexigrid.functions.text import strip
+from lexigrid.functions.text import strip, visible
 
 DOC_EXTENSIONS = ("pdf", "docx", "doc")
 #: Schemes that lead to no page, as they are written.
@@ -99,14 +99,17 @@ decode_once = decode_any.asNondeterministic()
 
 
 def extract_links(pages: DataFrame, general: bool = True) -> DataFrame:
-    """src_url, pos, href, dst_url of every link in document order; links that lead to no page are dropped, repeated ones kept.
+    """src_url, pos, href, dst_url of every link in document order; links that lead to no page are dropped, repeated ones kept. What stands
+    in comments, scripts and styles, or in an attribute of another tag, is no link.
 
     Values may stand in double, single or no quotation marks. References other than &amp; go through an Arrow function, unless
     general is False (then they stay)."""
     # attributes are walked over one by one, values whole; no position is tried twice
     value = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
     valued = rf"""(?is)<a(?=[\s/])(?:(?!href\s*+=)(?:=\s*+{value}|[^>=\s"'/]++|[=\s"'/]))*+href\s*+=\s*+({value})"""
-    hrefs = F.regexp_extract_all("html", F.lit(valued), 1)
+    # other tags go first, as their values may look like links
+    bare_page = F.regexp_replace(visible(F.col("html"), "script|style"), r"""(?is)<(?!a[\s/])/?[a-z](?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+>""", "")
+    hrefs = F.regexp_extract_all(bare_page, F.lit(valued), 1)
     raw = pages.select(F.col("url").alias("src_url"), F.posexplode(hrefs).alias("pos", "href"))
     bare = raw.withColumn("href", F.regexp_replace("href", r"""(?s)\A(["'])(.*)\1\z""", "$2"))
     plain = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))

@@ -1,11 +1,9 @@
 """Queries by name, and SQL that gives the same rows."""
 
 import io
-import json
-import threading
 import zipfile
 from collections.abc import Callable
-from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
 from lexigrid.functions import urls as U
-from lexigrid.operators import chunking, crawling, hybrid, lexical, memory, models, postings, prompts, vectors
+from lexigrid.operators import ann, chunking, crawling, hybrid, lexical, memory, models, postings, prompts, semantic, vectors
 from lexigrid.plans import flows
 from lexigrid.plans import sql as S
 from lexigrid.plans.tables import chunks, lexical_index, questions, sources, table
@@ -113,6 +111,34 @@ def dense_batch_topk(spark, sf_dir):
     return _rounded(vectors.dense_topk(doc_vectors(spark, sf_dir), questions(spark, sf_dir), 20), "score")
 
 
+@query()
+def ann_batch_topk(spark, sf_dir):
+    """By the inverted file with product-quantised residuals; tests hold its recall against dense_batch_topk's rows."""
+    rows = doc_vectors(spark, sf_dir)
+    index = ann.build(rows, files.scratch(spark, "ann"))
+    return _rounded(ann.search(index, rows, questions(spark, sf_dir), 20), "score")
+
+
+@query()
+def semantic_batch_topk(spark, sf_dir):
+    """Documents and questions by their latent semantic vectors, fitted on the documents."""
+    d = table(spark, sf_dir, "documents")
+    encode = semantic.fit(d).encoder(spark)
+    rows = d.select(F.col("doc_id").alias("row_idx"), encode(F.col("text")).alias("embedding"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), encode(F.col("text")).alias("qvec"))
+    return _rounded(vectors.dense_topk(rows, asked, 20), "score")
+
+
+@query()
+def semantic_hybrid_search(spark, sf_dir):
+    """Hybrid search whose dense branch says something of the texts: BM25 and semantic vectors, fused by reciprocal rank."""
+    d = table(spark, sf_dir, "documents")
+    encode = semantic.fit(d).encoder(spark)
+    rows = d.select(F.col("doc_id").alias("row_idx"), encode(F.col("text")).alias("embedding"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text").withColumn("qvec", encode(F.col("text")))
+    return _shown(hybrid.hybrid_search(chunks(spark, sf_dir), rows, asked, index=lexical_index(spark, sf_dir)))
+
+
 @query("SELECT 'given' AS model, max(len(embedding))::INT AS dim, count(*)::INT AS n_chunks, true AS normalised, 'cosine' AS metric, 'parquet' AS backend FROM embeddings")
 def index_metadata(spark, sf_dir):
     return vectors.index_metadata(table(spark, sf_dir, "embeddings"), "given")
@@ -161,30 +187,31 @@ def rerank_pool(spark, sf_dir):
 # --- chunking
 
 LINES = chunking.Structure(separator="\n")
-FIXTURE = (
-    "Mở đầu\n\nChương I\nQUY ĐỊNH CHUNG\nlời dẫn\nĐiều 1. Phạm vi\n1. abc\n2. def\n\nĐIỀU 2: Đối tượng\nxyz\n"
-    "Chương 2: ABC\n\nđoạn một\n\nđoạn hai\nChương 3\nĐiều 1.\nA\nB\nĐiều 9. Một dòng"
-)
-
-
-def _fixture(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, "so_tay", None, "", "html", FIXTURE)], "doc_ord long, source string, source_url string, title string, source_kind string, text string")
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with headings that their own columns give: a chapter by language, articles at every third line, and a chapter without articles."""
+    d = table(spark, sf_dir, "documents")
+    cut = lambda part: F.array_join(F.filter(F.split("text", "\n"), lambda line, i: i % 3 == part), "\n")
+    article = lambda k, head: F.concat(F.lit(f"\nĐiều {k}. "), head, F.lit("\n"), cut(k - 1))
+    text = F.concat(F.col("source"), F.lit("\nChương II: "), F.upper("lang"), F.lit("\nlời dẫn"), article(1, F.col("lang")), article(2, F.lit("")), F.lit("\n CHƯƠNG 3\n"), F.col("source"), F.lit("\n\n"), cut(2))
+    none = F.lit(None).cast("string")
+    return d.select(F.col("doc_id").alias("doc_ord"), F.concat("source", F.lit("_"), F.col("doc_id").cast("string")).alias("source"), none.alias("source_url"), F.lit("").alias("title"), F.lit("html").alias("source_kind"), text.alias("text"))
 
 
-@query(S.chapters(FIXTURE))
+@query(S.chapters())
 def chapter_split(spark, sf_dir):
-    return chunking.chapter_split(_fixture(spark).select("doc_ord", "text"))
+    return chunking.chapter_split(_headed(spark, sf_dir).select("doc_ord", "text"))
 
 
-@query(S.articles(FIXTURE))
+@query(S.articles())
 def article_chunks(spark, sf_dir):
-    rows = chunking.article_split(chunking.chapter_split(_fixture(spark).select("doc_ord", "source", "text")))
+    rows = chunking.article_split(chunking.chapter_split(_headed(spark, sf_dir).select("doc_ord", "source", "text")))
     return rows.select("doc_ord", "chapter_pos", "chapter", "article_pos", "article_id", "article_title", "article_body", chunking.stable_id(F.col("source"), F.col("article_id")).alias("chunk_id"))
 
 
-@query(S.fixture_chunks(FIXTURE))
+@query(S.structured_chunks())
 def chunk_fixture(spark, sf_dir):
-    return chunking.numbered(chunking.chunk_documents(_fixture(spark))).select("row_idx", "chapter", "article_id", "article_title", "chunk_id", "text")
+    """Chapters, articles and what has none, over all documents with their headings."""
+    return chunking.chunk_documents(_headed(spark, sf_dir), LINES).select("doc_ord", "chapter_pos", "piece_pos", "chapter", "article_id", "article_title", "chunk_id", "text")
 
 
 @query(S.packed())
@@ -270,34 +297,46 @@ def crawl_frontier(spark, sf_dir):
     return fresh.groupBy(F.col("dst_url").alias("url")).agg(F.count("*").alias("n_links"), F.min("src_url").alias("first_parent"))
 
 
-WEB = [
-    ("http://w.example/", '<a href="/a">a</a><a href="b">b</a><a href="/a#x">a</a><a href="mailto:x@y">m</a><a href="#top">t</a>'),
-    ("http://w.example/a", '<a href="/">home</a><a href="/c">c</a><a href="/Files/One.PDF">one</a><a href="http://other.example/z">z</a>'),
-    ("http://w.example/b", '<a href="/missing">m</a><a href="/d">d</a><a href="/Files/One.PDF">one</a><a href="/two.docx">two</a>'),
-    ("http://w.example/c", '<a href="/d">d</a><a href="./e">e</a>'),
-    ("http://w.example/d", '<a href="/three.doc">three</a><a href="/a">a</a>'),
-    ("http://w.example/e", '<a href="/b">b</a>'),
-]
+#: Pages and files to a site, so that some sites are cut.
+SITE_PAGES, SITE_FILES = 9, 3
 
 
-def _crawl(spark) -> crawling.Crawl:
-    web = spark.createDataFrame(WEB, "url string, html string")
-    return crawling.bfs("http://w.example/", crawling.table_fetcher(web), spark, max_pages=6, max_files=2)
+def _crawl(spark, sf_dir) -> crawling.Crawl:
+    """All sites of pages at once, from all of their pages on, in the order of page_id."""
+    web = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", S.DOC_LIKE, '$1.pdf"'))
+    return crawling.crawl_sites(web.select("url", F.col("page_id").alias("ord")), crawling.table_fetcher(web), files.scratch(spark, "crawl"), SITE_PAGES, SITE_FILES)
 
 
-@query(S.values([("http://w.example/", 0, 0, True), ("http://w.example/a", 1, 1, True), ("http://w.example/b", 2, 1, True), ("http://w.example/c", 3, 2, True), ("http://w.example/missing", 4, 2, False), ("http://w.example/d", 5, 2, True)], "url, ord, depth, fetched", "url, ord::BIGINT AS ord, depth, fetched"))
+@query(S.crawl(SITE_PAGES, "SELECT site, url, ord, depth, fetched FROM visited"))
 def crawl_bfs(spark, sf_dir):
-    return _crawl(spark).visited
+    return _crawl(spark, sf_dir).visited
 
 
-@query(S.values([("http://w.example/Files/One.PDF", 0), ("http://w.example/two.docx", 1)], "url, ord", "url, ord::BIGINT AS ord"))
+@query(S.crawl(SITE_PAGES, f"SELECT site, url, ord FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY min(struct_pack(a := parent, b := pos))) - 1 AS ord FROM page_links WHERE is_doc GROUP BY site, url) WHERE ord < {SITE_FILES}"))
 def crawl_documents(spark, sf_dir):
-    return _crawl(spark).documents
+    return _crawl(spark, sf_dir).documents
 
 
-@query("SELECT 6::BIGINT AS n_visited, 5::BIGINT AS n_fetched, 2::BIGINT AS n_documents")
+@query(S.crawl(SITE_PAGES, f"SELECT count(*) AS n_visited, count(*) FILTER (fetched) AS n_fetched, (SELECT coalesce(sum(least(n, {SITE_FILES})), 0)::BIGINT FROM (SELECT count(DISTINCT url) AS n FROM page_links WHERE is_doc GROUP BY site)) AS n_documents FROM visited"))
 def crawl_summary(spark, sf_dir):
-    return crawling.crawl_summary(_crawl(spark))
+    return crawling.crawl_summary(_crawl(spark, sf_dir))
+
+
+@query(f"{S.LINKS} SELECT dst_url AS url, min(page_id % 2)::INT AS run, true AS ok, max(octet_length(encode(dst_url)))::BIGINT AS n_bytes FROM links JOIN pages ON src_url = url GROUP BY dst_url")
+def fetch_ledger(spark, sf_dir):
+    """Links of two halves of pages are fetched in two runs: each once, in the run that has it first. The bytes stand for those of a web."""
+    path, web = files.scratch(spark, "ledger"), table(spark, sf_dir, "pages")
+    fetch = lambda urls: urls.withColumn("content", F.col("url").cast("binary"))
+    for run in (0, 1, 1):  # a run again adds nothing and loses nothing
+        links = U.extract_links(web.filter(F.col("page_id") % 2 == run)).select(F.col("dst_url").alias("url"))
+        crawling.fetch_once(links, fetch, path, run)
+    return spark.read.schema(crawling.LEDGER).parquet(path).select("url", "run", "ok", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query(f"{S.LINKS} SELECT dst_url AS url, src_url, pos, {S.host('dst_url')} AS host, slot, slot * 0.5::DOUBLE AS wait FROM (SELECT *, (row_number() OVER (PARTITION BY {S.host('dst_url')} ORDER BY dst_url, src_url, pos) - 1)::INT AS slot FROM links)")
+def polite_schedule(spark, sf_dir):
+    links = extract_links(spark, sf_dir).select(F.col("dst_url").alias("url"), "src_url", "pos")
+    return http.schedule(links, 0.5, ["url", "src_url", "pos"])
 
 
 @query(f"SELECT url, 'pages/' || slug || '.txt' AS local_path, NULL::VARCHAR AS binary_path, title, 'html' AS source_kind, 1 AS n_pages, length(t)::BIGINT AS n_chars FROM (SELECT url, {S.SLUG} AS slug, {S.TITLE} AS title, {S.PAGE_TEXT} AS t FROM pages) WHERE t <> ''")
@@ -408,73 +447,42 @@ def source_snippets(spark, sf_dir):
 # --- sources and sinks: what is written is read again
 
 
-def _put(spark, path: str, text: str) -> None:
-    """A file in any file system that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    name = jvm.org.apache.hadoop.fs.Path(path)
-    out = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(name)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-LANDED = [("a/x.txt", "u0", "Điều 1. Một\nthân a"), ("b/x.txt", "u1", "thân b"), ("b/gone.txt", "u2", None), ("b/y.pdf.txt", "u3", "Điều 2\nthân c")]
-
-
-def _landed(spark) -> str:
-    """A folder with a manifest and its texts, of which two have one name and one is missing."""
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file of text for each page that has any, and a manifest that names the files."""
     path = files.scratch(spark, "landed")
-    for name, _, text in LANDED:
-        if text is not None:
-            _put(spark, f"{path}/texts/{name}", text)
-    _put(spark, f"{path}/manifest.jsonl", "\n\n".join(json.dumps({"url": url, "local_path": name}) for name, url, _ in LANDED) + "\n")
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", T.html_to_text(F.col("html")).alias("text")).filter("text != ''")
+    rows.select("page_id", "text").write.partitionBy("page_id").text(f"{path}/texts")
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/texts").select(F.regexp_extract("path", "(page_id=([0-9]+)/[^/]*)$", 1).alias("local_path"))
+    found = named.withColumn("page_id", F.regexp_extract("local_path", "=([0-9]+)/", 1).cast("long")).join(rows.select("page_id", "url"), "page_id")
+    files.write_json_lines(found.select("url", "local_path", "page_id"), f"{path}/manifest", ["page_id"])
     return path
 
 
-@query(S.values([(0, "x", "u0", LANDED[0][2]), (1, "x", "u1", LANDED[1][2]), (3, "y.pdf", "u3", LANDED[3][2])], "ord, source, url, text", "ord::BIGINT AS ord, source, url, text"))
-def manifest_texts(spark, sf_dir):
-    path = _landed(spark)
-    return files.read_texts(spark, files.read_manifest(spark, f"{path}/manifest.jsonl"), f"{path}/texts").select("ord", "source", "url", "text")
-
-
-@query("SELECT 'stub' AS model, 3::INT AS dim, 3::INT AS n_chunks, true AS normalised, 'cosine' AS metric, 'parquet' AS backend")
-def ingest_build(spark, sf_dir):
-    path = _landed(spark)
-    return flows.build(spark, f"{path}/manifest.jsonl", f"{path}/texts", vectors.encoder(_stub_model), "stub", path).drop("chunks_path")
-
-
-class _Site(BaseHTTPRequestHandler):
-    """Fixed pages at 127.0.0.1."""
-
-    def do_GET(self) -> None:
-        kind = {"/page": "text/html", "/wrong": "text/html; charset=iso-8859-1", "/file": "application/octet-stream"}.get(self.path)
-        self.send_response(200 if kind else 404)
-        self.send_header("Content-Type", kind or "text/plain")
-        self.end_headers()
-        self.wfile.write("<p>đây</p>".encode())
-
-    def log_message(self, *args) -> None:
-        pass
+_TEXTS = f"SELECT page_id, url, {S.PAGE_TEXT} AS t FROM pages"
 
 
-def _site() -> str:
-    server = ThreadingHTTPServer(("127.0.0.1", 0), _Site)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    return f"http://127.0.0.1:{server.server_port}"
+@query(f"SELECT row_number() OVER (ORDER BY page_id) - 1 AS ord, url, t || chr(10) AS text FROM ({_TEXTS}) WHERE t <> ''")
+def manifest_texts(spark, sf_dir):
+    path = _landed(spark, sf_dir)
+    return files.read_texts(spark, files.read_manifest(spark, f"{path}/manifest"), f"{path}/texts").select("ord", "url", "text")
 
 
-@query(S.values([("/gone", "-"), ("/page", "<p>đây</p>"), ("/wrong", "<p>đây</p>")], "path, html", "path, html"))
-def http_fetch(spark, sf_dir):
-    """Pages over HTTP from a server of the driver's machine, so for local mode; the fetch waits between requests."""
-    urls = spark.createDataFrame([(_site() + path,) for path in ("/page", "/wrong", "/gone")], "url string")
-    got = http.http_fetcher(0.01)(urls)
-    return got.select(F.regexp_extract("url", "(/[a-z]*)$", 1).alias("path"), F.coalesce("html", F.lit("-")).alias("html"))
+@query(f"SELECT 'stub' AS model, 3::INT AS dim, count(*)::INT AS n_chunks, true AS normalised, 'cosine' AS metric, 'parquet' AS backend FROM ({_TEXTS}) WHERE t <> ''")
+def ingest_build(spark, sf_dir):
+    """From texts and their manifest to an index; a page has no blank line, so it is one chunk."""
+    path = _landed(spark, sf_dir)
+    return flows.build(spark, f"{path}/manifest", f"{path}/texts", vectors.encoder(_stub_model), "stub", path).drop("chunks_path")
 
 
-@query(S.values([("/file", 12), ("/gone", 0)], "path, n_bytes", "path, n_bytes"))
-def http_files(spark, sf_dir):
-    urls = spark.createDataFrame([(_site() + path,) for path in ("/file", "/gone")], "url string")
-    got = http.http_file_fetcher(0.01)(urls)
-    return got.select(F.regexp_extract("url", "(/[a-z]*)$", 1).alias("path"), F.coalesce(F.length("content"), F.lit(0)).alias("n_bytes"))
+@query(f"SELECT page_id AS ord, CASE WHEN page_id % 3 = 0 THEN '{{\"url\": ' || url END AS line FROM pages WHERE page_id % 3 <> 1")
+def manifest_rejects(spark, sf_dir):
+    """Of each three lines of a manifest one is cut off and one names no file: both are told, with their numbers in the whole."""
+    path = files.scratch(spark, "manifest")
+    whole = F.to_json(F.struct("url", F.lit("x.txt").alias("local_path")))
+    line = F.when(F.col("page_id") % 3 == 1, whole).when(F.col("page_id") % 3 == 0, F.concat(F.lit('{"url": '), "url")).otherwise(F.to_json(F.struct("url")))
+    rows = table(spark, sf_dir, "pages").repartitionByRange(3, "page_id").sortWithinPartitions("page_id")
+    rows.select(line.alias("value")).write.text(path)
+    return files.manifest_rejects(spark, path).select("ord", "line")
 
 
 @query(SQL["manifest"])
@@ -509,29 +517,42 @@ def vector_index(spark, sf_dir):
     return index.select("id", "row_idx", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"), "document", "metadata.article_id", "metadata.source")
 
 
-def _docx(*paragraphs: str) -> bytes:
+def _docx(paragraphs: list[str]) -> bytes:
     space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+        body = "".join(f"<w:p><w:r><w:t>{escape(p, {chr(13): '&#13;'})}</w:t></w:r></w:p>" for p in paragraphs)
         z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
     return out.getvalue()
 
 
-@query(S.values([("a.DOCX", 1, "one\ntwo"), ("b.pdf", 2, "p1\n\np2"), ("c.txt", 1, ""), ("d.docx", 1, ""), ("e.doc", 1, "")], "path, n_pages, text", "path, n_pages, text"))
+def _as_docx(batches):
+    for batch in batches:
+        yield pd.DataFrame({"path": "doc_" + batch["doc_id"].astype(str) + ".DOCX", "content": [_docx(t.split("\n")) for t in batch["text"]]})
+
+
+#: What XML can't hold.
+_NO_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+
+
+@query(f"SELECT 'doc_' || doc_id || '.DOCX' AS path, 1 AS n_pages, array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '{_NO_XML}', '', 'g'), chr(10)), lambda l: regexp_matches(l, '\\S')), chr(10)) AS text FROM documents")
 def file_texts(spark, sf_dir):
-    rows = [("a.DOCX", _docx("one", " ", "two")), ("b.pdf", b"%PDF"), ("c.txt", b"x"), ("d.docx", b"broken"), ("e.doc", b"broken")]
-    found = files.extract_files(spark.createDataFrame(rows, "path string, content binary"), [lambda data: ["", " "], lambda data: ["p1", "p2"]])
+    """Documents as DOCX files, a line to a paragraph, and the texts of these."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), _NO_XML, "").alias("text"))
+    found = files.extract_files(d.mapInPandas(_as_docx, "path string, content binary"))
     return found.select("path", "n_pages", "text")
 
 
-RELATIVE = [("../c#x", "http://h/c"), ("b?q=1", "http://h/dir/b?q=1"), ("//o/z", "http://o/z"), ("/x/./y", "http://h/x/y"), ("http://p/q#r", "http://p/q")]
+#: Links as they may stand on a page, and what they lead to, by the page's site and folder in SQL.
+RELATIVE = [("../c#x", "site || parent || 'c'"), ("b?q=1", "site || folder || 'b?q=1'"), ("//o/z", "regexp_extract(site, '^[a-z]+:') || '//o/z'"), ("/x/./y", "site || '/x/y'"), ("http://p/q#r", "'http://p/q'"), (" #top ", "NULL"), ("mailto:a@b", "NULL")]
+_PLACES = f"""SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS site, folder, CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]*/$', '') END AS parent
+FROM (SELECT page_id, url, regexp_extract({S.path('url')}, '^(.*/)[^/]*$', 1) AS folder FROM pages)"""
 
 
-@query(S.values(RELATIVE, "href, url", "href, url"))
+@query(" UNION ALL ".join(f"SELECT page_id, {S.lit(href)} AS href, {to} AS url FROM ({_PLACES})" for href, to in RELATIVE))
 def resolve_urls(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a, _ in RELATIVE], "href string")
-    return rows.select("href", U.normalize_url(F.col("href"), F.lit("http://h/dir/page")).alias("url"))
+    hrefs = F.explode(F.array(*[F.lit(a) for a, _ in RELATIVE])).alias("href")
+    return table(spark, sf_dir, "pages").select("page_id", "url", hrefs).select("page_id", "href", U.normalize_url(F.col("href"), F.col("url")).alias("url"))
 
 
 # --- injected models, with stubs
@@ -564,12 +585,6 @@ def rerank_without_model(spark, sf_dir):
     return _shown(_hits(spark, sf_dir, scorer=models.reranker(_no_model)))
 
 
-@query(S.values([("auto", True, "cuda:0"), ("auto", False, "cpu"), ("cuda", False, "cuda:0"), ("cpu", True, "cpu")], "asked, cuda, device", "asked, cuda, device"))
-def device_choice(spark, sf_dir):
-    rows = [(asked, cuda, models.pick_device(asked, lambda c=cuda: c)) for asked in ("auto", "cuda", "cpu") for cuda in (True, False) if (asked, cuda) not in (("cuda", True), ("cpu", False))]
-    return spark.createDataFrame(rows, "asked string, cuda boolean, device string")
-
-
 def _echo_model():
     return lambda system, prompt, sampling: f"{system[:20]}|{prompt[:40]}|{sampling.max_new_tokens}"
 

@@ -17,11 +17,6 @@ def fold(x: str, how: str) -> str:
     return f"translate({x}, '{MARKED}', '{FOLDED[how]}')"
 
 
-def values(rows: list[tuple], names: str, select: str) -> str:
-    show = lambda v: lit(v) if isinstance(v, str) else str(v)
-    return f"SELECT {select} FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS v({names})"
-
-
 TOKENS = rf"regexp_extract_all({fold('''lower(coalesce(text, ''))''', 'collapse')}, '[\p{{L}}\p{{N}}_]+')"
 _LINES = r"regexp_replace(text, '\r\n|[\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g')"
 _TRIMMED = rf"regexp_replace(regexp_replace({_LINES}, '[\x{{200b}}\x{{ad}}]', '', 'g'), '[^\S\n]+(\n|$)', '\1', 'g')"
@@ -127,44 +122,66 @@ def _cut(x: str, pattern: str) -> str:
     return f"string_split(regexp_replace({x}, {lit(pattern)}, chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1))"
 
 
-def _chapters(fixture: str) -> str:
+_SPLIT = "string_split(text, chr(10))"
+
+
+def _every_third(part: int) -> str:
+    return f"array_to_string(list_transform(list_filter(list_zip({_SPLIT}, range(len({_SPLIT}))), lambda z: z[2] % 3 = {part}), lambda z: z[1]), chr(10))"
+
+
+#: The documents with headings that catalogue._headed makes.
+_HEADED = f"""SELECT doc_id AS doc_ord, source || '_' || doc_id AS source,
+  source || chr(10) || 'Chương II: ' || upper(lang) || chr(10) || 'lời dẫn' || chr(10) || 'Điều 1. ' || lang || chr(10) || {_every_third(0)} || chr(10) || 'Điều 2. ' || chr(10) || {_every_third(1)}
+  || chr(10) || ' CHƯƠNG 3' || chr(10) || source || chr(10) || chr(10) || {_every_third(2)} AS text FROM documents"""
+
+
+def _chapters() -> str:
     title = strip("split_part(split_part(piece, chr(3), 1), chr(2), 2)")
     return f"""
-doc AS (SELECT 0::BIGINT AS doc_ord, {_cut(NORMAL.replace('text', lit(fixture), 1), _CHAPTER)} AS ps),
-cut AS (SELECT doc_ord, unnest(range(len(ps)))::INT AS chapter_pos, unnest(ps) AS piece FROM doc),
+headed AS ({_HEADED}),
+doc AS (SELECT doc_ord, source, {_cut(NORMAL, _CHAPTER)} AS ps FROM headed),
+cut AS (SELECT doc_ord, source, unnest(range(len(ps)))::INT AS chapter_pos, unnest(ps) AS piece FROM doc),
 chapters AS (
   SELECT * FROM (
-    SELECT doc_ord, chapter_pos,
+    SELECT doc_ord, source, chapter_pos,
       CASE WHEN chapter_pos = 0 THEN '' ELSE 'Chương ' || split_part(piece, chr(2), 1) || CASE WHEN {title} <> '' THEN ': ' || {title} ELSE '' END END AS chapter,
       {strip("CASE WHEN chapter_pos = 0 THEN piece ELSE split_part(piece, chr(3), 2) END")} AS body
     FROM cut) WHERE body <> '')"""
 
 
-def chapters(fixture: str) -> str:
-    return f"WITH {_chapters(fixture)} SELECT doc_ord, chapter_pos, chapter, body FROM chapters"
+def chapters() -> str:
+    return f"WITH {_chapters()} SELECT doc_ord, chapter_pos, chapter, body FROM chapters"
 
 
-def _articles(fixture: str) -> str:
-    return f"""{_chapters(fixture)},
-art AS (SELECT doc_ord, chapter_pos, chapter, unnest(range(len(ps)))::INT AS article_pos, unnest(ps) AS piece FROM (SELECT *, {_cut('body', _ARTICLE)} AS ps FROM chapters)),
+def _articles() -> str:
+    return f"""{_chapters()},
+art AS (SELECT doc_ord, source, chapter_pos, chapter, unnest(range(len(ps)))::INT AS article_pos, unnest(ps) AS piece FROM (SELECT *, {_cut('body', _ARTICLE)} AS ps FROM chapters)),
 articles AS (
-  SELECT doc_ord, chapter_pos, chapter, article_pos, 'Điều ' || split_part(piece, chr(2), 1) AS article_id,
+  SELECT doc_ord, source, chapter_pos, chapter, article_pos, 'Điều ' || split_part(piece, chr(2), 1) AS article_id,
     {strip("split_part(split_part(piece, chr(3), 1), chr(2), 2)")} AS article_title, {strip("split_part(piece, chr(3), 2)")} AS article_body
   FROM art WHERE article_pos > 0 AND {strip("split_part(piece, chr(3), 2)")} <> '')"""
 
 
-def articles(fixture: str) -> str:
-    return f"WITH {_articles(fixture)} SELECT *, {stable_id(lit('so_tay'), 'article_id')} AS chunk_id FROM articles"
+def articles() -> str:
+    return f"WITH {_articles()} SELECT doc_ord, chapter_pos, chapter, article_pos, article_id, article_title, article_body, {stable_id('source', 'article_id')} AS chunk_id FROM articles"
 
 
-def fixture_chunks(fixture: str) -> str:
-    parts = rf"list_filter(list_transform(regexp_split_to_array(body, '\n\s*\n'), lambda p: {strip('p')}), lambda p: p <> '')"
-    return f"""WITH {_articles(fixture)},
+def structured_chunks() -> str:
+    """Articles, and the packed lines of chapters without any."""
+    return f"""WITH RECURSIVE {_articles()},
+bare AS (SELECT doc_ord, source, chapter_pos, chapter, list_filter(list_transform(string_split(body, chr(10)), lambda p: {strip('p')}), lambda p: p <> '') AS ps FROM chapters c
+  WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.doc_ord = c.doc_ord AND a.chapter_pos = c.chapter_pos)),
+walk AS (
+  SELECT doc_ord, chapter_pos, 1 AS i, length(ps[1]) + 2 AS n, 1 AS seg FROM bare WHERE len(ps) > 0
+  UNION ALL
+  SELECT w.doc_ord, w.chapter_pos, i + 1, CASE WHEN n + length(ps[i + 1]) > 1200 THEN 0 ELSE n END + length(ps[i + 1]) + 2, seg + (n + length(ps[i + 1]) > 1200)::INT
+  FROM walk w JOIN bare p ON w.doc_ord = p.doc_ord AND w.chapter_pos = p.chapter_pos WHERE i < len(ps)),
 rows AS (
-  SELECT chapter_pos, article_pos, chapter, article_id, article_title, article_body AS body FROM articles
-  UNION ALL SELECT chapter_pos, 1, chapter, 'PB-1', '', array_to_string({parts}, chr(10) || chr(10)) FROM chapters WHERE chapter_pos NOT IN (SELECT chapter_pos FROM articles))
-SELECT row_number() OVER (ORDER BY chapter_pos, article_pos) - 1 AS row_idx, chapter, article_id, article_title, {stable_id(lit('so_tay'), 'article_id')} AS chunk_id,
-  CASE WHEN article_title <> '' THEN article_id || '. ' || article_title || chr(10) || body ELSE article_id || '.' || chr(10) || body END AS text
+  SELECT doc_ord, source, chapter_pos, article_pos AS piece_pos, chapter, article_id, article_title, article_body AS body FROM articles
+  UNION ALL SELECT w.doc_ord, source, w.chapter_pos, seg, chapter, 'PB-' || seg, '', string_agg(ps[i], chr(10) || chr(10) ORDER BY i)
+  FROM walk w JOIN bare p ON w.doc_ord = p.doc_ord AND w.chapter_pos = p.chapter_pos GROUP BY ALL)
+SELECT doc_ord, chapter_pos, piece_pos, chapter, article_id, article_title, {stable_id('source', 'article_id')} AS chunk_id,
+  CASE WHEN article_title <> '' THEN {strip("article_id || '. ' || article_title || chr(10) || body")} ELSE article_id || '.' || chr(10) || body END AS text
 FROM rows"""
 
 
@@ -241,7 +258,7 @@ def path(url: str) -> str:
 NO_FRAGMENT = "regexp_replace(url, '#.*$', '')"
 _SAFE = r"A-Za-z0-9_\-.\x{C0}-\x{24F}\x{1E00}-\x{1EFF}"
 _NAME = rf"regexp_replace(regexp_extract({path('dst_url')}, '([^/]*)/*$', 1), '[^{_SAFE}]', '_', 'g')"
-FILE_NAME = rf"substr(CASE WHEN regexp_matches(lower({_NAME}), '\.(pdf|docx|doc)$') THEN {_NAME} ELSE {_NAME} || '.bin' END, 1, 160)"
+FILE_NAME = rf"substr(CASE WHEN regexp_matches(lower({_NAME}), '[.](pdf|docx|doc)$') THEN {_NAME} ELSE {_NAME} || '.bin' END, 1, 160)"
 _TRIM = f"regexp_replace({path('url')}, '^/+|/+$', '', 'g')"
 _SLUG = rf"substr(regexp_replace(regexp_replace({_TRIM}, '[\s/]+', '_', 'g'), '[^{_SAFE}]', '', 'g'), 1, 120)"
 SLUG = f"(CASE WHEN {_TRIM} = '' THEN 'index' WHEN {_SLUG} = '' THEN 'doc' ELSE {_SLUG} END)"
@@ -252,6 +269,33 @@ links AS (
   SELECT src_url, pos, href, regexp_extract(src_url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || regexp_replace(href, '#.*$', '') AS dst_url
   FROM hrefs WHERE href LIKE '/%')"""
 
+
+
+#: Links whose path ends so lead to documents in the crawl's web, as the given pages link none.
+DOC_LIKE = '(href="/[^"#?]*[aeiou])"'
+
+
+def crawl(max_pages: int, select: str, levels: int = 4) -> str:
+    """Levels of a crawl of all sites, from all pages on; page_links are the links of the pages that were fetched."""
+    web = f"WITH pages AS (SELECT page_id, url, regexp_replace(html, {lit(DOC_LIKE)}, '\\1.pdf\"', 'g') AS html FROM pages), hrefs"
+    out = f"""{LINKS.replace('WITH hrefs', web, 1)},
+level_0 AS (SELECT site, url, ord FROM (
+  SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY first, url) - 1 AS ord FROM (SELECT {host('url')} AS site, url, min(page_id) AS first FROM pages GROUP BY ALL)) WHERE ord < {max_pages})"""
+    for k in range(1, levels):
+        before = " UNION ALL ".join(f"SELECT site, url FROM level_{j}" for j in range(k))
+        out += f""",
+level_{k} AS (SELECT site, url, ord FROM (
+  SELECT site, url, coalesce(done, 0) + row_number() OVER (PARTITION BY site ORDER BY spot, url) - 1 AS ord FROM (
+    SELECT p.site, dst_url AS url, min(struct_pack(a := p.ord, b := l.pos)) AS spot FROM level_{k - 1} p JOIN (SELECT DISTINCT * FROM links) l ON p.url = l.src_url
+    WHERE {host('dst_url')} = p.site AND NOT regexp_matches(lower({path('dst_url')}), '[.](pdf|docx|doc)$') AND (p.site, dst_url) NOT IN ({before}) GROUP BY ALL)
+  LEFT JOIN (SELECT site, count(*) AS done FROM ({before}) GROUP BY site) USING (site)) WHERE ord < {max_pages})"""
+    every = " UNION ALL ".join(f"SELECT site, url, ord, {k} AS depth FROM level_{k}" for k in range(levels))
+    return f"""{out},
+visited AS (SELECT *, url IN (SELECT url FROM pages WHERE html IS NOT NULL) AS fetched FROM ({every})),
+page_links AS (SELECT v.site, v.ord AS parent, l.pos, dst_url AS url, regexp_matches(lower({path('dst_url')}), '[.](pdf|docx|doc)$') AS is_doc FROM visited v JOIN (SELECT DISTINCT * FROM links) l ON v.url = l.src_url WHERE fetched)
+{select}"""
+
+
 # --- memory and prompts
 
 MEMORY = f"""WITH convs AS (SELECT DISTINCT conv_id FROM conversations),

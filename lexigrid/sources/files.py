@@ -44,23 +44,46 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def remove(spark: SparkSession, name: str) -> None:
     """Removes a folder of any file system that Spark knows."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a manifest in JSON lines, with their order as ord; blank lines are skipped.
-
-    Rows are counted by the parts in which files are read; the running sum is over a row for each part, and a window numbers the rows of
-    one part, so no task has all rows."""
-    rows = spark.read.schema(MANIFEST).json(path).select("*", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__at"))
-    rows, part = rows.filter("local_path is not null"), ["file_path", "file_block_start"]
+def _manifest_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a manifest with their order as ord, file_path, and what is broken as broken."""
+    lines = spark.read.schema(f"{MANIFEST}, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    rows = lines.select("*", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__at"))
+    part = ["file_path", "file_block_start"]
     before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*part).agg(F.count("*").alias("n")).select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     place = F.row_number().over(Window.partitionBy(*part).orderBy("__at")) - 1
-    return rows.withColumn("__place", place).join(starts, part).withColumn("ord", (F.col("__start") + F.col("__place")).cast("long")).drop(*part, "__at", "__start", "__place")
+    numbered = rows.withColumn("__place", place).join(starts, part).withColumn("ord", (F.col("__start") + F.col("__place")).cast("long"))
+    return numbered.drop("file_block_start", "__at", "__start", "__place")
+
+
+def read_manifest(spark: SparkSession, path: str, broken: str = "raise") -> DataFrame:
+    """Rows of a manifest in JSON lines, with their order as ord; blank lines are skipped. A line that is no JSON, or names no
+    local_path, stops the job that reads it, or is left out, with its number, where broken is "skip"; manifest_rejects has those.
+
+    Rows are counted by the parts in which files are read; the running sum is over a row for each part, and a window numbers the rows of
+    one part, so no task has all rows."""
+    rows = _manifest_rows(spark, path)
+    bad = F.col("broken").isNotNull() | F.col("local_path").isNull()
+    if broken == "skip":
+        return rows.filter(~bad).drop("broken", "file_path")
+    said = F.raise_error(F.concat(F.lit("broken manifest line in "), F.col("file_path"), F.lit(": "), F.coalesce("broken", F.lit("no local_path"))))
+    return rows.withColumn("local_path", F.when(bad, said).otherwise(F.col("local_path"))).drop("broken", "file_path")
+
+
+def manifest_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """file_path, ord, line: what read_manifest leaves out; line is null where a row has no local_path."""
+    return _manifest_rows(spark, path).filter("broken is not null or local_path is null").select("file_path", "ord", F.col("broken").alias("line"))
 
 
 def file_stem(path: Column) -> Column:

@@ -7,7 +7,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
+
+from lexigrid.functions.urls import authority
 
 HTML_TIMEOUT, FILE_TIMEOUT, DELAY = 20, 90, 0.5
 AGENT = "Mozilla/5.0 (compatible; lexigrid/1.0)"
@@ -37,32 +41,60 @@ def as_text(body: bytes, kind: str, charset: str | None) -> str:
         return body.decode("utf-8", "replace")
 
 
-def http_fetcher(delay: float = DELAY, timeout: int = HTML_TIMEOUT) -> Callable[[DataFrame], DataFrame]:
-    """For crawling.bfs: url -> url, html, each task waiting `delay` seconds between requests."""
+def schedule(urls: DataFrame, delay: float = DELAY, order_by: list[str] | None = None) -> DataFrame:
+    """urls with host, slot (a URL's place among those of its host, in the order of the columns or of the URL) and wait: the seconds after which
+    it may be asked for at the earliest, so that no host is asked more often than once in `delay` seconds."""
+    rows = urls.withColumn("host", authority(F.col("url")))
+    slot = F.row_number().over(Window.partitionBy("host").orderBy(*(order_by or ["url"]))) - 1
+    return rows.withColumn("slot", slot).withColumn("wait", F.col("slot") * F.lit(float(delay)))
+
+
+def _politely(ask: Callable[[str], object], name: str, delay: float, clock=time.monotonic, sleep=time.sleep):
+    """Batches of url, host in the order of their slots -> url and what ask gives. A host's requests lie `delay` seconds apart, as its task is the
+    only one that asks it; while one host rests, the others' turns come."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free: dict[str, float] = {}
         for batch in batches:
-            out = []
-            for url in batch["url"]:
-                got = get(url, timeout)
-                out.append(as_text(*got) if got else None)
-                time.sleep(delay)
-            yield pd.DataFrame({"url": batch["url"], "html": out})
+            for url, host in zip(batch["url"], batch["host"], strict=True):
+                rest = free.get(host, 0.0) - clock()
+                if rest > 0:
+                    sleep(rest)
+                free[host] = clock() + delay
+                yield pd.DataFrame({"url": [url], name: [ask(url)]})
+            now = clock()
+            free = {h: t for h, t in free.items() if t > now}
+
+    return run
+
+
+def _fetcher(ask: Callable[[str], object], name: str, kind: str, delay: float) -> Callable[[DataFrame], DataFrame]:
+    def fetch(urls: DataFrame) -> DataFrame:
+        # hosts are dealt out to tasks; within a task they take turns
+        planned = schedule(urls.select("url"), delay).repartition("host").sortWithinPartitions("slot", "host").select("url", "host")
+        return planned.mapInPandas(_politely(ask, name, delay), f"url string, {name} {kind}")
 
-    return lambda urls: urls.select("url").mapInPandas(run, "url string, html string")
+    return fetch
+
+
+def http_fetcher(delay: float = DELAY, timeout: int = HTML_TIMEOUT) -> Callable[[DataFrame], DataFrame]:
+    """For crawling.bfs: url -> url, html. Requests to one host come one after another, `delay` seconds apart."""
+
+    def ask(url: str) -> str | None:
+        got = get(url, timeout)
+        return as_text(*got) if got else None
+
+    return _fetcher(ask, "html", "string", delay)
 
 
 def http_file_fetcher(delay: float = DELAY, timeout: int = FILE_TIMEOUT) -> Callable[[DataFrame], DataFrame]:
-    """For flows.crawl: url -> url, content, each task waiting `delay` seconds between requests."""
+    """For flows.crawl: url -> url, content; as http_fetcher."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for url in batch["url"]:
-                got = get(url, timeout)
-                yield pd.DataFrame({"url": [url], "content": [got[0] if got else None]})
-                time.sleep(delay)
+    def ask(url: str) -> bytes | None:
+        got = get(url, timeout)
+        return got[0] if got else None
 
-    return lambda urls: urls.select("url").mapInPandas(run, "url string, content binary")
+    return _fetcher(ask, "content", "binary", delay)
 
 
 class HttpSource(DataSource):

@@ -28,7 +28,7 @@ def plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_is_its_sql(spark, con, name):
     got = catalogue.QUERIES[name](spark, SF)
     columns = sorted(got.columns)
@@ -37,6 +37,18 @@ def test_query_is_its_sql(spark, con, name):
     assert sorted((plain(tuple(r)) for r in got.select(columns).collect()), key=repr) == want and want
 
 
+def test_searches_without_sql(spark, con):
+    """Approximate and fitted searches: recall against the exact rows, and passages that documents hold are found."""
+    exact = {(r[0], r[1]) for r in con.execute(f"SELECT qid, row_idx FROM ({catalogue.SQL['dense_batch_topk']})").fetchall()}
+    found = {(r.qid, r.row_idx) for r in catalogue.ann_batch_topk(spark, SF).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    held = con.execute("SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text) AND length(b.text) > 40").fetchall()
+    semantic = {(r.qid, r.row_idx) for r in catalogue.semantic_batch_topk(spark, SF).collect()}
+    hybrid = {(r.qid, r.row_idx) for r in catalogue.semantic_hybrid_search(spark, SF).collect()}
+    assert held and sum(x in semantic for x in held) >= 0.5 * len(held) and sum(x in hybrid for x in held) >= 0.5 * len(held)
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"ann_batch_topk", "semantic_batch_topk", "semantic_hybrid_search"}
+
+
 def test_nothing_imports_llm():
     top = Path(__file__).parents[1]
     names = [".".join(p.relative_to(top).with_suffix("").parts) for p in (top / "lexigrid").rglob("*.py") if "llm" not in p.parts and not p.name.startswith("__")]

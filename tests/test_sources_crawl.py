@@ -5,10 +5,19 @@ import pytest
 
 from lexigrid.operators import crawling
 from lexigrid.plans import flows
-from lexigrid.plans.catalogue import WEB
 from lexigrid.sources import files
 
 
+WEB = [
+    ("http://w.example/", '<a href="/a">a</a><a href="b">b</a><a href="/a#x">a</a><a href="mailto:x@y">m</a><a href="#top">t</a>'),
+    ("http://w.example/a", '<a href="/">home</a><a href="/c">c</a><a href="/Files/One.PDF">one</a><a href="http://other.example/z">z</a>'),
+    ("http://w.example/b", '<a href="/missing">m</a><a href="/d">d</a><a href="/Files/One.PDF">one</a><a href="/two.docx">two</a>'),
+    ("http://w.example/c", '<a href="/d">d</a><a href="./e">e</a>'),
+    ("http://w.example/d", '<a href="/three.doc">three</a><a href="/a">a</a>'),
+    ("http://w.example/e", '<a href="/b">b</a>'),
+]
+
+
 def docx(paragraphs, cells):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
@@ -251,3 +260,136 @@ def test_loader():
     from lexigrid.__main__ import loader
 
     assert loader("lexigrid.operators.models:pick_device", "cpu")() == "cpu"
+
+
+def python_sites(seeds, web, most):
+    """Crawls of several sites, one after another."""
+    import re
+    from collections import deque
+    from urllib.parse import urldefrag, urljoin, urlparse
+
+    out = {}
+    for site in {urlparse(u).netloc for u in seeds}:
+        queue, seen = deque(u for u in seeds if urlparse(u).netloc == site), []
+        while queue and len(seen) < most:
+            url = queue.popleft()
+            if url in seen:
+                continue
+            seen.append(url)
+            for href in re.findall(r'href="([^"]*)"', web.get(url, "")):
+                to = urldefrag(urljoin(url, href))[0]
+                if urlparse(to).netloc == site and not to.endswith(".pdf"):
+                    queue.append(to)
+        out |= {(site, k): u for k, u in enumerate(seen)}
+    return out
+
+
+@pytest.fixture(scope="module")
+def webs():
+    import random
+
+    draw = random.Random(5)
+    web = {}
+    for site in ("a.example", "b.example:8080", "c.example"):
+        for k in range(14):
+            links = [f"http://{draw.choice(['a.example', 'b.example:8080', 'c.example'])}/p{draw.randrange(20)}" if draw.random() < 0.3 else f"/p{draw.randrange(20)}" for _ in range(4)]
+            web[f"http://{site}/p{k}"] = "".join(f'<a href="{x}">x</a>' for x in [*links, f"/d{k % 5}.pdf"])
+    return web
+
+
+@pytest.mark.parametrize("most", [2, 9, 60])
+def test_sites_are_crawled_each_in_its_order(spark, tmp_path, webs, most):
+    seeds = ["http://a.example/p3", "http://b.example:8080/p0", "http://a.example/p1", "http://gone.example/"]
+    frame = spark.createDataFrame([(u, k) for k, u in enumerate(seeds)], "url string, ord long")
+    pages = spark.createDataFrame(list(webs.items()), "url string, html string")
+    crawl = crawling.crawl_sites(frame, crawling.table_fetcher(pages), str(tmp_path / "c"), most, 3)
+    assert {(r.site, r.ord): r.url for r in crawl.visited.collect()} == python_sites(seeds, webs, most)
+    assert all(r.fetched == (r.url in webs) for r in crawl.visited.collect())
+    counts = {r.site: r.n for r in crawl.documents.groupBy("site").agg(crawling.F.count("*").alias("n")).collect()}
+    assert all(n <= 3 for n in counts.values()) and set(counts) <= {"a.example", "b.example:8080"}
+
+
+def test_stopped_crawl_goes_on(spark, tmp_path, webs):
+    """A fetch that fails in the third level leaves two; the next call fetches from the third on and ends as an undisturbed one."""
+    pages = spark.createDataFrame(list(webs.items()), "url string, html string")
+    seeds = spark.createDataFrame([("http://a.example/p3", 0)], "url string, ord long")
+    whole, path = crawling.crawl_sites(seeds, crawling.table_fetcher(pages), str(tmp_path / "whole")), str(tmp_path / "part")
+    calls = []
+
+    def stops(urls):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("down")
+        return crawling.table_fetcher(pages)(urls)
+
+    with pytest.raises(OSError):
+        crawling.crawl_sites(seeds, stops, path)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "part").rglob("part-*")}
+    again = crawling.crawl_sites(seeds, stops, path)
+    rows = lambda c: sorted((r.site, r.ord, r.url, r.depth) for r in c.visited.collect())
+    assert rows(again) == rows(whole) and max(r[3] for r in rows(whole)) >= 3
+    assert before and all(p.stat().st_mtime_ns == t for p, t in before.items())  # a level is written once
+
+
+def test_ledger(spark, tmp_path, monkeypatch):
+    """Each URL is asked for once, over runs, and a run again asks for its own; also where the filter knows nearly everything."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def ask(batches):
+        for b in batches:
+            asked.add(len(b))
+            b["content"] = [None if u.endswith("3") else u.encode() for u in b["url"]]
+            yield b
+
+    fetch = lambda urls: urls.mapInPandas(ask, "url string, content binary")
+    links = lambda lo, hi: spark.createDataFrame([(f"u{k % hi}",) for k in range(lo, 2 * hi)] + [(None,)], "url string")
+    for bits in (1 << 17, 64):
+        monkeypatch.setattr(crawling, "FILTER_BITS", bits)
+        path, asked.value = str(tmp_path / f"ledger-{bits}"), 0
+        first = crawling.fetch_once(links(0, 300), fetch, path, 1)
+        assert first.count() == 300 and first.filter("ok").count() == 270 and asked.value == 300
+        assert crawling.fetch_once(links(0, 500), fetch, path, 2).count() == 200 and asked.value == 500
+        assert crawling.fetch_once(links(0, 500), fetch, path, 3).count() == 0 and asked.value == 500
+        assert crawling.fetch_once(links(0, 500), fetch, path, 2).count() == 200
+        rows = spark.read.schema(crawling.LEDGER).parquet(path).collect()
+        assert len(rows) == len({r.url for r in rows}) == 500
+
+
+def test_filter_never_misses(spark):
+    seen = spark.range(3000).select(crawling.F.concat(crawling.F.lit("http://h/"), "id").alias("url")).withColumn("shard", crawling._shard(crawling.F.col("url")))
+    words = crawling.seen_filter(seen)
+    marked = lambda df: df.join(words, "shard", "left").select(crawling._maybe_seen(crawling.F.col("url"), crawling.F.col("words")).alias("m"))
+    assert marked(seen).filter("m").count() == 3000
+    other = spark.range(3000, 6000).select(crawling.F.concat(crawling.F.lit("http://h/"), "id").alias("url")).withColumn("shard", crawling._shard(crawling.F.col("url")))
+    assert marked(other).filter("m").count() < 30
+
+
+def test_hosts_are_asked_politely():
+    """Requests to a host lie a delay apart, and hosts take turns: the time is that of the longest host, not of all requests."""
+    import pandas as pd
+
+    from lexigrid.sources.http import _politely
+
+    now, said = [0.0], []
+    run = _politely(lambda url: said.append((url, now[0])) or url, "html", 2.0, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    batch = pd.DataFrame({"url": ["a0", "b0", "c0", "a1", "b1", "a2"], "host": ["a", "b", "c", "a", "b", "a"]})
+    assert pd.concat(run(iter([batch[:2], batch[2:]])))["url"].tolist() == batch["url"].tolist()
+    assert dict(said) == {"a0": 0, "b0": 0, "c0": 0, "a1": 2, "b1": 2, "a2": 4}
+
+
+def test_schedule(spark):
+    from lexigrid.sources.http import http_fetcher, schedule
+
+    urls = spark.createDataFrame([("http://a/2",), ("http://a/1",), ("http://B/1",), ("http://b/0",)], "url string")
+    assert {r.url: (r.host, r.slot, r.wait) for r in schedule(urls, 1.5).collect()} == {"http://a/1": ("a", 0, 0.0), "http://a/2": ("a", 1, 1.5), "http://B/1": ("b", 0, 0.0), "http://b/0": ("b", 1, 1.5)}
+    plan = http_fetcher(0)(urls)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [host" in plan  # a host has one task
+
+
+def test_broken_manifest_lines(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"url":"u0","local_path":"a.txt"}\n\n{"url":"u1","local_pa\n{"url":"u2"}\n{"url":"u3","local_path":"b.txt"}\nnothing\n')
+    path = str(tmp_path / "m.jsonl")
+    assert sorted((r.ord, r.url) for r in files.read_manifest(spark, path, "skip").collect()) == [(0, "u0"), (3, "u3")]
+    assert sorted((r.ord, r.line, r.file_path.rsplit("/", 1)[1]) for r in files.manifest_rejects(spark, path).collect()) == [(1, '{"url":"u1","local_pa', "m.jsonl"), (2, None, "m.jsonl"), (4, "nothing", "m.jsonl")]
+    with pytest.raises(Exception, match="broken manifest line"):
+        files.read_manifest(spark, path).collect()

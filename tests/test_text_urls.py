@@ -55,13 +55,22 @@ class Texts(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in ("script", "style", "noscript")
+        self.apart = True
 
     def handle_endtag(self, tag):
         self.skip -= tag in ("script", "style", "noscript")
+        self.apart = True
+
+    def handle_comment(self, data):
+        self.apart = True
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
 
     def handle_data(self, data):
+        """Data that nothing stands between is one text node."""
         if not self.skip:
-            self.out.append(data)
+            self.out[-1:] = [data] if not self.out else [self.out[-1], data] if self.apart else [self.out[-1] + data]
+            self.apart = False
 
 
 @pytest.mark.parametrize(
@@ -71,6 +80,13 @@ class Texts(HTMLParser):
         "<noscript>x</noscript><p> \n </p>y<br>z",
         "plain",
         "",
+        '<p title="a>b">hi</p><p>x < y</p>',
+        "<p data-x='</p><b>'>in</p> 3 <4 and a<5 > 2",
+        "<!-- <p>no</p> --><p>yes</p><!-- a > b --->c<!doctype html><?pi x?>d",
+        "<script>if (a<b && '<p>') x='<!--';</script>seen<style>p>q{}</style>",
+        "<SCRIPT src='a>b'>no</SCRIPT ><noscript><p>no</p></noscript>yes",
+        '<a href=x title=">">t</a><img alt="<b>"/>u',
+        "a<br/>b<br>c</unknown>d",
     ],
 )
 def test_html_to_text(spark, html):
@@ -80,9 +96,39 @@ def test_html_to_text(spark, html):
     assert one(spark, T.html_to_text(F.col("h")), h=html) == want
 
 
+def test_all_pages_read_as_a_parser_reads_them(spark):
+    """Texts and links of every given page, against html.parser."""
+    class Links(Texts):
+        found: list
+
+        def handle_starttag(self, tag, attrs):
+            super().handle_starttag(tag, attrs)
+            if tag == "a" and dict(attrs).get("href"):
+                self.found.append(dict(attrs)["href"])
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = {r.url: r.t for r in pages.select("url", T.html_to_text(F.col("html")).alias("t")).collect()}
+    links: dict = {}
+    for r in U.extract_links(pages).orderBy("src_url", "pos").collect():
+        links.setdefault(r.src_url, []).append(r.href)
+    for r in pages.collect():
+        parser = Links()
+        parser.found = []
+        parser.feed(r.html)
+        assert texts[r.url] == "\n".join(x for x in (line.strip() for line in "\n".join(parser.out).splitlines()) if x)
+        assert links.get(r.url, []) == [h for h in parser.found if not h.startswith(("#", "mailto:", "javascript:", "tel:"))]
+
+
+def test_what_is_no_link(spark):
+    html = """<!-- <a href="/commented">c</a> --><script>x = '<a href="/inscript">';</script><p title='<a href="/value">'>t</p><a title="a > b" href="/one">1</a>
+    <style>/* <a href="/style"> */</style><abbr href="/abbr">x</abbr><a data-x='href="/no"' href=/two>2</a><noscript><a href="/noscript"></a></noscript>"""
+    page = spark.createDataFrame([("http://h/p", html)], "url string, html string")
+    assert [r.dst_url for r in U.extract_links(page).orderBy("pos").collect()] == ["http://h/one", "http://h/two", "http://h/noscript"]
+
+
 @pytest.mark.parametrize(
     ("html", "title"),
-    [("<title> A &amp; B </title><h1>C</h1>", "A & B"), ("<title> </title><h1>C</h1>", ""), ("<h1>C <i>d</i></h1>", "C d"), ("<title></title><h1>C</h1>", "C"), ("<p>x", "")],
+    [("<title> A &amp; B </title><h1>C</h1>", "A & B"), ("<title> </title><h1>C</h1>", ""), ("<h1>C <i>d</i></h1>", "C d"), ("<title></title><h1>C</h1>", "C"), ("<p>x", ""), ("<!-- <title>no</title> --><title>a < b</title>", "a < b"), ("<title>a<b>c</b></title><h1 class='x>y'>D</h1>", "D")],
 )
 def test_title(spark, html, title):
     assert one(spark, T.html_title(F.col("h")), h=html) == title
