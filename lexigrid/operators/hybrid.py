@@ -44,7 +44,8 @@ def pool_cut(fused: DataFrame, top_k: int, rerank_pool: int) -> DataFrame:
 
 
 def hydrate(pool: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The pool with its chunks' columns, joined on row_idx; the pool is the small side and filters the chunks."""
+    """The pool with its chunks' columns, joined on row_idx. A pool that is small enough is broadcast; a larger one is moved to the chunks, if these are
+    stored by files.write_clustered, and not they to it."""
     return chunks.join(pool, "row_idx")
 
 

@@ -28,7 +28,9 @@ BLOCK = "shard int, term string, block long, df int, max_tf int, min_dl int, ids
 TERMS = "term string, df long, segment int"
 STATS = "n_docs long, n_tokens long, n_terms long, mean_idf double, segment int"
 #: A first threshold is taken from a query's rarest terms, until they have so many postings for each of the k rows.
-PROBE = 20
+PROBE = 400
+#: Postings of all queries' terms, counted by query, that are summed up in one pass.
+DIRECT = 20_000_000
 #: What a bound exceeds a sum of rounded scores by.
 SLACK = 1e-6
 
@@ -154,11 +156,11 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     return blocks.select("term", "block", "ids", "tfs", "dls").repartition("block")
 
 
-def essential_terms(index: Postings, queries: DataFrame, k: int, params: BM25 = BM25()) -> tuple[DataFrame, DataFrame]:
+def essential_terms(index: Postings, queries: DataFrame, k: int, params: BM25 = BM25(), asked: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(blocks, weights): weights has qid, term, w, essential, and floor and rest of the query. A document without an essential term can't be
     among the k best: the bounds of the other terms, in sum the rest, don't reach the floor, which k documents reach by the query's
     rarest terms alone."""
-    blocks, weights = _asked(index, queries, params)
+    blocks, weights = asked or _asked(index, queries, params)
     by = Window.partitionBy("qid").orderBy("df", "term")
     rare = weights.withColumn("before", F.coalesce(F.sum("df").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < PROBE * k)
     probed = blocks.join(F.broadcast(rare.select("term").distinct()), "term", "left_semi")
@@ -177,16 +179,22 @@ def essential_terms(index: Postings, queries: DataFrame, k: int, params: BM25 =
 def search(index: Postings, queries: DataFrame, k: int = 20, params: BM25 = BM25()) -> DataFrame:
     """qid, row_idx, score, rank: the k best documents of queries (qid, text) by BM25, exactly; those without a positive score go.
 
-    Pairs of a query and a document arise from essential terms only. Of these the ones whose bound reaches the floor are completed
-    by the other terms' postings, looked up by document; so a term that is nearly everywhere makes no pairs by itself."""
-    blocks, weights = essential_terms(index, queries, k, params)
+    Where the queries' terms have more than DIRECT postings in all, pairs of a query and a document arise from essential terms only. Of
+    these the ones whose bound reaches the floor are completed by the other terms' postings, looked up by document; so a term that is nearly
+    everywhere makes no pairs by itself. Fewer postings are summed up in one pass, which takes less than finding the essential terms."""
+    asked = _asked(index, queries, params)
+    if (asked[1].agg(F.sum("df")).first()[0] or 0) <= DIRECT:
+        whole = _scores(_dealt(asked[0]), asked[1].select("qid", "term", "w"), index, params).select("qid", "row_idx", F.col("part").alias("score"))
+        return top_k(whole, k).filter("score > 0")
+    blocks, weights = essential_terms(index, queries, k, params, asked)
     dealt = _dealt(blocks)
     first = weights.filter("essential").select("qid", "term", "w")
     per_query = F.broadcast(weights.groupBy("qid").agg(F.first("floor").alias("floor"), F.first("rest").alias("rest")))
     candidates = _scores(dealt, first, index, params).join(per_query, "qid").filter(F.col("part") + F.col("rest") >= F.col("floor") - SLACK).select("block", "qid", "row_idx", "part")
     other = weights.filter("not essential").select("qid", "term", "w")
     common = dealt.join(F.broadcast(other.select("term").distinct()), "term", "left_semi")
-    gained = candidates.select("block", "qid", "row_idx").join(_postings(common), ["block", "row_idx"]).join(other, ["qid", "term"])
+    wanted = candidates.select("block", "qid", "row_idx").join(other, "qid")  # a row for each common term of a candidate's query
+    gained = wanted.join(_postings(common), ["block", "row_idx", "term"])
     gained = gained.select("block", "qid", "row_idx", (F.col("w") * _gain(F.col("tf"), F.col("dl"), index, params)).alias("part"))
     total = candidates.unionByName(gained).groupBy("block", "qid", "row_idx").agg(F.sum("part").alias("score"))
     return top_k(total.select("qid", "row_idx", "score"), k).filter("score > 0")

@@ -53,10 +53,9 @@ def chunk_manifest(spark: SparkSession, manifest: str, folder: str, structure: c
 
 
 def ingest(chunks: DataFrame, encode: Callable, model_name: str, out: str) -> DataFrame:
-    """Writes the vectors of chunks and their postings, replacing those that are there; gives the metadata."""
+    """Writes the vectors of chunks and their postings as a new version of the index; gives the metadata."""
     index, metadata = vectors.build_index(chunks, encode, model_name)
-    files.write_index(index, metadata, out)
-    postings.write_postings(chunks, f"{out}/postings", "row_idx")
+    files.write_index(index, metadata, out, lambda folder: postings.write_postings(chunks, folder, "row_idx"))
     return metadata
 
 
@@ -74,10 +73,11 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def search(spark: SparkSession, index_path: str, queries: DataFrame, encode: Callable, **knobs) -> DataFrame:
     """Hits of queries (qid, text) in an index that ingest wrote."""
-    index = files.open_index(spark, index_path)
+    version = files.latest_version(spark, index_path)
+    index = files.open_index(spark, index_path, version)
     chunks = index.select("row_idx", F.col("document").alias("text"), "metadata.chunk_id", "metadata.article_id", "metadata.chapter", "metadata.source", "metadata.source_url")
     asked = queries.withColumn("qvec", encode(F.col("text")))
-    return hybrid.hybrid_search(chunks, index.select("row_idx", "embedding"), asked, index=postings.open_postings(spark, f"{index_path}/postings"), **knobs)
+    return hybrid.hybrid_search(chunks, index.select("row_idx", "embedding"), asked, index=postings.open_postings(spark, f"{index_path}/also/version={version}"), **knobs)
 
 
 def answer(queries: DataFrame, hits: DataFrame, chat: Callable, histories: DataFrame | None = None, corpus: str = prompts.CORPUS) -> DataFrame:

@@ -137,20 +137,54 @@ def write_page_texts(pages: DataFrame, path: str) -> None:
     last.write.mode("overwrite").parquet(path)
 
 
-def write_index(index: DataFrame, metadata: DataFrame, path: str) -> None:
-    """Replaces the index at path and its metadata."""
-    index.write.mode("overwrite").parquet(f"{path}/vectors")
-    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-
-
-def open_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index at path; one that is missing or empty is an error."""
-    index = spark.read.parquet(f"{path}/vectors")
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The last version of an index whose metadata are there, which are written last."""
+    if not exists(spark, f"{path}/meta"):
+        return None
+    return spark.read.schema("model string, version int").json(f"{path}/meta").agg(F.max("version")).first()[0]
+
+
+def write_index(index: DataFrame, metadata: DataFrame, path: str, also: Callable[[str], object] | None = None) -> None:
+    """Replaces the index at path by a new version: its rows, then what also(folder) writes beside them, then the metadata, by which it counts.
+
+    A write that fails leaves the version before as the one that is opened. That one stays, for who has it open; older ones are removed."""
+    spark = index.sparkSession
+    last = latest_version(spark, path)
+    version = 0 if last is None else last + 1
+    index.write.mode("overwrite").parquet(f"{path}/vectors/version={version}")
+    if also is not None:
+        also(f"{path}/also/version={version}")
+    metadata.coalesce(1).write.mode("overwrite").json(f"{path}/meta/version={version}")
+    if version > 1:
+        for part in ("meta", "vectors", "also"):
+            remove(spark, f"{path}/{part}/version={version - 2}")
+
+
+def open_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The index at path, in its last version or the one that is named, whatever is written later; one that is missing or empty is an error."""
+    version = latest_version(spark, path) if version is None else version
+    if version is None:
+        raise RuntimeError(f"no index at {path}")
+    index = spark.read.parquet(f"{path}/vectors/version={version}")
     if index.isEmpty():
         raise RuntimeError(f"the index at {path} is empty")
     return index
 
 
+def write_clustered(rows: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Rows as a table bucketed and sorted by a key, at path, for joins that don't move it; the table's name lasts as long as the session."""
+    name = f"clustered_{uuid.uuid4().hex}"
+    rows.repartition(buckets, key).sortWithinPartitions(key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def open_clustered(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """What write_clustered left at path, in another session."""
+    name = f"clustered_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def docx_text(data: bytes) -> list[str]:
     """One page: the paragraphs that aren't blank, then the cells of all tables, row by row."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:

@@ -30,11 +30,17 @@ def docs(spark):
     return spark.createDataFrame(corpus(700), "doc_id long, text string").repartition(3)
 
 
-@pytest.mark.parametrize("k", [1, 5, 30])
-@pytest.mark.parametrize("span", [8, 1024])
-def test_search_is_the_scan(spark, docs, tmp_path, monkeypatch, k, span):
-    monkeypatch.setattr(postings, "SPAN", span)
+@pytest.fixture(autouse=True)
+def by_bounds(monkeypatch):
+    """Small tables take the way of large ones, but where a test says otherwise."""
+    monkeypatch.setattr(postings, "DIRECT", 0)
     monkeypatch.setattr(postings, "PROBE", 2)
+
+
+@pytest.mark.parametrize(("k", "span", "direct"), [(1, 8, 0), (5, 1024, 0), (30, 8, 0), (5, 8, 10**9)])
+def test_search_is_the_scan(spark, docs, tmp_path, monkeypatch, k, span, direct):
+    monkeypatch.setattr(postings, "SPAN", span)
+    monkeypatch.setattr(postings, "DIRECT", direct)
     index = postings.write_postings(docs, str(tmp_path / "i"))
     got, want = table(postings.search(index, asked(spark), k)), table(lexical.bm25_topk(docs, asked(spark), k))
     assert [x[:3] for x in got] == [x[:3] for x in want] and all(math.isclose(a[3], b[3], rel_tol=1e-9) for a, b in zip(got, want, strict=True))
