@@ -77,8 +77,9 @@ def _write(docs: DataFrame, path: str, id_col: str, segment: int) -> Postings:
     dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings/segment={segment}")
     own = spark.read.schema(BLOCK).parquet(f"{path}/postings/segment={segment}")
     own.groupBy("term").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{path}/terms/segment={segment}")
-    size = with_tokens(docs, id_col).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).first()
-    n_docs, n_tokens = size["n_docs"], size["n_tokens"]
+    # texts are not cut into words again: the index knows how many they have
+    tokens = F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda n, tf: n + tf))
+    n_docs, n_tokens = docs.count(), own.agg(F.coalesce(tokens, F.lit(0))).first()[0]
     if segment:
         before = open_postings(spark, path)
         n_docs, n_tokens = n_docs + before.n_docs, n_tokens + before.n_tokens

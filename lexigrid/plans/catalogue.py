@@ -59,7 +59,7 @@ def normalize_text(spark, sf_dir):
 # --- lexical
 
 
-@query(f"WITH {S.BM25_CORPUS} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(S.TERM_STATS)
 def corpus_term_stats(spark, sf_dir):
     return _rounded(postings.term_stats(lexical_index(spark, sf_dir)), "idf")
 

@@ -32,6 +32,13 @@ raw AS (SELECT term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw_idf FROM df
 idf AS (SELECT term, df, CASE WHEN raw_idf < 0 THEN 0.25 * (SELECT avg(raw_idf) FROM raw) ELSE raw_idf END AS idf FROM raw)"""
 
 
+#: Each part is made once, and the mean joins as one row.
+TERM_STATS = f"""WITH df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw_idf FROM df, (SELECT count(*) AS n FROM documents)),
+mean AS MATERIALIZED (SELECT avg(raw_idf) AS mean_idf FROM raw)
+SELECT term, df, round(CASE WHEN raw_idf < 0 THEN 0.25 * mean_idf ELSE raw_idf END, 6) AS idf FROM raw, mean"""
+
+
 def _bm25(queries: str, k: int) -> str:
     return f"""{BM25_CORPUS},
 q AS ({queries}),
