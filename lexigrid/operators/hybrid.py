@@ -13,6 +13,8 @@ from lexigrid.operators.vectors import dense_topk
 RRF_K = 60
 #: Characters of a text that a re-ranker sees.
 RERANK_CHARS = 1500
+#: Rows of a pool that are broadcast, so that the chunks' texts are not shuffled.
+POOL_ROWS = 100_000
 
 
 def _fused_order() -> list:
@@ -84,4 +86,6 @@ def hybrid_search(
     lexical = bm25_topk(chunks, asked, k_per_retriever, id_col="row_idx") if index is None else postings.search(index, asked, k_per_retriever)
     dense = dense_topk(vectors, asked.filter("qvec is not null"), k_per_retriever)
     pool = pool_cut(rrf_fuse(lexical, dense, rrf_k, bm25_weight, dense_weight), top_k, rerank_pool)
+    if asked.limit(POOL_ROWS + 1).count() * max(top_k, rerank_pool) <= POOL_ROWS:
+        pool = F.broadcast(pool)
     return rerank(hydrate(pool, chunks), asked, top_k, scorer, use_reranker)

@@ -1,7 +1,10 @@
 """A stored inverted index: posting blocks with bounds, written at ingest, opened by searches and extended by new documents.
 
-A block holds the postings of one term in one range of SPAN row ids, so it has SPAN postings at most, however common the term is, and
-blocks of different terms over the same documents have the same number. Beside the arrays stand the number of postings, the largest
+A block holds the postings of one term in one range of SPAN row ids, so it has SPAN postings at most where ids are keys, however common the
+term is, and blocks of different terms over the same documents have the same number. A block may be stored in several parts. Texts are dealt out
+by blocks, and a task makes its blocks from them, so postings are not shuffled when an index is written. A search deals the blocks of its terms
+out by their numbers and adds a block's scores up in one array of its documents and the queries, of which k rows a query leave the task:
+no pair of a query and a document is a row. Beside the arrays stand the number of postings, the largest
 term frequency and the shortest length in the block: these bound every score in it, whatever the mean length of the corpus grows to.
 
     path/postings/segment=<n>/shard=<hash of the term>   blocks, sorted by term
@@ -12,14 +15,19 @@ An extension writes its postings, then its terms, and its row of statistics last
 fails half-way is not seen, and the next one overwrites it.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lexigrid.functions.text import tokenize
-from lexigrid.operators.lexical import BM25, BROADCAST_TERMS, query_terms, runs, top_k, with_tokens
+from lexigrid.operators.lexical import BM25, BROADCAST_TERMS, query_terms, top_k
+from lexigrid.operators.vectors import Best
 from lexigrid.sources.files import scratch
 
 #: Row ids to a block, and shards of the terms.
@@ -29,8 +37,12 @@ TERMS = "term string, df long, segment int"
 STATS = "n_docs long, n_tokens long, n_terms long, mean_idf double, segment int"
 #: A first threshold is taken from a query's rarest terms, until they have so many postings for each of the k rows.
 PROBE = 400
-#: Postings of all queries' terms, counted by query, that are summed up in one pass.
+#: Where there are more terms of queries than are sent out: postings of these, counted by query, that are summed up in one pass.
 DIRECT = 20_000_000
+#: Words that a task makes blocks of at once, queries whose scores it adds up at once, and candidates whose ids are sent out.
+WORDS, QUERIES, BROADCAST_IDS = 2_000_000, 4096, 1_000_000
+#: Stands for the id of rows without one, which count as one row.
+NO_ID = -(1 << 63)
 #: What a bound exceeds a sum of rounded scores by.
 SLACK = 1e-6
 
@@ -67,14 +79,12 @@ def extend_postings(docs: DataFrame, path: str, id_col: str = "doc_id") -> Posti
 
 def _write(docs: DataFrame, path: str, id_col: str, segment: int) -> Postings:
     spark = docs.sparkSession
-    counted = with_tokens(docs, id_col).select(F.col("row_idx").cast("long").alias("row_idx"), "dl", runs(F.col("tokens")).alias("terms"))
-    rows = counted.select("row_idx", "dl", F.inline("terms"))
-    one = F.struct(F.col("row_idx").alias("id"), "tf", "dl")
-    blocks = rows.groupBy("term", F.floor(F.col("row_idx") / SPAN).alias("block")).agg(F.sort_array(F.collect_list(one)).alias("x"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("row_idx"), "text")
+    whole = rows.repartition(F.floor(F.col("row_idx") / SPAN)).sortWithinPartitions("row_idx")
+    blocks = whole.select("row_idx", tokenize(F.col("text")).alias("tokens")).mapInArrow(_blocks(SPAN, WORDS), "term string, block long, df int, max_tf int, min_dl int, ids array<long>, tfs array<int>, dls array<int>")
     shard = F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int").alias("shard")
-    stored = blocks.select(shard, "term", "block", F.size("x").alias("df"), "max_tf", "min_dl", F.col("x.id").alias("ids"), F.col("x.tf").alias("tfs"), F.col("x.dl").alias("dls"))
-    dealt = stored.hint("rebalance", "shard").sortWithinPartitions("shard", "term", "block")
-    dealt.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings/segment={segment}")
+    stored = blocks.select(shard, "*").sortWithinPartitions("shard", "term", "block")
+    stored.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings/segment={segment}")
     own = spark.read.schema(BLOCK).parquet(f"{path}/postings/segment={segment}")
     own.groupBy("term").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(f"{path}/terms/segment={segment}")
     # texts are not cut into words again: the index knows how many they have
@@ -89,6 +99,43 @@ def _write(docs: DataFrame, path: str, id_col: str, segment: int) -> Postings:
     return open_postings(spark, path)
 
 
+def _blocks(span: int, most: int):
+    """row_idx, tokens, in the order of row_idx -> the columns of BLOCK but shard and segment, of so many words at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                held.append(batch.slice(k, 256))
+                n += len(held[-1].column("tokens").flatten())
+                if n >= most:
+                    yield from _encoded(pa.Table.from_batches(held).combine_chunks(), span)
+                    held, n = [], 0
+        if n:
+            yield from _encoded(pa.Table.from_batches(held).combine_chunks(), span)
+
+    return run
+
+
+def _encoded(rows: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
+    ids, lists = rows["row_idx"].to_numpy(), rows["tokens"].combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    sizes = np.diff(lists.offsets.to_numpy())
+    key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
+    code, doc = key // len(ids), key % len(ids)
+    block = ids[doc] // span
+    starts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
+    ends, dl = np.append(starts[1:], len(key)), sizes[doc]
+    lists_of = lambda x, kind, lo, hi: pa.ListArray.from_arrays(pa.array(np.append(starts[lo:hi], ends[hi - 1]) - starts[lo], pa.int32()), pa.array(x[starts[lo] : ends[hi - 1]], kind))
+    most, least = np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)
+    for lo in range(0, len(starts), 20_000):
+        hi = min(lo + 20_000, len(starts))
+        own = starts[lo:hi]
+        numbers = [(ends[lo:hi] - own, pa.int32()), (most[lo:hi], pa.int32()), (least[lo:hi], pa.int32())]
+        arrays = [lists_of(ids[doc], pa.int64(), lo, hi), lists_of(tf, pa.int32(), lo, hi), lists_of(dl, pa.int32(), lo, hi)]
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[own])), pa.array(block[own]), *[pa.array(x, t) for x, t in numbers], *arrays], ["term", "block", "df", "max_tf", "min_dl", "ids", "tfs", "dls"])
+
+
 def _terms(spark: SparkSession, path: str, segment: int) -> DataFrame:
     return spark.read.schema(TERMS).parquet(f"{path}/terms").filter(F.col("segment") <= segment).groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -157,6 +204,68 @@ def _dealt(blocks: DataFrame) -> DataFrame:
     return blocks.select("term", "block", "ids", "tfs", "dls").repartition("block")
 
 
+def _added(shipped, k: int, span: int, avgdl: float, params: BM25):
+    """block, term, ids, tfs, dls, in the order of block and term -> qid, row_idx, score: the k best of each query among the task's documents.
+    shipped has (qids, terms of these queries with the queries' places and weights) for each QUERIES of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [(qids, terms, Best(len(qids), k)) for qids, terms in shipped.value]
+
+        def see(number: int, held: list[pa.RecordBatch]) -> None:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
+            place, tf, dl = flat("ids") - number * span, flat("tfs"), flat("dls")
+            gain = tf * (params.k1 + 1) / (tf + params.k1 * ((1 - params.b) + params.b * dl / avgdl))
+            ends = np.cumsum(rows["ids"].combine_chunks().value_lengths().to_numpy())
+            names = rows["term"].to_pylist()
+            for qids, terms, best in groups:
+                score, met = np.zeros((span, len(qids))), np.zeros((span, len(qids)), dtype=bool)
+                lo = 0
+                for name, hi in zip(names, ends.tolist(), strict=True):
+                    if name in terms:
+                        q, w = terms[name]
+                        at, more = place[lo:hi], gain[lo:hi]
+                        if (at[1:] == at[:-1]).any():  # rows that share an id are one
+                            more, at = np.add.reduceat(more, np.flatnonzero(np.append(True, at[1:] != at[:-1]))), np.unique(at)
+                        cell = (at[:, None], q)
+                        score[cell] += more[:, None] * w
+                        met[cell] = True
+                    lo = hi
+                own = np.flatnonzero(met.any(axis=1))
+                best.take(own + number * span, np.where(met[own], score[own], -np.inf))
+
+        number, held = 0, []
+        for batch in batches:
+            numbers = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and numbers[lo] != number:
+                    see(number, held)
+                    held = []
+                number = int(numbers[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            see(number, held)
+        for qids, _, best in groups:
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(best.q)), pa.array(best.row), pa.array(best.score)], ["qid", "row_idx", "score"])
+
+    return run
+
+
+def shipped_weights(weights: pa.Table) -> list[tuple[pa.Array, dict]]:
+    """What _added and lexical's scan are sent: weights (qid, term, w) by QUERIES of the queries."""
+    coded = weights["qid"].combine_chunks().dictionary_encode()
+    at, w, names = coded.indices.to_numpy(), weights["w"].to_numpy(), weights["term"].to_pylist()
+    groups: list[tuple[pa.Array, dict]] = [(coded.dictionary.slice(k, QUERIES), {}) for k in range(0, len(coded.dictionary), QUERIES)]
+    for name, q, x in zip(names, at.tolist(), w.tolist(), strict=True):
+        own = groups[q // QUERIES][1].setdefault(name, ([], []))
+        own[0].append(q % QUERIES)
+        own[1].append(x)
+    return [(qids, {t: (np.array(q), np.array(x)) for t, (q, x) in terms.items()}) for qids, terms in groups]
+
+
 def essential_terms(index: Postings, queries: DataFrame, k: int, params: BM25 = BM25(), asked: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(blocks, weights): weights has qid, term, w, essential, and floor and rest of the query. A document without an essential term can't be
     among the k best: the bounds of the other terms, in sum the rest, don't reach the floor, which k documents reach by the query's
@@ -180,13 +289,19 @@ def essential_terms(index: Postings, queries: DataFrame, k: int, params: BM25 =
 def search(index: Postings, queries: DataFrame, k: int = 20, params: BM25 = BM25()) -> DataFrame:
     """qid, row_idx, score, rank: the k best documents of queries (qid, text) by BM25, exactly; those without a positive score go.
 
-    Where the queries' terms have more than DIRECT postings in all, pairs of a query and a document arise from essential terms only. Of
-    these the ones whose bound reaches the floor are completed by the other terms' postings, looked up by document; so a term that is nearly
-    everywhere makes no pairs by itself. Fewer postings are summed up in one pass, which takes less than finding the essential terms."""
-    asked = _asked(index, queries, params)
+    Where the queries have at most BROADCAST_TERMS terms, these are sent to the tasks that have the blocks; a task adds a block's scores up in
+    an array and keeps k rows a query. More terms are joined. If they have more than DIRECT postings in all, pairs of a query and a document
+    arise from essential terms only then: of these the ones whose bound reaches the floor are completed by the other terms' postings, looked
+    up by document; so a term that is nearly everywhere makes no pairs by itself."""
+    spark, asked = queries.sparkSession, _asked(index, queries, params)
+    if asked[1].limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        shipped = spark.sparkContext.broadcast(shipped_weights(asked[1].select("qid", "term", "w").toArrow()))
+        schema = StructType([queries.schema["qid"], StructField("row_idx", LongType()), StructField("score", DoubleType())])
+        found = _dealt(asked[0]).sortWithinPartitions("block", "term").mapInArrow(_added(shipped, k, SPAN, index.avgdl or 1.0, params), schema)
+        return _with_ids(top_k(found, k)).filter("score > 0")
     if (asked[1].agg(F.sum("df")).first()[0] or 0) <= DIRECT:
         whole = _scores(_dealt(asked[0]), asked[1].select("qid", "term", "w"), index, params).select("qid", "row_idx", F.col("part").alias("score"))
-        return top_k(whole, k).filter("score > 0")
+        return _with_ids(top_k(whole, k)).filter("score > 0")
     blocks, weights = essential_terms(index, queries, k, params, asked)
     dealt = _dealt(blocks)
     first = weights.filter("essential").select("qid", "term", "w")
@@ -198,16 +313,31 @@ def search(index: Postings, queries: DataFrame, k: int = 20, params: BM25 = BM25
     gained = wanted.join(_postings(common), ["block", "row_idx", "term"])
     gained = gained.select("block", "qid", "row_idx", (F.col("w") * _gain(F.col("tf"), F.col("dl"), index, params)).alias("part"))
     total = candidates.unionByName(gained).groupBy("block", "qid", "row_idx").agg(F.sum("part").alias("score"))
-    return top_k(total.select("qid", "row_idx", "score"), k).filter("score > 0")
+    return _with_ids(top_k(total.select("qid", "row_idx", "score"), k)).filter("score > 0")
+
+
+def _with_ids(found: DataFrame) -> DataFrame:
+    return found.withColumn("row_idx", F.when(F.col("row_idx") != NO_ID, F.col("row_idx")))
 
 
 def holders(index: Postings, docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """qid, row_idx of all documents that hold a query's tokens one after another: those with its rarest token are read and compared.
     Queries without a token have none, as have those with one that no document has."""
+    spark = queries.sparkSession
     blocks, weights = _asked(index, queries, BM25())
     rarest = weights.groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    n = weights.select("qid").distinct().limit(BROADCAST_TERMS + 1).count()
+    sent = F.broadcast if n <= BROADCAST_TERMS else lambda df: df
     phrase = lambda c: F.concat(F.lit(" "), F.array_join(tokenize(F.col(c)), " "), F.lit(" "))
-    asked = rarest.join(queries.select("qid", phrase("text").alias("phrase")), "qid")
-    found = _postings(blocks).join(asked, "term").select("qid", "row_idx", "phrase")
-    texts = docs.select(F.col(id_col).cast("long").alias("row_idx"), phrase("text").alias("tokens"))
-    return texts.join(found, "row_idx").filter(F.contains("tokens", "phrase")).select("qid", "row_idx")
+    rarest = _kept(rarest, n)
+    # postings of other terms are left out as arrays, so none of them is a row
+    found = _postings(blocks.join(sent(rarest.select("term").distinct()), "term", "left_semi")).join(sent(rarest), "term").select("qid", "row_idx")
+    path = scratch(spark, "holders")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    ids = found.select("row_idx").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select(F.col(id_col).cast("long").alias("row_idx"), "text").join(F.broadcast(ids) if few else ids, "row_idx", "left_semi")
+    texts = texts.select("row_idx", phrase("text").alias("tokens"))
+    asked = found.join(sent(queries.select("qid", phrase("text").alias("phrase"))), "qid")
+    return texts.join(asked, "row_idx").filter(F.contains("tokens", "phrase")).select("qid", "row_idx")

@@ -36,27 +36,40 @@ def _best(q: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarr
     return order[place < k]
 
 
-class _Best:
+class Best:
+    """The k best rows of each of n queries among the scores that it has seen."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.n, self.k = n, k
+        self.q, self.row, self.score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        self.least = np.full(n, -np.inf)  # the k-th best so far
+
+    def take(self, rows: np.ndarray, found: np.ndarray) -> None:
+        """found: a score for each row and query, -inf where a row is none of the query's."""
+        shown = np.round(found, TIE_DECIMALS)
+        floor = self.least if len(found) <= self.k else np.maximum(self.least, -np.partition(-shown, self.k - 1, axis=0)[self.k - 1])
+        i, j = np.nonzero((shown >= floor) & (found > -np.inf))
+        if not len(i):
+            return
+        q, row, score = np.append(self.q, j), np.append(self.row, rows[i]), np.append(self.score, found[i, j])
+        kept = _best(q, row, score, self.k)
+        self.q, self.row, self.score = q, row, score = q[kept], row[kept], score[kept]
+        full = np.bincount(q, minlength=self.n) >= self.k
+        last = np.append(q[1:] != q[:-1], True)
+        self.least[q[last & full[q]]] = np.round(score[last & full[q]], TIE_DECIMALS)
+
+
+class _Best(Best):
     """The k nearest rows of each of some queries among the rows that it has seen."""
 
     def __init__(self, queries: np.ndarray, k: int) -> None:
-        self.asked, self.k = _unit(queries), k
-        self.q, self.row, self.score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        self.least = np.full(len(queries), -np.inf)  # the k-th best so far
+        super().__init__(len(queries), k)
+        self.asked = _unit(queries)
 
     def see(self, rows: np.ndarray, m: np.ndarray) -> None:
-        n, together = len(self.asked), max(1, CELLS // len(self.asked))
+        together = max(1, CELLS // len(self.asked))
         for at in range(0, len(m), together):
-            found = m[at : at + together] @ self.asked.T
-            shown = np.round(found, TIE_DECIMALS)
-            floor = self.least if len(found) <= self.k else np.maximum(self.least, -np.partition(-shown, self.k - 1, axis=0)[self.k - 1])
-            i, j = np.nonzero(shown >= floor)
-            q, row, score = np.append(self.q, j), np.append(self.row, rows[at : at + together][i]), np.append(self.score, found[i, j])
-            kept = _best(q, row, score, self.k)
-            self.q, self.row, self.score = q, row, score = q[kept], row[kept], score[kept]
-            full = np.bincount(q, minlength=n) >= self.k
-            last = np.append(q[1:] != q[:-1], True) if len(q) else np.zeros(0, dtype=bool)
-            self.least[q[last & full[q]]] = np.round(score[last & full[q]], TIE_DECIMALS)
+            self.take(rows[at : at + together], m[at : at + together] @ self.asked.T)
 
 
 def _of_length(vectors, column: str, d: int):

@@ -115,3 +115,34 @@ def test_holders(spark, tmp_path):
     index = postings.write_postings(docs, str(tmp_path / "i"))
     got = sorted((r.qid, r.row_idx) for r in postings.holders(index, docs, q).collect())
     assert got == [(0, 1), (0, 2), (0, 6), (1, 1), (1, 2), (1, 4), (1, 6), (5, 6)]
+
+
+def test_search_makes_no_row_for_a_pair(spark, docs, tmp_path):
+    """Scores are added up in arrays: neither postings nor pairs of a query and a document are rows, which would be spilled."""
+    index = postings.write_postings(docs, str(tmp_path / "i"))
+    plan = postings.search(index, asked(spark), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_rows_without_an_id_or_with_one_id(spark, tmp_path):
+    """As in the scan they are one row, however parts of blocks are cut."""
+    rows = [(1, "a b"), (1, "a a c"), (None, "b"), (None, "a b b"), (2000, "c"), (-3, "a"), (7, "")]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(0, "a"), (1, "b c a")], "qid long, text string")
+    want = lexical.bm25_topk(some, q, 3)
+    show = lambda df: sorted((r.qid, r.rank, repr(r.row_idx), round(r.score, 8)) for r in df.collect())
+    assert show(postings.search(postings.write_postings(some, str(tmp_path / "i")), q, 3)) == show(want)
+
+
+def test_blocks_in_parts_and_queries_in_groups(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "WORDS", 50)
+    monkeypatch.setattr(postings, "QUERIES", 3)
+    index = postings.write_postings(docs, str(tmp_path / "i"))
+    assert index.blocks.count() > index.blocks.select("term", "block").distinct().count()
+    assert table(postings.search(index, asked(spark), 7)) == table(lexical.bm25_topk(docs, asked(spark), 7))
+
+
+def test_holders_makes_rows_of_the_rarest_terms_only(spark, docs, tmp_path):
+    index = postings.write_postings(docs, str(tmp_path / "i"))
+    plan = postings.holders(index, docs, spark.createDataFrame([(0, "the rare")], "qid long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # what is found by postings is stored before texts are read
