@@ -17,8 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -27,6 +25,8 @@ from lexigrid.functions.text import tokenize
 from lexigrid.sources.files import remove, scratch
 
 BUCKETS, DIMS, OVER, ROUNDS, SEED = 1 << 15, 64, 32, 4, 5
+#: Rows whose entries become one dense matrix.
+STRIP = 64
 
 
 def buckets_of(text: Column, buckets: int) -> Column:
@@ -46,14 +46,23 @@ def weighted(lists: pa.ListArray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, bucket, w / np.where(norm == 0, 1.0, norm)[row]
 
 
+def strips(lists: pa.ListArray, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, buckets, dense rows over these buckets alone) of STRIP rows at a time, for products of matrices; buckets are few if rows are."""
+    row, bucket, w = weighted(lists, idf)
+    cuts = np.searchsorted(row, np.arange(0, len(lists) + STRIP, STRIP))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if lo < hi:
+            own, at = np.unique(bucket[lo:hi], return_inverse=True)
+            dense = np.zeros((STRIP, len(own)))
+            dense[row[lo:hi] - k * STRIP, at] = w[lo:hi]
+            yield k * STRIP, own, dense[: len(lists) - k * STRIP]
+
+
 def project(lists: pa.ListArray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """The rows of these lists times the basis."""
-    row, bucket, w = weighted(lists, idf)
     out = np.zeros((len(lists), basis.shape[1]))
-    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
-    for k in range(0, len(starts), 256):  # entries of so many rows at a time
-        lo, hi = starts[k], starts[k + 256] if k + 256 < len(starts) else len(row)
-        out[row[starts[k : k + 256]]] = np.add.reduceat(w[lo:hi, None] * basis[bucket[lo:hi]], starts[k : k + 256] - lo, axis=0)
+    for at, own, dense in strips(lists, idf):
+        out[at : at + STRIP] = dense @ basis[own]
     return out
 
 
@@ -64,25 +73,31 @@ def _round(idf, block):
         total = np.zeros(block.value.shape)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                lists = batch.column(0).slice(k, 256)
-                y = project(lists, idf.value, block.value)
-                row, bucket, w = weighted(lists, idf.value)
-                order = np.argsort(bucket, kind="stable")
-                first = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])) if len(order) else order
-                if len(order):
-                    total[bucket[order][first]] += np.add.reduceat(w[order, None] * y[row[order]], first, axis=0)
-        at = np.flatnonzero(total.any(axis=1))
-        for k in range(0, len(at), 4096):
-            own = at[k : k + 4096]
-            vectors = pa.FixedSizeListArray.from_arrays(pa.array(total[own].ravel()), total.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), vectors], ["bucket", "v"])
+                for _, own, dense in strips(batch.column(0).slice(k, 256), idf.value):
+                    total[own] += dense.T @ (dense @ block.value[own])
+        yield from _rows_of(total)
 
     return run
 
 
+def _rows_of(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.flatnonzero(total.any(axis=1))
+    for k in range(0, len(at), 4096):
+        own = at[k : k + 4096]
+        vectors = pa.FixedSizeListArray.from_arrays(pa.array(total[own].ravel()), total.shape[1]).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), vectors], ["bucket", "v"])
+
+
 def _sums(partial: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """Sums by bucket, as a matrix: at most BUCKETS rows come to the driver."""
-    summed = partial.groupBy("bucket").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("bucket", vector_to_array("v").alias("v")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            np.add.at(total, batch.column("bucket").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, shape[1]))
+        yield from _rows_of(total)
+
+    summed = partial.repartition("bucket").mapInArrow(run, "bucket int, v array<double>").toArrow()
     out = np.zeros(shape)
     if summed.num_rows:
         out[summed["bucket"].to_numpy()] = summed["v"].combine_chunks().flatten().to_numpy().reshape(-1, shape[1])
@@ -107,7 +122,8 @@ class Semantic:
             for lists in batches:
                 yield pd.Series(list(project(pa.array(lists, pa.list_(pa.int32())), idf, basis)), dtype=object)
 
-        return lambda text: encode(buckets_of(text, len(self.idf)))
+        once = encode.asNondeterministic()  # a filter on the vectors is not pushed below it, which would cut and encode the texts twice
+        return lambda text: once(buckets_of(text, len(self.idf)))
 
     def write(self, spark: SparkSession, path: str) -> None:
         rows = pa.table({"bucket": pa.array(range(len(self.idf)), pa.int32()), "idf": self.idf, "v": list(self.basis)})
@@ -127,7 +143,8 @@ def fit(docs: DataFrame, dims: int = DIMS, buckets: int = BUCKETS, over: int = O
     spark = docs.sparkSession
     path = scratch(spark, "buckets")
     docs.select(buckets_of(F.col("text"), buckets).alias("b")).write.parquet(path)
-    rows = spark.read.schema("b array<int>").parquet(path)
+    # each task of a round gives up to buckets x r numbers, so there are no more tasks than cores, however large the table is
+    rows = spark.read.schema("b array<int>").parquet(path).coalesce(spark.sparkContext.defaultParallelism)
     counts = rows.select(F.explode(F.array_distinct("b")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df")).toArrow()
     df = np.zeros(buckets)
     df[counts["bucket"].to_numpy()] = counts["df"].to_numpy()

@@ -1,7 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexigrid.operators import semantic, vectors
@@ -72,3 +74,36 @@ def test_odd_corpora(spark):
         assert len(model.values) == 3 and np.isfinite(model.basis).all()
         got = some.select(model.encoder(spark)(F.col("text")).alias("v")).collect()
         assert len(got) == 4 and all(len(r.v) == 3 and np.isfinite(r.v).all() for r in got) and got[0].v == got[1].v == [0.0] * 3
+
+
+def test_products_make_no_row_for_an_entry():
+    """Rows are multiplied as dense strips: what a task holds and touches is not entries times dims."""
+    draw, n = np.random.default_rng(1), 2000
+    lists = pa.array([draw.choice(1 << 13, n, replace=False).astype(np.int32) for _ in range(200)], pa.list_(pa.int32()))
+    idf, basis = np.ones(1 << 13), draw.standard_normal((1 << 13, 96))
+    tracemalloc.start()
+    got = semantic.project(lists, idf, basis)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * n * 96 * 8 / 4
+    want = np.array([basis[x].sum(axis=0) / math.sqrt(n) for x in lists.to_pylist()])
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_texts_are_encoded_once(spark):
+    """dense_topk's filter on the vectors does not encode the texts another time."""
+    docs = tables.table(spark, SF, "documents")
+    encode = semantic.fit(docs, dims=4, buckets=256, over=4, rounds=2).encoder(spark)
+    rows = docs.select(F.col("doc_id").alias("row_idx"), encode(F.col("text")).alias("embedding"))
+    asked = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "qid long, qvec array<double>")
+    plan = vectors.dense_topk(rows, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_rounds_have_no_more_tasks_than_cores(spark, monkeypatch):
+    """What a round moves is bounded by the cores, not by the files that a larger table has."""
+    seen = []
+    whole = semantic._sums
+    monkeypatch.setattr(semantic, "_sums", lambda partial, shape: seen.append(partial.rdd.getNumPartitions()) or whole(partial, shape))
+    semantic.fit(tables.table(spark, SF, "documents").repartition(23), dims=4, buckets=256, over=4, rounds=2)
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
