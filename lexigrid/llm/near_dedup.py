@@ -12,7 +12,8 @@ bucket, all members are first compared with its most connected one; what is link
 bucket still has several components, pairs across them are left: in small buckets they are compared. Members of
 large ones meet by an exact prefix filter instead: with shingles in one order, rarest first, two documents that are
 alike share one of their first few, how few depending on both lengths; first shingles that only one component
-has are put aside. So documents that share one passage with thousands of others are not compared with
+has are put aside. Where two share one, bitmaps of their shingles' parities must not differ in more bits than alike texts may differ in
+shingles, so texts that share a common passage and little else make no pair. So documents that share one passage with thousands of others are not compared with
 them, no link is lost, and no partner is capped.
 
 Edge cases: a null text is in no class but its own, as is a row without doc_id; empty texts are copies of each other;
@@ -42,6 +43,8 @@ CELLS = 1 << 20
 SMALL = 12
 #: Candidates' ids are broadcast up to so many (some 30 MB), to keep other texts out of the shuffle; beyond, the join shuffles all texts once.
 BROADCAST_IDS = 1_000_000
+#: Longs of a document's bitmap.
+BITMAP = 8
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -248,20 +251,24 @@ class NearDuplicates:
         often = np.zeros(CELLS, dtype=np.int64)
         often[cells["cell"].to_numpy()] = cells["n"].to_numpy()
         shipped = own.sparkSession.sparkContext.broadcast(often)
-        rows = stash(own.mapInArrow(_prefix_rows(self.shingle, self.least, shipped), "rep long, comp long, token long, part int, role int, place int, size int, weighted boolean"), "op3-prefix")
+        rows = stash(own.mapInArrow(_prefix_rows(self.shingle, self.least, shipped), "rep long, comp long, token long, part int, role int, place int, size int, weighted boolean, total long, " + ", ".join(f"b{k} long" for k in range(BITMAP))), "op3-prefix")
         key = ["token", "part"]
         # two documents of which none repeats a shingle are left to the parts of sets
         sizes = rows.groupBy(*key, "comp").agg(F.count("*").alias("n"), F.max("weighted").alias("any_weighted"))
         mixed = sizes.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("any_weighted").alias("any_weighted"), F.max(F.struct("n", "comp")).alias("most"))
         mixed = mixed.filter("lo < hi and (part >= 0 or any_weighted)").select(*key, F.col("most.comp").alias("largest"))
         rows = stash(rows.join(stash(mixed, "op3-keys"), key).withColumn("inside", F.col("comp") == F.col("largest")), "op3-mixed")
-        side = lambda role, c: rows.filter(F.col("role") != role).select(*key, F.col("rep").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "place", "size", "weighted", "inside")])
+        side = lambda role, c: rows.filter(F.col("role") != role).select(*key, F.col("rep").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "place", "size", "weighted", "inside", "total")], *[F.col(f"b{k}").alias(f"b{k}{c}") for k in range(BITMAP)])
         # if this is the first shingle that a pair shares, it shares no more than what follows in either
         share = self.least / (1 + self.least)
         sets = f"part >= 0 and sx <= sy and least(sx - px, sy - py) >= ceil({share!r} * (sx + sy) - 1e-9)"
+        # a bit that differs is a shingle at least that one of them lacks: of the sets, or, by counts, of 1 - t of either document at most
+        differ = " + ".join(f"bit_count(b{k}x ^ b{k}y)" for k in range(BITMAP))
+        sets = f"{sets} and {differ} <= sx + sy - 2 * ceil({share!r} * (sx + sy) - 1e-9)"
+        counts = f"part < 0 and (wx or wy) and {differ} <= {(1 - self.least) * (1 + 1e-9)!r} * (tx + ty)"
         x, y = side(1, "x"), side(0, "y")
         met = x.filter("not ix").join(y, key).unionByName(x.filter("ix").join(y.filter("not iy"), key))
-        found = met.filter(f"cx != cy and x != y and ({sets} or part < 0 and (wx or wy))")
+        found = met.filter(f"cx != cy and x != y and ({sets} or {counts})")
         return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def classes(self) -> DataFrame:
@@ -330,14 +337,20 @@ def prefixes(counts: list[int], least: float) -> list[tuple[int, int, int]]:
     return out
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """A bitmap of a set of shingles: whether an odd number of them falls on each bit."""
+    odd = np.bincount((items >> U(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefix_rows(shingle: int, least: float, shipped):
     """rep, comp, text -> rep, comp, token, part, role, place, size, weighted of the document's first shingles, those in the
     rarest cells first; shingles of one document alone are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, cache = shipped.value, WordHash()
-        names = ["rep", "comp", "token", "part", "role", "place", "size", "weighted"]
-        types = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.bool_]
+        names = ["rep", "comp", "token", "part", "role", "place", "size", "weighted", "total", *[f"b{k}" for k in range(BITMAP)]]
+        types = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.bool_, *[np.int64] * (1 + BITMAP)]
         for batch in batches:
             parts = []
             for rep, comp, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "comp", "text")), strict=True):
@@ -345,11 +358,12 @@ def _prefix_rows(shingle: int, least: float, shipped):
                 df = often[(items % U(CELLS)).astype(np.int64)]
                 order = np.lexsort((items, df))
                 tokens, shared, counts = items[order].view(np.int64), df[order] > 1, counts[order].astype(np.int64).tolist()
-                n, weighted = len(tokens), sum(counts) > len(counts)
+                n, total = len(tokens), sum(counts)
+                same = [n, total > n, total, *parities(items).tolist()]
                 for first, part, role in prefixes(counts, least):
                     place = np.flatnonzero(shared[:first])
                     if len(place):
-                        parts.append([np.full(len(place), x) for x in (rep, comp)] + [tokens[place]] + [np.full(len(place), x) for x in (part, role)] + [place] + [np.full(len(place), x) for x in (n, weighted)])
+                        parts.append([np.full(len(place), x) for x in (rep, comp)] + [tokens[place]] + [np.full(len(place), x) for x in (part, role)] + [place] + [np.full(len(place), x) for x in same])
                 if parts and (sum(len(x[0]) for x in parts[-8:]) > 10_000 or len(parts) >= 500):
                     yield _joined(parts, names, types)
                     parts = []

@@ -253,6 +253,16 @@ def test_prefix_filter_is_exact(spark):
     assert alike and alike <= pairs and len(pairs) < len(docs) ** 2 / 4
 
 
+def test_texts_of_one_passage_make_no_pairs(spark):
+    """Documents that share half of their words, a passage, with all others are no candidates of each other."""
+    docs = [(i, " ".join([f"u{i}_{k}" for k in range(40)] + [f"p{k}" for k in range(60)] + [f"v{i}_{k}" for k in range(20)])) for i in range(80)]
+    docs += [(100 + i, f"{t} more") for i, t in docs[:5]]
+    near = N.NearDuplicates(spark.createDataFrame(docs, DOC))
+    members = spark.createDataFrame([(i, i) for i, _ in docs], "rep long, comp long")
+    pairs = {tuple(r) for r in near.prefix_pairs(members, near.docs).distinct().collect()}
+    assert pairs == {(i, 100 + i) for i in range(5)}
+
+
 def repeating(n):
     """Pairs 2i, 2i + 1 with nearly the same shingle set, of which the second repeats a passage: alike as sets, not by counts."""
     docs = []
