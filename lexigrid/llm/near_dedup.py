@@ -13,7 +13,8 @@ bucket still has several components, pairs across them are left: in small bucket
 large ones meet by an exact prefix filter instead: with shingles in one order, rarest first, two documents that are
 alike share one of their first few, how few depending on both lengths; first shingles that only one component
 has are put aside. Where two share one, bitmaps of their shingles' parities must not differ in more bits than alike texts may differ in
-shingles, so texts that share a common passage and little else make no pair. So documents that share one passage with thousands of others are not compared with
+shingles, so texts that share a common passage and little else make no pair; and a pair is made under the first of the shingles that
+it meets at, and not under each of them. So documents that share one passage with thousands of others are not compared with
 them, no link is lost, and no partner is capped.
 
 Edge cases: a null text is in no class but its own, as is a row without doc_id; empty texts are copies of each other;
@@ -43,8 +44,8 @@ CELLS = 1 << 20
 SMALL = 12
 #: Candidates' ids are broadcast up to so many (some 30 MB), to keep other texts out of the shuffle; beyond, the join shuffles all texts once.
 BROADCAST_IDS = 1_000_000
-#: Longs of a document's bitmap.
-BITMAP = 8
+#: Longs of a document's bitmap, and first shingles that a row has beside its own, so that a pair is made once.
+BITMAP, EARLIER = 8, 16
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -251,24 +252,27 @@ class NearDuplicates:
         often = np.zeros(CELLS, dtype=np.int64)
         often[cells["cell"].to_numpy()] = cells["n"].to_numpy()
         shipped = own.sparkSession.sparkContext.broadcast(often)
-        rows = stash(own.mapInArrow(_prefix_rows(self.shingle, self.least, shipped), "rep long, comp long, token long, part int, role int, place int, size int, weighted boolean, total long, " + ", ".join(f"b{k} long" for k in range(BITMAP))), "op3-prefix")
+        rows = stash(own.mapInArrow(_prefix_rows(self.shingle, self.least, shipped), "rep long, comp long, token long, part int, role int, place int, size int, weighted boolean, total long, " + "".join(f"b{k} long, " for k in range(BITMAP)) + "earlier array<long>"), "op3-prefix")
         key = ["token", "part"]
         # two documents of which none repeats a shingle are left to the parts of sets
         sizes = rows.groupBy(*key, "comp").agg(F.count("*").alias("n"), F.max("weighted").alias("any_weighted"))
         mixed = sizes.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("any_weighted").alias("any_weighted"), F.max(F.struct("n", "comp")).alias("most"))
         mixed = mixed.filter("lo < hi and (part >= 0 or any_weighted)").select(*key, F.col("most.comp").alias("largest"))
         rows = stash(rows.join(stash(mixed, "op3-keys"), key).withColumn("inside", F.col("comp") == F.col("largest")), "op3-mixed")
-        side = lambda role, c: rows.filter(F.col("role") != role).select(*key, F.col("rep").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "place", "size", "weighted", "inside", "total")], *[F.col(f"b{k}").alias(f"b{k}{c}") for k in range(BITMAP)])
+        side = lambda role, c: rows.filter(F.col("role") != role).select(*key, F.col("rep").alias(c), *[F.col(n).alias(n[0] + c) for n in ("comp", "place", "size", "weighted", "inside", "total", "earlier")], *[F.col(f"b{k}").alias(f"b{k}{c}") for k in range(BITMAP)])
         # if this is the first shingle that a pair shares, it shares no more than what follows in either
         share = self.least / (1 + self.least)
-        sets = f"part >= 0 and sx <= sy and least(sx - px, sy - py) >= ceil({share!r} * (sx + sy) - 1e-9)"
-        # a bit that differs is a shingle at least that one of them lacks: of the sets, or, by counts, of 1 - t of either document at most
+        sets = f"part >= 0 and (sx < sy or sx = sy and x < y) and least(sx - px, sy - py) >= ceil({share!r} * (sx + sy) - 1e-9)"
+        # a bit that differs is a shingle at least that one of them lacks
         differ = " + ".join(f"bit_count(b{k}x ^ b{k}y)" for k in range(BITMAP))
         sets = f"{sets} and {differ} <= sx + sy - 2 * ceil({share!r} * (sx + sy) - 1e-9)"
-        counts = f"part < 0 and (wx or wy) and {differ} <= {(1 - self.least) * (1 + 1e-9)!r} * (tx + ty)"
+        # by counts: where a share u of one's count is its alone, and v of the other's, the similarity is (1 - u) * (1 - v) / (1 - u * v) at most;
+        # of the shingles that one of them lacks, as many are more x's than y's as x has more
+        u, v = f"(greatest(0, {differ} + sx - sy) / (2 * tx))", f"(greatest(0, {differ} + sy - sx) / (2 * ty))"
+        counts = f"part < 0 and (wx or wy) and x < y and (1 - {u}) * (1 - {v}) >= {self.least!r} * (1 - {u} * {v}) - 1e-9"
         x, y = side(1, "x"), side(0, "y")
         met = x.filter("not ix").join(y, key).unionByName(x.filter("ix").join(y.filter("not iy"), key))
-        found = met.filter(f"cx != cy and x != y and ({sets} or {counts})")
+        found = met.filter(f"cx != cy and x != y and ({sets} or {counts}) and not arrays_overlap(ex, ey)")
         return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def classes(self) -> DataFrame:
@@ -345,11 +349,11 @@ def parities(items: np.ndarray) -> np.ndarray:
 
 def _prefix_rows(shingle: int, least: float, shipped):
     """rep, comp, text -> rep, comp, token, part, role, place, size, weighted of the document's first shingles, those in the
-    rarest cells first; shingles of one document alone are left out."""
+    rarest cells first; shingles of one document alone are left out. earlier: the first EARLIER of those before, under the same part and role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, cache = shipped.value, WordHash()
-        names = ["rep", "comp", "token", "part", "role", "place", "size", "weighted", "total", *[f"b{k}" for k in range(BITMAP)]]
+        names = ["rep", "comp", "token", "part", "role", "place", "size", "weighted", "total", *[f"b{k}" for k in range(BITMAP)], "earlier"]
         types = [np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.bool_, *[np.int64] * (1 + BITMAP)]
         for batch in batches:
             parts = []
@@ -363,7 +367,7 @@ def _prefix_rows(shingle: int, least: float, shipped):
                 for first, part, role in prefixes(counts, least):
                     place = np.flatnonzero(shared[:first])
                     if len(place):
-                        parts.append([np.full(len(place), x) for x in (rep, comp)] + [tokens[place]] + [np.full(len(place), x) for x in (part, role)] + [place] + [np.full(len(place), x) for x in same])
+                        parts.append([np.full(len(place), x) for x in (rep, comp)] + [tokens[place]] + [np.full(len(place), x) for x in (part, role)] + [place] + [np.full(len(place), x) for x in same] + [tokens[place]])
                 if parts and (sum(len(x[0]) for x in parts[-8:]) > 10_000 or len(parts) >= 500):
                     yield _joined(parts, names, types)
                     parts = []
@@ -374,7 +378,12 @@ def _prefix_rows(shingle: int, least: float, shipped):
 
 
 def _joined(parts: list[list[np.ndarray]], names: list[str], types: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts, strict=True), types, strict=True)], names)
+    """The last column of parts has all shingles of a part; a row gets those before its own."""
+    *cols, own = zip(*parts, strict=True)
+    before = [np.minimum(np.arange(len(x)), EARLIER) for x in own]
+    ends = np.cumsum(np.append(0, np.concatenate(before)))
+    earlier = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x[:n] for x, some in zip(own, before, strict=True) for n in some.tolist()])))
+    return pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, types, strict=True)], earlier], names)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:

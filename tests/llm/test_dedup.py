@@ -263,6 +263,25 @@ def test_texts_of_one_passage_make_no_pairs(spark):
     assert pairs == {(i, 100 + i) for i in range(5)}
 
 
+def test_pairs_of_a_large_group_are_made_once(spark):
+    """Near copies of one text that differ in too much to be alike are no pairs, by sets or by counts; what is alike is one row by each."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(160)]
+
+    def copy(i):
+        words = [f"z{i}_{k}" if r.random() < 0.02 else w for k, w in enumerate(base)]
+        return " ".join(words + ["again"] * (20 if i % 4 == 0 else 0))
+
+    docs = [(i, copy(i)) for i in range(150)]
+    near = N.NearDuplicates(spark.createDataFrame(docs, DOC))
+    members = spark.createDataFrame([(i, i) for i, _ in docs], "rep long, comp long")
+    found = [tuple(x) for x in near.prefix_pairs(members, near.docs).collect()]
+    items = {i: N._weighted(t, 5, N.WordHash()) for i, t in docs}
+    alike = {(i, j) for i in items for j in items if i < j and max(similarity(items[i], items[j])) >= 0.8}
+    assert alike and alike <= set(found) and len(set(found)) <= 1.3 * len(alike)
+    assert len(found) <= 2 * len(set(found))  # under a part of sets, and by counts
+
+
 def repeating(n):
     """Pairs 2i, 2i + 1 with nearly the same shingle set, of which the second repeats a passage: alike as sets, not by counts."""
     docs = []
