@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from lexigrid.operators.lexical import TIE_DECIMALS, top_k
+from lexigrid.sources.files import small_batches
 
 #: Queries that are sent out at once, vectors to a shard where there are more queries, and scores that a task computes at once.
 QUERY_ROWS, SHARD_ROWS, CELLS = 4096, 16_384, 4_000_000
@@ -135,7 +136,12 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame
 
 
 def encoder(model: Callable[[], Callable[[list[str]], list[list[float]]]], batch_size: int = 8):
-    """A column function that encodes texts. model() is called once a task, and gives a function from texts to vectors."""
+    """A column function that encodes texts. model() is called once a task, and gives a function from texts to vectors.
+
+    Arrow batches of the session have small_batches' rows at most from then on."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        small_batches(spark)
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

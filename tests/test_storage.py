@@ -63,3 +63,12 @@ def test_files_are_read_a_few_at_a_time():
     batch = pd.DataFrame({"doc_id": range(1000), "text": ["a\nb"] * 1000})
     parts = list(catalogue._as_docx(iter([batch])))
     assert max(map(len, parts)) <= 64 and sum(map(len, parts)) == 1000
+
+
+def test_encoders_read_small_batches(spark):
+    """A worker that encodes texts gets no more of them at once than small_batches allows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    sizes = vectors.encoder(lambda: lambda texts: [[float(len(texts))] for _ in texts], batch_size=10_000)
+    seen = spark.range(2000).coalesce(1).select(sizes(F.col("id").cast("string")).alias("v")).agg(F.max(F.col("v")[0])).first()[0]
+    assert seen <= files.BATCH_ROWS == int(spark.conf.get(key))
