@@ -45,9 +45,9 @@ def chunk_pages(pages: DataFrame, structure: chunking.Structure = chunking.DEFAU
     return chunking.numbered(chunking.chunk_documents(docs.filter("text != ''"), structure))
 
 
-def chunk_manifest(spark: SparkSession, manifest: str, folder: str, structure: chunking.Structure = chunking.DEFAULT) -> DataFrame:
-    """Chunks of the texts that a manifest names, in its order."""
-    rows = files.read_texts(spark, files.read_manifest(spark, manifest), folder)
+def chunk_manifest(spark: SparkSession, manifest: str, folder: str, structure: chunking.Structure = chunking.DEFAULT, packed: bool = False) -> DataFrame:
+    """Chunks of the texts that a manifest names, in its order; packed: see files.read_texts."""
+    rows = files.read_texts(spark, files.read_manifest(spark, manifest), folder, packed)
     docs = rows.select(F.col("ord").alias("doc_ord"), "source", F.col("url").alias("source_url"), "title", "source_kind", "text")
     return chunking.numbered(chunking.chunk_documents(docs, structure))
 
@@ -59,10 +59,10 @@ def ingest(chunks: DataFrame, encode: Callable, model_name: str, out: str) -> Da
     return metadata
 
 
-def build(spark: SparkSession, manifest: str, folder: str, encode: Callable, model_name: str, out: str, structure: chunking.Structure = chunking.DEFAULT) -> DataFrame:
+def build(spark: SparkSession, manifest: str, folder: str, encode: Callable, model_name: str, out: str, structure: chunking.Structure = chunking.DEFAULT, packed: bool = False) -> DataFrame:
     """From a manifest and its texts to an index: chunks go to out/chunks, the index to out/index; gives its metadata and chunks_path."""
     path = f"{out}/chunks"
-    write_chunks(chunk_manifest(spark, manifest, folder, structure), path)
+    write_chunks(chunk_manifest(spark, manifest, folder, structure, packed), path)
     return ingest(files.read_chunks(spark, path), encode, model_name, f"{out}/index").withColumn("chunks_path", F.lit(path))
 
 

@@ -393,3 +393,28 @@ def test_broken_manifest_lines(spark, tmp_path):
     assert sorted((r.ord, r.line, r.file_path.rsplit("/", 1)[1]) for r in files.manifest_rejects(spark, path).collect()) == [(1, '{"url":"u1","local_pa', "m.jsonl"), (2, None, "m.jsonl"), (4, "nothing", "m.jsonl")]
     with pytest.raises(Exception, match="broken manifest line"):
         files.read_manifest(spark, path).collect()
+
+
+def test_packed_texts_are_read_as_loose_ones(spark, tmp_path):
+    """Texts in few files belong to a manifest's rows by the paths they are packed with; of one name, by the folder too."""
+    texts = [("a/x.txt", "ax\n"), ("b/x.txt", "bx\n"), ("y.txt", "y"), ("c d/z+1.txt", "z")]
+    for name, text in texts:
+        (tmp_path / "loose" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "loose" / name).write_text(text)
+    files.write_texts(spark.createDataFrame(texts, "path string, text string").coalesce(1), str(tmp_path / "packed"))
+    named = ["out/b/x.txt", "./a/x.txt", "y.txt", "missing.txt", "c d/z+1.txt", "/x.txt"]
+    rows = spark.createDataFrame(list(enumerate(named)), "ord long, local_path string")
+    got, want = ({r.ord: (r.source, r.text) for r in files.read_texts(spark, rows, str(tmp_path / f), f == "packed").collect()} for f in ("packed", "loose"))
+    assert got == want == {0: ("x", "bx\n"), 1: ("x", "ax\n"), 2: ("y", "y"), 4: ("z+1", "z")}
+
+
+def test_landed_texts_are_few_files(spark, tmp_path):
+    """Pages land in as many files as tasks write, not in one for each."""
+    from lexigrid.plans import catalogue
+
+    rows = [(i, f"http://h/{i}", f"<p>text {i}</p>") for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    path = catalogue._landed(spark, str(tmp_path))
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/texts").count() < 60
+    got = [(r.ord, r.url, r.text) for r in catalogue.manifest_texts(spark, str(tmp_path)).orderBy("ord").collect()]
+    assert got == [(i, url, f"text {i}\n") for i, url, _ in rows]
