@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexigrid.operators import postings
-from lexigrid.operators.lexical import TIE_DECIMALS, bm25_topk
+from lexigrid.operators.lexical import TIE_DECIMALS
 from lexigrid.operators.vectors import dense_topk
 
 RRF_K = 60
@@ -83,7 +83,7 @@ def hybrid_search(
 
     index: the stored postings of the chunks; without it the chunks' texts are read and counted for this search."""
     asked = queries.filter(F.col("text").rlike(r"(?U)\S"))
-    lexical = bm25_topk(chunks, asked, k_per_retriever, id_col="row_idx") if index is None else postings.search(index, asked, k_per_retriever)
+    lexical = postings.scan(chunks, asked, k_per_retriever, id_col="row_idx") if index is None else postings.search(index, asked, k_per_retriever)
     dense = dense_topk(vectors, asked.filter("qvec is not null"), k_per_retriever)
     pool = pool_cut(rrf_fuse(lexical, dense, rrf_k, bm25_weight, dense_weight), top_k, rerank_pool)
     if asked.limit(POOL_ROWS + 1).count() * max(top_k, rerank_pool) <= POOL_ROWS:

@@ -20,15 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lexigrid.functions.text import tokenize
-from lexigrid.operators.lexical import BM25, BROADCAST_TERMS, query_terms, top_k
+from lexigrid.operators.lexical import BM25, BROADCAST_TERMS, bm25_topk, idf_table, query_terms, term_index, top_k
 from lexigrid.operators.vectors import Best
-from lexigrid.sources.files import scratch
+from lexigrid.sources.files import scratch, small_batches
 
 #: Row ids to a block, and shards of the terms.
 SPAN, SHARDS = 1024, 16
@@ -255,7 +256,7 @@ def _added(shipped, k: int, span: int, avgdl: float, params: BM25):
 
 
 def shipped_weights(weights: pa.Table) -> list[tuple[pa.Array, dict]]:
-    """What _added and lexical's scan are sent: weights (qid, term, w) by QUERIES of the queries."""
+    """What _added and the scan are sent: weights (qid, term, w) by QUERIES of the queries."""
     coded = weights["qid"].combine_chunks().dictionary_encode()
     at, w, names = coded.indices.to_numpy(), weights["w"].to_numpy(), weights["term"].to_pylist()
     groups: list[tuple[pa.Array, dict]] = [(coded.dictionary.slice(k, QUERIES), {}) for k in range(0, len(coded.dictionary), QUERIES)]
@@ -266,6 +267,97 @@ def shipped_weights(weights: pa.Table) -> list[tuple[pa.Array, dict]]:
     return [(qids, {t: (np.array(q), np.array(x)) for t, (q, x) in terms.items()}) for qids, terms in groups]
 
 
+def _coded(names: list[str]):
+    """row_idx, dl, terms (term, tf) -> row_idx, dl, codes, tfs of the named terms; documents without any go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names, pa.string())
+        for batch in batches:
+            lists = batch.column("terms")
+            flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy()
+            code = pc.fill_null(pc.index_in(flat.field("term"), value_set=known), -1).to_numpy()
+            held = code >= 0
+            n = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[held], minlength=len(sizes))
+            ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(x[held], pa.int32())) for x in (code, flat.field("tf").to_numpy())]
+            found = pa.RecordBatch.from_arrays([batch.column("row_idx"), batch.column("dl"), *arrays], ["row_idx", "dl", "codes", "tfs"])
+            yield found.filter(pa.array(n > 0))
+
+    return run
+
+
+def _scanned(names: list[str], shipped, k: int, avgdl: float, params: BM25, together: int):
+    """row_idx, dl, codes, tfs in the order of row_idx -> qid, row_idx, score: the k best of each query among the task's documents, of which so many
+    are scored at once in one array of documents and queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [(qids, [terms.get(name) for name in names], Best(len(qids), k)) for qids, terms in shipped.value]
+
+        def see(rows: pa.Table) -> None:
+            flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
+            ids, doc = np.unique(rows["row_idx"].to_numpy(), return_inverse=True)  # rows that share an id are one
+            sizes = rows["codes"].combine_chunks().value_lengths().to_numpy()
+            code, tf, doc, dl = flat("codes"), flat("tfs"), np.repeat(doc, sizes), np.repeat(rows["dl"].to_numpy(), sizes)
+            gain = tf * (params.k1 + 1) / (tf + params.k1 * ((1 - params.b) + params.b * dl / avgdl))
+            order = np.lexsort((doc, code))
+            code, doc, gain = code[order], doc[order], gain[order]
+            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
+            code, doc, gain = code[first], doc[first], np.add.reduceat(gain, first)
+            cuts = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code))
+            for qids, terms, best in groups:
+                score, met = np.zeros((len(ids), len(qids))), np.zeros((len(ids), len(qids)), dtype=bool)
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    if terms[code[lo]] is not None:
+                        q, w = terms[code[lo]]
+                        cell = (doc[lo:hi, None], q)
+                        score[cell] += gain[lo:hi, None] * w
+                        met[cell] = True
+                best.take(ids, np.where(met, score, -np.inf))
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= together:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                last = rows["row_idx"].to_numpy()
+                cut = int(np.searchsorted(last, last[-1]))  # the last id may go on in the next batch
+                if cut:
+                    see(rows.slice(0, cut).combine_chunks())
+                held = rows.slice(cut).combine_chunks().to_batches()
+                n = rows.num_rows - cut
+        if n:
+            see(pa.Table.from_batches(held).combine_chunks())
+        for qids, _, best in groups:
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(best.q)), pa.array(best.row), pa.array(best.score)], ["qid", "row_idx", "score"])
+
+    return run
+
+
+def scan(docs: DataFrame, queries: DataFrame, k: int = 20, params: BM25 = BM25(), id_col: str = "doc_id") -> DataFrame:
+    """search() without a stored index: qid, row_idx, score, rank, from texts that are read and counted for these queries.
+
+    Terms are counted in a document's row. Those of the queries are moved as arrays, by document, and a task adds scores up in an array and keeps k
+    rows a query, so no pair of a query and a document is a row. Queries with more than BROADCAST_TERMS terms are joined (lexical.bm25_topk)."""
+    spark, asked = docs.sparkSession, query_terms(queries)
+    small_batches(spark)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("row_idx"), "text")
+    index = term_index(rows, "row_idx")
+    if asked.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
+        return _with_ids(bm25_topk(rows, queries, k, params, "row_idx", index))
+    weights = idf_table(index, params).join(F.broadcast(asked), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl").toArrow()
+    avgdl = (weights["avgdl"][0].as_py() if weights.num_rows else 1.0) or 1.0
+    names = pc.unique(weights["term"]).to_pylist()
+    shipped = spark.sparkContext.broadcast(shipped_weights(weights))
+    schema = StructType([queries.schema["qid"], StructField("row_idx", LongType()), StructField("score", DoubleType())])
+    coded = index.select("row_idx", "dl", "terms").mapInArrow(_coded(names), "row_idx long, dl int, codes array<int>, tfs array<int>")
+    dealt = coded.repartition("row_idx").sortWithinPartitions("row_idx")
+    found = dealt.mapInArrow(_scanned(names, shipped, k, avgdl, params, SPAN), schema)
+    return _with_ids(top_k(found, k)).filter("score > 0")
+
+
 def essential_terms(index: Postings, queries: DataFrame, k: int, params: BM25 = BM25(), asked: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(blocks, weights): weights has qid, term, w, essential, and floor and rest of the query. A document without an essential term can't be
     among the k best: the bounds of the other terms, in sum the rest, don't reach the floor, which k documents reach by the query's

@@ -146,3 +146,17 @@ def test_holders_makes_rows_of_the_rarest_terms_only(spark, docs, tmp_path):
     index = postings.write_postings(docs, str(tmp_path / "i"))
     plan = postings.holders(index, docs, spark.createDataFrame([(0, "the rare")], "qid long, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # what is found by postings is stored before texts are read
+
+
+def test_scan_makes_no_pairs(spark, monkeypatch):
+    """The scan without an index gives what joins give, ids that are missing or shared included, with no join or sum by query and document."""
+    monkeypatch.setattr(postings, "SPAN", 16)
+    rows = [(None if i % 50 == 0 else i // 2, t) for i, t in corpus(400, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = postings.scan(docs, asked(spark), 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    key = lambda df: sorted((r.qid, r.rank, -1 if r.row_idx is None else r.row_idx, round(r.score, 8)) for r in df.collect())
+    got = key(found)
+    assert got == key(lexical.bm25_topk(docs, asked(spark), 7)) and any(x[2] < 0 for x in got)
+    assert key(postings.scan(docs.filter("false"), asked(spark), 7)) == []
